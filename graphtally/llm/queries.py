@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, sharding, wavelet
+from . import packing, pieces, quality, secrets, sharding, wavelet
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir).select("doc_id", "text"), 24)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        proto = f.read()
+    return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), proto)
+
+
 def op9_histogram_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), end_id=1, size=2048)
 
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
+    "op6_sentencepiece": op6_sentencepiece,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
 }
