@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, secrets, sharding, wavelet
+from . import packing, pieces, quality, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media(documents(spark, sf_dir).select("doc_id", "text")).drop("media")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
     return q.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "words_left")])
@@ -57,6 +61,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_lossless_webp": op2_lossless_webp,
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_sentencepiece": op6_sentencepiece,
