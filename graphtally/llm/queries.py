@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, packing, pieces, quality, secrets, sharding, wavelet, webp
+from . import near, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(documents(spark, sf_dir).select("doc_id", "text"), proto)
 
 
+def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), repeats.Repeats(size=400, unit="bytes", gram=145))
+
+
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), near.Near(words=4, percent=80))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_radix_repeats": op7_radix_repeats,
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
