@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
@@ -25,7 +25,11 @@ def tokenizer_file(name: str) -> str:
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("_spans", lambda x: x["kind"].isin(*secrets.BASE))
-    counts = [F.size(F.filter("_spans", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in secrets.BASE]
     return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
 
 

@@ -140,7 +140,8 @@ def _place(key: Column) -> tuple[Column, Column]:
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]], key: str = "_key") -> DataFrame:
     """(key, kinds): ids whose postings satisfy a rule's query, with the rules' names."""
     clauses = [(kind, i, t, len(c)) for kind, alternatives in queries.items() for i, c in enumerate(alternatives) for t in c]
-    terms = index.sparkSession.createDataFrame(clauses, "kind string, clause int, trigram string, size int")
+    terms = F.array(*[F.struct(*(F.lit(v).alias(c) for v, c in zip(x, ("kind", "clause", "trigram", "size"), strict=True))) for x in clauses])
+    terms = index.sparkSession.range(1).select(F.inline(terms))
     hits = index.join(F.broadcast(terms), "trigram")  # the terms come from the rules, not from data
     clause = hits.groupBy("kind", "clause", "size", "block").agg(F.count(F.lit(1)).alias("_n"), F.bitmap_and_agg("bits").alias("bits"))
     rule = clause.where("_n = size").groupBy("kind", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
