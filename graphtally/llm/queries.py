@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
+from . import langid, near, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.media(documents(spark, sf_dir).select("doc_id", "text")).drop("media")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
     return q.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "words_left")])
@@ -74,6 +78,7 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lossless_webp": op2_lossless_webp,
+    "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_feistel_shards": op5_feistel_shards,
     "op6_sentencepiece": op6_sentencepiece,
