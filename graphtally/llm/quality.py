@@ -133,6 +133,7 @@ def cleaned_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFr
 
     ``n_chars``, where there is one, counts the cleaned text.
     """
-    q = quality(docs, rules).where("_q.kept")
+    # A filter on the verdict alone would be pushed down with all that computes it, and evaluated over and over.
+    q = quality(docs, rules).withColumn("_part", F.spark_partition_id()).where("_q.kept and _part >= 0")
     new = {"text": F.col("_q.cleaned")} | ({"n_chars": F.length("_q.cleaned").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return q.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
