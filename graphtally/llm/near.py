@@ -1,11 +1,10 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification.
 
 Texts with one shingle set are one node from the start.  Nodes that agree in a band are
-candidates; a bucket is never expanded into all pairs unless it is small: its members
-are compared with one pivot, links contract into components, and further pivots look
-only at members outside the pivot's component.  What large buckets still hold in
-several components is compared block against block on signatures, so no candidate is
-lost.  A pair's signatures are compared batch by batch, and the pair is dropped once
+candidates.  Every node first meets one pivot of its buckets, links contract into
+components, and further pivots look only at members outside the pivot's component.
+What buckets still hold in several components is compared in full, small buckets pair
+by pair and large ones block against block on signatures, so no candidate is lost.  A pair's signatures are compared batch by batch, and the pair is dropped once
 the posterior probability of its similarity reaching the threshold falls under ``miss``;
 whatever survives is decided on the full shingle sets.
 """
@@ -244,15 +243,14 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
     full = held.select("fp", "sig", "text").join(asked, "fp")
     full = written(full.groupBy("nid").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
 
-    few = met.where(F.col("cnt") <= p.small).groupBy("key").agg(F.sort_array(F.collect_list("nid")).alias("ids"))
-    some = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.lit(p.small)), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("x")).select("x.*")
-    many = met.where(F.col("cnt") > p.small)
-    links = _verified(some.unionAll(many.where("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))), full, p)
+    # First every node meets one pivot: the least of its buckets' least members.
+    first = met.groupBy("nid").agg(F.min("pivot").alias("a")).select("a", F.col("nid").alias("b"))
+    links = _verified(first, full, p)
     roots = written(components(links), "roots")
 
     def open_rows() -> DataFrame:
-        """Rows of large buckets that still hold several components."""
-        r = many.select("key", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("comp"))
+        """Rows of buckets that still hold several components."""
+        r = met.select("key", "nid", "cnt").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "cnt", F.coalesce("root", "nid").alias("comp"))
         left = r.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
         return r.join(left, "key")
 
@@ -261,11 +259,18 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
         if left.isEmpty():
             break
         if turn < p.rounds:
+            # A pivot per bucket; a node meets one pivot of each component that it is not in.
             order = F.xxhash64("nid", F.lit(turn))
-            pivots = left.groupBy("key").agg(F.min_by("nid", order).alias("a"), F.min_by("comp", order).alias("of"))
-            more = _verified(left.join(pivots, "key").where("comp <> of").select("a", F.col("nid").alias("b")), full, p)
+            pivots = left.where(F.col("cnt") > p.small).groupBy("key").agg(F.min_by(F.struct(F.col("nid").alias("a"), F.col("comp").alias("of")), order).alias("x")).select("key", "x.*")
+            near = left.join(pivots, "key").where("comp <> of").groupBy("nid", "of").agg(F.min("a").alias("a"))
+            more = _verified(near.select("a", F.col("nid").alias("b")), full, p)
         else:
-            more = _verified(_blocked(left, full, p), full, p, pruned=True)
+            member = F.struct(F.col("nid").alias("a"), F.col("comp").alias("c"))
+            few = left.where(F.col("cnt") <= p.small).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("ids"))
+            two = F.flatten(F.transform("ids", lambda x, i: F.transform(F.filter(F.slice("ids", i + 2, F.lit(p.small)), lambda y: y["c"] != x["c"]), lambda y: F.struct(x["a"].alias("a"), y["a"].alias("b")))))
+            small = _verified(few.select(F.explode(two).alias("x")).select("x.*"), full, p)
+            large = left.where(F.col("cnt") > p.small).select("key", "nid", "comp")
+            more = small if large.isEmpty() else small.unionAll(_verified(_blocked(large, full, p), full, p, pruned=True))
         links = written(links.unionAll(more), "links")
         roots = written(components(links), "roots")
 

@@ -2,4 +2,79 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import quality, secrets, sharding
+from .common import P31
+
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _spans(rule: secrets.Rule, number: int) -> str:
+    """Rows (doc_id, s, o, e, kind) of one rule: lengths of the gaps and matches give the places."""
+    pattern = (rule.scan or rule.pattern).replace("'", "''")
+    return f"""SELECT doc_id, s, {number} AS o, s + n AS e, '{rule.kind}' AS kind FROM (
+SELECT doc_id, n, ok, sum(gap + coalesce(before, 0)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM (
+SELECT doc_id, i, length(g) AS gap, length(m) AS n, length(v) >= {rule.least} AS ok, lag(length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM (
+SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[1:len(ms)]) AS g FROM (
+SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS vs, regexp_split_to_array(t, '{pattern}') AS gs FROM d) a) b) c) x WHERE ok"""
+
+
+def _op1() -> str:
+    every = " UNION ALL ".join(_spans(r, i) for i, r in enumerate(secrets.RULES))
+    base = ", ".join(f"'{k}'" for k in secrets.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({every}),
+j AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)},
+string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) FILTER (kind IN ({base})) AS b, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, o) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j ON d.doc_id = j.doc_id"""
+
+
+def _op4() -> str:
+    r = quality.LineRules()
+    blanks = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    phrases = " OR ".join(f"contains(lower(x), '{p}')" for p in r.phrases)
+    ends = r.ends.replace("'", "''")
+    n = f"len(regexp_extract_all(x, '{_WORDS}'))"
+    symbols = f"(len(regexp_extract_all(x, '[#*$%&|<>]')) + len(regexp_extract_all(x, '[!?]{{2,}}')))"
+    separators = r"len(list_filter(string_split_regex(x, '[\x20\x09]'), lambda y: y IN ('|', '»', '•', '>', '/')))"
+    failed = f"""({n} >= {r.min_words_for_end} AND NOT contains('{ends}', right(trim(x, {blanks}), 1))) OR {symbols} > {n} * {r.max_symbol_share}
+OR ({separators} >= {r.min_separators} AND {separators} >= {n} * {r.min_separator_share}) OR {phrases}"""
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w, string_split(t, chr(10)) AS l FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS a FROM w) x),
+rep AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) z WHERE c > 1 GROUP BY doc_id),
+q AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+list_filter(l, lambda x: {n} > 0) AS wl, coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(l, lambda x: {n} > 0 AND ({failed})))::BIGINT AS n_lines_removed,
+coalesce(list_sum(list_transform(list_filter(l, lambda x: NOT ({failed})), lambda x: {n})), 0)::BIGINT AS words_left FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, (len(wl) - len(list_distinct(wl)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+NOT base_failed AND 100 * (n_words - words_left) <= {r.max_lost_percent} * n_words AS kept, n_lines_removed, words_left FROM b"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+def _op5(shards: int = 24, seed: int = 20240613) -> str:
+    table = "[" + ", ".join(map(str, _crc_table())) + "]::BIGINT[]"
+    octets = "list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)"
+    rounds = "SELECT start, steps, p // b AS l, p % b AS r FROM walk, size WHERE p >= n OR steps = 0"
+    for i, (x, y, z) in enumerate(sharding.round_keys(seed)):
+        other, own, m = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        noise = f"((({other} * {x} + {y}) % {P31}) * (({other} * {x} + {y}) % {P31}) + {z}) % {P31}"
+        turned = f"({own} + {noise}) % {m} AS {own}"
+        rounds = f"SELECT start, steps, {'l, ' + turned if own == 'r' else turned + ', r'} FROM ({rounds}) x{i}, size"
+    return f"""WITH RECURSIVE crcs AS (SELECT {table} AS ct),
+raw AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+base AS (SELECT doc_id, octet_length(encode(t)) + 8 AS size, xor(list_reduce({octets}, lambda c, v: xor(c >> 8, ct[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM raw, crcs),
+size AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM base),
+numbered AS (SELECT *, row_number() OVER (ORDER BY (((coalesce(doc_id, -1) % {P31} + {P31}) % {P31}) * 1103515245 + text_crc32 % {P31}) % {P31} % {sharding.BUCKETS}, doc_id NULLS FIRST, size, text_crc32) - 1 AS number FROM base),
+walk AS (SELECT number AS start, 0 AS steps, number AS p FROM numbered UNION ALL SELECT start, steps + 1, l * b + r FROM ({rounds}) z, size),
+done AS (SELECT start, max_by(p, steps) AS p FROM walk GROUP BY start)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, (p // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, number::BIGINT AS row_number FROM numbered JOIN done ON start = number"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op4_quality_rules": _op4(), "op5_feistel_shards": _op5()}
