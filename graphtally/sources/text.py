@@ -16,9 +16,9 @@ def read_text(spark: SparkSession, path: str, dedup: bool = True) -> Graph:
     t = spark.read.text(path).select(F.split(F.btrim("value"), r"\s+").alias("t"))
     kind = F.get("t", F.lit(0))
     v = t.where(kind == "v").select(F.get("t", F.lit(1)).cast("long").alias("vid"), F.slice("t", 3, 1 << 30).alias("ls"))
-    labels = v.select("vid", F.explode("ls").cast("int").alias("vl")).where("vl >= 0")
+    labels = v.select("vid", F.explode(F.col("ls").cast("array<int>")).alias("vl")).where("vl >= 0")
     several = F.slice("t", 4, 1 << 30 if dedup else 1)
-    e = t.where(kind == "e").select(F.get("t", F.lit(1)).cast("long").alias("src"), F.get("t", F.lit(2)).cast("long").alias("dst"), F.explode(several).cast("int").alias("el"))
+    e = t.where(kind == "e").select(F.get("t", F.lit(1)).cast("long").alias("src"), F.get("t", F.lit(2)).cast("long").alias("dst"), F.explode(several.cast("array<int>")).alias("el"))
     e = e.where("el >= 0")
     return Graph(v.select("vid"), labels.distinct() if dedup else labels, e.distinct() if dedup else e)
 
