@@ -63,7 +63,8 @@ class Model:
     temperature: float = 1.0
 
     def scores(self, n: np.ndarray) -> np.ndarray:
-        at, x = vector(n, self.idf)
+        at = np.flatnonzero(n)
+        x = values(at, n[at], self.idf)
         return x @ self.weights[at] + self.bias
 
     def predict(self, n: np.ndarray) -> tuple[str, float]:
@@ -72,11 +73,10 @@ class Model:
         return self.labels[k], float(p[k])
 
 
-def vector(n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and unit-length TF-IDF values of a text."""
-    at = np.flatnonzero(n)
-    x = (1.0 + np.log(n[at])) * idf[at]
-    return at, x / max(float(np.sqrt((x * x).sum())), 1e-12)
+def values(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit-length TF-IDF values of a text with n occurrences in the buckets ``at``."""
+    x = (1.0 + np.log(n)) * idf[at]
+    return x / max(float(np.sqrt((x * x).sum())), 1e-12)
 
 
 def softmax(s: np.ndarray) -> np.ndarray:
@@ -84,16 +84,15 @@ def softmax(s: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray]], idf: np.ndarray, p: LangId) -> Model:
-    """``rows``: (label, counts) in a fixed order."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, p: LangId) -> Model:
+    """``rows``: (label, buckets, occurrences) in a fixed order; only the buckets that a text has are held."""
     labels = sorted({r[0] for r in rows})
     number = {x: i for i, x in enumerate(labels)}
     shape = (len(idf) + 1, len(labels))  # the last row is the bias
     z, n = np.zeros(shape), np.zeros(shape)
     data = []
-    for label, c in rows:
-        at, x = vector(c, idf)
-        data.append((number[label], np.append(at, len(idf)), np.append(x, 1.0)))
+    for label, at, n_at in rows:
+        data.append((number[label], np.append(at, len(idf)).astype(np.int32), np.append(values(at, n_at, idf), 1.0).astype(np.float32)))
     held = data[:: p.calibrate_every]
     train = [x for i, x in enumerate(data) if i % p.calibrate_every] or data
 
@@ -171,9 +170,7 @@ def train(rows: DataFrame, p: LangId) -> Model | None:
     for r in sorted(chosen.select("h", "lang", "text").mapInArrow(sample, "h long, lang string, at binary, n binary").collect(), key=lambda r: (r.h, r.lang, r.at, r.n)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
         if taken[r.lang] <= p.per_label:  # repeated ids may bring more
-            n = np.zeros(1 << p.bits, np.int64)
-            n[np.frombuffer(r.at, "<u4")] = np.frombuffer(r.n, "<u4")
-            data.append((r.lang, n))
+            data.append((r.lang, np.frombuffer(r.at, "<u4"), np.frombuffer(r.n, "<u4")))
     return fit(data, idf, p) if data else None
 
 
