@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import _BLANK
-from .common import drop_written, text_of, written
+from .common import drop_written, release, text_of, written
 from .shingles import buffers, groups, mixed, span_hashes
 
 #: Tokens worked on at once.
@@ -159,19 +159,19 @@ def digits(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarr
     order = np.argsort(inner[0], kind="stable")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
-    core = [_poly(i).ranges(tokens, inner[0][order], inner[1][order], tag[order])[back] for i in (0, 1)]
+    core = [_poly(0).ranges(tokens, inner[0][order], inner[1][order], tag[order])[back]]
     order = np.argsort(begin, kind="stable")
     back[order] = np.arange(len(order))
     extent = [_poly(i).ranges(tokens, begin[order], stop[order], (tag + cut * 31)[order])[back] for i in (0, 1)]
     return some, near, far, *core, *extent
 
 
-_RECORD = "h binary, at int, first int, near int, far int, c1 long, c2 long, o1 long, o2 long"
+_RECORD = "h binary, at int, first int, near int, far int, c1 long, o1 long, o2 long"
 
 
 def _table(h: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
     whole = [pa.array(x.astype(np.int32)) for x in columns[:4]] + [pa.array(x.view(np.int64)) for x in columns[4:]]
-    return pa.RecordBatch.from_arrays([h, *whole], ["h", "at", "first", "near", "far", "c1", "c2", "o1", "o2"])
+    return pa.RecordBatch.from_arrays([h, *whole], ["h", "at", "first", "near", "far", "c1", "o1", "o2"])
 
 
 def _first_pass(texts: DataFrame, p: Repeats) -> DataFrame:
@@ -216,7 +216,8 @@ def _next_pass(joined: DataFrame, step: int, p: Repeats) -> DataFrame:
     return joined.select("h", "text", "items").mapInArrow(rows, _RECORD + ", two int, ask int")
 
 
-_CORE, _EXTENT = ["first", "c1", "c2"], ["first", "c1", "c2", "o1", "o2"]
+# An extent is told by two hashes; for a digit, which only says what to look at further, one will do.
+_CORE, _EXTENT = ["first", "c1"], ["first", "c1", "o1", "o2"]
 
 
 def _settled(records: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +226,8 @@ def _settled(records: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame]:
     ``two``: the extent occurs at least twice; ``ask``: the item's own windows are open.
     An extent that occurs twice is settled and stands once, for those that are not.
     """
-    classes = records.groupBy(*_EXTENT).agg(F.sum(F.col("two") + 1).alias("n"), F.max("ask").alias("ask"), F.min(F.struct("h", "at")).alias("one"))
+    classes = written(records.groupBy(*_EXTENT).agg(F.sum(F.col("two") + 1).alias("n"), F.max("ask").alias("ask"), F.min(F.struct("h", "at")).alias("one")), "classes")
+    release(records.sparkSession)
     cores = classes.groupBy(*_CORE).agg(F.count(F.lit(1)).alias("m"), F.max(F.when((F.col("n") == 1) & (F.col("ask") == 1), 1).otherwise(0)).alias("open"))
     twice = classes.where("n >= 2 and ask = 1").select(*_EXTENT)
     spans = records.where("ask = 1").join(twice, _EXTENT).select("h", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + p.size).alias("stop")).distinct()
@@ -257,19 +259,22 @@ def repeated_spans(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame,
     texts = docs.select(text_key(text_of()).alias("h"), text_of().alias("text")).where(F.octet_length("text") >= (p.size if p.unit == "bytes" else 2 * p.size - 1))
     alone = _first_pass(texts, p)
     shared = alone.groupBy("c1").count().where("count > 1").select("c1")
-    records = written(_first_pass(texts, p).join(shared, "c1", "left_semi").select("h", "at", "first", "near", "far", "c1", "c2", "o1", "o2"), "ranges")
+    records = written(_first_pass(texts, p).join(shared, "c1", "left_semi").select("h", "at", "first", "near", "far", "c1", "o1", "o2"), "ranges")
     kept = _packed(texts).groupBy("h").agg(F.first("text").alias("text"))
+    release(spark)
     kept = written(kept.join(records.select("h").distinct(), "h", "left_semi"), "texts")
     records = records.withColumn("two", F.lit(0)).withColumn("ask", F.lit(1))
     found = []
     for step in (0, 1, 2):
         spans, items = _settled(records, p)
         found.append(written(spans, "spans"))
+        release(spark)
         if step < 2:
             each = items.groupBy("h").agg(F.collect_list(F.struct("at", "first", "two", "ask")).alias("items"))
             after = written(_next_pass(kept.join(each, "h"), step + 1, p), "ranges")
             drop_written(spark, records)
             records = after
+            release(spark)
     drop_written(spark, records)
     return kept, found[0].unionAll(found[1]).unionAll(found[2])
 
