@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, written
@@ -42,9 +42,11 @@ class Near:
     #: Buckets up to this size are compared pair by pair, larger ones by pivots.
     small: int = 8
     #: Pivot rounds after the first.
-    rounds: int = 2
+    rounds: int = 1
     #: Rows of a block in what is compared block by block.
-    block: int = 512
+    block: int = 1024
+    #: Shingles of such a block; a longer text is a block's own.
+    weight: int = 1 << 20
 
 
 def least_matches(p: Near) -> list[tuple[int, int]]:
@@ -159,65 +161,111 @@ def _confirm(pairs: DataFrame, p: Near) -> DataFrame:
     return pairs.mapInArrow(rows, "u long, v long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, p: Near, pruned: bool = False) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
     """Links among candidate pairs (a, b), written."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if not pruned:
-        sig = nodes.select("nid", "sig")
-        pairs = pairs.join(sig.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = _prune(pairs.select("a", "b", "sig_a", "sig_b"), p)
-    pairs = written(pairs, "pairs")
+    sig = nodes.select("nid", "sig")
+    pairs = pairs.join(sig.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = written(_prune(pairs.select("a", "b", "sig_a", "sig_b"), p), "pairs")
     text = nodes.select("nid", "text")
     pairs = pairs.join(text.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
     return written(_confirm(pairs.select("a", "b", "text_a", "text_b"), p), "links")
 
 
+def _overlaps(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, shared shingles with each) for every (i, others) asked, on the full sets."""
+    _, names = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum([len(x) for x in sets])
+    own = np.split(names, ends[:-1])
+    mark = np.zeros(names.max() + 1, bool)
+    for i, others in pairs:
+        mark[own[i]] = True
+        starts = np.concatenate(([0], np.cumsum([len(own[o]) for o in others])[:-1]))
+        yield i, others, np.add.reduceat(mark[np.concatenate([own[o] for o in others])], starts, dtype=np.int64)
+        mark[own[i]] = False
+
+
 def _blocked(rows: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
-    """Candidate pairs (a, b) of different components in large buckets: (key, nid, comp) compared block by block.
+    """Links (u, v) between different components in large buckets: (key, nid, comp, n) compared block by block.
 
-    Members of the pivot's component meet the others only, the others each other; a task
-    compares two blocks of signatures and returns the pairs that survive.
+    Members of the pivot's component meet the others only, the others each other.  A task
+    holds two blocks, bounded by rows and by shingles.  It prunes on sizes and signatures,
+    leaves a pair to the first band that it shares, decides what survives on the full
+    sets and returns one link for each two components that it joins, never the pairs.
     """
     steps = least_matches(p)
     heads = rows.groupBy("key").agg(F.min_by("comp", F.xxhash64("nid")).alias("head"))
     rows = rows.join(heads, "key").withColumn("inner", F.col("comp") == F.col("head"))
-    sizes = rows.groupBy("key").agg(F.ceil(F.sum(F.col("inner").cast("int")) / p.block).cast("int").alias("ni"), F.ceil(F.sum((~F.col("inner")).cast("int")) / p.block).cast("int").alias("no"))
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(F.greatest(F.count(F.when(of, 1)) / p.block, F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / p.weight)).cast("int")
+
+    sizes = rows.groupBy("key").agg(blocks(F.col("inner")).alias("ni"), blocks(~F.col("inner")).alias("no"))
     rows = rows.join(sizes, "key").withColumn("h", F.xxhash64("nid"))
     own = F.pmod("h", F.greatest(F.when(F.col("inner"), F.col("ni")).otherwise(F.col("no")), F.lit(1))).cast("int")
     rows = rows.withColumn("own", own)
 
-    def upto(n: str) -> F.Column:
+    def upto(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     inner = rows.where("inner").withColumn("r", upto("no")).select("key", "nid", "comp", "r", F.lit(0).alias("kind"), F.col("own").alias("s"), F.lit(1).alias("side"))
     outer = rows.where("not inner")
     left = outer.withColumn("s", upto("ni")).select("key", "nid", "comp", F.col("own").alias("r"), F.lit(0).alias("kind"), "s", F.lit(0).alias("side"))
     each = outer.withColumn("t", upto("no")).select("key", "nid", "comp", F.least("own", "t").alias("r"), F.lit(1).alias("kind"), F.greatest("own", "t").alias("s"), (F.col("own") > F.col("t")).cast("int").alias("side"))
-    tasks = inner.unionAll(left).unionAll(each).join(nodes.select("nid", "sig"), "nid")
+    tasks = inner.unionAll(left).unionAll(each).join(nodes.select("nid", "n", "keys", "sig", "text"), "nid")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        side, comp, nid = (table.column(c).to_numpy() for c in ("side", "comp", "nid"))
+        side, nid, n = (table.column(c).to_numpy() for c in ("side", "nid", "n"))
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
         sig = _matrix(table.column("sig"), p.rows * p.bands)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, p.bands)
+        band = int(np.argmax(keys[0] == table.column("key")[0].as_py()))
         same = table.column("kind")[0].as_py() == 1 and table.column("r")[0].as_py() == table.column("s")[0].as_py()
         lefts = np.flatnonzero(side == 0)
         rights = lefts if same else np.flatnonzero(side == 1)
-        a, b = [], []
+        asked: list[tuple[int, np.ndarray]] = []
         for i in lefts:
             other = rights[rights > i] if same else rights
-            other = other[comp[other] != comp[i]]
+            other = other[(comp[other] != comp[i]) & (100 * np.minimum(n[other], n[i]) >= p.percent * np.maximum(n[other], n[i]))]
             met, seen = np.zeros(len(other), np.int64), 0
-            for n, least in steps:
-                met = met + (sig[other, seen:n] == sig[i, seen:n]).sum(1)
+            for m, least in steps:
+                met = met + (sig[other, seen:m] == sig[i, seen:m]).sum(1)
                 keep = met >= least
-                other, met, seen = other[keep], met[keep], n
+                other, met, seen = other[keep], met[keep], m
                 if not len(other):
                     break
-            a += [nid[i]] * len(other)
-            b += nid[other].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return tasks.groupBy("key", "r", "kind", "s").applyInArrow(compare, "a long, b long").distinct()
+            other = other[~(keys[other, :band] == keys[i, :band]).any(1)]
+            if len(other):
+                asked.append((i, other))
+        found: list[tuple[int, int]] = []
+        if asked:
+            unpack = zstandard.ZstdDecompressor()
+            used = np.unique(np.concatenate([[i for i, _ in asked], *[o for _, o in asked]]))
+            place = np.zeros(len(nid), np.int64)
+            place[used] = np.arange(len(used))
+            text = table.column("text").combine_chunks()
+            sets: list[np.ndarray] = []
+            for low in range(0, len(used), 64):
+                raw = [unpack.decompress(text[int(k)].as_py(), max_output_size=1 << 31).decode() for k in used[low : low + 64]]
+                for _, edges, h in shingle_sets(pa.array(raw, pa.large_string()), p.words):
+                    sets += np.split(h, edges[1:-1])
+
+            def still() -> Iterator[tuple[int, np.ndarray]]:
+                for i, other in asked:
+                    other = other[comp[other] != comp[i]]
+                    if len(other):
+                        yield place[i], place[other]
+
+            for x, others, shared in _overlaps(sets, still()):
+                i, other = used[x], used[others]
+                for o in other[100 * shared >= p.percent * (n[i] + n[other] - shared)]:
+                    if comp[o] != comp[i]:
+                        found.append((nid[i], nid[o]))
+                        comp[comp == comp[o]] = comp[i]
+        return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
+
+    return written(tasks.groupBy("key", "r", "kind", "s").applyInArrow(compare, "u long, v long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
@@ -232,7 +280,7 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
     spark = docs.sparkSession
     rows = written(signatures(docs, p), "signatures")
     held = rows.where("n > 0")
-    nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
+    nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     band = nodes.select("nid", F.explode("keys").alias("key"))
@@ -269,8 +317,8 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
             few = left.where(F.col("cnt") <= p.small).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("ids"))
             two = F.flatten(F.transform("ids", lambda x, i: F.transform(F.filter(F.slice("ids", i + 2, F.lit(p.small)), lambda y: y["c"] != x["c"]), lambda y: F.struct(x["a"].alias("a"), y["a"].alias("b")))))
             small = _verified(few.select(F.explode(two).alias("x")).select("x.*"), full, p)
-            large = left.where(F.col("cnt") > p.small).select("key", "nid", "comp")
-            more = small if large.isEmpty() else small.unionAll(_verified(_blocked(large, full, p), full, p, pruned=True))
+            large = left.where(F.col("cnt") > p.small).join(nodes.select("nid", "n"), "nid").select("key", "nid", "comp", "n")
+            more = small if large.isEmpty() else small.unionAll(_blocked(large, full.join(nodes.select("nid", "n", "keys"), "nid"), p))
         links = written(links.unionAll(more), "links")
         roots = written(components(links), "roots")
 
