@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bound_sketch, charsets, exact, sampling, typed_summary
+from ..operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
 from ..operators.graph import Graph
 from ..sources.star import star_graph, star_sql
 from .harness import qerror_report, qerrors, run_trials, trial_stats
@@ -119,6 +119,7 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "cs_est": _estimates(sampling.CorrelatedSampling, ("chain3", "star3")),
     "wj_est": _estimates(sampling.WanderJoin, ("chain3",)),
     "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle")),
+    "impr_est": _estimates(random_walk.RandomWalk, ("chain3", "wedge_in")),
     "jsub_full_est": _estimates(lambda: sampling.JSub(full=True), ("chain3", "star3", "wedge_in")),
     "trial_stats": _stats,
     "qerror_report": _report,

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from graphtally.operators import bound_sketch, charsets, exact, sampling, typed_summary
+from graphtally.operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
 from graphtally.operators.graph import Graph
 from graphtally.plans.harness import qerror_report, qerrors, result_lines, run_trials, trial_stats
 from graphtally.plans.pattern import Pattern, relations
@@ -56,6 +56,17 @@ def test_wander_join_mean(spark):
     assert sampling.WanderJoin(60.0).estimate(g, p, 3) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
 
 
+def test_random_walk(spark, toy):
+    assert random_walk.RandomWalk().estimate(toy, TOY) == 0
+    assert random_walk.RandomWalk().estimate(toy, Pattern.of([(i, i + 1, 0) for i in range(5)])) == -1
+    assert random_walk.RandomWalk().estimate(toy, Pattern.of([(0, 1, 0), (2, 3, 0)])) == -1
+    r = random.Random(5)
+    edges = sorted({(r.randrange(12), r.randrange(12), r.randrange(2)) for _ in range(90)})
+    g = graph(spark, 12, [(i, i % 2) for i in range(12)], edges)
+    for p in (Pattern.of([(0, 1, 0)]), Pattern.of([(0, 1, 0), (1, 2, 1), (0, 2, 0)]), Pattern.of([(0, 1, 0), (0, 2, 1)], {1: 1}), Pattern.of([(0, 0, 0), (0, 1, 1)])):
+        assert random_walk.RandomWalk(100.0).estimate(g, p, 1) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
+
+
 def test_pattern_parse_and_relations():
     p = Pattern.from_lines(["t # s 1", "v 0 -1 -1", "v 1 2 -1", "v 2 -1 5", "e 0 1 3", "e 1 2 4"])
     assert p.vertices[0].label is None and p.vertices[1].label == 2 and p.vertices[2].bound == 5
