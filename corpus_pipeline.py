@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphtally.llm import near, packing, quality, repeats, secrets
 from graphtally.llm.common import written
@@ -16,9 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id stays of each group: five-word shingles, similarity 0.8 or more."""
-    kept = near.near_duplicates(docs, near.Near(words=5, percent=80)).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """One row stays of each group, the one of the least id: five-word shingles, similarity 0.8 or more."""
+    return near.one_of_each(docs, near.Near(words=5, percent=80))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,15 +73,15 @@ def _constants(p: Near) -> tuple[np.ndarray, np.ndarray]:
     return r.integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signatures(docs: DataFrame, p: Near) -> DataFrame:
-    """doc_id, n, fp (of the shingle set), keys (one per band), sig (16 bits a hash), text (packed)."""
+def signatures(docs: DataFrame, p: Near, row: str = "") -> DataFrame:
+    """doc_id, n, fp (of the shingle set), keys (one per band), sig (16 bits a hash), text (packed); and ``row``, a long column of ``docs``, where one is named."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _constants(p)
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             offsets, data = buffers(batch.column(1))
-            for row, edges, h in shingle_sets(batch.column(1), p.words):
+            for at, edges, h in shingle_sets(batch.column(1), p.words):
                 m, some = len(edges) - 1, np.flatnonzero(np.diff(edges))
                 sig = np.zeros((m, len(a)), np.uint32)
                 if len(some):
@@ -96,14 +96,15 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
                         keys ^= keys >> np.uint64(29)
                 short = (sig >> np.uint32(16)).astype("<u2") ^ (sig & np.uint32(0xFFFF)).astype("<u2")
                 fps = [hashlib.blake2b(h[edges[i] : edges[i + 1]].tobytes(), digest_size=16).digest() for i in range(m)]
-                texts = [pack.compress(data[offsets[row + i] : offsets[row + i + 1]].tobytes()) for i in range(m)]
+                texts = [pack.compress(data[offsets[at + i] : offsets[at + i + 1]].tobytes()) for i in range(m)]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0).slice(row, m), "n": pa.array(np.diff(edges).astype(np.int64)), "fp": pa.array(fps, pa.binary()),
+                    "doc_id": batch.column(0).slice(at, m), "n": pa.array(np.diff(edges).astype(np.int64)), "fp": pa.array(fps, pa.binary()),
                     "keys": pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * p.bands), pa.array(keys.view(np.int64).ravel())),
                     "sig": pa.array([s.tobytes() for s in short], pa.binary()), "text": pa.array(texts, pa.binary()),
-                })
+                } | ({row: batch.column(2).slice(at, m)} if row else {}))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, n long, fp binary, keys array<long>, sig binary, text binary")
+    asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[row] * bool(row))
+    return asked.mapInArrow(rows, "doc_id long, n long, fp binary, keys array<long>, sig binary, text binary" + f", `{row}` long" * bool(row))
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -268,19 +269,17 @@ def _blocked(rows: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
     return written(tasks.groupBy("key", "r", "kind", "s").applyInArrow(compare, "u long, v long").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows: ``signatures``; placed: fp, nid, low, root): each shingle set with its component.
 
-    Null and blank texts have no shingles and link with nothing; texts of fewer words
-    than a shingle are one shingle.  ``component_id`` is the least doc_id reachable
-    (rows without shingles: their own), ``kept`` whether it is the row's own; rows that
-    repeat the kept id are kept together, null ids count only where a component has no
-    other.  Other columns are ignored.
+    ``low`` is the least doc_id of the set's rows, or with ``row`` the least struct of
+    (whether the id is null, doc_id, row).
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, p), "signatures")
+    rows = written(signatures(docs, p, row), "signatures")
     held = rows.where("n > 0")
-    nodes = held.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)) if row else F.min("doc_id")
+    nodes = held.groupBy("fp").agg(low.alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     band = nodes.select("nid", F.explode("keys").alias("key"))
@@ -323,12 +322,35 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
         roots = written(components(links), "roots")
 
     placed = nodes.select("fp", "nid", "low").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    for df in (full, met):
+        drop_written(spark, df)
+    return rows, placed
+
+
+def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Null and blank texts have no shingles and link with nothing; texts of fewer words
+    than a shingle are one shingle.  ``component_id`` is the least doc_id reachable
+    (rows without shingles: their own), ``kept`` whether it is the row's own; rows that
+    repeat the kept id are kept together, null ids count only where a component has no
+    other.  Other columns are ignored.
+    """
+    rows, placed = _placed(docs, p)
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     out = rows.select("doc_id", "n", "fp").join(named, "fp", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    drop = [full, met]
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    for df in drop:
-        drop_written(spark, df)
-    return out
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
+    """One row of every component, the one of the least id (null ids last, then any one); columns of ``docs``.
+
+    Components hold rows, not ids: a row stays or goes by its own number, whatever else
+    bears its id.  Rows without shingles link with nothing and all stay.
+    """
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows, placed = _placed(numbered.select("doc_id", "text", "_row"), p, "_row")
+    kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low._row").unionAll(rows.where("n = 0").select("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

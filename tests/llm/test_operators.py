@@ -244,6 +244,29 @@ def test_near_block_comparison(spark):
     assert {x.component_id for x in got} == {0}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    """A doubled row, several texts under one id or under null, copies across them, blank texts."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    a, b, c, d, e, f, g = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(80)) for _ in range(7))
+    near_c = " ".join([*c.split()[:-1], "changed"])
+    docs = [
+        (7, a), (7, a),  # a row present twice
+        (None, b), (None, b), (None, d), (None, near_c), (3, c),  # null ids: b and d have nothing else, near_c goes with c
+        (5, e), (5, f), (2, f), (5, f),  # id 5: e stays, f goes with id 2
+        (9, g), (None, g), (8, " ".join([*g.split()[:-1], "changed"])),
+        (6, " "), (6, " "), (None, None),
+    ]
+    got = corpus_pipeline.near_dedup(spark, table(spark, docs).repartition(5), "")
+    assert got.columns == table(spark, []).columns
+    want = [(7, a), (None, b), (None, d), (3, c), (5, e), (2, f), (8, docs[13][1]), (6, " "), (6, " "), (None, None)]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted(want, key=str)
+    left = corpus_pipeline.repeat_removal(spark, table(spark, [(7, a), (7, a), (1, b)]).transform(lambda x: corpus_pipeline.near_dedup(spark, x, "")), "")
+    assert sorted((x.doc_id, x.text) for x in left.collect()) == [(1, b), (7, a)]
+    assert corpus_pipeline.near_dedup(spark, table(spark, []), "").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
