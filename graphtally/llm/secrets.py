@@ -18,7 +18,7 @@ from re import _parser as rp
 
 from .common import text_of, written
 
-#: Documents of a posting block: the bits of one bitmap.
+#: Documents of a posting block: the bits of one bitmap, a power of two.
 BLOCK = 32768
 #: Prefix sums over matches go by runs of this many, so a text of many matches stays far from quadratic.
 RUN = 256
@@ -134,7 +134,8 @@ def postings(docs: DataFrame, trigrams: list[str], key: str = "doc_id") -> DataF
 
 
 def _place(key: Column) -> tuple[Column, Column]:
-    return F.floor(key / F.lit(float(BLOCK))).cast("long"), F.pmod(key, F.lit(BLOCK)).cast("long")
+    """Block and bit of a long, in integers: a double would round keys beyond 2**53 into the next block."""
+    return F.shiftright(key, BLOCK.bit_length() - 1), F.pmod(key, F.lit(BLOCK)).cast("long")
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]], key: str = "_key") -> DataFrame:

@@ -45,6 +45,17 @@ def test_secrets(spark, rows):
     assert "AKIA" not in red[4] and red[1] == "" and red[0] is None
 
 
+def test_secrets_of_far_ids(spark):
+    """Ids near block edges, beyond 2**53 on either side and at the ends of the type."""
+    edges = [s * (1 << b) + d for b in (15, 53, 54, 60, 62) for s in (1, -1) for d in (-32769, -32768, -1, 0, 1, 32767, 32768)]
+    ids = sorted({0, -1, -32768, (1 << 63) - 1, -(1 << 63), *edges})
+    text = "a token = \"abcdef12\" and AKIA" + "Z9" * 12
+    docs = table(spark, [(i, text) for i in ids] + [(None, text)])
+    found = secrets.scan(docs).select("doc_id", secrets.joined(F.col("_spans")).alias("spans")).collect()
+    assert len(found) == len(ids) + 1 and {r.spans for r in found} == {"assign:2:19,access:25:53"}
+    assert {r.text for r in secrets.redacted(docs).collect()} == {"a [SECRET]\" and [SECRET]"}
+
+
 def test_quality(spark, rows):
     for r in quality.quality(table(spark, rows)).select("doc_id", "text", "_q.*").collect():
         w = WORD.findall(r.text or "")
