@@ -42,7 +42,7 @@ STAGES = [
     ("sequence_packing", sequence_packing),
 ]
 
-#: Tokenizing has no SQL; tests hold the pipeline against a brute-force version.
+#: Tokenizing has no SQL. Tests hold near_dedup to expected rows on a small fixture; run() is compared with no plain version yet.
 ORACLE_SQL = None
 
 
