@@ -2,9 +2,10 @@
 
 A text is cut at places where its tokenizer surely cuts too, so the ids of a text are
 the ids of its chunks in a row.  Chunks are looked up in a hash table per Python worker
-(vectorised over a batch), and only chunks not met before go to the tokenizer.  Two
-64-bit hashes identify a chunk.  The table is emptied when it reaches ``MOST`` chunks,
-so memory has a bound whatever the text.
+(vectorised over a batch), and only chunks not met before go to the tokenizer.  Chunks
+are told apart by content, never by a hash: those of up to SHORT bytes are their own key,
+longer ones are keys of a dictionary.  The table is emptied when it holds ``MOST`` chunks
+or ``MOST_LONG`` bytes of long ones, so memory has a bound whatever the text.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Chunks kept in a worker's table.
-MOST = 1 << 21
-#: Bytes hashed at once: about 60 bytes of memory for each.
+from .hashing import SHORT, mixed, short_words
+
+#: Chunks kept in a worker's table, and bytes of those beyond SHORT.
+MOST, MOST_LONG = 1 << 20, 1 << 25
+#: Bytes cut and looked up at once: about 60 bytes of memory for each.
 AT_ONCE = 1 << 21
 
 _BLANK = np.zeros(256, bool)
@@ -56,71 +59,56 @@ def space_cuts(b: np.ndarray) -> np.ndarray:
     return cut
 
 
-class _Hash:
-    def __init__(self, seed: int) -> None:
-        r = np.random.default_rng(seed)
-        self.table = r.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(r.integers(1, 1 << 62)) * 8 + 5
-        n = AT_ONCE + 1
-        with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base % 2**64, np.uint64))))
-            self.down = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, pow(base, -1, 2**64), np.uint64))))
-
-    def __call__(self, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(self.table[b] * self.up[: len(b)], out=total[1:])
-            h = (total[end] - total[start]) * self.down[start]
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            return h ^ (h >> np.uint64(32))
-
-
 class Chunked:
     """``encode``: (chunks, whether first in their text) to a list of id lists."""
 
     def __init__(self, encode: Callable[[list[str], list[bool]], list], cuts: Callable[[np.ndarray], np.ndarray]) -> None:
-        self.tokens, self.cuts, self.one, self.two = encode, cuts, _Hash(11), _Hash(12)
+        self.tokens, self.cuts = encode, cuts
         self.clear()
 
     def clear(self) -> None:
         self.bits = 16
         self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.key = np.zeros((1 << 12, 2), np.uint64)
+        self.key = np.zeros((1 << 12, 3), np.uint64)  # the bytes of a short chunk, then its size and place
         self.off = np.zeros(1 << 12, np.int64)
         self.len = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
-        self.n = self.used = 0
+        self.long: dict[tuple[bytes, bool], int] = {}
+        self.n = self.used = self.long_bytes = 0
+
+    def _slots(self, k: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mixed(k[:, 0] + mixed(k[:, 1] + k[:, 2] * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _find(self, k: np.ndarray) -> np.ndarray:
-        """Entry of each key, -1 if there is none."""
-        out, left = np.full(len(k), -1, np.int64), np.arange(len(k))
-        at = (k[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        """Entry of each short chunk, -1 if there is none."""
+        out, left, at = np.full(len(k), -1, np.int64), np.arange(len(k)), self._slots(k)
         while len(left):
             e = self.slot[at]
             some = e >= 0
             left, at, e = left[some], at[some], e[some]
-            same = (self.key[e, 0] == k[left, 0]) & (self.key[e, 1] == k[left, 1])
+            same = (self.key[e] == k[left]).all(1)
             out[left[same]] = e[same]
             left, at = left[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _place(self, entries: np.ndarray) -> None:
-        at = (self.key[entries, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = self._slots(self.key[entries])
         while len(entries):
             free = self.slot[at] < 0
             self.slot[at[free]] = entries[free]  # of several that want one slot the last gets it
             lost = self.slot[at] != entries
             entries, at = entries[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
 
-    def _add(self, keys: np.ndarray, ids: list) -> None:
+    def _add(self, keys: np.ndarray, ids: list) -> np.ndarray:
+        """New entries; those whose key says a size of up to SHORT can be found by it."""
         m, lens = len(keys), np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if m else np.zeros(0, np.uint32)
         while self.n + m > len(self.off):
             self.key, self.off, self.len = np.concatenate((self.key, self.key)), np.concatenate((self.off, self.off)), np.concatenate((self.len, self.len))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
-        new = slice(self.n, self.n + m)
+        new = np.arange(self.n, self.n + m, dtype=np.int32)
         self.key[new], self.len[new] = keys, lens
         self.off[new] = self.used + np.concatenate(([0], np.cumsum(lens[:-1], dtype=np.int64))) if m else 0
         self.flat[self.used : self.used + len(flat)] = flat
@@ -129,23 +117,43 @@ class Chunked:
         if self.n * 2 > 1 << self.bits:
             self.bits += 2
             self.slot = np.full(1 << self.bits, -1, np.int32)
-            self._place(np.arange(self.n, dtype=np.int32))
+            every = np.arange(self.n, dtype=np.int32)
+            self._place(every[self.key[: self.n, 2] <= 2 * SHORT + 1])
         else:
-            self._place(np.arange(new.start, new.stop, dtype=np.int32))
+            self._place(new[keys[:, 2] <= 2 * SHORT + 1])
+        return new
 
     def _group(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and each chunk's number of ids."""
-        k = np.stack((self.one(b, start, end), self.two(b, start, end)), 1)
-        k[first, 1] ^= np.uint64(0x9E3779B97F4A7C15)
-        e = self._find(k)
+        size = end - start
+        k = np.stack((*short_words(b, start, size), (2 * size + first).astype(np.uint64)), 1)
+        long = np.flatnonzero(size > SHORT)
+        raw = memoryview(np.ascontiguousarray(b))
+        names = {int(i): (bytes(raw[start[i] : end[i]]), bool(first[i])) for i in long}
+
+        def entries() -> np.ndarray:
+            e = np.full(len(k), -1, np.int64)
+            few = np.flatnonzero(size <= SHORT)
+            e[few] = self._find(k[few])
+            for i, name in names.items():
+                e[i] = self.long.get(name, -1)
+            return e
+
+        e = entries()
         if len(miss := np.flatnonzero(e < 0)):
-            if self.n + len(miss) > MOST:
+            if self.n + len(miss) > MOST or self.long_bytes > MOST_LONG:
                 self.clear()
                 miss = np.arange(len(k))
-            order = miss[np.lexsort((k[miss, 1], k[miss, 0]))]
-            new = order[np.concatenate(([True], (k[order[1:]] != k[order[:-1]]).any(1)))]
-            self._add(k[new], self.tokens([b[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(start[new], end[new], strict=True)], first[new].tolist()))
-            e = self._find(k)
+            short = miss[size[miss] <= SHORT]
+            order = short[np.lexsort(k[short].T)]
+            new = order[np.concatenate(([True], (k[order[1:]] != k[order[:-1]]).any(1)))] if len(order) else order
+            unmet = {names[int(i)]: int(i) for i in miss if int(i) in names}
+            new = np.concatenate((new, np.fromiter(unmet.values(), np.int64, len(unmet))))
+            at = self._add(k[new], self.tokens([bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(start[new], end[new], strict=True)], first[new].tolist()))
+            for name, entry in zip(unmet, at[len(new) - len(unmet) :].tolist(), strict=True):
+                self.long[name] = entry
+                self.long_bytes += len(name[0])
+            e = entries()
         lens = self.len[e].astype(np.int64)
         upto = np.cumsum(lens)
         return self.flat[np.repeat(self.off[e] - upto + lens, lens) + np.arange(int(upto[-1]) if len(upto) else 0)], lens
@@ -189,14 +197,13 @@ _kept: dict[tuple[str, int], Chunked] = {}
 
 
 def bpe(vocabulary: str) -> Chunked:
-    """A worker's encoder for the text of a ``tokenizers`` file; special strings are ordinary text."""
+    """A worker's encoder for the text of a ``tokenizers`` file, as its plain call encodes; no cut lies within a special string."""
     key = ("bpe", hash(vocabulary))
     if key not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(vocabulary)
-        t.encode_special_tokens = True
 
         def encode(chunks: list[str], first: list[bool]) -> list:
             """Chunks of a space and letters go together: each is one word of the pattern."""

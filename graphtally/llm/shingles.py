@@ -8,33 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .chunks import AT_ONCE, _BLANK, _Hash
+from .chunks import AT_ONCE, _BLANK
+from .hashing import mixed, span_hashes
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_word_hash: list[_Hash] = []
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return h ^ (h >> np.uint64(31))
-
-
-def span_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte span; spans ascend and do not overlap."""
-    if not _word_hash:
-        _word_hash.append(_Hash(21))
-    out, i = np.zeros(len(start), np.uint64), 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + AT_ONCE, "right")))
-        if end[i] - start[i] > AT_ONCE:
-            out[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
-        else:
-            out[i:j] = _word_hash[0](b[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i])
-        i = j
-    return out
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
