@@ -1,16 +1,28 @@
-"""Repeated passages: windows of ``size`` tokens that occur twice, found by depth-limited radix passes.
-
-Sorting every suffix by its first ``size`` tokens, most significant digit first, and
-dropping groups of one after each digit leaves groups that are exactly the repeated
-windows.  The same passes run here over window *ranges*: a window belongs to the anchor
-that holds the least hash among its grams (equal windows choose equal anchors), and the
-windows of an anchor form one range.  A range's first digit is what all its windows
-share; ranges alone in their digit are dropped, ranges whose whole extent occurs twice
-are settled at once, and only the others go to the next pass, cut into smaller ranges
-with longer digits, down to single windows.  No suffix outside a repeated digit is
-ever carried, no group is gathered anywhere: passes count by key.
-
-Digits are compared by two independent 64-bit hashes.
+"""Repeated passages: windows of ``size`` tokens that occur twice, by depth-limited most-significant-digit passes.
+
+Sorting every suffix by its first ``size`` tokens, one digit at a time, and dropping
+groups of one after each digit leaves groups that are exactly the repeated windows.
+Suffixes that start next to each other share nearly all of their tokens, so they are
+carried together.  Every window belongs to its anchor, the position of its least gram
+(equal windows choose equal anchors at equal offsets), and the order in which a window's
+tokens are compared starts there:
+
+* digit 1 is the anchor's gram, one digit for all windows of the anchor.  Classes of one
+  are dropped: all those suffixes are unique.
+* the digit after that is everything that any of the anchor's windows holds (the extent).
+  Where a whole extent occurs twice, all its windows do, and they are settled at once.
+* what is left is open: some windows repeat, others don't.  The members of a class go to
+  one task with their tokens around the anchor, and there each further digit is one
+  token, outwards from the gram: the class of a window after a token is the class before
+  and that token, through all ``size`` tokens; windows alone in their class drop out.
+* a class of more than ``gather`` members is not gathered.  Its windows are cut into
+  ranges whose shared tokens make the next, longer digit, counted by key in a shuffle
+  like digit 1, down to single windows; sub-classes that are small enough by then are
+  gathered as above.
+
+So a class is only ever counted, or gathered below a bound, and no position outside a
+repeated digit travels.  A digit is told by 64 or 128 bits of a hash that isn't linear
+in the tokens.
 """
 
 from __future__ import annotations
@@ -22,13 +34,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import _BLANK
 from .common import drop_written, release, text_of, written
-from .shingles import buffers, groups, mixed, span_hashes
+from .hashing import mixed, span_hashes
+from .shingles import buffers, groups
 
 #: Tokens worked on at once.
 AT_ONCE = 1 << 20
@@ -42,6 +56,8 @@ class Repeats:
     unit: str = "bytes"
     #: Tokens of an anchor's gram; size - gram + 1 windows may hold an anchor.
     gram: int = 145
+    #: Members of a class that one task sorts; larger classes take another digit in a shuffle first.
+    gather: int = 1024
 
     @property
     def width(self) -> int:
@@ -49,53 +65,12 @@ class Repeats:
 
     @property
     def steps(self) -> tuple[int, int, int]:
-        """Windows in a range at each pass."""
+        """Windows in a range at each pass over large classes."""
         return self.width, math.ceil(math.sqrt(self.width)), 1
 
 
-class _Poly:
-    def __init__(self, seed: int) -> None:
-        r = np.random.default_rng(seed)
-        base, n = int(r.integers(1, 1 << 62)) * 8 + 5, AT_ONCE + (1 << 16)
-        self.byte = r.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.salt = np.uint64(int(r.integers(1, 1 << 62)))
-        with np.errstate(over="ignore"):
-            one = np.ones(1, np.uint64)
-            self.up = np.cumprod(np.concatenate((one, np.full(n, base % 2**64, np.uint64))))
-            self.down = np.cumprod(np.concatenate((one, np.full(n, pow(base, -1, 2**64), np.uint64))))
-
-    def sums(self, tokens: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            value = self.byte[tokens] if tokens.dtype == np.uint8 else mixed(tokens ^ self.salt)
-            total = np.zeros(len(tokens) + 1, np.uint64)
-            np.cumsum(value * self.up[: len(tokens)], out=total[1:])
-            return total
-
-    def ranges(self, tokens: np.ndarray, start: np.ndarray, end: np.ndarray, tag: np.ndarray) -> np.ndarray:
-        """Hashes of tokens[start:end] with a tag; starts ascend, ranges are far shorter than AT_ONCE."""
-        out, i = np.zeros(len(start), np.uint64), 0
-        with np.errstate(over="ignore"):
-            while i < len(start):
-                j = int(np.searchsorted(start, start[i] + AT_ONCE, "right"))
-                low, high = int(start[i]), int(end[i:j].max())
-                s = self.sums(tokens[low:high])
-                a, b = start[i:j] - low, end[i:j] - low
-                out[i:j] = mixed((s[b] - s[a]) * self.down[a] + mixed((b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tag[i:j].astype(np.uint64)))
-                i = j
-        return out
-
-
-_polys: list[_Poly] = []
-
-
-def _poly(i: int) -> _Poly:
-    while len(_polys) < 3:
-        _polys.append(_Poly(31 + len(_polys)))
-    return _polys[i]
-
-
 def tokens_of(b: np.ndarray, own: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens, edges of the texts in tokens, start and end byte of each token)."""
+    """(tokens, edges of the texts in tokens, start and end byte of each token); a word is its hash."""
     if p.unit == "bytes":
         at = np.arange(len(b))
         return b, own, at, at + 1
@@ -120,6 +95,25 @@ def _least(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
+#: An odd multiplier and its inverse modulo 2**64, whose powers weigh the tokens of a gram.
+_BASE = 0x9FB21C651E98DF25
+_VALUE = mixed(np.arange(256, dtype=np.uint64) + np.uint64(31))
+_powers: list[np.ndarray] = []
+
+
+def _grams(part: np.ndarray, gram: int) -> np.ndarray:
+    """A number for each gram that only ranks it: two grams that share one are told apart later."""
+    if not _powers:
+        with np.errstate(over="ignore"):
+            n = AT_ONCE + (1 << 16)
+            _powers.extend(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x % 2**64, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 2**64)))
+    up, down = _powers
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_VALUE[part] if part.dtype == np.uint8 else mixed(part)) * up[: len(part)], out=total[1:])
+        return mixed((total[gram:] - total[:-gram]) * down[: len(part) - gram + 1])
+
+
 def anchors(tokens: np.ndarray, edges: np.ndarray, p: Repeats) -> np.ndarray:
     """Positions of the least gram of every window that lies in one text; leftmost of equals."""
     found = []
@@ -132,10 +126,7 @@ def anchors(tokens: np.ndarray, edges: np.ndarray, p: Repeats) -> np.ndarray:
         inside = start + low + p.size <= right
         if not inside.any():
             continue
-        poly = _poly(2)
-        with np.errstate(over="ignore"):
-            s = poly.sums(part)
-            gram = mixed((s[p.gram :] - s[: -p.gram]) * poly.down[: len(part) - p.gram + 1])
+        gram = _grams(part, p.gram)
         key = (gram & np.uint64(0xFFFFFFFFFFC00000)) | np.arange(len(gram), dtype=np.uint64)
         chosen = np.zeros(len(gram), bool)
         chosen[(_least(key, p.width)[inside] & np.uint64(0x3FFFFF)).astype(np.int64)] = True
@@ -143,140 +134,243 @@ def anchors(tokens: np.ndarray, edges: np.ndarray, p: Repeats) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def digits(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, p: Repeats) -> tuple[np.ndarray, ...]:
-    """For anchors ``at`` in texts left..right, the ranges of windows that start first..last before the anchor.
+def digits(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors ``at`` in texts left..right and their windows that start first..last before the anchor: the digits.
 
-    Returns (kept rows, near, far: least and largest valid offset, digit and extent hashes).
-    A window at offset d starts at ``at - d``.
+    The shared tokens of all the windows as 64 bits, and (n, 2) of their extent.  The range
+    belongs to both, the part of the extent that lies outside the text to the extent.
     """
-    near, far = np.maximum(first, at + p.size - right), np.minimum(last, at - left)
-    some = np.flatnonzero(near <= far)
-    at, first, last, left, right, near, far = (x[some] for x in (at, first, last, left, right, near, far))
-    inner = (at - first, at - last + p.size)
+    unit = tokens.dtype.itemsize
+    raw = memoryview(np.ascontiguousarray(tokens)).cast("B")
     begin, stop = np.maximum(left, at - last), np.minimum(right, at - first + p.size)
-    # Which part of the extent lies outside the text belongs to the extent; the range belongs to both.
-    tag, cut = first * 65536 + last, ((begin - (at - last)) << 32) + ((at - first + p.size) - stop)
-    order = np.argsort(inner[0], kind="stable")
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    core = [_poly(0).ranges(tokens, inner[0][order], inner[1][order], tag[order])[back]]
-    order = np.argsort(begin, kind="stable")
-    back[order] = np.arange(len(order))
-    extent = [_poly(i).ranges(tokens, begin[order], stop[order], (tag + cut * 31)[order])[back] for i in (0, 1)]
-    return some, near, far, *core, *extent
+    tag = first * 65536 + last
+    cut = tag + ((begin - (at - last)) << 48) + (((at - first + p.size) - stop) << 32)
+    core = [xxhash.xxh3_64_intdigest(raw[a:b], t) for a, b, t in zip(((at - first) * unit).tolist(), ((at - last + p.size) * unit).tolist(), tag.tolist(), strict=True)]
+    whole = b"".join([xxhash.xxh3_128_digest(raw[a:b], t) for a, b, t in zip((begin * unit).tolist(), (stop * unit).tolist(), (cut & 0x7FFFFFFFFFFFFFFF).tolist(), strict=True)])
+    return np.array(core, np.uint64), np.frombuffer(whole, "<u8").reshape(-1, 2)
 
 
-_RECORD = "h binary, at int, first int, near int, far int, c1 long, o1 long, o2 long"
+def text_key(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
 
+def _lists(edges: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), values)
 
-def _table(h: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
-    whole = [pa.array(x.astype(np.int32)) for x in columns[:4]] + [pa.array(x.view(np.int64)) for x in columns[4:]]
-    return pa.RecordBatch.from_arrays([h, *whole], ["h", "at", "first", "near", "far", "c1", "o1", "o2"])
 
+def _first_digits(docs: DataFrame, p: Repeats) -> DataFrame:
+    """h, text (packed), at, c, o, q of every text that holds a window: its anchors in order, with their first digit and extent."""
 
-def _first_pass(texts: DataFrame, p: Repeats) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             offsets, data = buffers(batch.column(1))
             for row, upto in groups(offsets, AT_ONCE):
                 tokens, edges, _, _ = tokens_of(data[offsets[row] : offsets[upto]], offsets[row : upto + 1] - offsets[row], p)
                 at = anchors(tokens, edges, p)
                 doc = np.searchsorted(edges, at, "right") - 1
-                left, right = edges[doc], edges[doc + 1]
-                some, near, far, *keys = digits(tokens, left, right, at, np.zeros_like(at), np.full_like(at, p.width - 1), p)
-                yield _table(batch.column(0).slice(row, upto - row).take(pa.array(doc[some])), [(at - left)[some], np.zeros(len(some)), near, far, *keys])
+                zero = np.zeros_like(at)
+                c, o = digits(tokens, edges[doc], edges[doc + 1], at, zero, zero + p.width - 1, p)
+                some = np.unique(doc)
+                start = np.append(np.searchsorted(doc, some), len(doc))
+                packed = [pack.compress(data[offsets[row + i] : offsets[row + i + 1]].tobytes()) for i in some]
+                lists = [pa.array((at - edges[doc]).astype(np.int32)), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (c, o[:, 0], o[:, 1]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + some)), pa.array(packed, pa.binary()), *(_lists(start, x) for x in lists)], ["h", "text", "at", "c", "o", "q"])
 
-    return texts.mapInArrow(rows, _RECORD)
+    long_enough = F.octet_length("text") >= (p.size if p.unit == "bytes" else 2 * p.size - 1)
+    return docs.select(text_key(text_of()).alias("h"), text_of().alias("text")).where(long_enough).mapInArrow(rows, "h binary, text binary, at array<int>, c array<long>, o array<long>, q array<long>")
 
 
-def _next_pass(joined: DataFrame, step: int, p: Repeats) -> DataFrame:
-    """(h, text, items) to the records of each item's smaller ranges."""
-    before, now = p.steps[step - 1], p.steps[step]
+_EXTENT = ["c", "o", "q"]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = np.frombuffer(unpack.decompress(batch.column(1)[i].as_py(), max_output_size=1 << 31), np.uint8)
-                tokens, edges, _, _ = tokens_of(b, np.array([0, len(b)]), p)
-                items = batch.column(2)[i].values
-                at, first, two, ask = (items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "first", "two", "ask"))
-                k = -(-before // now)
-                step_at = np.tile(np.arange(k) * now, len(at))
-                at, low, two, ask = (np.repeat(x, k) for x in (at, first, two, ask))
-                start = low + step_at
-                last = np.minimum(start + now, np.minimum(low + before, p.width)) - 1
-                fits = start <= last
-                at, start, last, two, ask = (x[fits] for x in (at, start, last, two, ask))
-                zero = np.zeros_like(at)
-                some, near, far, *keys = digits(tokens, zero, np.full_like(at, edges[-1]), at, start, last, p)
-                t = _table(pa.array([batch.column(0)[i].as_py()] * len(some), pa.binary()), [at[some], start[some], near, far, *keys])
-                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(two[some].astype(np.int32)), pa.array(ask[some].astype(np.int32))], [*t.schema.names, "two", "ask"])
 
-    return joined.select("h", "text", "items").mapInArrow(rows, _RECORD + ", two int, ask int")
+def _classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled: tid, at, first; open: c, m, tid, at, first, ask) of records tid, at, first, c, o, q, ask.
 
+    ``ask``: the record's windows are open (else it only stands for windows that are known
+    to repeat).  An extent that occurs twice is settled, and stands once for those that
+    are not; m is the number of extents in the class of the digit.
+    """
+    spark = records.sparkSession
+    n = F.count(F.lit(1)) + F.sum((~F.col("ask")).cast("int"))  # what is known to repeat has two occurrences
+    classes = written(records.groupBy(*_EXTENT).agg((n >= 2).alias("twice"), F.max("ask").alias("ask"), F.min(F.struct("tid", "at", "first")).alias("one")), "classes")
+    asks = F.col("ask") & ~F.col("twice")
+    counted = classes.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.max(asks).alias("asks")).where("m >= 2 and asks").select("c", "m")
+    # Joins of two plain tables: a digit that very many share is split over tasks.
+    counted = written(counted, "open-digits")
+    twice = written(classes.where("twice and ask").select(*_EXTENT), "twice")
+    settled = written(records.where("ask").join(twice, _EXTENT, "left_semi").select("tid", "at", "first"), "settled")
+    items = written(classes.join(counted, "c").select("c", "m", "one.*", asks.alias("ask")), "items")
+    for df in (classes, counted, twice):
+        drop_written(spark, df)
+    return settled, items
 
-# An extent is told by two hashes; for a digit, which only says what to look at further, one will do.
-_CORE, _EXTENT = ["first", "c1"], ["first", "c1", "o1", "o2"]
 
+def _by_text(items: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    each = items.groupBy("tid").agg(F.collect_list(F.struct(*columns)).alias("items"))  # a text's own anchors
+    return texts.select("tid", "text").join(each, "tid")
 
-def _settled(records: DataFrame, p: Repeats) -> tuple[DataFrame, DataFrame]:
-    """(ranges that occur twice: h, start, stop; items for the next pass: h, at, first, two, ask).
 
-    ``two``: the extent occurs at least twice; ``ask``: the item's own windows are open.
-    An extent that occurs twice is settled and stands once, for those that are not.
-    """
-    classes = written(records.groupBy(*_EXTENT).agg(F.sum(F.col("two") + 1).alias("n"), F.max("ask").alias("ask"), F.min(F.struct("h", "at")).alias("one")), "classes")
-    release(records.sparkSession)
-    cores = classes.groupBy(*_CORE).agg(F.count(F.lit(1)).alias("m"), F.max(F.when((F.col("n") == 1) & (F.col("ask") == 1), 1).otherwise(0)).alias("open"))
-    twice = classes.where("n >= 2 and ask = 1").select(*_EXTENT)
-    spans = records.where("ask = 1").join(twice, _EXTENT).select("h", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + p.size).alias("stop")).distinct()
-    items = classes.join(cores.where("m >= 2 and open = 1"), _CORE).select("one.h", "one.at", "first", (F.col("n") >= 2).cast("int").alias("two"), ((F.col("n") == 1) & (F.col("ask") == 1)).cast("int").alias("ask"))
-    return spans, items
+def _opened(batches: Iterator[pa.RecordBatch], p: Repeats) -> Iterator[tuple[int, np.ndarray, pa.StructArray]]:
+    """(tid, tokens, items) of each row (tid, text, items)."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            b = np.frombuffer(unpack.decompress(batch.column(1)[i].as_py(), max_output_size=1 << 31), np.uint8)
+            yield batch.column(0)[i].as_py(), tokens_of(b, np.array([0, len(b)]), p)[0], batch.column(2)[i].values
 
 
-def text_key(text: Column) -> Column:
-    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+def _ints(items: pa.StructArray, *names: str) -> tuple[np.ndarray, ...]:
+    return tuple(items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names)
 
 
-def _packed(texts: DataFrame) -> DataFrame:
+def _contexts(joined: DataFrame, p: Repeats, wide: int) -> DataFrame:
+    """c, tid, at, first, lead, ask, context: the tokens of an item's extent; ``lead`` of them lie outside the text on the left."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        for tid, tokens, items in _opened(batches, p):
+            at, first = _ints(items, "at", "first")
+            last = np.minimum(first + wide, p.width) - 1
+            begin, stop = np.maximum(0, at - last), np.minimum(len(tokens), at - first + p.size)
+            raw, unit = memoryview(np.ascontiguousarray(tokens)).cast("B"), tokens.dtype.itemsize
+            context = [bytes(raw[a:b]) for a, b in zip((begin * unit).tolist(), (stop * unit).tolist(), strict=True)]
+            columns = [items.field("c"), pa.array(np.full(len(at), tid)), items.field("at"), items.field("first"), pa.array((begin - at + last).astype(np.int32)), items.field("ask"), pa.array(context, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "tid", "at", "first", "lead", "ask", "context"])
+
+    return joined.mapInArrow(rows, "c long, tid long, at int, first int, lead int, ask boolean, context binary")
+
+
+def repeated_windows(group: np.ndarray, first: np.ndarray, lead: np.ndarray, contexts: list[np.ndarray], wide: int, p: Repeats) -> np.ndarray:
+    """(n, wide): whether window s of each item equals the same window of another item of its group.
+
+    Items of a group share the gram that all windows hold.  Column s is the window that
+    starts s tokens into the item's extent.
+    """
+    n, span = len(group), wide - 1 + p.size
+    room = np.zeros((n, span), contexts[0].dtype if n else np.uint8)
+    size = np.fromiter(map(len, contexts), np.int64, n)
+    for i, x in enumerate(contexts):
+        room[i, lead[i] : lead[i] + size[i]] = x
+    steps = np.arange(wide)
+    valid = (steps >= lead[:, None]) & (steps + p.size <= (lead + size)[:, None]) & (steps < (np.minimum(first + wide, p.width) - first)[:, None])
+    # Digits outwards from the gram, a token each: the class after a token is the class before and that token.
+    spread, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    ahead, behind = np.empty((wide, n), np.uint64), np.empty((wide, n), np.uint64)
+    with np.errstate(over="ignore"):
+        ahead[0] = behind[wide - 1] = mixed(group.astype(np.uint64) * spread + np.uint64(1))
+        for s in range(1, wide):
+            ahead[s] = mixed(ahead[s - 1] * odd + room[:, p.size + s - 1].astype(np.uint64))
+            behind[wide - 1 - s] = mixed(behind[wide - s] * odd + room[:, wide - 1 - s].astype(np.uint64))
+        name = mixed(ahead + mixed(behind + (steps.astype(np.uint64) * spread)[:, None]))
+    out = np.zeros((wide, n), bool)
+    at = np.flatnonzero(valid.T.ravel())
+    order = at[np.argsort(name.ravel()[at])]
+    a, b = order[:-1], order[1:]
+    same = (name.ravel()[a] == name.ravel()[b]) & (ahead.ravel()[a] == ahead.ravel()[b]) & (behind.ravel()[a] == behind.ravel()[b]) & (a // max(n, 1) == b // max(n, 1))
+    flat = out.ravel()
+    flat[a[same]] = flat[b[same]] = True
+    return flat.reshape(wide, n).T
+
+
+def _gathered(contexts: DataFrame, p: Repeats, wide: int) -> DataFrame:
+    """(tid, start, stop) of the repeated windows of open items, whole classes at a time; rows ascend by c."""
+    kind = np.uint8 if p.unit == "bytes" else np.uint64
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        c, tid, at, first, lead = (table.column(x).to_numpy().astype(np.int64) for x in ("c", "tid", "at", "first", "lead"))
+        ask = np.asarray(table.column("ask").to_pylist(), bool)
+        group = np.cumsum(np.concatenate(([0], c[1:] != c[:-1])))
+        twice = repeated_windows(group, first, lead, [np.frombuffer(x.as_py(), kind) for x in table.column("context")], wide, p)
+        twice &= ask[:, None]
+        edge = np.diff(np.pad(twice.view(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, start = np.nonzero(edge == 1)
+        _, stop = np.nonzero(edge == -1)  # runs in the same order
+        zero = at - np.minimum(first + wide, p.width) + 1
+        return pa.RecordBatch.from_pydict({"tid": pa.array(tid[row]), "start": pa.array(zero[row] + start), "stop": pa.array(zero[row] + stop - 1 + p.size)})
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress(t.as_buffer()) for t in batch.column(1)], pa.binary())], ["h", "text"])
+            for low in range(0, batch.num_rows, p.gather):
+                part = batch.slice(low, p.gather)
+                if not part.num_rows:
+                    continue
+                held.append(part)
+                c = part.column(0).to_numpy()
+                new = np.flatnonzero(c[1:] != c[:-1])
+                if len(new):  # up to the last class that ends here
+                    cut = int(new[-1]) + 1
+                    yield settle(pa.Table.from_batches([*held[:-1], part.slice(0, cut)]))
+                    held = [part.slice(cut)]
+        if held:
+            yield settle(pa.Table.from_batches(held))
+
+    return contexts.repartition(F.col("c")).sortWithinPartitions("c").mapInArrow(rows, "tid long, start long, stop long")
+
+
+def _next_digits(joined: DataFrame, step: int, p: Repeats) -> DataFrame:
+    """The records of each item's smaller ranges."""
+    before, now = p.steps[step - 1], p.steps[step]
+    names = ["tid", "at", "first", "c", "o", "q", "ask"]
 
-    return texts.mapInArrow(rows, "h binary, text binary")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tid, tokens, items in _opened(batches, p):
+            at, first, ask = _ints(items, "at", "first", "ask")
+            k = -(-before // now)
+            shift = np.tile(np.arange(k) * now, len(at))
+            at, low, ask = (np.repeat(x, k) for x in (at, first, ask))
+            start = low + shift
+            last = np.minimum(start + now, np.minimum(low + before, p.width)) - 1
+            fits = (start <= last) & (np.maximum(start, at + p.size - len(tokens)) <= np.minimum(last, at))
+            at, start, last, ask = (x[fits] for x in (at, start, last, ask))
+            c, o = digits(tokens, np.zeros_like(at), np.full_like(at, len(tokens)), at, start, last, p)
+            longs = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (c, o[:, 0], o[:, 1])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tid)), pa.array(at.astype(np.int32)), pa.array(start.astype(np.int32)), *longs, pa.array(ask.astype(bool))], names)
+
+    return joined.mapInArrow(rows, "tid long, at int, first int, c long, o long, q long, ask boolean")
 
 
 def repeated_spans(docs: DataFrame, p: Repeats = Repeats()) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(texts: h, text; spans: h, start, stop): tokens covered by repeated windows, by text.
+    """(texts: tid, h, copies, text; spans: tid, start, stop): tokens covered by repeated windows, by text.
 
-    ``h`` is the key of a text (``text_key``), ``text`` its packed bytes, for texts with a
-    repeated digit; start and stop count tokens.  Copies of a text are one text here,
-    all of whose windows repeat.
+    ``h`` is the key of a text (``text_key``), ``text`` its packed bytes, for texts that
+    hold a window; start and stop count tokens and may reach beyond the text's.  Copies of
+    a text are one text here, all of whose windows repeat.
     """
     spark = docs.sparkSession
-    texts = docs.select(text_key(text_of()).alias("h"), text_of().alias("text")).where(F.octet_length("text") >= (p.size if p.unit == "bytes" else 2 * p.size - 1))
-    alone = _first_pass(texts, p)
-    shared = alone.groupBy("c1").count().where("count > 1").select("c1")
-    records = written(_first_pass(texts, p).join(shared, "c1", "left_semi").select("h", "at", "first", "near", "far", "c1", "o1", "o2"), "ranges")
-    kept = _packed(texts).groupBy("h").agg(F.first("text").alias("text"))
+    held = ["text", "at", "c", "o", "q"]
+    texts = _first_digits(docs, p).groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct(*held)).alias("x"))
+    texts = written(texts.select(F.monotonically_increasing_id().alias("tid"), "h", "copies", *[f"x.{c}" for c in held]), "texts")
     release(spark)
-    kept = written(kept.join(records.select("h").distinct(), "h", "left_semi"), "texts")
-    records = records.withColumn("two", F.lit(0)).withColumn("ask", F.lit(1))
-    found = []
-    for step in (0, 1, 2):
-        spans, items = _settled(records, p)
-        found.append(written(spans, "spans"))
+    shared = written(texts.select(F.explode("c").alias("c")).groupBy("c").count().where("count > 1").select("c"), "shared")
+    every = texts.select("tid", (F.col("copies") == 1).alias("ask"), F.inline(F.arrays_zip("at", "c", "o", "q"))).select("tid", "at", F.lit(0).alias("first"), "c", "o", "q", "ask")
+    records = written(every.join(shared, "c", "left_semi").select("tid", "at", "first", "c", "o", "q", "ask"), "records")
+    drop_written(spark, shared)
+    found = [texts.where("copies > 1").select("tid", F.lit(0).cast("long").alias("start"), F.lit((1 << 62) - 1).alias("stop"))]
+    for step, wide in enumerate(p.steps):
         release(spark)
-        if step < 2:
-            each = items.groupBy("h").agg(F.collect_list(F.struct("at", "first", "two", "ask")).alias("items"))
-            after = written(_next_pass(kept.join(each, "h"), step + 1, p), "ranges")
-            drop_written(spark, records)
-            records = after
-            release(spark)
-    drop_written(spark, records)
-    return kept, found[0].unionAll(found[1]).unionAll(found[2])
+        settled, items = _classes(records)
+        drop_written(spark, records)
+        release(spark)
+        last = F.least(F.col("first") + F.lit(wide), F.lit(p.width)) - 1
+        found.append(settled.select("tid", (F.col("at") - last).cast("long").alias("start"), (F.col("at") - F.col("first") + p.size).cast("long").alias("stop")))
+        if wide == 1:
+            drop_written(spark, items)
+            break
+        small = items.where(F.col("m") <= p.gather)
+        found.append(written(_gathered(_contexts(_by_text(small, texts, ["c", "at", "first", "ask"]), p, wide), p, wide), "spans"))
+        large = written(items.where(F.col("m") > p.gather).drop("c", "m"), "large")
+        drop_written(spark, items)
+        release(spark)
+        if large.isEmpty():
+            break
+        records = written(_next_digits(_by_text(large, texts, ["at", "first", "ask"]), step + 1, p), "records")
+        drop_written(spark, large)
+    spans = found[0]
+    for x in found[1:]:
+        spans = spans.unionAll(x)
+    return texts.select("tid", "h", "copies", "text"), spans
 
 
 def _cleaned(joined: DataFrame, p: Repeats) -> DataFrame:
@@ -287,8 +381,8 @@ def _cleaned(joined: DataFrame, p: Repeats) -> DataFrame:
             for i in range(batch.num_rows):
                 b = np.frombuffer(unpack.decompress(batch.column(1)[i].as_py(), max_output_size=1 << 31), np.uint8)
                 _, _, begin, end = tokens_of(b, np.array([0, len(b)]), p)
-                spans = batch.column(2)[i].values
-                start, stop = (spans.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "stop"))
+                start, stop = _ints(batch.column(2)[i].values, "start", "stop")
+                start, stop = np.maximum(start, 0), np.minimum(stop, len(begin))
                 change = np.zeros(len(b) + 1, np.int32)
                 np.add.at(change, begin[start], 1)
                 np.add.at(change, end[stop - 1], -1)
@@ -303,24 +397,32 @@ def _cleaned(joined: DataFrame, p: Repeats) -> DataFrame:
 
 
 def cut_texts(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
-    """h, n_removed, n_spans, kept_sha256, left, spans (bytes) of every text that loses something."""
-    kept, spans = repeated_spans(docs, p)
-    each = spans.groupBy("h").agg(F.collect_list(F.struct("start", "stop")).alias("gaps"))
-    return _cleaned(kept.join(each, "h"), p)
+    """h, n_removed, n_spans, kept_sha256, left, spans (bytes) of every text that loses something, as a written table."""
+    spark = docs.sparkSession
+    texts, spans = repeated_spans(docs, p)
+    each = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("gaps"))  # a text's own spans
+    cut = written(_cleaned(texts.select("tid", "h", "text").join(each, "tid"), p), "cuts")
+    drop_written(spark, texts)
+    drop_written(spark, spans)
+    release(spark)
+    return cut
 
 
 def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     Every byte in a window that also starts elsewhere goes, each occurrence included;
-    null text is empty; a repeated row repeats its text and so loses all of it when it
-    is long enough.  Other columns are ignored.
+    ``text`` is what stays (a character of which a part was cut shows as a replacement
+    mark there, ``kept_sha256`` is of the bytes).  Null text is empty; a repeated row
+    repeats its text and so loses all of it when it is long enough.  Other columns are
+    ignored.
     """
-    cut = written(cut_texts(docs, p).drop("left", "spans"), "cuts")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of(), 256).alias("_whole"))
-    rows = rows.withColumn("h", F.substring(F.unhex("_whole"), 1, 16)).join(cut.withColumnRenamed("kept_sha256", "_kept"), "h", "left")
+    cut = cut_texts(docs, p).select("h", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha"), "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of(), 256).alias("whole_sha"), text_of().alias("whole"))
+    rows = rows.withColumn("h", F.substring(F.unhex("whole_sha"), 1, 16)).join(cut, "h", "left")
     none = F.lit(0).cast("long")
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("_kept", "_whole").alias("kept_sha256"))
+    left = F.coalesce(F.make_valid_utf8(F.col("left").cast("string")), F.col("whole"))
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "whole_sha").alias("kept_sha256"), left.alias("text"))
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
@@ -328,8 +430,10 @@ def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # no
 
     Documents of which nothing but blanks is left go.
     """
-    cut = written(cut_texts(docs, p).select("h", F.col("left").cast("string").alias("_left")), "cuts")
-    df = docs.withColumn("_h", text_key(text_of())).join(cut.withColumnRenamed("h", "_h"), "_h", "left").where(F.col("_left").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    new = F.coalesce("_left", "text")
-    out = {"text": new} | ({"n_chars": F.coalesce(F.length("_left").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    cut = cut_texts(docs, p).select("h", F.make_valid_utf8(F.col("left").cast("string")).alias("left"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    df = docs.select(row, text_key(text_of()).alias("h")).join(cut, "h", "left").where(F.col("left").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    out = {"text": F.coalesce("left", "row.text")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.coalesce(F.length("left").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])

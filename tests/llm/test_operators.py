@@ -17,6 +17,11 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kinds string, h string, key string"
 
 
+def thue_morse(n, two):
+    """A string of 2**n characters that collides with its complement under every polynomial hash modulo 2**64 from n = 10 on."""
+    return "".join(two[i.bit_count() & 1] for i in range(1 << n))
+
+
 def table(spark, rows):
     return spark.createDataFrame([(i, t, None, "s", None if t is None else len(t), "k", "h", "k") for i, t in rows], SCHEMA)
 
@@ -83,9 +88,9 @@ def test_chunked_ids(rows, name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(tokenizer_file(name))
-    t.encode_special_tokens = True
     r = random.Random(3)
     texts = [x for _, x in rows] + ["".join(r.choice("ab ,.'\n é́漢　\xa0 s1!\x1c<|endoftext|> t") for _ in range(r.randint(0, 40))) for _ in range(800)]
+    texts += ["ab<|endoftext|> cd", "<|startoftext|>a", "a <|endoftext|>.", "x.<|endoftext|><|endoftext|>é 1", thue_morse(10, "ab"), thue_morse(10, "ba"), thue_morse(14, "ab"), thue_morse(14, "ba")]
     want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
     assert [i.tolist() for _, i in chunks.bpe(tokenizer_file(name))(pa.array(texts))] == want
 
@@ -203,7 +208,7 @@ def test_langid(spark):
 
 
 def test_repeats(spark, rows):
-    def plain(size):
+    def plain(size, rows=rows):
         data = [(t or "").encode() for _, t in rows]
         seen = collections.Counter(b[p : p + size] for b in data for p in range(len(b) - size + 1))
         out = []
@@ -212,9 +217,31 @@ def test_repeats(spark, rows):
             out.append((len(b), len(gone), sum(q - 1 not in gone for q in gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()))
         return sorted(out)
 
-    for size, gram in ((40, 15), (100, 37)):
-        got = repeats.remove_repeats(table(spark, rows), repeats.Repeats(size=size, gram=gram))
-        assert sorted(tuple(r)[1:] for r in got.collect()) == plain(size)
+    for size, gram, gather in ((40, 15, 1024), (100, 37, 2)):
+        got = repeats.remove_repeats(table(spark, rows), repeats.Repeats(size=size, gram=gram, gather=gather)).collect()
+        assert sorted(tuple(r)[1:5] for r in got) == plain(size)
+        assert all(r.n_removed or r.text == (dict(rows)[r.doc_id] or "") for r in got if r.doc_id != 63)
+    # At the contract's size: long shared passages at every offset, near copies, periods, a long text, strings that collide under polynomial hashes.
+    r = random.Random(12)
+    word = ["".join(r.choice("abcdefghij é") for _ in range(r.randint(2, 9))) for _ in range(900)]
+    shared = [" ".join(r.choices(word, k=r.randint(60, 160))) for _ in range(8)]
+    more = [(i, " ".join(r.choices(word, k=r.randint(5, 90))) + r.choice(shared)[r.randrange(40) :] + " ".join(r.choices(word, k=r.randint(5, 90)))) for i in range(60)]
+    more += [(100 + i, shared[0][: 380 + 5 * i]) for i in range(12)] + [(120, "ab" * 700), (121, "x" + "ab" * 250), (122, "long " + " ".join(r.choices(word, k=12000))), (123, shared[1]), (123, shared[1]), (124, None), (125, "")]
+    more += [(126, thue_morse(11, "ab")), (127, thue_morse(11, "ba")), (128, thue_morse(9, "xy")), (129, thue_morse(9, "yx"))]
+    for gather in (1024, 3):
+        got = repeats.remove_repeats(table(spark, more), repeats.Repeats(gather=gather))
+        assert sorted(tuple(r)[1:5] for r in got.collect()) == plain(400, more)
+    assert repeats.remove_repeats(table(spark, [])).count() == 0
+    words = [WORD.findall(t or "") for _, t in more]
+    seen = collections.Counter(tuple(w[i : i + 50]) for w in words for i in range(len(w) - 49))
+    stays = []
+    for w in words:
+        gone = {q for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for q in range(i, i + 50)}
+        stays.append([x for q, x in enumerate(w) if q not in gone])
+    for gather in (1024, 2):
+        left = repeats.without_repeats(table(spark, more), repeats.Repeats(size=50, unit="words", gram=19, gather=gather))
+        # A cut joins what stays on its sides, so letters are compared, not words.
+        assert sorted("".join(WORD.findall(r.text or "")) for r in left.collect()) == sorted("".join(x) for x, w in zip(stays, words, strict=True) if x or not w)
     left = repeats.without_repeats(table(spark, rows), repeats.Repeats(size=50, unit="words", gram=19))
     assert {r.doc_id for r in left.where("doc_id in (10, 11)").collect()} == set()
 
