@@ -28,7 +28,6 @@ in the tokens.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,9 +63,12 @@ class Repeats:
         return self.size - self.gram + 1
 
     @property
-    def steps(self) -> tuple[int, int, int]:
-        """Windows in a range at each pass over large classes."""
-        return self.width, math.ceil(math.sqrt(self.width)), 1
+    def steps(self) -> tuple[int, ...]:
+        """Windows in a range at each pass over large classes: a quarter of the pass before, down to one."""
+        out = [self.width]
+        while out[-1] > 1:
+            out.append(-(-out[-1] // 4))
+        return tuple(out)
 
 
 def tokens_of(b: np.ndarray, own: np.ndarray, p: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
