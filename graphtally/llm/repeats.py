@@ -56,7 +56,7 @@ class Repeats:
     #: Tokens of an anchor's gram; size - gram + 1 windows may hold an anchor.
     gram: int = 145
     #: Members of a class that one task sorts; larger classes take another digit in a shuffle first.
-    gather: int = 1024
+    gather: int = 4096
 
     @property
     def width(self) -> int:
@@ -294,8 +294,8 @@ def _gathered(contexts: DataFrame, p: Repeats, wide: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            for low in range(0, batch.num_rows, p.gather):
-                part = batch.slice(low, p.gather)
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
                 if not part.num_rows:
                     continue
                 held.append(part)

@@ -217,7 +217,7 @@ def test_repeats(spark, rows):
             out.append((len(b), len(gone), sum(q - 1 not in gone for q in gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()))
         return sorted(out)
 
-    for size, gram, gather in ((40, 15, 1024), (100, 37, 2)):
+    for size, gram, gather in ((40, 15, 4096), (100, 37, 2)):
         got = repeats.remove_repeats(table(spark, rows), repeats.Repeats(size=size, gram=gram, gather=gather)).collect()
         assert sorted(tuple(r)[1:5] for r in got) == plain(size)
         assert all(r.n_removed or r.text == (dict(rows)[r.doc_id] or "") for r in got if r.doc_id != 63)
@@ -228,7 +228,7 @@ def test_repeats(spark, rows):
     more = [(i, " ".join(r.choices(word, k=r.randint(5, 90))) + r.choice(shared)[r.randrange(40) :] + " ".join(r.choices(word, k=r.randint(5, 90)))) for i in range(60)]
     more += [(100 + i, shared[0][: 380 + 5 * i]) for i in range(12)] + [(120, "ab" * 700), (121, "x" + "ab" * 250), (122, "long " + " ".join(r.choices(word, k=12000))), (123, shared[1]), (123, shared[1]), (124, None), (125, "")]
     more += [(126, thue_morse(11, "ab")), (127, thue_morse(11, "ba")), (128, thue_morse(9, "xy")), (129, thue_morse(9, "yx"))]
-    for gather in (1024, 3):
+    for gather in (4096, 3):
         got = repeats.remove_repeats(table(spark, more), repeats.Repeats(gather=gather))
         assert sorted(tuple(r)[1:5] for r in got.collect()) == plain(400, more)
     assert repeats.remove_repeats(table(spark, [])).count() == 0
@@ -238,7 +238,7 @@ def test_repeats(spark, rows):
     for w in words:
         gone = {q for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for q in range(i, i + 50)}
         stays.append([x for q, x in enumerate(w) if q not in gone])
-    for gather in (1024, 2):
+    for gather in (4096, 2):
         left = repeats.without_repeats(table(spark, more), repeats.Repeats(size=50, unit="words", gram=19, gather=gather))
         # A cut joins what stays on its sides, so letters are compared, not words.
         assert sorted("".join(WORD.findall(r.text or "")) for r in left.collect()) == sorted("".join(x) for x, w in zip(stays, words, strict=True) if x or not w)
