@@ -16,9 +16,11 @@ P31 = 2147483647
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named."""
+    """The folder that all executors share; a machine's own only where none is named and all tasks run in this one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="graphtally-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

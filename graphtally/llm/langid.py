@@ -147,12 +147,14 @@ def train(rows: DataFrame, p: LangId) -> Model | None:
     df[list(seen)] = list(seen.values())
     idf = np.log((1 + docs) / (1 + df)) + 1
 
-    # The rows of least hash per label, first within slices of a label, so no label is ranked in one task.
-    order = F.xxhash64("key", "lang")
-    keyed = rows.select("key", "lang", order.alias("h")).distinct()
-    some = keyed.withColumn("slice", F.pmod("h", F.lit(256))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("h", "key"))).where(F.col("r") <= p.per_label)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= p.per_label).select("key", "lang", "h")
-    chosen = rows.join(F.broadcast(some), ["key", "lang"])  # per_label rows a label at most
+    # The rows of least hash per label. A threshold from the label's count leaves a few times
+    # per_label of them before any are ranked; rows equal in key, label and text are one.
+    hashed = rows.withColumn("h", F.xxhash64("key", "lang", "text"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * p.per_label) / F.count(F.lit(1)))
+    under = rows.groupBy("lang").agg((share * F.lit(float(1 << 30))).cast("long").alias("under"))  # one row a label
+    near = hashed.join(F.broadcast(under), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("under")).dropDuplicates(["key", "lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "key"))
+    chosen = near.withColumn("r", rank).where(F.col("r") <= p.per_label)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,12 +167,9 @@ def train(rows: DataFrame, p: LangId) -> Model | None:
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "lang", "at", "n"])
 
-    taken: dict[str, int] = {}
     data = []
     for r in sorted(chosen.select("h", "lang", "text").mapInArrow(sample, "h long, lang string, at binary, n binary").collect(), key=lambda r: (r.h, r.lang, r.at, r.n)):
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= p.per_label:  # repeated ids may bring more
-            data.append((r.lang, np.frombuffer(r.at, "<u4"), np.frombuffer(r.n, "<u4")))
+        data.append((r.lang, np.frombuffer(r.at, "<u4"), np.frombuffer(r.n, "<u4")))
     return fit(data, idf, p) if data else None
 
 

@@ -283,8 +283,10 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     band = nodes.select("nid", F.explode("keys").alias("key"))
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")).where("cnt > 1")
+    # Written first: a join of two plain tables splits a band key that very many share.
+    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")).where("cnt > 1"), "shared")
     met = written(band.join(shared, "key"), "buckets")
+    drop_written(spark, shared)
     wanted = met.select("nid").distinct()
     asked = nodes.select("fp", "nid").join(wanted, "nid", "left_semi")
     full = held.select("fp", "sig", "text").join(asked, "fp")
@@ -298,7 +300,7 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
     def open_rows() -> DataFrame:
         """Rows of buckets that still hold several components."""
         r = met.select("key", "nid", "cnt").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "cnt", F.coalesce("root", "nid").alias("comp"))
-        left = r.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        left = written(r.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "open-keys")
         return r.join(left, "key")
 
     for turn in range(p.rounds + 1):
@@ -350,7 +352,7 @@ def one_of_each(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
     Components hold rows, not ids: a row stays or goes by its own number, whatever else
     bears its id.  Rows without shingles link with nothing and all stay.
     """
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows, placed = _placed(numbered.select("doc_id", "text", "_row"), p, "_row")
-    kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low._row").unionAll(rows.where("n = 0").select("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    rows, placed = _placed(numbered.select("row.doc_id", "row.text", "number"), p, "number")
+    kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low.number").unionAll(rows.where("n = 0").select("number"))
+    return numbered.join(kept, "number", "left_semi").select("row.*")

@@ -3,7 +3,7 @@
 The longest vocabulary entry at a position is tried first (one automaton pass finds all
 entries that end or start anywhere); a token may follow another only if merging their
 joined text again keeps the border between them; positions known to fail are bits of
-one integer, so no position is tried twice.  The first full cover found this way is the
+a field, so no position is tried twice.  The first full cover found this way is the
 one that merging pair by pair would give.
 """
 
@@ -37,21 +37,10 @@ class MergeModel:
         plain = [i for i in range(n) if not (self.lib.is_byte(i) or self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_unused(i))]
         self.id = {self.text[i]: i for i in plain}
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if self.lib.is_byte(i)}
-        # Entries of one score other than single characters would leave merge order to position; texts that meet them are merged outright.
-        seen: dict[float, int] = {}
-        for i in plain:
-            if len(self.text[i]) > 1:
-                seen[self.score[i]] = seen.get(self.score[i], 0) + 1
-        self.tied = {self.text[i] for i in plain if len(self.text[i]) > 1 and seen[self.score[i]] > 1}
         self.match = ahocorasick.Automaton()
         for piece, i in self.id.items():
             self.match.add_word(piece, (len(piece), i))
         self.match.make_automaton()
-        self.ties = ahocorasick.Automaton()
-        for piece in self.tied:
-            self.ties.add_word(piece, piece)
-        if self.tied:
-            self.ties.make_automaton()
         self._fits: dict[tuple[int, int], bool] = {}
         self._split: dict[int, tuple[int, int] | None] = {}
 
@@ -125,8 +114,6 @@ class MergeModel:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a normalised text (spaces as U+2581)."""
-        if self.tied and next(self.ties.iter(text), None) is not None:
-            return self._ids(self.merge(text))
         n = len(text)
         ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, (size, token) in self.match.iter(text):
@@ -146,7 +133,7 @@ class MergeModel:
         return out
 
     def _cover(self, ends: list[list[tuple[int, int]]], at: int, stop: int) -> list[int] | None:
-        failed, base = 0, at
+        failed, base = bytearray((stop - at) // 8 + 1), at
         tokens: list[int] = []
         places: list[int] = []
         choice = [len(ends[at]) - 1]  # the longest entry that starts here comes last
@@ -155,7 +142,7 @@ class MergeModel:
             while k >= 0:
                 size, token = options[k]
                 k -= 1
-                if at + size > stop or failed >> (at + size - base) & 1 or (tokens and not self.fits(tokens[-1], token)):
+                if at + size > stop or failed[(at + size - base) >> 3] >> ((at + size - base) & 7) & 1 or (tokens and not self.fits(tokens[-1], token)):
                     continue
                 choice[-1] = k
                 tokens.append(token)
@@ -166,7 +153,7 @@ class MergeModel:
                 moved = True
                 break
             if not moved:
-                failed |= 1 << (at - base)
+                failed[(at - base) >> 3] |= 1 << ((at - base) & 7)
                 choice.pop()
                 if not tokens:
                     return None

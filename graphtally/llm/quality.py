@@ -52,9 +52,9 @@ def _line_kept(x: Column, rules: LineRules) -> Column:
 
 
 def quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:  # noqa: B008
-    """All columns of ``docs`` and a struct ``_q`` of measures, verdict and cleaned text.
+    """Two structs: ``row``, all columns of ``docs``, and ``q``, the measures, the verdict and the cleaned text.
 
-    ``_q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
+    ``q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
     n_lines_removed, words_left (long), base_failed, kept (boolean), cleaned (string).
     Null and blank texts have no words and fail.  Repeated words are counted through
     64-bit packed hashes of the three-word windows; only windows that share a hash are
@@ -125,7 +125,7 @@ def quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:  # no
     df = df.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("n_words") - F.col("words_left")) <= rules.max_lost_percent * F.col("n_words")))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lines_removed", "words_left", "base_failed", "kept"]
-    return df.select("_row.*", F.struct(*measures, F.col("_cleaned").alias("cleaned")).alias("_q"))
+    return df.select(F.col("_row").alias("row"), F.struct(*measures, F.col("_cleaned").alias("cleaned")).alias("q"))
 
 
 def cleaned_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:  # noqa: B008
@@ -134,6 +134,6 @@ def cleaned_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFr
     ``n_chars``, where there is one, counts the cleaned text.
     """
     # A filter on the verdict alone would be pushed down with all that computes it, and evaluated over and over.
-    q = quality(docs, rules).withColumn("_part", F.spark_partition_id()).where("_q.kept and _part >= 0")
-    new = {"text": F.col("_q.cleaned")} | ({"n_chars": F.length("_q.cleaned").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return q.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    q = quality(docs, rules).withColumn("part", F.spark_partition_id()).where("q.kept and part >= 0")
+    new = {"text": F.col("q.cleaned")} | ({"n_chars": F.length("q.cleaned").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return q.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

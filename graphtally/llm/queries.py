@@ -24,13 +24,13 @@ def tokenizer_file(name: str) -> str:
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
-    base = F.filter("_spans", lambda x: x["kind"].isin(*secrets.BASE))
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in secrets.BASE]
-    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("_spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality.quality(documents(spark, sf_dir).select("doc_id", "text"))
-    return q.select("doc_id", *[F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "words_left")])
+    return q.select("row.doc_id", *[F.col(f"q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "words_left")])
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

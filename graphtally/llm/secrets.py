@@ -173,7 +173,7 @@ def _matches(rule: Rule, kinds: Column, number: int, gated: bool) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` and ``_spans``: array of (s, o, e, kind) in order of start, then rule.
+    """``row``, a struct of all columns of ``docs``, and ``spans``: array of (s, o, e, kind) in order of start, then rule.
 
     Starts and ends are code points, end exclusive; matches of a rule are leftmost and
     do not overlap.  Null texts are empty.  Rows that repeat an id share its candidate
@@ -214,7 +214,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id")
 
     flat = F.flatten(F.transform(F.transform(F.transform(each, steps), runs), spans))
     done = F.transform(flat, lambda y: F.struct(y["s"].alias("s"), y["o"].alias("o"), (y["s"] + y["n"]).alias("e"), y["kind"].alias("kind")))
-    return base.withColumn("_spans", F.sort_array(done)).select("_row.*", "_spans")
+    return base.select(F.col("_row").alias("row"), F.sort_array(done).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -232,13 +232,13 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
     state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def cut(a: Column, x: Column) -> Column:
-        piece = F.substr(F.col("text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int"))
+        piece = F.substr(F.col("row.text"), (a["at"] + 1).cast("int"), (x["s"] - a["at"]).cast("int"))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["parts"], F.array(F.concat(piece, F.lit(mark))))).otherwise(a["parts"]).alias("parts"))
 
     def rest(a: Column) -> Column:
-        return F.concat(F.array_join(a["parts"], ""), F.substr(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))
+        return F.concat(F.array_join(a["parts"], ""), F.substr(F.col("row.text"), (a["at"] + 1).cast("int"), F.length("row.text")))
 
-    new = F.when(F.size("_spans") > 0, F.aggregate("_spans", state, cut, rest)).otherwise(F.col("text"))
-    df = df.withColumn("_new", new)
-    out = {"text": F.col("_new")} | ({"n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.size("spans") > 0, F.aggregate("spans", state, cut, rest)).otherwise(F.col("row.text"))
+    df = df.withColumn("new", new)
+    out = {"text": F.col("new")} | ({"n_chars": F.length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])

@@ -39,7 +39,7 @@ def rows():
 
 
 def test_secrets(spark, rows):
-    got = secrets.scan(table(spark, rows)).select("doc_id", "text", secrets.joined(F.col("_spans"))).collect()
+    got = secrets.scan(table(spark, rows)).select("row.doc_id", "row.text", secrets.joined(F.col("spans"))).collect()
     assert len(got) == len(rows)
     for _, text, spans in got:
         want = sorted((m.start(), o, m.end(), r.kind) for o, r in enumerate(secrets.RULES) for m in re.finditer(r.pattern, text or "") if len(m.group(r.group)) >= r.least)
@@ -56,13 +56,13 @@ def test_secrets_of_far_ids(spark):
     ids = sorted({0, -1, -32768, (1 << 63) - 1, -(1 << 63), *edges})
     text = "a token = \"abcdef12\" and AKIA" + "Z9" * 12
     docs = table(spark, [(i, text) for i in ids] + [(None, text)])
-    found = secrets.scan(docs).select("doc_id", secrets.joined(F.col("_spans")).alias("spans")).collect()
+    found = secrets.scan(docs).select("row.doc_id", secrets.joined(F.col("spans")).alias("spans")).collect()
     assert len(found) == len(ids) + 1 and {r.spans for r in found} == {"assign:2:19,access:25:53"}
     assert {r.text for r in secrets.redacted(docs).collect()} == {"a [SECRET]\" and [SECRET]"}
 
 
 def test_quality(spark, rows):
-    for r in quality.quality(table(spark, rows)).select("doc_id", "text", "_q.*").collect():
+    for r in quality.quality(table(spark, rows)).select("row.doc_id", "row.text", "q.*").collect():
         w = WORD.findall(r.text or "")
         c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         covered = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
@@ -136,6 +136,7 @@ def test_pieces(spark, rows):
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
     r = random.Random(4)
     more = [(100 + i, "".join(r.choice("ab thesing ,.▁\n é漢😀hhh") for _ in range(r.randint(0, 60)))) for i in range(1500)]
+    more += [(5000 + i, x) for i, x in enumerate([thue_morse(10, "ab"), thue_morse(10, "ba"), thue_morse(12, "xy"), thue_morse(12, "yx"), " " * 3000, "a  b   c" + " " * 77, "▁▁ ▁", "word " * 4000])]
     for x in pieces.encoded(table(spark, rows + more), proto).join(table(spark, rows + more).select("doc_id", "text").distinct(), "doc_id").collect():
         ids = lib.encode(x.text or "")
         assert np.frombuffer(x.ids, "<u4").tolist() == ids and x.decoded == lib.decode(ids)
@@ -268,6 +269,13 @@ def test_near(spark, rows):
     assert near.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_compares_content(spark):
+    """Words that collide under every polynomial hash modulo 2**64 are different words."""
+    docs = [(i, " ".join([thue_morse(11, two)] * 5 + [thue_morse(10, two)])) for i, two in enumerate(("ab", "ba", "ab"))]
+    got = near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {0: 0, 1: 1, 2: 0}
+
+
 def test_near_block_comparison(spark):
     """With no pivot rounds and tiny blocks the block path alone must find the links."""
     r = random.Random(6)
@@ -305,6 +313,22 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     assert corpus_pipeline.near_dedup(spark, table(spark, []), "").count() == 0
 
 
+def test_columns_of_any_name(spark, rows):
+    """Extra columns whose names the operators might use themselves come through untouched."""
+    import corpus_pipeline
+
+    names = ["_kept", "_q", "_spans", "_left", "_new", "_h", "_part", "_row", "_t", "_key", "row", "q", "spans", "left", "h", "c", "n", "part", "number", "new", "kinds", "sig", "a.b"]
+    docs = table(spark, rows).select("doc_id", "text", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(list(r)[2:] == [f"x{i}" for i in range(len(names))] for r in got), name
+    for one in (near.near_duplicates, repeats.remove_repeats, sharding.shard_rows, webp.media):
+        assert one(docs).count() == len(rows)
+    assert langid.identified(docs.withColumn("lang", F.lit("aa"))).count() == len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
