@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 from .components import components
 from .shingles import buffers, shingle_sets
 
@@ -169,8 +169,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
     pairs = pairs.join(sig.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = written(_prune(pairs.select("a", "b", "sig_a", "sig_b"), p), "pairs")
     text = nodes.select("nid", "text")
-    pairs = pairs.join(text.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(_confirm(pairs.select("a", "b", "text_a", "text_b"), p), "links")
+    both = pairs.join(text.select(F.col("nid").alias("a"), F.col("text").alias("text_a")), "a").join(text.select(F.col("nid").alias("b"), F.col("text").alias("text_b")), "b")
+    links = written(_confirm(both.select("a", "b", "text_a", "text_b"), p), "links")
+    drop_written(nodes.sparkSession, pairs)
+    return links
 
 
 def _overlaps(sets: list[np.ndarray], pairs: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -195,14 +197,18 @@ def _blocked(rows: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
     sets and returns one link for each two components that it joins, never the pairs.
     """
     steps = least_matches(p)
-    heads = rows.groupBy("key").agg(F.min_by("comp", F.xxhash64("nid")).alias("head"))
-    rows = rows.join(heads, "key").withColumn("inner", F.col("comp") == F.col("head"))
-
-    def blocks(of: Column) -> Column:
-        return F.ceil(F.greatest(F.count(F.when(of, 1)) / p.block, F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / p.weight)).cast("int")
-
-    sizes = rows.groupBy("key").agg(blocks(F.col("inner")).alias("ni"), blocks(~F.col("inner")).alias("no"))
-    rows = rows.join(sizes, "key").withColumn("h", F.xxhash64("nid"))
+    own = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min(F.xxhash64("nid")).alias("h"))
+    head = F.min_by(F.struct("comp", "rows", "n"), "h")
+    plan = own.groupBy("key").agg(head.alias("x"), F.sum("rows").alias("rows"), F.sum("n").alias("n"))
+
+    def blocks(count: Column, n: Column) -> Column:
+        return F.ceil(F.greatest(count / p.block, n / p.weight)).cast("int")
+
+    inside = blocks(F.col("x.rows"), F.col("x.n")).alias("ni")
+    outside = blocks(F.col("rows") - F.col("x.rows"), F.col("n") - F.col("x.n")).alias("no")
+    # Written first: a join of two plain tables splits a bucket that very many share.
+    plan = written(plan.select("key", F.col("x.comp").alias("head"), inside, outside), "buckets")
+    rows = rows.join(plan, "key").withColumn("inner", F.col("comp") == F.col("head")).withColumn("h", F.xxhash64("nid"))
     own = F.pmod("h", F.greatest(F.when(F.col("inner"), F.col("ni")).otherwise(F.col("no")), F.lit(1))).cast("int")
     rows = rows.withColumn("own", own)
 
@@ -266,7 +272,9 @@ def _blocked(rows: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
                         comp[comp == comp[o]] = comp[i]
         return pa.table({"u": pa.array([x[0] for x in found], pa.int64()), "v": pa.array([x[1] for x in found], pa.int64())})
 
-    return written(tasks.groupBy("key", "r", "kind", "s").applyInArrow(compare, "u long, v long").distinct(), "links")
+    links = written(tasks.groupBy("key", "r", "kind", "s").applyInArrow(compare, "u long, v long").distinct(), "links")
+    drop_written(rows.sparkSession, plan)
+    return links
 
 
 def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFrame]:
@@ -320,12 +328,17 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
             small = _verified(few.select(F.explode(two).alias("x")).select("x.*"), full, p)
             large = left.where(F.col("cnt") > p.small).join(nodes.select("nid", "n"), "nid").select("key", "nid", "comp", "n")
             more = small if large.isEmpty() else small.unionAll(_blocked(large, full.join(nodes.select("nid", "n", "keys"), "nid"), p))
+        before = (links, more, roots, left)
         links = written(links.unionAll(more), "links")
         roots = written(components(links), "roots")
+        for df in before:
+            drop_written(spark, df)
 
     placed = nodes.select("fp", "nid", "low").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    for df in (full, met):
+    placed = written(placed, "placed")
+    for df in (full, met, links, roots, nodes):
         drop_written(spark, df)
+    release(spark)
     return rows, placed
 
 
@@ -343,7 +356,10 @@ def near_duplicates(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B0
     named = placed.join(least, "root").select("fp", "component_id")
     out = rows.select("doc_id", "n", "fp").join(named, "fp", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = written(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
+    for df in (rows, placed):
+        drop_written(docs.sparkSession, df)
+    return out
 
 
 def one_of_each(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
@@ -355,4 +371,7 @@ def one_of_each(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
     numbered = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
     rows, placed = _placed(numbered.select("row.doc_id", "row.text", "number"), p, "number")
     kept = placed.groupBy("root").agg(F.min("low").alias("low")).select("low.number").unionAll(rows.where("n = 0").select("number"))
+    kept = written(kept, "kept")
+    for df in (rows, placed):
+        drop_written(docs.sparkSession, df)
     return numbered.join(kept, "number", "left_semi").select("row.*")
