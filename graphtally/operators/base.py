@@ -1,21 +1,36 @@
-"""What every estimator offers; adding one is a subclass and an entry in ``ESTIMATORS``."""
+"""What every estimator offers: a summary built once per graph, and estimates that read it."""
 
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
 from ..plans.pattern import Pattern
+from ..plans.store import Store
 from .graph import Graph
 
 
 class Estimator(ABC):
+    """Adding one is a subclass; ``summarize`` writes what it needs of a graph, ``estimate`` reads that."""
+
     name = ""
     #: Whether repeated runs give one estimate.
     fixed = False
 
+    def summarize(self, g: Graph, store: Store) -> Store:
+        """Build the summary's tables in ``store``; those that are there already stay. Samplers have none."""
+        return store
+
     @abstractmethod
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
-        """The estimated number of matches."""
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
+        """The estimated number of matches; without a summary one is built for this call."""
+
+    def summary_of(self, g: Graph, summary: Store | None) -> Store:
+        return summary if summary is not None else self.summarize(g, Store.scratch(g.edges.sparkSession))
+
+
+def summary_path(data: str, method: str, ratio: float, seed: int = 0, budget: int | None = None) -> str:
+    """Where a summary of a data file lies."""
+    return f"{data}.{method}.b{budget}" if budget is not None else f"{data}.{method}.p{ratio:g}.s{seed}"
 
 
 def empty(g: Graph, p: Pattern) -> bool:

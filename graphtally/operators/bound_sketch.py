@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern, PRelation, relations
+from ..plans.store import Store
 from .base import Estimator, empty
 from .graph import Graph
 
@@ -79,43 +80,88 @@ class BoundSketch(Estimator):
         self.budget, self.bounds = budget, bounds
         self._kept: dict = {}
 
-    def _sketch(self, g: Graph, r: PRelation, active: int | None, sizes: dict[int, int]) -> np.ndarray:
+    def summarize(self, g: Graph, store: Store) -> Store:
+        """Table ``sketch`` (kind, label, active, n0, n1, h0, h1, value) for all labels and the budget's sizes.
+
+        ``active`` -1 counts rows by bucket (n 0: that column is not cut); else it is the
+        column whose largest degree is kept by bucket of it.
+        """
+        e = g.edges.select(F.lit("e").alias("kind"), F.col("el").alias("label"), F.col("src").alias("c0"), F.col("dst").alias("c1"))
+        v = g.vlabels.select(F.lit("v").alias("kind"), F.col("vl").alias("label"), F.col("vid").alias("c0"), F.lit(0).cast("long").alias("c1"))
+        parts = []
+
+        def cells(rows: DataFrame, active: int, n0: int, n1: int, value: F.Column) -> None:
+            h0, h1 = (F.pmod(f"c{c}", F.lit(n)) if n else F.lit(0).cast("long") for c, n in ((0, n0), (1, n1)))
+            cut = rows.groupBy("kind", "label", h0.alias("h0"), h1.alias("h1")).agg(value.alias("value"))
+            parts.append(cut.select("kind", "label", F.lit(active).alias("active"), F.lit(n0).alias("n0"), F.lit(n1).alias("n1"), "h0", "h1", "value"))
+
+        degree = {c: store.save(f"degree{c}", e.groupBy("kind", "label", F.col(f"c{c}")).agg(F.count(F.lit(1)).alias("n"))) for c in (0, 1)}
+        sizes = [0, *hash_sizes(self.budget)]
+        for n in sizes:
+            # Counts by one column follow from its degrees.
+            cells(degree[0], -1, n, 0, F.sum("n"))
+            cells(v, -1, n, 0, F.count(F.lit(1)))
+            if n:
+                cells(degree[1], -1, 0, n, F.sum("n"))
+                if n <= max(1, round(self.budget**0.5)):
+                    cells(e, -1, n, n, F.count(F.lit(1)))
+            cells(degree[0], 0, n, 0, F.max("n"))
+            cells(degree[1], 1, 0, n, F.max("n"))
+        whole = parts[0]
+        for x in parts[1:]:
+            whole = whole.unionAll(x)
+        store.save("sketch", whole)
+        return store
+
+    def _sketch(self, g: Graph, r: PRelation, active: int | None, sizes: dict[int, int], held: Store) -> np.ndarray:
         """A sketch on the driver: at most the budget's number of cells."""
-        key = (id(g), r.table, tuple(sorted(r.bounds.items())), active, tuple(sizes.items()))
+        key = (held.path, r.table, tuple(sorted(r.bounds.items())), active, tuple(sizes.items()))
         if key not in self._kept:
-            rows = table(g, r)
             cells = np.zeros(tuple(sizes.values()) or (1,))
-            if active is None:
-                for x in (counts(rows, sizes) if sizes else rows.agg(F.count(F.lit(1)).alias("value"))).collect():
-                    cells[tuple(x[f"h{c}"] for c in sizes) or (0,)] = x["value"]
+            if r.bounds:  # a bound relation is no label's whole one
+                rows = table(g, r)
+                got = degrees(rows, active, sizes.get(active, 1)).select(F.struct("h").alias("at"), "value") if active is not None else (counts(rows, sizes) if sizes else rows.agg(F.count(F.lit(1)).alias("value"))).select(F.struct(*[f"h{c}" for c in sizes], *[F.lit(0)] * (not sizes)).alias("at"), "value")
             else:
-                for x in degrees(rows, active, sizes.get(active, 1)).collect():
-                    cells[x["h"]] = x["value"]
+                n0, n1 = (sizes.get(c, 0) for c in (0, 1))
+                own = held.table("sketch").where((F.col("kind") == r.table[0]) & (F.col("label") == r.table[1]) & (F.col("active") == (-1 if active is None else active)) & (F.col("n0") == n0) & (F.col("n1") == n1))
+                got = own.select(F.struct(*[f"h{c}" for c in sizes], *[F.lit(0)] * (not sizes)).alias("at"), "value")
+            for x in got.collect():
+                cells[tuple(x["at"])] = x["value"]
             self._kept[key] = cells
         return self._kept[key]
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
+        held = self.summary_of(g, summary)
         p = p.without_bounds() if self.bounds == "ignore" else p
         rs = relations(p)
         found = formulae(p)
         if not found:
-            return float(np.prod([self._sketch(g, r, None, {}).sum() for r in rs]))
-        return float(min(self._value(g, rs, full, active) for full, active in found))
+            return float(np.prod([self._sketch(g, r, None, {}, held).sum() for r in rs]))
+        return float(min(self._value(g, rs, full, active, held) for full, active in found))
 
-    def _value(self, g: Graph, rs: list[PRelation], full: list[int], active: dict[int, int]) -> float:
+    def formula_text(self, p: Pattern, full: list[int], active: dict[int, int]) -> str:
+        """A formula as text: counts of relations times degrees, each with its attributes."""
+        rs = relations(p.without_bounds() if self.bounds == "ignore" else p)
+
+        def name(i: int) -> str:
+            return f"{rs[i].table[0]}{rs[i].table[1]}({','.join(f'x{a}' for a, _ in rs[i].attrs)})"
+
+        return " * ".join([f"count {name(i)}" for i in full] + [f"degree of x{a} in {name(i)}" for i, a in active.items()])
+
+    def _value(self, g: Graph, rs: list[PRelation], full: list[int], active: dict[int, int], held: Store) -> float:
         """Sum over buckets of counts times degrees; an attribute is bucketed where a count and a degree share it."""
         split = sorted({a for i in full for a, _ in rs[i].attrs} & set(active.values()))
         n = max(1, round(self.budget ** (1 / len(split)))) if split else 1
         letters, operands, terms = {a: chr(97 + k) for k, a in enumerate(split)}, [], []
         for i in full:
             sizes = {c: n for a, c in rs[i].attrs if a in letters}
-            cells = self._sketch(g, rs[i], None, sizes)
+            cells = self._sketch(g, rs[i], None, sizes, held)
             operands.append(cells)
             terms.append("".join(letters[a] for a, c in rs[i].attrs if c in sizes) or "Z")
         for i, a in active.items():
             column = next(c for b, c in rs[i].attrs if b == a)
-            operands.append(self._sketch(g, rs[i], column, {column: n} if a in letters else {}))
+            operands.append(self._sketch(g, rs[i], column, {column: n} if a in letters else {}, held))
             terms.append(letters.get(a, "Z"))
         return float(np.einsum(",".join(terms) + "->", *operands, optimize=True))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
+from ..plans.store import Store
 from .base import Estimator, empty
 from .graph import Graph
 
@@ -24,10 +25,9 @@ def sets(g: Graph, out: bool = True) -> DataFrame:
     return n.join(freq, ["vls", "els"], "left")
 
 
-def buckets(g: Graph) -> tuple[int, int]:
-    """(number of histogram buckets, ids in a bucket)."""
-    n = sets(g, True).count() + sets(g, False).count()
-    nb = min(g.stats["v"] + 1, n, int(1e8 / max(1, g.stats["nvl"] + g.stats["nel"])))
+def bucket_rule(g: Graph, n_sets: int) -> tuple[int, int]:
+    """(number of histogram buckets, ids in a bucket) for a graph of so many sets, forward and backward."""
+    nb = min(g.stats["v"] + 1, n_sets, int(1e8 / max(1, g.stats["nvl"] + g.stats["nel"])))
     return nb, max(1, (g.stats["v"] + g.stats["nvl"]) // nb)
 
 
@@ -51,11 +51,18 @@ class CharacteristicSets(Estimator):
     def __init__(self, faithful: bool = True) -> None:
         self.faithful = faithful
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
-        if empty(g, p):
-            return 0.0
+    def summarize(self, g: Graph, store: Store) -> Store:
+        """Tables ``fwd`` and ``bwd`` (sets), ``hist`` (by kind) and ``rule`` (buckets, ids in a bucket)."""
+        n = store.save("fwd", sets(g, True)).count() + store.save("bwd", sets(g, False)).count()
+        nb, width = bucket_rule(g, n)
+        store.save("hist", histogram(g, nb))
+        store.save("rule", g.edges.sparkSession.createDataFrame([(nb, width)], "nb long, width long"))
+        return store
+
+    def decomposed(self, p: Pattern) -> tuple[list[tuple], list[tuple[int, bool, list[int]]], set[int], set[tuple[int, int]]]:
+        """Triples (subject, object, kind, label; label objects are nodes of their own), stars (centre, forward, triples), covered triples, pairs still to join."""
         nv = len(p.vertices)
-        triples = []  # (subject, object, kind, label); label objects are nodes of their own
+        triples = []
         for v in range(nv):
             if p.vertices[v].label is not None:
                 triples.append((v, ("l", p.vertices[v].label), "v", p.vertices[v].label))
@@ -74,17 +81,25 @@ class CharacteristicSets(Estimator):
                 stars.append((v, forward, use))
                 covered |= set(use)
                 near -= {(i, j) for i in use for j in use}
-        nb, width = buckets(g)
+        return triples, stars, covered, near
+
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
+        if empty(g, p):
+            return 0.0
+        held = self.summary_of(g, summary)
+        triples, stars, covered, near = self.decomposed(p)
+        m = len(triples)
         result = 1.0
         for v, forward, use in stars:
-            result *= self._star(g, p, triples, v, forward, use)
+            result *= self._star(held, p, triples, v, forward, use)
         for i in range(m):
             if i not in covered:
                 result *= g.stats["v"] if self.faithful and i == 0 and g.stats["nvl"] else self._single(g, p, triples[i])
         if not near:
             return result
+        width = held.table("rule").head()["width"]
         hist = {}
-        for r in histogram(g, nb).where(F.concat_ws("", "kind", "label").isin(*{f"{t[2]}{t[3]}" for t in triples})).collect():  # buckets of the pattern's labels
+        for r in held.table("hist").where(F.concat_ws("", "kind", "label").isin(*{f"{t[2]}{t[3]}" for t in triples})).collect():  # buckets of the pattern's labels
             hist.setdefault((r["kind"], r["label"], r["col"]), {})[r["bucket"]] = r["n"]
         for i, j in sorted(near):
             a, b = triples[i], triples[j]
@@ -93,9 +108,9 @@ class CharacteristicSets(Estimator):
             result *= sum(n * y.get(k, 0) / width for k, n in x.items()) / (sum(x.values()) * sum(y.values()))
         return result
 
-    def _star(self, g: Graph, p: Pattern, triples: list, v: int, forward: bool, use: list[int]) -> float:
+    def _star(self, held: Store, p: Pattern, triples: list, v: int, forward: bool, use: list[int]) -> float:
         own = [triples[i] for i in use]
-        s = sets(g, forward)
+        s = held.table("fwd" if forward else "bwd")
         for t in own:
             s = s.where(F.array_contains("vls" if t[2] == "v" else "els", t[3]))
         freq = F.map_from_entries("freq")

@@ -39,14 +39,22 @@ def count(g: Graph, p: Pattern) -> DataFrame:
 
 
 def _count_connected(g: Graph, p: Pattern) -> DataFrame:
-    order = p.join_order(g.stats["el"])
+    order = p.join_order(g.stats)
     acc, cols = None, set()
     for at, i in enumerate(order):
         rows = edge_rows(g, p, i)
+        needed = {f"v{v}" for j in order[at + 1 :] for v in (p.edges[j].src, p.edges[j].dst)}
         new = set(rows.columns)
-        acc = rows.withColumn("n", F.lit(1).cast("long")) if acc is None else acc.join(rows, sorted(cols & new))
+        if len(new - needed - cols):  # an end that nothing else meets is a count before it is joined
+            new &= needed | cols
+            rows = rows.groupBy(*sorted(new)).agg(F.count(F.lit(1)).alias("k"))
+        else:
+            rows = rows.withColumn("k", F.lit(1).cast("long"))
+        if acc is None:
+            acc = rows.withColumnRenamed("k", "n")
+        else:
+            acc = acc.join(rows, sorted(cols & new)).withColumn("n", F.col("n") * F.col("k")).drop("k")
         cols |= new
-        needed = {f"v{v}" for j in order[at + 1 :] for v in (p.edges[j].src, p.edges[j].dst)}
         keep = sorted(cols & needed)
         if len(keep) < len(cols) and at + 1 < len(order):
             acc, cols = acc.groupBy(*keep).agg(F.sum("n").alias("n")), set(keep)

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import Store
+
 
 @dataclass
 class Graph:
@@ -31,9 +33,31 @@ class Graph:
 
     @cached_property
     def stats(self) -> dict:
-        """Label counts on the driver: one entry per label."""
-        els, vls = ({r[0]: r[1] for r in df.collect()} for df in (self.elabel_counts(), self.vlabel_counts()))
-        return {"el": els, "vl": vls, "v": self.vertices.count(), "e": sum(els.values()), "nvl": max(vls, default=-1) + 1, "nel": max(els, default=-1) + 1}
+        """Counts on the driver, one entry per label; distinct ends are estimates, for planning only."""
+        ends = self.edges.groupBy("el").agg(F.count(F.lit(1)), *[F.approx_count_distinct(c, 0.02) for c in ("src", "dst")]).collect()
+        vls = {r[0]: r[1] for r in self.vlabel_counts().collect()}
+        els, src, dst = ({r[0]: r[k] for r in ends} for k in (1, 2, 3))
+        return {"el": els, "src": src, "dst": dst, "vl": vls, "v": self.vertices.count(), "e": sum(els.values()), "nvl": max(vls, default=-1) + 1, "nel": max(els, default=-1) + 1}
+
+    def stored(self, store: Store) -> Graph:
+        """The same graph as written tables, edges in a folder per label."""
+        edges = self.edges.repartition("el", F.pmod(F.xxhash64("src"), F.lit(64))).sortWithinPartitions("el", "src", "dst")
+        return Graph(store.save("vertices", self.vertices), store.save("vlabels", self.vlabels), store.save("edges", edges, "el").select("src", "dst", "el"))
+
+    def vlabel_cardinality(self) -> DataFrame:
+        """(vid, n): number of labels of each vertex; ``stats["nvl"]`` is that of the graph."""
+        own = self.vlabels.groupBy("vid").agg(F.count_distinct("vl").alias("n"))
+        return self.vertices.join(own, "vid", "left").select("vid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+    def elabel_cardinality(self, out: bool = True) -> DataFrame:
+        """(vid, n): number of edge labels at each vertex; ``stats["nel"]`` is that of the graph."""
+        own = self.edges.groupBy(F.col("src" if out else "dst").alias("vid")).agg(F.count_distinct("el").alias("n"))
+        return self.vertices.join(own, "vid", "left").select("vid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+    def elabel_ordinal(self, el: int, out: bool = True) -> DataFrame:
+        """(vid, i): position of the label among the vertex's sorted labels, -1 where it has none."""
+        own = self.incident_labels(out).select("vid", (F.array_position("els", F.lit(el)) - 1).alias("i"))
+        return self.vertices.join(own, "vid", "left").select("vid", F.coalesce("i", F.lit(-1).cast("long")).alias("i"))
 
     def degree(self, out: bool = True) -> DataFrame:
         """(vid, el, deg)."""
@@ -49,11 +73,14 @@ class Graph:
         return self.edges.groupBy(F.col("src" if out else "dst").alias("vid")).agg(F.sort_array(F.collect_set("el")).alias("els"))
 
     def vertex_types(self) -> DataFrame:
-        """(vid, vls, outs, ins): sorted label lists, empty for none."""
-        none = F.array().cast("array<int>")
-        vls = self.vlabels.groupBy("vid").agg(F.sort_array(F.collect_set("vl")).alias("vls"))
-        t = self.vertices.join(vls, "vid", "left").join(self.incident_labels().withColumnRenamed("els", "outs"), "vid", "left").join(self.incident_labels(False).withColumnRenamed("els", "ins"), "vid", "left")
-        return t.select("vid", *[F.coalesce(c, none).alias(c) for c in ("vls", "outs", "ins")])
+        """(vid, vls, outs, ins): sorted label lists, empty for none; one shuffle for all of it."""
+
+        def rows(df: DataFrame, vid: str, kind: int, label: F.Column) -> DataFrame:
+            return df.select(F.col(vid).alias("vid"), F.lit(kind).alias("kind"), label.cast("int").alias("label"))
+
+        every = rows(self.vertices, "vid", 0, F.lit(None)).unionAll(rows(self.vlabels, "vid", 1, F.col("vl"))).unionAll(rows(self.edges, "src", 2, F.col("el"))).unionAll(rows(self.edges, "dst", 3, F.col("el")))
+        lists = [F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("label")))).alias(c) for k, c in ((1, "vls"), (2, "outs"), (3, "ins"))]
+        return every.groupBy("vid").agg(*lists, F.min("kind").alias("kind")).where("kind = 0").drop("kind")
 
     def having_vlabel(self, vids: DataFrame, vl: int) -> DataFrame:
         return vids.join(self.with_label(vl), "vid", "left_semi")
@@ -67,14 +94,45 @@ class Graph:
 
     def ranked_edges(self) -> DataFrame:
         """(el, i, src, dst): position of an edge in its label, from 0, by end points."""
-        return self.edges.withColumn("i", F.row_number().over(Window.partitionBy("el").orderBy("src", "dst")) - 1)
+        return ranked(self.edges, "el", ["src", "dst"])
 
     def ranked_vertices(self) -> DataFrame:
-        return self.vlabels.withColumn("i", F.row_number().over(Window.partitionBy("vl").orderBy("vid")) - 1)
+        """(vl, i, vid): position of a vertex in its label, from 0."""
+        return ranked(self.vlabels, "vl", ["vid"])
 
     def ranked_adjacency(self, out: bool = True) -> DataFrame:
-        """(vid, el, i, other, deg): neighbours by position, for random steps."""
+        """(vid, el, i, other, deg): neighbours by position, in no particular order, for random steps."""
         a, b = ("src", "dst") if out else ("dst", "src")
-        w = Window.partitionBy("vid", "el")
         e = self.edges.select(F.col(a).alias("vid"), "el", F.col(b).alias("other"))
-        return e.withColumn("i", F.row_number().over(w.orderBy("other")) - 1).withColumn("deg", F.count(F.lit(1)).over(w))
+        return placed(e, ["vid", "el"]).withColumnsRenamed({"_i": "i", "_n": "deg"})
+
+
+#: Parts in which a group's positions are counted, so that no group is one task's.
+PARTS = 1024
+
+
+def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``i``, the position in its group of ``by`` (few groups) by ``order`` (longs), from 0.
+
+    The range of the first column is cut into PARTS equal parts, ranked on their own and
+    offset by the rows of the parts before.
+    """
+    span = rows.groupBy(by).agg(F.min(order[0]).alias("_lo"), F.max(order[0]).alias("_hi"))  # one row a group
+    part = F.floor((F.col(order[0]) - F.col("_lo")) / F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(PARTS)))).cast("int")
+    rows = rows.join(F.broadcast(span), by).withColumn("_b", part).drop("_lo", "_hi")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_b").orderBy(*order)) - 1)
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_f"))
+    return rows.join(parts, [by, "_b"]).withColumn("i", F.col("_r") + F.col("_f")).drop("_b", "_r", "_f")
+
+
+def placed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` (distinct) with a position ``_i`` from 0 and the count ``_n`` within ``by``; a hub is ranked in PARTS parts."""
+    every = rows.columns
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*every), F.lit(PARTS)))
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*every)) - 1)
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_f"), F.sum("_c").over(whole).alias("_n"))
+    return rows.join(parts, [*by, "_b"]).withColumn("_i", F.col("_r") + F.col("_f")).drop("_b", "_r", "_f")

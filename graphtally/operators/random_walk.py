@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
+from ..plans.store import Store
 from .base import Estimator, empty
-from .graph import Graph
+from .graph import Graph, placed
 
 #: A step is (pattern edge, whether it is walked along its direction).
 Path = tuple[tuple[int, ...], tuple[tuple[int, bool], ...]]
@@ -37,18 +38,6 @@ def half_edges(g: Graph, els: set[int]) -> DataFrame:
     return e.select(F.col("src").alias("vid"), "el", F.lit(True).alias("out"), F.col("dst").alias("other")).unionAll(e.select(F.col("dst").alias("vid"), "el", F.lit(False).alias("out"), F.col("src").alias("other")))
 
 
-def placed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows`` with a position ``_i`` from 0 and the count ``_n`` within ``by``; ranks are taken in 1024 parts, so a hub is not one task's."""
-    every = ["vid", "el", "out", "other"]
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(*every), F.lit(1024)))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*every)) - 1)
-    whole = Window.partitionBy(*by)
-    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    parts = parts.select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_f"), F.sum("_c").over(whole).alias("_n"))
-    return rows.join(parts, [*by, "_b"]).withColumn("_i", F.col("_r") + F.col("_f")).drop("_b", "_r", "_f")
-
-
 class RandomWalk(Estimator):
     """Mean over independent walks of n - 1 vertices, for patterns of n.
 
@@ -118,7 +107,7 @@ class RandomWalk(Estimator):
             rows = rows.join(ends(e.el, f"v{e.src}", f"v{e.dst}"), names, "left_semi")
         return rows.select("inv", F.lit(1).cast("long").alias("cnt"))
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         n, paths = len(p.vertices), open_paths(p) if len(p.vertices) <= 5 else []
         if not paths or len(p.parts()) != 1:
             return -1.0

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern, relations
+from ..plans.store import Store
 from .base import Estimator, empty
 from .bound_sketch import table
 from .exact import edge_rows
-from .graph import Graph
+from .graph import Graph, placed
 
 #: 2**61 - 1, the modulus of the sample hash, and 2**31 - 1, that of the walk draws.
 P61, P31 = (1 << 61) - 1, (1 << 31) - 1
@@ -66,7 +67,7 @@ class CorrelatedSampling(Estimator):
             out.append(rows)
         return out, scale
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
         parts, scale = self.samples(g, p, seed)
@@ -92,33 +93,49 @@ def budget(g: Graph, p: Pattern, rate: float) -> int:
 
 
 def walk_plans(p: Pattern, most: int) -> Iterator[list[int]]:
-    """Orders of the edges in which each meets an earlier one, from every start."""
+    """Orders of the edges in which each meets an earlier one, the starts taken in turn."""
 
     def grow(order: list[int], seen: set[int]) -> Iterator[list[int]]:
         if len(order) == len(p.edges):
             yield order
             return
         for i, e in enumerate(p.edges):
-            if i not in order and (not order or {e.src, e.dst} & seen):
+            if i not in order and {e.src, e.dst} & seen:
                 yield from grow([*order, i], seen | {e.src, e.dst})
 
-    for n, order in enumerate(grow([], set())):
-        if n == most:
-            return
-        yield order
+    left = [grow([i], {e.src, e.dst}) for i, e in enumerate(p.edges)]
+    n = 0
+    while left and n < most:
+        for own in list(left):
+            order = next(own, None)
+            if order is None:
+                left.remove(own)
+            elif n < most:
+                n += 1
+                yield order
+
+
+def random_vertices(g: Graph, vl: int, n: int, seed: int) -> DataFrame:
+    """(walk, vid): n uniform draws, with replacement, among the vertices of a label."""
+    rows, total = placed(g.with_label(vl), []), g.stats["vl"].get(vl, 0)
+    walks = g.edges.sparkSession.range(n if total else 0).select(F.col("id").alias("walk"))
+    return walks.withColumn("_i", draw(F.col("walk"), 0, seed, F.lit(max(1, total)))).join(rows, "_i").select("walk", "vid")
 
 
 class WanderJoin(Estimator):
     """Horvitz-Thompson mean of random walks over the pattern's edges.
 
-    A few trial walks of each plan pick the plan of least variance times cost; the mean
-    is over all walks of the trial and of the chosen plan, failed ones as 0.
+    Rounds of trial walks, as many of each plan and doubled from round to round, go on until
+    a plan has ``enough`` successes; of the plans with half as many the one of least variance
+    times mean look-ups takes the rest of the budget.  The mean is over all walks, failed
+    ones as 0.  ``plans`` orders are tried at most, from every start edge in turn: each is a
+    Spark job a round, and the mean is unbiased whichever are tried.
     """
 
     name = "wj"
 
-    def __init__(self, p: float = 0.03, trial: int = 100, plans: int = 8) -> None:
-        self.p, self.trial, self.plans = p, trial, plans
+    def __init__(self, p: float = 0.03, trial: int = 128, plans: int = 12, enough: int = 100) -> None:
+        self.p, self.trial, self.plans, self.enough = p, trial, plans, enough
 
     def walks(self, g: Graph, p: Pattern, order: list[int], n: int, seed: int) -> DataFrame:
         """(walk, inv): inverse probability of each walk, 0 for those that fail."""
@@ -129,12 +146,7 @@ class WanderJoin(Estimator):
             e = p.edges[i]
             if not seen:
                 total = g.stats["el"][e.el]
-                ranked = g.of_label(e.el).select("src", "dst")
-                part = F.pmod(F.xxhash64("src", "dst"), F.lit(1024))
-                ranked = ranked.withColumn("_b", part).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("src", "dst")) - 1)
-                first = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-                base = ranked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_f"))
-                ranked = ranked.join(F.broadcast(base), "_b").select("src", "dst", (F.col("_r") + F.col("_f")).alias("_i"))
+                ranked = placed(g.of_label(e.el).select("src", "dst"), []).drop("_n")
                 rows = rows.withColumn("_i", draw(F.col("walk"), step, seed, F.lit(total))).join(ranked, "_i").withColumn("inv", F.col("inv") * total)
                 rows = rows.withColumn("_ok", F.col("src") == F.col("dst")).where("_ok").drop("_ok", "dst").withColumnRenamed("src", f"v{e.src}") if e.src == e.dst else rows.withColumnRenamed("src", f"v{e.src}").withColumnRenamed("dst", f"v{e.dst}")
                 rows = rows.drop("_i")
@@ -156,27 +168,36 @@ class WanderJoin(Estimator):
             seen |= {e.src, e.dst}
         return rows.select("walk", "inv")
 
-    def _moments(self, g: Graph, p: Pattern, order: list[int], n: int, seed: int) -> tuple[float, float]:
-        r = self.walks(g, p, order, n, seed).agg(F.coalesce(F.sum("inv"), F.lit(0.0)), F.coalesce(F.sum(F.col("inv") * F.col("inv")), F.lit(0.0))).head()
-        return float(r[0]), float(r[1])
+    def _moments(self, g: Graph, p: Pattern, order: list[int], n: int, seed: int) -> tuple[float, float, int]:
+        """Sum, sum of squares and successes of n walks."""
+        r = self.walks(g, p, order, n, seed).agg(F.coalesce(F.sum("inv"), F.lit(0.0)), F.coalesce(F.sum(F.col("inv") * F.col("inv")), F.lit(0.0)), F.count(F.lit(1))).head()
+        return float(r[0]), float(r[1]), int(r[2])
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         n = budget(g, p, self.p)
         if n <= 0 or empty(g, p):
             return 0.0
         plans = list(walk_plans(p, min(n, self.plans)))
         if not plans:
             return 0.0
-        trial = min(self.trial, max(1, n // (2 * len(plans)))) if len(plans) > 1 else 0
-        total, used, best = 0.0, 0, (float("inf"), plans[0])
-        for k, order in enumerate(plans if trial else []):
-            s, q = self._moments(g, p, order, trial, seed * 1000 + k + 1)
-            total, used = total + s, used + trial
-            best = min(best, ((q / trial - (s / trial) ** 2) * len(order) if s else float("inf"), order), key=lambda x: x[0])
+        seen = [[0.0, 0.0, 0, 0] for _ in plans]  # sum, squares, successes, walks
+        used, size, turn = 0, self.trial, 0
+        while len(plans) > 1 and max(x[2] for x in seen) < self.enough and used + size * len(plans) <= n:
+            for k, order in enumerate(plans):
+                got = self._moments(g, p, order, size, seed * 1_000_003 + turn * 1009 + k + 1)
+                seen[k] = [a + b for a, b in zip(seen[k], (*got, size), strict=True)]
+                used += size
+            turn, size = turn + 1, size * 2
+        best, least = plans[0], float("inf")
+        for order, (s, q, won, walks) in zip(plans, seen, strict=True):
+            if walks and won >= self.enough / 2:
+                # A walk that fails has looked up half of its steps, taken as the mean.
+                cost = (q / walks - (s / walks) ** 2) * len(order) * (0.5 + 0.5 * won / walks)
+                best, least = min((best, least), (order, cost), key=lambda x: x[1])
+        total = sum(x[0] for x in seen)
         if n > used:
-            s, _ = self._moments(g, p, best[1], n - used, seed * 1000)
-            total, used = total + s, n
-        return total / used
+            total += self._moments(g, p, best, n - used, seed * 1_000_003)[0]
+        return total / n
 
 
 def completions(g: Graph, p: Pattern, order: list[int]) -> DataFrame:
@@ -199,33 +220,60 @@ def completions(g: Graph, p: Pattern, order: list[int]) -> DataFrame:
     return rows[order[0]]
 
 
-class JSub(Estimator):
-    """Sampled start tuples closed by exact weights over an acyclic part of the pattern: an upper bound in expectation on cyclic ones."""
+def tree_plans(p: Pattern, most: int) -> list[list[int]]:
+    """Join trees of the pattern, without repeats: orders in which each kept edge meets the earlier ones in one vertex.
+
+    Edges that would close a cycle are dropped, so a cyclic pattern has several trees.
+    """
+    out, known = [], set()
+    for order in walk_plans(p, most):
+        seen, kept = {p.edges[order[0]].src, p.edges[order[0]].dst}, [order[0]]
+        for i in order[1:]:
+            ends = {p.edges[i].src, p.edges[i].dst}
+            if len(ends & seen) == 1 and len(ends) == 2:
+                kept.append(i)
+                seen |= ends
+        if (kept[0], frozenset(kept)) not in known:
+            known.add((kept[0], frozenset(kept)))
+            out.append(kept)
+    return out
 
-    name = "jsub"
 
-    def __init__(self, p: float = 0.03, full: bool = False) -> None:
-        self.p, self.full = p, full
+class JSub(Estimator):
+    """Sampled start tuples closed by exact weights over an acyclic part of the pattern: an upper bound in expectation on cyclic ones.
+
+    Of the join trees the one whose trial walk has the least inverse probability is taken;
+    trees whose trial fails are passed over, and the first stands if all fail.
+    """
 
-    def tree(self, p: Pattern) -> list[int]:
-        """Edges in an order where each meets the earlier ones in one vertex; edges that would close a cycle are dropped."""
-        order, seen, left = [0], {p.edges[0].src, p.edges[0].dst}, list(range(1, len(p.edges)))
-        while more := next((i for i in left if len({p.edges[i].src, p.edges[i].dst} & seen) == 1), None):
-            order.append(more)
-            left.remove(more)
-            seen |= {p.edges[more].src, p.edges[more].dst}
-        return order
+    name = "jsub"
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def __init__(self, p: float = 0.03, full: bool = False, plans: int = 24) -> None:
+        self.p, self.full, self.plans = p, full, plans
+
+    def tree(self, g: Graph, p: Pattern, n: int, seed: int) -> list[int]:
+        plans = tree_plans(p, max(1, min(n, self.plans)))
+        if len(plans) == 1 or self.full:
+            return plans[0]
+        best, least = plans[0], float("inf")
+        for k, order in enumerate(plans):
+            kept = Pattern(p.vertices, tuple(p.edges[i] for i in order))
+            won = WanderJoin().walks(g, kept, list(range(len(order))), 1, seed * 1_000_003 + k).head()
+            if won is not None and won["inv"] < least:
+                best, least = order, won["inv"]
+        return best
+
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
-        order = self.tree(p)
+        n = budget(g, p, self.p)
+        if n <= 0 and not self.full:
+            return 0.0
+        order = self.tree(g, p, n, seed)
         rows = completions(g, p, order)
         if self.full:
             return float(rows.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0])
-        n = budget(g, p, self.p) * len(order)
-        if n <= 0:
-            return 0.0
+        n *= len(order)
         size = g.stats["el"][p.edges[order[0]].el]
         rate = min(1.0, n / size)
         ends = sorted({f"v{p.edges[order[0]].src}", f"v{p.edges[order[0]].dst}"})

@@ -9,32 +9,166 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
+from ..plans.store import Store
 from .base import Estimator, empty
 from .graph import Graph
 
 
-def buckets(g: Graph) -> DataFrame:
-    """(bucket, w, vls, outs, ins): one row per vertex type; the bucket is its least vertex."""
-    return g.vertex_types().groupBy("vls", "outs", "ins").agg(F.min("vid").alias("bucket"), F.count(F.lit(1)).alias("w"))
+def buckets(types: DataFrame) -> DataFrame:
+    """(bucket, w, vls, outs, ins) of (vid, vls, outs, ins): one row per vertex type; the bucket is its least vertex."""
+    return types.groupBy("vls", "outs", "ins").agg(F.min("vid").alias("bucket"), F.count(F.lit(1)).alias("w"))
 
 
-def membership(g: Graph) -> DataFrame:
+def membership(types: DataFrame, b: DataFrame) -> DataFrame:
     """(vid, bucket)."""
     t = ["vls", "outs", "ins"]
-    return g.vertex_types().join(buckets(g).select(*t, "bucket"), t).select("vid", "bucket")
+    return types.join(b.select(*t, "bucket"), t).select("vid", "bucket")
 
 
-def summary_edges(g: Graph) -> DataFrame:
+def summary_edges(edges: DataFrame, member: DataFrame) -> DataFrame:
     """(bs, el, bd, w): edges by the buckets of their ends."""
-    m = membership(g)
-    e = g.edges.join(m.select(F.col("vid").alias("src"), F.col("bucket").alias("bs")), "src").join(m.select(F.col("vid").alias("dst"), F.col("bucket").alias("bd")), "dst")
+    e = edges.join(member.select(F.col("vid").alias("src"), F.col("bucket").alias("bs")), "src").join(member.select(F.col("vid").alias("dst"), F.col("bucket").alias("bd")), "dst")
     return e.groupBy("bs", "el", "bd").agg(F.count(F.lit(1)).alias("w"))
 
 
+def includes(kind: str, labels: set[int]) -> F.Column:
+    """Whether a label list holds all of these labels."""
+    return F.size(F.array_except(F.array(*[F.lit(x) for x in sorted(labels)]).cast("array<int>"), F.col(kind))) == 0
+
+
+#: Rows and columns of the signature scheme, and the bins of a row.
+ROWS, COLUMNS, BINS = 40, 2, 32768
+
+
+def scheme() -> np.ndarray:
+    """(ROWS * COLUMNS, 2) signed 32-bit factors and terms: the raw outputs of the Mersenne Twister of seed 0."""
+    raw = np.random.MT19937()
+    raw._legacy_seeding(0)
+    return (raw.random_raw(2 * ROWS * COLUMNS).astype(np.int64) - (1 << 31)).reshape(-1, 2)
+
+
+def _wrapped(x: F.Column) -> F.Column:
+    """A long as a signed 32-bit value."""
+    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+
+
+def signatures(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(bucket, sig): the least hash of a bucket's incident pairs, a cell for each row and column of the scheme.
+
+    ``edges``: (bs, el, bd) of the summary, ``ids``: (bucket, i) numbers of the buckets in
+    order of their least vertex.  Pairs are (label, other end) outwards and (other end,
+    label) inwards, hashed with 32-bit wrap-around.
+    """
+    e = edges.join(ids.select(F.col("bucket").alias("bs"), F.col("i").alias("x")), "bs").join(ids.select(F.col("bucket").alias("bd"), F.col("i").alias("y")), "bd")
+    pair = F.lit(127)
+    pairs = e.select(F.col("bs").alias("bucket"), (F.col("el") * pair + F.col("y")).alias("p")).unionAll(e.select(F.col("bd").alias("bucket"), (F.col("x") * pair + F.col("el")).alias("p")))
+    p = _wrapped(F.col("p") * F.lit(31))
+    # Products of two 32-bit values fit a long.
+    cells = [F.min(_wrapped(p * F.lit(int(a)) + F.lit(int(b)))).alias(f"s{k}") for k, (a, b) in enumerate(scheme())]
+    return pairs.groupBy("bucket").agg(*cells).select("bucket", F.array(*[f"s{k}" for k in range(ROWS * COLUMNS)]).alias("sig"))
+
+
+def merged_in_class(i: np.ndarray, alive: np.ndarray, sig: np.ndarray, threshold: float) -> np.ndarray:
+    """Which bucket each of a class's buckets falls to (its position; its own if none), after one sweep over the rows.
+
+    In every bin of a row the first bucket takes the first other one whose signature
+    agrees in the threshold's share of cells; what was taken is out of the later rows.
+    """
+    to, alive = np.arange(len(i)), alive.copy()
+    one = sig.reshape(len(i), ROWS, COLUMNS).astype(np.int64)
+    for row in range(ROWS):
+        h = np.ones(len(i), np.int64)
+        for c in range(COLUMNS):
+            h = (31 * h + one[:, row, c] + (1 << 31)) % (1 << 32) - (1 << 31)
+        bins = (h ^ ((h & 0xFFFFFFFF) >> 16)) & 0x7FFFFFFF & (BINS - 1)
+        some = np.flatnonzero(alive)
+        order = some[np.argsort(bins[some], kind="stable")]
+        for part in np.split(order, np.flatnonzero(np.diff(bins[order])) + 1):
+            if len(part) < 2:
+                continue
+            same = (sig[part[1:]] == sig[part[0]]).mean(1) >= threshold
+            if same.any():
+                k = part[1 + int(np.argmax(same))]
+                to[k], alive[k] = part[0], False
+    return to
+
+
+def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target: float = 10000.0) -> None:
+    """Merge similar buckets of one class set until the summary's edges fit the target; tables bucket, member, edge of ``held``.
+
+    Target: (ratio * data size - 4 |V|) / 12, at least ``least_target``, sizes in bytes of
+    32-bit numbers.  A sweep goes over all class sets; sweeps end at the target or when
+    one saves fewer than 1000 edges, and then whole runs of class sets become one bucket
+    each.  A class set's buckets are its types, not its vertices; one task sweeps over them.
+    """
+    spark = g.edges.sparkSession
+    v, labels = g.stats["v"], sum(g.stats["vl"].values())
+    data = 4 * (v + 2 * g.stats["e"] + labels)
+    target = max((ratio * data - 4 * v) / 12, least_target)
+    bucket, edges = held.table("typed_bucket"), held.table("typed_edge")
+    before = edges.count()
+    if before <= target:
+        held.save("bucket", bucket), held.save("member", held.table("typed_member")), held.save("edge", edges)
+        return
+    part = Window.orderBy("bucket")  # one row a bucket of the summary
+    ids = held.save("numbered", bucket.select("bucket", "vls", (F.row_number().over(part) - 1).alias("i")))
+    mu = held.save("mu0", ids.select("bucket", F.col("bucket").alias("root")))
+    turn, fits = 0, False
+    while True:
+        sig = signatures(edges, ids)
+        rows = ids.join(mu, "bucket").join(sig, "bucket", "left")
+
+        def sweep(table: pd.DataFrame) -> pd.DataFrame:
+            table = table.sort_values("i")
+            blank = [(1 << 31) - 1] * (ROWS * COLUMNS)
+            cells = np.array([blank if s is None else s for s in table["sig"]], np.int64)
+            to = merged_in_class(table["i"].to_numpy(), (table["bucket"] == table["root"]).to_numpy(), cells, threshold)
+            own = table["bucket"].to_numpy()
+            return pd.DataFrame({"bucket": own, "to": own[to]})
+
+        step = rows.groupBy("vls").applyInPandas(sweep, "bucket long, to long")
+        step = held.save(f"step{turn}", step.where("bucket <> to"))
+        # A taken bucket may have been taken by one that is taken later in the sweep.
+        link, hops = step.select(F.col("bucket").alias("root"), "to"), 0
+        nxt = mu
+        while True:
+            moved = nxt.join(link, "root", "left").select("bucket", F.coalesce("to", "root").alias("root"))
+            nxt = held.save(f"mu{turn + 1}-{hops}", moved)
+            hops += 1
+            if nxt.join(link, "root", "left_semi").isEmpty():
+                break
+        mu, turn = nxt, turn + 1
+        at = mu.select(F.col("bucket").alias("b"), "root")
+        edges = held.save(f"edges{turn}", edges.join(at.select(F.col("b").alias("bs"), F.col("root").alias("rs")), "bs").join(at.select(F.col("b").alias("bd"), F.col("root").alias("rd")), "bd").groupBy(F.col("rs").alias("bs"), "el", F.col("rd").alias("bd")).agg(F.sum("w").alias("w")))
+        now = edges.count()
+        fits = now <= target
+        if fits or before - now < 1000:
+            break
+        before = now
+    if not fits:
+        classes = ids.join(mu.where("bucket = root"), "bucket").groupBy("vls").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("own"))
+        size = classes.agg(F.sum("own"), F.sum(F.size("vls") * F.col("own"))).head()
+        n = max(1, int(4 * (2 * size[0] + 3 * now + v + size[1]) / data / ratio))
+        groups = ids.groupBy("vls").agg(F.min("i").alias("first"))
+        groups = groups.withColumn("run", F.floor((F.row_number().over(Window.orderBy("first")) - 1) / F.lit(n)))  # one row a class set
+        run = ids.join(groups.select("vls", "run"), "vls").select("bucket", "run")
+        to = run.join(mu.where("bucket = root").select("bucket"), "bucket").groupBy("run").agg(F.min("bucket").alias("to"))
+        mu = held.save("mu-last", mu.join(run.withColumnRenamed("bucket", "root"), "root").join(to, "run").select("bucket", F.col("to").alias("root")))
+    parts = bucket.join(mu, "bucket")
+    union = [F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("vls", "outs", "ins")]
+    held.save("bucket", parts.groupBy(F.col("root").alias("b")).agg(F.sum("w").alias("w"), *union).withColumnRenamed("b", "bucket").select("vls", "outs", "ins", "bucket", "w"))
+    held.save("member", held.table("typed_member").join(mu, "bucket").select("vid", F.col("root").alias("bucket")))
+    at = mu.select(F.col("bucket").alias("b"), "root")
+    first = held.table("typed_edge")
+    held.save("edge", first.join(at.select(F.col("b").alias("bs"), F.col("root").alias("rs")), "bs").join(at.select(F.col("b").alias("bd"), F.col("root").alias("rd")), "bd").groupBy(F.col("rs").alias("bs"), "el", F.col("rd").alias("bd")).agg(F.sum("w").alias("w")))
+
+
 def partitions(n: int) -> list[tuple[int, ...]]:
     """Set partitions of n edges as block numbers in first-use order."""
     out = [(0,)]
@@ -44,16 +178,31 @@ def partitions(n: int) -> list[tuple[int, ...]]:
 
 
 class TypedSummary(Estimator):
+    """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge."""
+
     name, fixed = "sumrdf", True
     #: Pattern edges beyond which the partitions are too many to enumerate.
     most_edges = 7
 
-    def estimate(self, g: Graph, p: Pattern, seed: int = 0) -> float:
+    def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0) -> None:
+        self.ratio, self.threshold, self.least_target = ratio, threshold, least_target
+
+    def summarize(self, g: Graph, store: Store) -> Store:
+        """Tables ``bucket``, ``member`` and ``edge``, refined where the typed summary is too large."""
+        types = store.save("types", g.vertex_types())
+        typed = store.save("typed_bucket", buckets(types))
+        member = store.save("typed_member", membership(types, typed))
+        store.save("typed_edge", summary_edges(g.edges, member))
+        refined(store, g, self.ratio, self.threshold, self.least_target)
+        return store
+
+    def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
         if len(p.edges) > self.most_edges:
             raise ValueError(f"patterns of up to {self.most_edges} edges")
-        embeddings = self.embeddings(g, p)
+        held = self.summary_of(g, summary)
+        embeddings = self.embeddings(held, g, p)
         terms = [t for t in (self._term(p, x) for x in partitions(len(p.edges))) if t is not None]
         total = None
         for condition, value in self._minimal(p, terms):
@@ -61,14 +210,23 @@ class TypedSummary(Estimator):
             total = part if total is None else total + part
         return float(embeddings.agg(F.coalesce(F.sum(total), F.lit(0.0))).head()[0])
 
-    def embeddings(self, g: Graph, p: Pattern) -> DataFrame:
-        """(b<v>, n<v> for vertices, w<i> for edges): mappings of the pattern into the summary."""
-        s, b = summary_edges(g), buckets(g)
-        m = membership(g)
-        acc = None
-        for i in p.join_order(g.stats["el"]):
+    def embeddings(self, held: Store, g: Graph, p: Pattern) -> DataFrame:
+        """(b<v>, n<v> for vertices, w<i> for edges): mappings of the pattern into the summary.
+
+        A bucket is a vertex's candidate if its type includes the vertex's own.
+        """
+        b, m = held.table("bucket"), held.table("member")
+        candidates = {}
+        for v in p.vertices:
+            own = b.select(F.col("bucket").alias(f"b{v.id}"), F.col("w").cast("double").alias(f"n{v.id}"), "vls", "outs", "ins")
+            own = own.where(includes("vls", {v.label} - {None}) & includes("outs", {p.edges[i].el for i in p.out_edges(v.id)}) & includes("ins", {p.edges[i].el for i in p.in_edges(v.id)}))
+            if v.bound is not None:
+                own = own.join(m.where(F.col("vid") == v.bound).select(F.col("bucket").alias(f"b{v.id}")), f"b{v.id}", "left_semi")
+            candidates[v.id] = own.drop("vls", "outs", "ins")
+        acc, met = None, set()
+        for i in p.join_order(g.stats):
             e = p.edges[i]
-            rows = s.where(F.col("el") == e.el).select(F.col("bs").alias(f"b{e.src}"), *([F.col("bd").alias(f"b{e.dst}")] if e.src != e.dst else [F.col("bd").alias("_d")]), F.col("w").cast("double").alias(f"w{i}"))
+            rows = held.table("edge").where(F.col("el") == e.el).select(F.col("bs").alias(f"b{e.src}"), *([F.col("bd").alias(f"b{e.dst}")] if e.src != e.dst else [F.col("bd").alias("_d")]), F.col("w").cast("double").alias(f"w{i}"))
             if e.src == e.dst:
                 rows = rows.where(F.col(f"b{e.src}") == F.col("_d")).drop("_d")
             if acc is None:
@@ -76,13 +234,12 @@ class TypedSummary(Estimator):
             else:
                 shared = sorted(c for c in set(acc.columns) & set(rows.columns))
                 acc = acc.join(rows, shared) if shared else acc.crossJoin(rows)  # summary rows of two parts of the pattern
+            for v in sorted({e.src, e.dst} - met):
+                acc = acc.join(candidates[v], f"b{v}")
+            met |= {e.src, e.dst}
         for v in p.vertices:
-            own = b.select(F.col("bucket").alias(f"b{v.id}"), F.col("w").cast("double").alias(f"n{v.id}"), "vls")
-            if v.label is not None:
-                own = own.where(F.array_contains("vls", v.label))
-            if v.bound is not None:
-                own = own.join(m.where(F.col("vid") == v.bound).select(F.col("bucket").alias(f"b{v.id}")), f"b{v.id}", "left_semi")
-            acc = acc.join(own.drop("vls"), f"b{v.id}")
+            if v.id not in met:  # a vertex without edges is any candidate
+                acc = acc.crossJoin(candidates[v.id])
         return acc
 
     def _term(self, p: Pattern, blocks: tuple[int, ...]) -> tuple | None:

@@ -1,8 +1,11 @@
-"""Trials of estimators over patterns: mean, time, variance, and q-error percentiles."""
+"""Trials of estimators over patterns: mean, time, variance, q-error percentiles, result and error files."""
 
 from __future__ import annotations
 
+import resource
+import threading
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,21 +13,60 @@ from pyspark.sql import functions as F
 from ..operators.base import Estimator
 from ..operators.graph import Graph
 from .pattern import Pattern
+from .store import Store
 
-SCHEMA = "query string, method string, seed int, est double, ms double, status string, error string"
+SCHEMA = "query string, method string, seed int, est double, ms double, status string, error string, driver_kb long"
 
 
-def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], methods: list[Estimator], n: int = 30, seed: int = 0) -> DataFrame:
-    """One row per trial; fixed estimators run once, an error becomes a row."""
-    rows = []
-    for name, p in patterns.items():
-        for m in methods:
+def within(spark: SparkSession, seconds: float | None, work):  # noqa: ANN001, ANN201
+    """What ``work`` returns, or a TimeoutError: its Spark jobs are cancelled when the time is over."""
+    if seconds is None:
+        return work()
+    sc, group, late = spark.sparkContext, uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.2):  # work may start another job after one was cancelled
+            sc.cancelJobGroup(group)
+
+    done, timer = threading.Event(), threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "trial", interruptOnCancel=True)
+    timer.start()
+    try:
+        return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result in {seconds:g} s") from e
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], methods: list[Estimator], n: int = 30, seed: int = 0, timeout: float | None = None, summaries: dict[str, Store] | None = None) -> DataFrame:
+    """One row per trial; fixed estimators run once, whatever goes wrong becomes a row.
+
+    Summaries are built once per method and read by every trial.  Status is ok, error or
+    timeout; a timeout ends the trials of its pattern and method.
+    """
+    rows, summaries = [], dict(summaries or {})
+    for m in methods:
+        if m.name not in summaries:
+            summaries[m.name] = m.summarize(g, Store.scratch(spark))
+        for name, p in patterns.items():
             for i in range(1 if m.fixed else n):
                 began = time.perf_counter()
+                est, status, error = None, "ok", None
                 try:
-                    rows.append((name, m.name, seed + i, float(m.estimate(g, p, seed + i)), (time.perf_counter() - began) * 1000, "ok", None))
-                except ValueError as e:
-                    rows.append((name, m.name, seed + i, None, (time.perf_counter() - began) * 1000, "error", str(e)))
+                    est = float(within(spark, timeout, lambda m=m, p=p, i=i: m.estimate(g, p, seed + i, summaries[m.name])))
+                except TimeoutError as e:
+                    status, error = "timeout", str(e)
+                except Exception as e:  # noqa: BLE001
+                    status, error = "error", f"{type(e).__name__}: {str(e)[:500]}"
+                rows.append((name, m.name, seed + i, est, (time.perf_counter() - began) * 1000, status, error, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss))
+                if status == "timeout":
+                    break
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -52,3 +94,9 @@ def result_lines(stats: DataFrame) -> DataFrame:
     one = F.format_string("%s %.17g %.17g %.17g", "query", "avg_est", "avg_ms", "var_pop")
     two = F.concat_ws(" ", F.size("ests").cast("string"), F.transform("ests", lambda x: x.cast("string")))
     return stats.select("query", "method", F.concat_ws("\n", one, two).alias("value"))
+
+
+def error_lines(trials: DataFrame) -> DataFrame:
+    """One line for each trial that gave nothing: query, then 1 for a timeout or 2 for an error."""
+    bad = trials.where("status <> 'ok'")
+    return bad.select("query", "method", F.concat_ws(" ", "query", F.when(F.col("status") == "timeout", F.lit("1")).otherwise(F.lit("2"))).alias("value"))

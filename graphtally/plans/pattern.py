@@ -84,21 +84,50 @@ class Pattern:
     def without_bounds(self) -> Pattern:
         return Pattern(tuple(PVertex(v.id, v.label) for v in self.vertices), self.edges)
 
-    def join_order(self, size: dict[int, int]) -> list[int]:
-        """Edges, smallest label first, then always one that shares a vertex, if any, closing cycles first."""
-        left, order, seen = set(range(len(self.edges))), [], set()
-        while left:
-            def cost(i: int) -> tuple:
-                e = self.edges[i]
-                shared = len({e.src, e.dst} & seen)
-                fixed = self.vertices[e.src].bound is not None or self.vertices[e.dst].bound is not None
-                return (-shared if order else 0, not fixed, size.get(e.el, 0), i)
-
-            i = min(left, key=cost)
-            left.discard(i)
-            order.append(i)
-            seen |= {self.edges[i].src, self.edges[i].dst}
-        return order
+    def join_order(self, stats: dict) -> list[int]:
+        """Edges in the order of least estimated intermediate rows.
+
+        ``stats``: rows (``el``) and distinct ends (``src``, ``dst``) of each edge label.  A
+        join has |R||S| / max(distinct) rows for each vertex that both sides hold; the
+        greedy order from every start edge is costed, and the cheapest taken.
+        """
+        n = len(self.edges)
+
+        def relation(i: int) -> tuple[float, dict[int, float]]:
+            e = self.edges[i]
+            rows, ends = float(stats["el"].get(e.el, 0)), {}
+            for v, side in ((e.src, "src"), (e.dst, "dst")):
+                values = max(1.0, float(stats[side].get(e.el, 1)))
+                if self.vertices[v].bound is not None:
+                    rows, values = rows / values, 1.0
+                elif self.vertices[v].label is not None:
+                    share = min(1.0, stats["vl"].get(self.vertices[v].label, 0) / max(1, stats["v"]))
+                    values = max(1.0, values * max(share, 1e-9))
+                ends[v] = min(values, ends.get(v, values))
+            return rows, ends
+
+        whole = [relation(i) for i in range(n)]
+
+        def joined(rows: float, ends: dict[int, float], i: int) -> tuple[float, dict[int, float]]:
+            more, own = whole[i]
+            out = rows * more
+            for v in ends.keys() & own.keys():
+                out /= max(ends[v], own[v])
+            values = {v: min(ends.get(v, own.get(v, 0.0)), own.get(v, ends.get(v, 0.0)), max(out, 1.0)) for v in ends.keys() | own.keys()}
+            return out, values
+
+        best: tuple[float, list[int]] | None = None
+        for start in range(n):
+            (rows, ends), order, cost = whole[start], [start], whole[start][0]
+            while len(order) < n:
+                left = [i for i in range(n) if i not in order]
+                i = min(left, key=lambda i: (not (ends.keys() & whole[i][1].keys()), joined(rows, ends, i)[0], whole[i][0], i))
+                rows, ends = joined(rows, ends, i)
+                cost += rows
+                order.append(i)
+            if best is None or cost < best[0]:
+                best = cost, order
+        return best[1] if best else []
 
 
 @dataclass

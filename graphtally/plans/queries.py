@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
+from ..operators.base import Estimator
 from ..operators.graph import Graph
 from ..sources.star import star_graph, star_sql
+from . import estimate_sql
 from .harness import qerror_report, qerrors, run_trials, trial_stats
 from .pattern import Pattern
+from .store import Store
 
 PATTERNS = {
     "chain3": Pattern.of([(0, 1, 3), (1, 2, 1), (2, 3, 0)]),
     "star3": Pattern.of([(0, 1, 3), (0, 2, 4), (0, 3, 5)]),
     "triangle": Pattern.of([(0, 1, 4), (1, 2, 6), (0, 2, 5)]),
     "cycle4": Pattern.of([(0, 1, 3), (1, 2, 1), (3, 2, 2), (0, 3, 5)]),
-    "bound": Pattern.of([(0, 1, 3), (1, 2, 1)], bounds={2: 10000007}),
+    "bound": Pattern.of([(0, 1, 3), (1, 2, 1)], bounds={2: (1 << 56) + 7}),
     "wedge_in": Pattern.of([(0, 1, 1), (2, 1, 2)]),
     "labelled": Pattern.of([(0, 1, 3), (1, 2, 1)], {0: 6, 1: 10}),
 }
+REPORTED = ("chain3", "triangle", "wedge_in")
 FIXED = (charsets.CharacteristicSets, bound_sketch.BoundSketch, typed_summary.TypedSummary)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,14 +39,58 @@ def _join(els: DataFrame, column: str, alias: str) -> F.Column:
     return F.concat_ws(",", F.col(column).cast("array<string>")).alias(alias)
 
 
-def _estimates(estimator: Callable[[], object], names: tuple[str, ...]) -> Query:
+def cut(x: float) -> float:
+    """Nine digits, so that the order of a sum does not show."""
+    return float(f"{x:.9g}")
+
+
+def _estimates(estimator: Callable[[], Estimator], names: tuple[str, ...]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g, m = star_graph(spark, sf_dir), estimator()
-        return spark.createDataFrame([(n, float(m.estimate(g, PATTERNS[n], 0))) for n in names], "query string, est double")
+        store = Store.scratch(spark)
+        g, m = star_graph(spark, sf_dir).stored(store), estimator()
+        summary = m.summarize(g, store)
+        return spark.createDataFrame([(n, cut(m.estimate(g, PATTERNS[n], 0, summary))) for n in names], "query string, est double")
 
     return run
 
 
+def _edge_exists(g: Graph) -> DataFrame:
+    """Edges of a label, and the same pairs turned round, moved by one and under another label: which of these are edges."""
+    own = g.of_label(4).select("src", "dst")
+    asked = [own.select("src", "dst", F.lit(4).alias("el")), own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(4).alias("el")), own.select("src", (F.col("dst") + 1).alias("dst"), F.lit(4).alias("el")), own.select("src", "dst", F.lit(6).alias("el"))]
+    return g.existing(asked[0].unionAll(asked[1]).unionAll(asked[2]).unionAll(asked[3]).distinct())
+
+
+def _rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store.scratch(spark)
+    return charsets.CharacteristicSets().summarize(star_graph(spark, sf_dir).stored(store), store).table("rule")
+
+
+def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's size where refinement must merge: (buckets, edges, members, weight)."""
+    store = Store.scratch(spark)
+    m = typed_summary.TypedSummary(least_target=8.0)
+    held = m.summarize(star_graph(spark, sf_dir).stored(store), store)
+    one = held.table("bucket").agg(F.count(F.lit(1)).alias("buckets"), F.sum("w").alias("members"))
+    return one.crossJoin(held.table("edge").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight")))  # one row each
+
+
+def toy_graph(spark: SparkSession) -> Graph:
+    """Five vertices of label 0 and the edges 2-3, 2-1, 1-0, 2-4 of label 0."""
+    return Graph(spark.createDataFrame([(i,) for i in range(5)], "vid long"), spark.createDataFrame([(i, 0) for i in range(5)], "vid long, vl int"), spark.createDataFrame([(2, 3, 0), (2, 1, 0), (1, 0, 0), (2, 4, 0)], "src long, dst long, el int"))
+
+
+TOY = Pattern.of([(0, 1, 0), (1, 2, 0)], {0: 0, 1: 0, 2: 0})
+
+
+def _toy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = toy_graph(spark)
+    fixed: list[Estimator] = [m() for m in FIXED] + [sampling.CorrelatedSampling(1.0), sampling.JSub(full=True)]
+    rows = [("exact", float(exact.count(g, TOY).head()[0]))] + [(m.name, cut(m.estimate(g, TOY))) for m in fixed]
+    rows += [("wj", sampling.WanderJoin().estimate(g, TOY)), ("impr", random_walk.RandomWalk().estimate(g, TOY))]
+    return spark.createDataFrame(rows, "method string, est double")
+
+
 def _types(g: Graph) -> DataFrame:
     t = g.vertex_types()
     return t.select(*[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("vls", "outs", "ins")]).groupBy("vls", "outs", "ins").agg(F.count(F.lit(1)).alias("n"))
@@ -62,7 +110,8 @@ def _histogram(g: Graph) -> DataFrame:
 
 
 def _summary_edges(g: Graph) -> DataFrame:
-    return typed_summary.summary_edges(g)
+    types = g.vertex_types()
+    return typed_summary.summary_edges(g.edges, typed_summary.membership(types, typed_summary.buckets(types)))
 
 
 def _sketch(kind: str) -> Callable[[Graph], DataFrame]:
@@ -81,17 +130,18 @@ def _sample(g: Graph) -> DataFrame:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    names = ("chain3", "triangle", "wedge_in")
-    ps = {n: PATTERNS[n] for n in names}
+    g = star_graph(spark, sf_dir).stored(Store.scratch(spark))
+    ps = {n: PATTERNS[n] for n in REPORTED}
     truth = spark.createDataFrame([(n, int(exact.count(g, p).head()[0])) for n, p in ps.items()], "query string, matches long")
     trials = run_trials(spark, g, ps, [m() for m in FIXED], 1)
-    return qerror_report(qerrors(trials, truth))
+    report = qerror_report(qerrors(trials, truth))
+    return report.select("method", *[F.format_string("%.8e", c).cast("double").alias(c) for c in report.columns[1:]])
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = star_graph(spark, sf_dir)
-    return trial_stats(run_trials(spark, g, {"chain3": PATTERNS["chain3"]}, [sampling.CorrelatedSampling(), sampling.JSub()], 3)).drop("avg_ms")
+    g = star_graph(spark, sf_dir).stored(Store.scratch(spark))
+    stats = trial_stats(run_trials(spark, g, {"chain3": PATTERNS["chain3"]}, [sampling.CorrelatedSampling()], 3)).drop("avg_ms")
+    return stats.select("query", "method", *[F.format_string("%.8e", c).cast("double").alias(c) for c in ("avg_est", "var_pop")], F.array_join(F.transform("ests", lambda x: F.format_string("%.8e", x)), ",").alias("ests"))
 
 
 QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p)) for n, p in PATTERNS.items()} | {
@@ -101,7 +151,11 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "in_degree": _over(lambda g: g.degree(False).select("vid", "el", "deg")),
     "vertex_types": _over(_types),
     "neighbours_sorted": _over(lambda g: g.neighbours().select("vid", "el", F.concat_ws(",", F.col("adj").cast("array<string>")).alias("adj"))),
-    "edge_exists": _over(lambda g: g.existing(g.of_label(4).select("src", "dst", F.lit(4).alias("el")))),
+    "neighbours_in_sorted": _over(lambda g: g.neighbours(False).select("vid", "el", F.concat_ws(",", F.col("adj").cast("array<string>")).alias("adj"))),
+    "vlabel_cardinality": _over(lambda g: g.vlabel_cardinality()),
+    "elabel_cardinality": _over(lambda g: g.elabel_cardinality()),
+    "elabel_ordinal": _over(lambda g: g.elabel_ordinal(5)),
+    "edge_exists": _over(_edge_exists),
     "has_vlabel": _over(lambda g: g.having_vlabel(g.vertices, 6)),
     "has_elabel": _over(lambda g: g.having_elabel(g.vertices, 6)),
     "ith_edge": _over(lambda g: g.ranked_edges().where("i = 7").select("el", "src", "dst")),
@@ -113,7 +167,8 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "bsk_sketch_unc": _over(_sketch("count")),
     "bsk_sketch_con": _over(_sketch("degree")),
     "cs_sample": _over(_sample),
-    "cset_est": _estimates(charsets.CharacteristicSets, ("chain3", "star3", "wedge_in")),
+    "cset_rule": _rule,
+    "cset_est": _estimates(charsets.CharacteristicSets, ("chain3", "star3", "triangle", "wedge_in")),
     "bsk_est": _estimates(bound_sketch.BoundSketch, ("chain3", "triangle", "wedge_in")),
     "sumrdf_est": _estimates(typed_summary.TypedSummary, ("chain3", "triangle", "wedge_in")),
     "cs_est": _estimates(sampling.CorrelatedSampling, ("chain3", "star3")),
@@ -121,15 +176,14 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle")),
     "impr_est": _estimates(random_walk.RandomWalk, ("chain3", "wedge_in")),
     "jsub_full_est": _estimates(lambda: sampling.JSub(full=True), ("chain3", "star3", "wedge_in")),
+    "sumrdf_refined": _refined,
+    "toy_values": _toy,
     "trial_stats": _stats,
     "qerror_report": _report,
 }
 
 _WITH = star_sql()
-_TYPES = """, vs AS (SELECT vid, string_agg(vl::VARCHAR, ',' ORDER BY vl) AS vls FROM vlabels GROUP BY vid),
-os AS (SELECT vid, string_agg(el::VARCHAR, ',' ORDER BY el) AS outs, string_agg(el || ':' || deg, ',' ORDER BY el) AS freq FROM (SELECT src AS vid, el, count(*) AS deg FROM edges GROUP BY src, el) x GROUP BY vid),
-ns AS (SELECT vid, string_agg(el::VARCHAR, ',' ORDER BY el) AS ins FROM (SELECT DISTINCT dst AS vid, el FROM edges) x GROUP BY vid),
-ty AS (SELECT vs.vid, vls, coalesce(outs, '') AS outs, coalesce(ins, '') AS ins FROM vs LEFT JOIN os ON vs.vid = os.vid LEFT JOIN ns ON vs.vid = ns.vid)"""
+_TYPES = estimate_sql.TYPES
 
 
 def _charset_sql(side: str, key: str) -> str:
@@ -147,7 +201,12 @@ ORACLES: dict[str, str] = {f"exact_{n}": f"{_WITH} {exact.count_sql(p)}" for n,
     "in_degree": f"{_WITH} SELECT dst AS vid, el, count(*)::BIGINT AS deg FROM edges GROUP BY dst, el",
     "vertex_types": f"{_WITH}{_TYPES} SELECT vls, outs, ins, count(*)::BIGINT AS n FROM ty GROUP BY vls, outs, ins",
     "neighbours_sorted": f"{_WITH} SELECT src AS vid, el, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS adj FROM edges GROUP BY src, el",
-    "edge_exists": f"{_WITH} SELECT src, dst, el FROM edges WHERE el = 4",
+    "neighbours_in_sorted": f"{_WITH} SELECT dst AS vid, el, string_agg(src::VARCHAR, ',' ORDER BY src) AS adj FROM edges GROUP BY dst, el",
+    "vlabel_cardinality": f"{_WITH} SELECT vid, count(DISTINCT vl)::BIGINT AS n FROM vlabels GROUP BY vid",
+    "elabel_cardinality": f"{_WITH}, own AS (SELECT src, count(DISTINCT el) AS n FROM edges GROUP BY src) SELECT v.vid, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT vid FROM vlabels) v LEFT JOIN own ON v.vid = own.src",
+    "elabel_ordinal": f"{_WITH}, own AS (SELECT src, list(DISTINCT el ORDER BY el) AS els FROM edges GROUP BY src) SELECT v.vid, (coalesce(list_position(els, 5), 0) - 1)::BIGINT AS i FROM (SELECT DISTINCT vid FROM vlabels) v LEFT JOIN own ON v.vid = own.src",
+    "edge_exists": f"""{_WITH}, own AS (SELECT src, dst FROM edges WHERE el = 4), asked AS (SELECT src, dst, 4 AS el FROM own UNION SELECT dst, src, 4 FROM own UNION SELECT src, dst + 1, 4 FROM own UNION SELECT src, dst, 6 FROM own)
+SELECT src, dst, el FROM asked INTERSECT SELECT src, dst, el FROM edges""",
     "has_vlabel": f"{_WITH} SELECT vid FROM vlabels WHERE vl = 6",
     "has_elabel": f"{_WITH} SELECT DISTINCT src AS vid FROM edges WHERE el = 6",
     "ith_edge": f"{_WITH} SELECT el, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY el ORDER BY src, dst) AS i FROM edges) x WHERE i = 8",
@@ -161,4 +220,29 @@ SELECT a.bucket AS bs, el, b.bucket AS bd, count(*)::BIGINT AS w FROM edges JOIN
     "bsk_sketch_unc": f"{_WITH} SELECT src % 64 AS h0, dst % 64 AS h1, count(*)::BIGINT AS value FROM edges WHERE el = 5 GROUP BY src % 64, dst % 64",
     "bsk_sketch_con": f"{_WITH} SELECT dst % 64 AS h, max(n)::BIGINT AS value FROM (SELECT dst, count(*) AS n FROM edges WHERE el = 5 GROUP BY dst) x GROUP BY dst % 64",
     "cs_sample": f"{_WITH} SELECT src, dst FROM edges WHERE el = 5 AND (((2862933555777941757::HUGEINT * src + 3037000493) % 18446744073709551616::HUGEINT) % 2305843009213693951::HUGEINT)::DOUBLE / 2305843009213693951::DOUBLE < 0.03",
+    "cset_rule": f"{_WITH}{_TYPES}{estimate_sql.charsets_sql()} SELECT nb::BIGINT AS nb, width::BIGINT AS width FROM rule",
+    "toy_values": "SELECT * FROM (VALUES ('exact', 1.0::DOUBLE), ('cset', 0.45::DOUBLE), ('bsk', 1.0::DOUBLE), ('sumrdf', 1.0::DOUBLE), ('cs', 1.0::DOUBLE), ('jsub', 1.0::DOUBLE), ('wj', 0.0::DOUBLE), ('impr', 0.0::DOUBLE)) t(method, est)",
+}
+
+
+def _est_sql(ctes: str, value: Callable[[Pattern], str], names: tuple[str, ...]) -> str:
+    return f"{_WITH}{ctes} " + " UNION ALL ".join(f"SELECT '{n}' AS query, {estimate_sql.digits9(value(PATTERNS[n]))} AS est" for n in names)
+
+
+_CSETS = _TYPES + estimate_sql.charsets_sql()
+ORACLES |= {
+    "cset_est": _est_sql(_CSETS, estimate_sql.cset, ("chain3", "star3", "triangle", "wedge_in")),
+    "bsk_est": _est_sql("", estimate_sql.bsk, REPORTED),
+    "sumrdf_est": _est_sql(_TYPES + estimate_sql.SUMMARY, estimate_sql.sumrdf, REPORTED),
+    "cs_est": _est_sql("", estimate_sql.cs, ("chain3", "star3")),
+    "jsub_full_est": _est_sql("", lambda p: f"({exact.count_sql(p)})", ("chain3", "star3", "wedge_in")),
+}
+_FIXED_SQL = {"cset": estimate_sql.cset, "bsk": estimate_sql.bsk, "sumrdf": estimate_sql.sumrdf}
+_ALL_ESTS = " UNION ALL ".join(f"SELECT '{m}' AS method, ({f(PATTERNS[n])})::DOUBLE AS est, ({exact.count_sql(PATTERNS[n])})::DOUBLE AS truth" for m, f in _FIXED_SQL.items() for n in REPORTED)
+_CS_TRIALS = " UNION ALL ".join(f"SELECT {i} AS seed, {estimate_sql.cs(PATTERNS['chain3'], 0.03, i)} AS est" for i in range(3))
+ORACLES |= {
+    "qerror_report": f"{_WITH}{_CSETS}{estimate_sql.SUMMARY}, ests AS ({_ALL_ESTS}), q AS (SELECT method, greatest(greatest(est, 1) / greatest(truth, 1), greatest(truth, 1) / greatest(est, 1)) AS qerr FROM ests) SELECT method, "
+    + ", ".join(f"{estimate_sql.digits9(x)} AS {n}" for n, x in [("mean", "avg(qerr)"), ("std", "stddev(qerr)"), *[(f"p{c}", f"quantile_cont(qerr, {c / 100})") for c in (5, 25, 50, 75, 95)]])
+    + " FROM q GROUP BY method",
+    "trial_stats": f"{_WITH}, t AS ({_CS_TRIALS}) SELECT 'chain3' AS query, 'cs' AS method, {estimate_sql.digits9('avg(est)')} AS avg_est, {estimate_sql.digits9('var_pop(est)')} AS var_pop, string_agg(format('{{:.8e}}', est), ',' ORDER BY seed) AS ests FROM t",
 }

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 
-#: Distance between the id ranges of two kinds.
-KIND = 10_000_000
+#: Distance between the id ranges of two kinds: a kind's keys may reach 2**56.
+KIND = 1 << 56
 ENTITIES = (("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"))
 #: edge label -> table, source kind and key, destination kind and key, whether keys repeat.
 EDGES = (

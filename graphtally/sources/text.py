@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..plans.store import Store
 
 
 def read_text(spark: SparkSession, path: str, dedup: bool = True) -> Graph:
@@ -32,11 +33,15 @@ def text_lines(g: Graph) -> DataFrame:
 
 
 def write_parquet(g: Graph, path: str) -> None:
-    """Edges by label, sorted by end points: a label's relation is one directory."""
-    g.vertices.write.mode("ignore").parquet(f"{path}/vertices")
-    g.vlabels.write.mode("ignore").parquet(f"{path}/vlabels")
-    g.edges.repartition("el", F.pmod(F.xxhash64("src"), F.lit(64))).sortWithinPartitions("el", "src", "dst").write.mode("ignore").partitionBy("el").parquet(f"{path}/edges")
+    """Edges by label, sorted by end points: a label's relation is one directory. Tables that are there to their end stay."""
+    g.stored(Store(g.edges.sparkSession, path))
 
 
 def read_parquet(spark: SparkSession, path: str) -> Graph:
-    return Graph(*(spark.read.parquet(f"{path}/{t}") for t in ("vertices", "vlabels")), spark.read.parquet(f"{path}/edges").select("src", "dst", "el"))
+    store = Store(spark, path)
+    return Graph(store.table("vertices"), store.table("vlabels"), store.table("edges").select("src", "dst", "el"))
+
+
+def built(spark: SparkSession, path: str) -> bool:
+    """Whether a graph was written there to its end."""
+    return all(Store(spark, path).has(t) for t in ("vertices", "vlabels", "edges"))

@@ -1,12 +1,16 @@
 import itertools
 import random
+import time
 
 import pytest
+from pyspark.sql.functions import udf
 
 from graphtally.operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
 from graphtally.operators.graph import Graph
-from graphtally.plans.harness import qerror_report, qerrors, result_lines, run_trials, trial_stats
+from graphtally.plans import cli
+from graphtally.plans.harness import error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
 from graphtally.plans.pattern import Pattern, relations
+from graphtally.plans.store import Store
 from graphtally.sources import text
 
 
@@ -95,3 +99,156 @@ def test_harness(spark, toy):
     errors = qerrors(t, spark.createDataFrame([("toy", 1)], "query string, matches long"))
     assert {r["method"]: r["p50"] for r in qerror_report(errors).collect()} == {"bsk": 1.0, "cs": 1.0}
     assert all(r["value"].startswith("toy 1.0") for r in result_lines(trial_stats(t)).collect())
+
+
+def plain_refinement(labels, edges, n, ratio, threshold, least):
+    """The refinement step by step on lists: bucket of each vertex, by its least vertex."""
+    def wrap(x):
+        return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+
+    own = {v: tuple(sorted(x for u, x in labels if u == v)) for v in range(n)}
+    types = {v: (own[v], tuple(sorted({el for s, _, el in edges if s == v})), tuple(sorted({el for _, d, el in edges if d == v}))) for v in range(n)}
+    first = {}
+    for v in range(n):
+        first.setdefault(types[v], v)
+    numbers = {b: i for i, b in enumerate(first.values())}
+    root = {i: i for i in numbers.values()}
+    classes = {}
+    for t, b in first.items():
+        classes.setdefault(t[0], []).append(numbers[b])
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    at = {v: numbers[first[types[v]]] for v in range(n)}
+    summary = {(at[s], el, at[d]) for s, d, el in edges}
+    data = 4 * (n + 2 * len(edges) + len(labels))
+    target, before = max((ratio * data - 4 * n) / 12, least), len(summary)
+    ab, erased, now = typed_summary.scheme().tolist(), set(), before
+    while before > target:
+        for own_buckets in classes.values():
+            sig = {}
+            for b in own_buckets:
+                pairs = [el * 127 + d for s, el, d in summary if s == b] + [s * 127 + el for s, el, d in summary if d == b]
+                sig[b] = [min([wrap(wrap(p * 31) * x + y) for p in pairs], default=(1 << 31) - 1) for x, y in ab]
+            for row in range(40):
+                bins = {}
+                for b in own_buckets:
+                    if b not in erased:
+                        h = wrap(31 * wrap(31 + sig[b][2 * row]) + sig[b][2 * row + 1])
+                        bins.setdefault((h ^ ((h & 0xFFFFFFFF) >> 16)) & 32767, []).append(b)
+                for lst in bins.values():
+                    for b2 in lst[1:]:
+                        if sum(x == y for x, y in zip(sig[lst[0]], sig[b2])) / 80 >= threshold:
+                            erased.add(b2)
+                            root[b2] = lst[0]
+                            break
+        summary = {(find(s), el, find(d)) for s, el, d in summary}
+        now = len(summary)
+        if now <= target or before - now < 1000:
+            break
+        before = now
+    if now > target:
+        alive = [b for b in root if root[b] == b]
+        names = {numbers[b]: t[0] for t, b in first.items()}
+        size = 4 * (2 * len(alive) + 3 * now + n + sum(len(names[b]) for b in alive))
+        k = max(1, int(size / data / ratio))
+        groups = list(classes.values())
+        for t in range(0, len(groups), k):
+            mine = sorted(b for x in groups[t : t + k] for b in x if b not in erased)
+            for b in mine[1:]:
+                root[b] = mine[0]
+    back = {i: b for b, i in numbers.items()}
+    return {v: back[find(at[v])] for v in range(n)}
+
+
+@pytest.mark.parametrize(("ratio", "threshold", "least"), [(0.03, 0.15, 10), (0.03, 0.9, 40), (0.5, 0.3, 25), (0.03, 0.15, 10000)])
+def test_refinement(spark, ratio, threshold, least):
+    r = random.Random(9)
+    edges = sorted({(r.randrange(40), r.randrange(40), r.randrange(4)) for _ in range(90)})
+    labels = [(v, v % 3) for v in range(40)]
+    g = graph(spark, 40, labels, edges)
+    held = typed_summary.TypedSummary(ratio, threshold, least).summarize(g, Store.scratch(spark))
+    want = plain_refinement(labels, edges, 40, ratio, threshold, least)
+    assert {x["vid"]: x["bucket"] for x in held.table("member").collect()} == want
+    count = {}
+    for s, d, el in edges:
+        count[want[s], el, want[d]] = count.get((want[s], el, want[d]), 0) + 1
+    assert {(x["bs"], x["el"], x["bd"]): x["w"] for x in held.table("edge").collect()} == count
+    for x in held.table("bucket").collect():
+        own = [v for v in want if want[v] == x["bucket"]]
+        assert x["w"] == len(own) and x["vls"] == sorted({v % 3 for v in own})
+        assert x["outs"] == sorted({el for s, _, el in edges if s in own}) and x["ins"] == sorted({el for _, d, el in edges if d in own})
+    if least == 10000:
+        assert held.table("edge").count() == held.table("typed_edge").count()
+
+
+def test_positions_and_cardinalities(spark):
+    r = random.Random(3)
+    edges = sorted({(r.randrange(9), r.randrange(9), r.randrange(3)) for _ in range(80)})
+    g = graph(spark, 10, [(i, i % 2) for i in range(9)] + [(0, 5)], edges)
+    by = {el: sorted((s, d) for s, d, x in edges if x == el) for el in range(3)}
+    assert {(x["el"], x["i"]): (x["src"], x["dst"]) for x in g.ranked_edges().collect()} == {(el, i): e for el, own in by.items() for i, e in enumerate(own)}
+    assert {(x["vl"], x["i"]): x["vid"] for x in g.ranked_vertices().collect()}[5, 0] == 0
+    for x in g.ranked_adjacency(False).groupBy("vid", "el").agg({"i": "max", "deg": "max", "other": "count"}).collect():
+        assert x["max(i)"] + 1 == x["max(deg)"] == x["count(other)"] == sum(d == x["vid"] and el == x["el"] for _, d, el in edges)
+    assert {x["vid"]: x["n"] for x in g.vlabel_cardinality().collect()} == {v: (2 if v == 0 else 1 if v < 9 else 0) for v in range(10)}
+    outs = {v: sorted({el for s, _, el in edges if s == v}) for v in range(10)}
+    assert {x["vid"]: x["n"] for x in g.elabel_cardinality().collect()} == {v: len(outs[v]) for v in outs}
+    assert {x["vid"]: x["i"] for x in g.elabel_ordinal(1).collect()} == {v: outs[v].index(1) if 1 in outs[v] else -1 for v in outs}
+    drawn = [x["vid"] for x in sampling.random_vertices(g, 0, 400, 7).collect()]
+    assert len(drawn) == 400 and set(drawn) == {0, 2, 4, 6, 8}
+
+
+def test_join_order_and_trees():
+    triangle = Pattern.of([(0, 1, 4), (1, 2, 6), (0, 2, 5)])
+    stats = {"el": {4: 600, 5: 600, 6: 590}, "src": {4: 150, 5: 150, 6: 20}, "dst": {4: 20, 5: 10, 6: 10}, "vl": {}, "v": 200}
+    assert set(triangle.join_order(stats)[:2]) == {0, 2}  # orders with few rows each, not suppliers with very many
+    trees = sampling.tree_plans(triangle, 24)
+    assert {(t[0], frozenset(t)) for t in trees} == {(s, frozenset((s, o))) for s in range(3) for o in range(3) if o != s}
+    assert [t[0] for t in itertools.islice(sampling.walk_plans(Pattern.of([(0, i, 0) for i in range(1, 6)]), 5), 5)] == [0, 1, 2, 3, 4]
+
+
+def test_summary_is_built_once(spark, toy, tmp_path):
+    for m in (charsets.CharacteristicSets(), bound_sketch.BoundSketch(16), typed_summary.TypedSummary()):
+        store = Store(spark, f"file://{tmp_path}/{m.name}")
+        m.summarize(toy, store)
+        size = store.size()
+        m.summarize(toy, store)
+        assert store.size() == size > 0
+        assert m.estimate(toy, TOY, 0, Store(spark, store.path)) == pytest.approx(m.estimate(toy, TOY))
+    assert bound_sketch.BoundSketch().formula_text(TOY, [0, 3], {4: 1}) == "count v0(x0) * count e0(x0,x1) * degree of x1 in e0(x1,x2)"
+
+
+def test_timeout_and_errors(spark, toy):
+    class Slow(sampling.CorrelatedSampling):
+        name = "slow"
+
+        def estimate(self, g, p, seed=0, summary=None):
+            wait = udf(lambda x: time.sleep(20) or x, "long")
+            return float(g.vertices.select(wait("vid")).count() + g.vertices.select(wait("vid")).agg({"<lambda>(vid)": "sum"}).head()[0])
+
+    class Broken(sampling.CorrelatedSampling):
+        name = "broken"
+
+        def estimate(self, g, p, seed=0, summary=None):
+            return g.vertices.select("nothing").count()
+
+    t = run_trials(spark, toy, {"toy": TOY}, [Slow(), Broken()], 2, timeout=2.0)
+    assert sorted((r["method"], r["status"]) for r in t.collect()) == [("broken", "error"), ("broken", "error"), ("slow", "timeout")]
+    assert {r["value"] for r in error_lines(t).collect()} == {"toy 1", "toy 2"}
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "g.txt").write_text("t # 1\nv 0 0\nv 1 0\nv 2 0\nv 3 0\nv 4 0\ne 2 3 0\ne 2 1 0\ne 1 0 0\ne 2 4 0\n")
+    (tmp_path / "queries" / "a").mkdir(parents=True)
+    (tmp_path / "queries" / "a" / "toy.txt").write_text("t # s 1\nv 0 0 -1\nv 1 0 -1\nv 2 0 -1\ne 0 1 0\ne 1 2 0\n")
+    data = str(tmp_path / "g.txt")
+    assert cli.main(["-b", "-m", "bsk", "-d", data, "--budget", "16"]) == 0 and (tmp_path / "g.txt.bsk.b16" / "sketch" / "_SUCCESS").exists()
+    for name, est in (("bsk", "1"), ("cset", "0.45")):
+        cli.main(["-q", "-m", name, "-d", data, "-i", str(tmp_path / "queries"), "-o", str(tmp_path / "out.txt"), "--budget", "16"])
+        one, two = (tmp_path / "out.txt").read_text().splitlines()
+        assert one.startswith("a/toy.txt ") and float(one.split()[1]) == pytest.approx(float(est)) and two.split()[0] == "1"
+        assert (tmp_path / "out.txt.err").read_text() == ""

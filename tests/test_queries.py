@@ -2,18 +2,24 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from graphtally.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.mark.parametrize("name", ["exact_triangle", "exact_labelled", "cset_forward", "vertex_types", "cs_sample"])
-def test_against_sql(spark, name):
-    con = duckdb.connect()
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = entry.queries()[name](spark, SF)
-    r = con.execute(entry.oracle_sql()[name])
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, con, name):
+    df = QUERIES[name](spark, SF)
+    r = con.execute(ORACLES[name])
     names = [c[0] for c in r.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(r.fetchall(), key=str)
