@@ -143,12 +143,47 @@ def test_pieces(spark, rows):
 
 
 def test_webp(spark, rows):
-    for payload in (b"\0" * 64, bytes(range(256)), random.Random(1).randbytes(640), b"ab" * 64):
-        assert webp.load(webp.store(payload)).tobytes() == payload
+    r = random.Random(1)
+    payloads = [b"\0" * 64, bytes(range(256)), r.randbytes(640), b"ab" * 64, b"a" * 6400, bytes((x + y) & 255 for y in range(50) for x in range(64)), r.randbytes(64 * webp.SIDE + 192)]
+    payloads += [bytes(r.choices(range(k), k=64 * r.randint(1, 20))) for k in (1, 2, 3, 4, 5, 15, 16, 17) for _ in range(4)]
+    for payload in payloads:
+        assert webp.load(webp.store(payload), len(payload)).tobytes() == payload
     for r in webp.media(table(spark, rows)).join(table(spark, rows).select("doc_id", "text").distinct(), "doc_id").collect():
         raw = (r.text or "").encode()
         padded = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+    assert webp.media(table(spark, [])).count() == 0
+
+
+def test_webp_features_met_by_the_table(spark, monkeypatch):
+    """What the stored forms of a table's texts hold: references and palettes are met, and a predictor where it pays."""
+    met = collections.Counter()
+    for name in ("_undo_palette", "_undo_predictor", "_add_green", "_reference"):
+        f = getattr(webp, name)
+        monkeypatch.setattr(webp, name, lambda *a, f=f, name=name: (met.update([name]), f(*a))[1])
+    texts = [(r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for t in [*texts, b"", b"aab", b"01" * 500]:
+        payload = t + b"\0" * (max(64, -(-len(t) // 64) * 64) - len(t))
+        assert webp.load(webp.store(payload), len(payload)).tobytes() == payload
+    assert met["_reference"] > 1000 and met["_add_green"] > 100 and met["_undo_palette"] > 0
+    ramp = bytes((3 * x + 5 * y + (x * y) % 3) & 255 for y in range(64) for x in range(64))
+    assert webp.load(webp.store(ramp), len(ramp)).tobytes() == ramp and met["_undo_predictor"] > 0
+
+
+def test_cross_colour():
+    r = random.Random(5)
+    px = np.array([r.getrandbits(32) for _ in range(64)], np.uint32)
+    parts = np.array([r.getrandbits(32) for _ in range(4)], np.uint32)  # blocks of 4 x 4 in 8 x 8 pixels
+    got = webp._split(webp._undo_cross(px, 8, 8, 2, parts)).tolist()
+
+    def signed(v):
+        return v - 256 if v > 127 else v
+
+    for i, (a, red, green, blue) in enumerate(webp._split(px).tolist()):
+        _, red_to_blue, green_to_blue, green_to_red = webp._split(parts)[(i // 8 >> 2) * 2 + (i % 8 >> 2)].tolist()
+        red = (red + (signed(green_to_red) * signed(green) >> 5)) & 255
+        blue = (blue + (signed(green_to_blue) * signed(green) >> 5) + (signed(red_to_blue) * signed(red) >> 5)) & 255
+        assert got[i] == [a, red, green, blue]
 
 
 def test_webp_features_of_the_format():
@@ -190,8 +225,24 @@ def test_predictor(mode):
     got = webp._split(webp._undo_predictor(px, 4, 3, 2, np.array([mode << 8], np.uint32)))
     assert got[0].tolist() == [(a + b) & 255 for a, b in zip(webp._split(px)[0].tolist(), [255, 0, 0, 0], strict=True)]
     c, d = got.tolist(), webp._split(px).tolist()
-    if mode == 7:
-        assert c[5] == [(x + ((a + b) >> 1)) & 255 for x, a, b in zip(d[5], c[4], c[1], strict=True)]
+
+    def foretold(i):
+        left, top, corner, right = c[i - 1], c[i - 4], c[i - 5], c[i - 3]
+        half = [(a + b) // 2 for a, b in zip(left, top, strict=True)]
+        if mode == 11:
+            near = sum(abs(t - k) for t, k in zip(top, corner, strict=True)), sum(abs(x - k) for x, k in zip(left, corner, strict=True))
+            return left if near[0] < near[1] else top
+        one = {
+            0: lambda k: (255, 0, 0, 0)[k], 1: lambda k: left[k], 2: lambda k: top[k], 3: lambda k: right[k], 4: lambda k: corner[k], 5: lambda k: ((left[k] + right[k]) // 2 + top[k]) // 2,
+            6: lambda k: (left[k] + corner[k]) // 2, 7: lambda k: half[k], 8: lambda k: (corner[k] + top[k]) // 2, 9: lambda k: (top[k] + right[k]) // 2,
+            10: lambda k: ((left[k] + corner[k]) // 2 + (top[k] + right[k]) // 2) // 2, 12: lambda k: min(255, max(0, left[k] + top[k] - corner[k])),
+            13: lambda k: min(255, max(0, half[k] + int((half[k] - corner[k]) / 2))),
+        }[mode]
+        return [one(k) for k in range(4)]
+
+    for i in (5, 6, 7, 9, 10, 11):
+        assert c[i] == [(x + y) & 255 for x, y in zip(d[i], foretold(i), strict=True)]
+    assert c[2] == [(x + y) & 255 for x, y in zip(d[2], c[1], strict=True)] and c[8] == [(x + y) & 255 for x, y in zip(d[8], c[4], strict=True)]
 
 
 def test_langid(spark):
