@@ -10,6 +10,7 @@ references, a packed palette and a predictor and keeps the shortest file.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +34,9 @@ NEAR = (
 )
 
 
+_REVERSED = sum(((np.arange(1 << 15) >> i & 1) << (14 - i)) for i in range(15)).tolist()
+
+
 class Bits:
     """Reads a stream from its least significant bit."""
 
@@ -61,19 +65,23 @@ class Prefix:
         self.only = used[0][1] if len(used) == 1 else None
         self.width = 0 if self.only is not None else max(n for n, _ in used)
         self.symbol, self.length = np.zeros(1 << self.width, np.int32), np.zeros(1 << self.width, np.uint8)
+        self.is_long = np.zeros(1 << self.width, bool)
         if self.only is not None:
             self.symbol[0] = self.only
             return
         if sum(1 << (self.width - n) for n, _ in used) != 1 << self.width:
             raise ValueError("prefix code lengths that do not fill the tree")
         for (n, s), code in zip(sorted(used), canonical([n for n, _ in sorted(used)]), strict=True):
-            low = int(format(code, f"0{n}b")[::-1], 2)
+            low = _REVERSED[code] >> (15 - n)
             self.symbol[low :: 1 << n], self.length[low :: 1 << n] = s, n
-        self._s, self._n = self.symbol.tolist(), self.length.tolist()
+        self.is_long = self.symbol >= 256
+        self._s: list[int] = []
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
+        if not self._s:
+            self._s, self._n = self.symbol.tolist(), self.length.tolist()
         k = bits.peek(self.width)
         bits.at += self._n[k]
         if bits.at > bits.limit:
@@ -190,44 +198,87 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
 def _greens(bits: Bits, codes: tuple[Prefix, ...], total: int, width: int) -> np.ndarray | None:
     """Pixels of one code group without a cache whose other channels are constant: literals and back references; None for any other."""
     green, red, blue, alpha, far = codes
-    if any(c.only is None for c in (red, blue, alpha)):
+    if any(c.only is None for c in (red, blue, alpha)) or (green.only is not None and green.only >= 256):
         return None
     base = alpha.only << 24 | red.only << 16 | blue.only
-    if green.only is not None and green.only < 256:
+    if green.only is not None:
         return np.full(total, base | green.only << 8, np.uint32)
-    table, mask = (green.symbol << 4 | green.length).tolist(), (1 << green.width) - 1
-    start = bits.at >> 3
-    words = np.frombuffer(bits.data[start:] + bytes(16 - (len(bits.data) - start) % 8), "<u8").tolist()
-    held, left, at = words[0] >> (bits.at & 7), 64 - (bits.at & 7), 1
-    out, got = bytearray(), 0
-    append = out.append
-    while got < total:
-        if left < 16:
-            if at > len(words):
-                raise ValueError("the stream ends early")
-            held |= (words[at] if at < len(words) else 0) << left
-            left, at = left + 64, at + 1
-        entry = table[held & mask]
-        n = entry & 15
-        held >>= n
-        left -= n
-        if entry < 4096:
-            append(entry >> 4)
-            got += 1
-            continue
-        bits.at = 8 * start + 64 * at - left
-        run, d = _reference(bits, entry >> 4, far, width)
-        if d > got or got + run > total:
-            raise ValueError("a back reference outside the image")
-        out += out[-d : got - d + run] if run < d else (bytes(out[-d:]) * (run // d + 1))[:run]
-        got += run
-        place = bits.at - 8 * start
-        at = place // 64 + 1
-        held, left = (words[at - 1] if at <= len(words) else 0) >> (place & 63), 64 - (place & 63)
-    bits.at = 8 * start + 64 * at - left
+    # At every bit position: the symbol that would start there, and the bits of its whole token.
+    byte = bits.at >> 3
+    raw = np.frombuffer(bits.data, np.uint8, offset=byte)
+    room = np.concatenate((raw, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(raw) + 8,), "<u8", room.data, 0, (1,))
+
+    def window(at: np.ndarray, n: int) -> np.ndarray:
+        return (eight[np.minimum(at >> 3, len(raw))] >> (at & 7).astype(np.uint64) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+    words = np.ndarray((len(raw),), "<u4", room.data, 0, (1,)).astype(np.int64)
+    slot = ((words[:, None] >> np.arange(8)) & ((1 << green.width) - 1)).ravel()
+    steps = green.length[slot]
+    refs = np.flatnonzero(green.is_long[slot]) if green.is_long.any() else np.zeros(0, np.int64)
+    if len(refs):
+        n = _EXTRA[green.symbol[slot[refs]] - 256]
+        at = refs + steps[refs] + n
+        key = window(at, far.width)
+        steps[refs] += (n + far.length[key] + _EXTRA[far.symbol[key]]).astype(np.uint8)
+    jump, at, top, places = steps.tobytes(), bits.at & 7, len(steps), []
+    append = places.append
+    for _ in range(total):
+        if at >= top:
+            break
+        append(at)
+        at += jump[at]
+    place = np.array(places, np.int64)
+    symbol = green.symbol[slot[place]]
+    ref = np.flatnonzero(symbol >= 256)
+    size = np.ones(len(place), np.int64)
+    if len(ref):
+        first = place[ref] + green.length[slot[place[ref]]]
+        kind = symbol[ref] - 256
+        size[ref] = _base(kind) + window(first, 24) % (1 << _EXTRA[kind])
+        first += _EXTRA[kind]
+        kind = far.symbol[window(first, far.width)]
+        first += far.length[window(first, far.width)]
+        d = _base(kind) + window(first, 24) % (1 << _EXTRA[kind])
+    end = np.cumsum(size)
+    upto = int(np.searchsorted(end, total))  # tokens up to the last pixel; what follows is padding
+    if upto == len(end) or end[upto] != total:
+        raise ValueError("the stream ends early" if upto == len(end) else "a back reference outside the image")
+    bits.at = 8 * byte + int(place[upto]) + int(steps[place[upto]])
     if bits.at > bits.limit:
         raise ValueError("the stream ends early")
-    return np.frombuffer(bytes(out), np.uint8).astype(np.uint32) << 8 | np.uint32(base)
+    out = np.zeros(total, np.uint8)
+    plain = np.flatnonzero(symbol[: upto + 1] < 256)
+    out[end[plain] - 1] = symbol[plain]
+    if len(ref):
+        some = ref <= upto
+        start = (end - size)[ref[some]]
+        d = np.where(d[some] > len(NEAR), d[some] - len(NEAR), np.maximum(1, (_NEAR_XY[:, 0] + _NEAR_XY[:, 1] * width)[np.minimum(d[some], len(NEAR)) - 1]))
+        if (d > start).any():
+            raise ValueError("a back reference outside the image")
+        _copy(out, start.tolist(), d.tolist(), size[ref[some]].tolist())
+    return out.astype(np.uint32) << 8 | np.uint32(base)
+
+
+def _copy(out: np.ndarray, start: list[int], back: list[int], size: list[int]) -> None:
+    """Carry out references in order; one longer than its distance repeats what it makes."""
+    px = memoryview(out)
+    for at, d, n in zip(start, back, size, strict=True):
+        if n <= d:
+            px[at : at + n] = px[at - d : at - d + n]
+        else:
+            px[at : at + n] = (bytes(px[at - d : at]) * (n // d + 1))[:n]
+
+
+_NEAR_XY = np.array(NEAR, np.int64)
+#: Extra bits of length and distance symbols.
+_EXTRA = np.array([0, 0, 0, 0, *[(i - 2) >> 1 for i in range(4, 40)]], np.int64)
+
+
+def _base(symbol: np.ndarray) -> np.ndarray:
+    """Least value of length or distance symbols."""
+    symbol = symbol.astype(np.int64)
+    return np.where(symbol < 4, symbol, (2 + (symbol & 1)) << _EXTRA[symbol]) + 1
 
 
 def _reference(bits: Bits, symbol: int, far: Prefix, width: int) -> tuple[int, int]:
@@ -400,26 +451,23 @@ class BitWriter:
             if len(used) == 2:
                 self.put(used[1], 8)
             return
-        items, i = [], 0  # (code-length symbol, extra bits, their number)
-        while i < len(lengths):
-            n = 1
-            while i + n < len(lengths) and lengths[i + n] == lengths[i]:
-                n += 1
-            i += n
-            if lengths[i - 1] == 0:
+        items = []  # (code-length symbol, extra bits, their number)
+        for length, run in itertools.groupby(lengths):
+            n = len(list(run))
+            if length == 0:
                 while n >= 3:
                     k = min(n, 138)
                     items.append((18, k - 11, 7) if k > 10 else (17, k - 3, 3))
                     n -= k
                 items += [(0, 0, 0)] * n
             else:
-                items.append((lengths[i - 1], 0, 0))
+                items.append((length, 0, 0))
                 n -= 1
                 while n >= 3:
                     k = min(n, 6)
                     items.append((16, k - 3, 2))
                     n -= k
-                items += [(lengths[i - 1], 0, 0)] * n
+                items += [(length, 0, 0)] * n
         counts = [0] * 19
         for s, _, _ in items:
             counts[s] += 1
@@ -446,7 +494,7 @@ def written_codes(lengths: list[int]) -> list[int]:
     order = sorted((n, s) for s, n in enumerate(lengths) if n)
     out = [0] * len(lengths)
     for (n, s), code in zip(order, canonical([n for n, _ in order]), strict=True):
-        out[s] = int(format(code, f"0{n}b")[::-1], 2)
+        out[s] = _REVERSED[code] >> (15 - n)
     return out
 
 
@@ -456,7 +504,7 @@ def riff(stream: bytes) -> bytes:
 
 
 #: Bytes that a match shares with an earlier place at least, and pixels of a reference at most.
-MATCH, LONGEST = 8, 4096
+MATCH, LONGEST = 12, 4096
 _NEAR_CODE: dict[int, dict[int, int]] = {}
 
 
@@ -471,16 +519,21 @@ def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def matches(px: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, distance, length) of back references, taken greedily from left to right.
 
-    A place matches the last earlier one with the same MATCH bytes, as far as they agree.
+    A place matches the last earlier one with the same eight bytes, as far as they agree and
+    if that is MATCH bytes at least.
     """
     if len(px) < 2 * MATCH:
         return []
-    key = np.ndarray((len(px) - MATCH + 1,), "<u8", np.ascontiguousarray(px).data, 0, (1,)).copy()
-    order = np.argsort(key, kind="stable")
-    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    n = len(px) - 7
+    key = np.ndarray((n,), "<u8", np.ascontiguousarray(px).data, 0, (1,))
+    with np.errstate(over="ignore"):
+        key = key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    key.sort()  # by a hash of the bytes, then by place
+    again = np.flatnonzero(key[1:] >> np.uint64(32) == key[:-1] >> np.uint64(32))
     if not len(again):
         return []
-    before = np.full(len(key), -1, np.int64)
+    order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    before = np.full(n, -1, np.int64)
     before[order[again + 1]] = order[again]
     places = np.flatnonzero(before >= 0)
     raw, out, i = px.tobytes(), [], 0
@@ -489,6 +542,9 @@ def matches(px: np.ndarray) -> list[tuple[int, int, int]]:
     while i < len(starts):
         at, src = starts[i], far[i]
         n, most = MATCH, min(LONGEST, len(raw) - at)
+        if most < n or raw[at : at + n] != raw[src : src + n]:
+            i += 1
+            continue
         while n < most:
             step = min(64, most - n)
             if raw[at + n : at + n + step] == raw[src + n : src + n + step]:
@@ -560,12 +616,8 @@ def _put_image(w: BitWriter, px: np.ndarray, width: int, alpha: int, main: bool)
         value = np.stack((value, fields[1], far, fields[4]), 1).ravel()
         size = np.stack((size, fields[2], far_size, fields[5]), 1).ravel()
         value, size = value[size > 0], size[size > 0]
-    end = np.cumsum(size)
-    body = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
-    start = end - size
-    for k in range(int(size.max()) if len(size) else 0):
-        some = size > k
-        body[start[some] + k] = value[some] >> k & 1
+    start = np.cumsum(size) - size
+    body = (np.repeat(value, size) >> (np.arange(int(size.sum())) - np.repeat(start, size)) & 1).astype(np.uint8)
     return np.concatenate((head, body))
 
 
@@ -630,17 +682,16 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     if len(values) <= 16:
         shift = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
         w = _header(width, height)
-        w.put(0b111, 3)  # a palette
+        w.put(0b111101, 6)  # subtract green, then a palette: undone the other way round, so its colours differ in green only
         w.put(len(values) - 1, 8)
         w.put(0, 1)  # its colours as differences, literals without a cache
         steps = np.diff(np.concatenate(([0], values)))
-        three, fourth = code_lengths(np.bincount(steps, minlength=280).tolist()), code_lengths([len(values) - 1, *[0] * 254, 1])
-        for lengths in (three, three[:256], three[:256], fourth, [0] * 40):
-            w.prefix(lengths)
-        codes, single = written_codes(three), sum(n > 0 for n in three) == 1
+        lengths = code_lengths(np.bincount(steps, minlength=280).tolist())
+        for own in (lengths, [1], [1], code_lengths([len(values) - 1, *[0] * 254, 1]), [1]):
+            w.prefix(own)
+        codes, single = written_codes(lengths), sum(n > 0 for n in lengths) == 1
         for i, step in enumerate(steps.tolist()):
-            for _ in range(3 * (not single)):
-                w.put(codes[step], three[step])
+            w.put(codes[step] * (not single), lengths[step] * (not single))
             if len(values) > 1:
                 w.put(i == 0, 1)
         w.put(0, 1)  # no further transform
