@@ -9,6 +9,8 @@ references, a packed palette and a predictor and keeps the shortest file.
 
 from __future__ import annotations
 
+import array
+import contextlib
 import hashlib
 import itertools
 import struct
@@ -221,14 +223,14 @@ def _greens(bits: Bits, codes: tuple[Prefix, ...], total: int, width: int) -> np
         at = refs + steps[refs] + n
         key = window(at, far.width)
         steps[refs] += (n + far.length[key] + _EXTRA[far.symbol[key]]).astype(np.uint8)
-    jump, at, top, places = steps.tobytes(), bits.at & 7, len(steps), []
+    jump, at, places = steps.tobytes(), bits.at & 7, array.array("q")
     append = places.append
-    for _ in range(total):
-        if at >= top:
-            break
-        append(at)
-        at += jump[at]
-    place = np.array(places, np.int64)
+    with contextlib.suppress(IndexError):  # the stream's end
+        for _ in range(total):
+            append(at)
+            at += jump[at]
+    place = np.frombuffer(places, np.int64)
+    place = place[: np.searchsorted(place, len(jump))]
     symbol = green.symbol[slot[place]]
     ref = np.flatnonzero(symbol >= 256)
     size = np.ones(len(place), np.int64)
@@ -363,12 +365,19 @@ def _undo_palette(pixels: np.ndarray, width: int, height: int, table: np.ndarray
 
 
 def _add_green(pixels: np.ndarray) -> np.ndarray:
-    green = pixels >> 8 & 255
-    return (pixels & np.uint32(0xFF00FF00)) | ((pixels >> 16) + green & 255) << 16 | (pixels + green & 255)
+    green = pixels >> np.uint32(8) & np.uint32(255)
+    # Red and blue are added to at once: 16 bits lie between them.
+    return (pixels & np.uint32(0xFF00FF00)) | ((pixels & np.uint32(0x00FF00FF)) + green * np.uint32(0x00010001) & np.uint32(0x00FF00FF))
 
 
 def decode(data: bytes) -> np.ndarray:
     """(height, width, 4) bytes red, green, blue, alpha of one lossless file."""
+    pixels = decode_argb(data)
+    return np.stack([(pixels >> s) & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8)
+
+
+def decode_argb(data: bytes) -> np.ndarray:
+    """(height, width) ARGB pixels of one lossless file."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     size = struct.unpack_from("<I", data, 16)[0]
@@ -396,7 +405,7 @@ def decode(data: bytes) -> np.ndarray:
     pixels = _image(bits, now, height, True)
     for f in reversed(undo):
         pixels = f(pixels)
-    return np.stack([(pixels >> s) & 255 for s in (16, 8, 0, 24)], -1).astype(np.uint8).reshape(height, width, 4)
+    return pixels.reshape(height, width)
 
 
 def code_lengths(counts: list[int], longest: int = 15) -> list[int]:
@@ -519,15 +528,15 @@ def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def matches(px: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, distance, length) of back references, taken greedily from left to right.
 
-    A place matches the last earlier one with the same eight bytes, as far as they agree and
-    if that is MATCH bytes at least.
+    A place matches the last earlier one with the same MATCH bytes, as far as they agree.
     """
     if len(px) < 2 * MATCH:
         return []
-    n = len(px) - 7
-    key = np.ndarray((n,), "<u8", np.ascontiguousarray(px).data, 0, (1,))
+    n = len(px) - MATCH + 1
+    eight = np.ndarray((len(px) - 7,), "<u8", np.ascontiguousarray(px).data, 0, (1,))
     with np.errstate(over="ignore"):
-        key = key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+        key = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ eight[MATCH - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F)
+        key = key * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
     key.sort()  # by a hash of the bytes, then by place
     again = np.flatnonzero(key[1:] >> np.uint64(32) == key[:-1] >> np.uint64(32))
     if not len(again):
@@ -735,7 +744,8 @@ def store(payload: bytes) -> bytes:
 
 def load(stored: bytes, size: int) -> np.ndarray:
     """The first ``size`` samples of a file of ``store``, decoded from its bytes."""
-    return decode(stored)[..., 1].ravel()[:size]
+    pixels = decode_argb(stored).ravel()[:size]
+    return (pixels >> np.uint32(8)).astype(np.uint8)
 
 
 def features(samples: np.ndarray) -> str:
