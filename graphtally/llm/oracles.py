@@ -35,15 +35,15 @@ def _op4() -> str:
     n = f"len(regexp_extract_all(x, '{_WORDS}'))"
     symbols = f"(len(regexp_extract_all(x, '[#*$%&|<>]')) + len(regexp_extract_all(x, '[!?]{{2,}}')))"
     separators = r"len(list_filter(string_split_regex(x, '[\x20\x09]'), lambda y: y IN ('|', '»', '•', '>', '/')))"
-    failed = f"""({n} >= {r.min_words_for_end} AND NOT contains('{ends}', right(trim(x, {blanks}), 1))) OR {symbols} > {n} * {r.max_symbol_share}
+    failed = f"""({n} BETWEEN {r.min_words_for_end} AND {r.max_words_for_end} AND NOT contains('{ends}', right(trim(x, {blanks}), 1)) AND NOT coalesce(regexp_matches(l[i + 1], '{quality.GOES_ON}'), false)) OR {symbols} > {n} * {r.max_symbol_share}
 OR ({separators} >= {r.min_separators} AND {separators} >= {n} * {r.min_separator_share}) OR {phrases}"""
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w, string_split(t, chr(10)) AS l FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a) AS c FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS a FROM w) x),
 rep AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) z WHERE c > 1 GROUP BY doc_id),
 q AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-list_filter(l, lambda x: {n} > 0) AS wl, coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(l, lambda x: {n} > 0 AND ({failed})))::BIGINT AS n_lines_removed,
-coalesce(list_sum(list_transform(list_filter(l, lambda x: NOT ({failed})), lambda x: {n})), 0)::BIGINT AS words_left FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
+list_filter(l, lambda x: {n} > 0) AS wl, coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(l, lambda x, i: {n} > 0 AND ({failed})))::BIGINT AS n_lines_removed,
+coalesce(list_sum(list_transform(list_filter(l, lambda x, i: NOT ({failed})), lambda x: {n})), 0)::BIGINT AS words_left FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(wl) - len(list_distinct(wl)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
 NOT base_failed AND 100 * (n_words - words_left) <= {r.max_lost_percent} * n_words AS kept, n_lines_removed, words_left FROM b"""

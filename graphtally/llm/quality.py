@@ -13,7 +13,9 @@ SYMBOLS = "#*$%&|<>"
 
 
 #: Marks that end a line (closing quotes and brackets may stand last), and phrases in lower case.
-ENDS = ".!?\u2026:;,\"')]}\u00bb\u201d\u2019\u3002\uff01\uff1f"
+ENDS = ".!?\u2026:;,\"')]}\u00bb\u201d\u2019\u3002\uff01\uff1f\u0964\u0965\u061f\u06d4\u0589\u1362"
+#: What a line that runs on from the one before starts with.
+GOES_ON = r"^[\x20\x09]*\p{Ll}"
 PHRASES = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "accept cookies",
     "enable javascript", "licensed under", "subscribe to our", "sign up for", "click here", "skip to content", "skip to main content", "lorem ipsum",
@@ -24,8 +26,10 @@ PHRASES = (
 class LineRules:
     """A line without words always stays. Shares are per word of the line."""
 
-    #: Punctuation: a line of this many words ends in one of ``ends``, or fails.
+    #: Punctuation: a line of so many words ends in one of ``ends``, or fails; not one that the
+    #: next line goes on with a small letter (wrapped prose), nor a longer one (a paragraph).
     min_words_for_end: int = 5
+    max_words_for_end: int = 40
     ends: str = ENDS
     #: Punctuation: symbols and doubled marks (!!, ??) in more than this share of words.
     max_symbol_share: float = 0.30
@@ -43,9 +47,10 @@ def _holds_phrase(low: Column, rules: LineRules) -> Column:
 
 
 def _line_kept(x: Column, rules: LineRules) -> Column:
-    """``x``: line, n (words), symbols, phrase (whether it holds one)."""
+    """``x``: line, after (the next line), n (words), symbols, phrase (whether it holds one)."""
     symbols = x["symbols"] + F.regexp_count(x["line"], F.lit(r"[!?]{2,}"))
-    unended = (x["n"] >= rules.min_words_for_end) & ~F.contains(F.lit(rules.ends), F.right(F.btrim(x["line"], F.lit(BLANKS)), F.lit(1)))
+    judged = (x["n"] >= rules.min_words_for_end) & (x["n"] <= rules.max_words_for_end)
+    unended = judged & ~F.contains(F.lit(rules.ends), F.right(F.btrim(x["line"], F.lit(BLANKS)), F.lit(1))) & ~F.coalesce(x["after"].rlike(GOES_ON), F.lit(False))
     separators = F.regexp_count(x["line"], F.lit(r"(^|[\x20\x09])[|\x{00BB}\x{2022}>/](?=[\x20\x09]|$)"))
     navigation = x["line"].rlike(r"[|\x{00BB}\x{2022}>/]") & (separators >= rules.min_separators) & (separators >= x["n"] * F.lit(rules.min_separator_share))
     return (x["n"] == 0) | ~(unended | (symbols > x["n"] * F.lit(rules.max_symbol_share)) | navigation | x["phrase"])
@@ -101,8 +106,8 @@ def quality(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:  # no
     def facts(phrase: bool) -> Column:
         return F.transform(
             "_lines",
-            lambda x: F.struct(
-                x.alias("line"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.regexp_count(x, F.lit(r"[#*$%&|<>]")).alias("symbols"),
+            lambda x, i: F.struct(
+                x.alias("line"), F.get("_lines", i + 1).alias("after"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"), F.regexp_count(x, F.lit(r"[#*$%&|<>]")).alias("symbols"),
                 (_holds_phrase(F.lower(x), rules) if phrase else F.lit(False)).alias("phrase"),
             ),
         )

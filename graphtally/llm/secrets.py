@@ -20,6 +20,8 @@ from .common import text_of, written
 
 #: Documents of a posting block: the bits of one bitmap, a power of two.
 BLOCK = 32768
+#: Bytes of candidate bitmaps that are broadcast at most.
+BROADCAST = 1 << 26
 #: Prefix sums over matches go by runs of this many, so a text of many matches stays far from quadratic.
 RUN = 256
 
@@ -138,22 +140,33 @@ def _place(key: Column) -> tuple[Column, Column]:
     return F.shiftright(key, BLOCK.bit_length() - 1), F.pmod(key, F.lit(BLOCK)).cast("long")
 
 
-def candidates(index: DataFrame, queries: dict[str, list[list[str]]], key: str = "_key") -> DataFrame:
-    """(key, kinds): ids whose postings satisfy a rule's query, with the rules' names."""
+def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
+    """(block, a bitmap for each rule): ids whose postings satisfy the rule's query; null where a block has none."""
     clauses = [(kind, i, t, len(c)) for kind, alternatives in queries.items() for i, c in enumerate(alternatives) for t in c]
     terms = F.array(*[F.struct(*(F.lit(v).alias(c) for v, c in zip(x, ("kind", "clause", "trigram", "size"), strict=True))) for x in clauses])
     terms = index.sparkSession.range(1).select(F.inline(terms))
     hits = index.join(F.broadcast(terms), "trigram")  # the terms come from the rules, not from data
     clause = hits.groupBy("kind", "clause", "size", "block").agg(F.count(F.lit(1)).alias("_n"), F.bitmap_and_agg("bits").alias("bits"))
-    rule = clause.where("_n = size").groupBy("kind", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-    octets = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(BLOCK // 8 - 1)), lambda i: F.struct(i.alias("i"), F.conv(F.hex(F.substr(F.col("bits"), i + 1, F.lit(1))), 16, 10).cast("int").alias("v"))),
-        lambda x: x["v"] > 0,
-    )
-    each = rule.where(F.bitmap_count("bits") > 0).select("kind", "block", F.explode(octets).alias("o"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: F.expr("o.v").bitwiseAND(F.call_function("shiftleft", F.lit(1), j)) > 0)
-    ids = each.select("kind", F.col("block"), F.col("o.i").alias("i"), F.explode(bits).alias("j"))
-    return ids.groupBy((F.col("block") * BLOCK + F.col("i") * 8 + F.col("j")).alias(key)).agg(F.collect_set("kind").alias("kinds"))
+    rule = clause.where("_n = size").groupBy("kind", "block").agg(F.bitmap_or_agg("bits").alias("bits")).where(F.bitmap_count("bits") > 0)
+    return rule.groupBy("block").agg(*[F.first(F.when(F.col("kind") == k, F.col("bits")), ignorenulls=True).alias(k) for k in queries])
+
+
+def _flagged(docs: DataFrame, found: DataFrame, kinds: list[str], key: Column) -> DataFrame:
+    """``docs`` with ``kinds``, the rules whose bitmap holds the row's key.
+
+    The bitmaps, about a bit a rule for each id, go to the texts where they are under
+    BROADCAST bytes; beyond that texts and bitmaps meet by block in a shuffle.
+    """
+    found = written(found, "candidates")
+    small = found.count() * len(kinds) * (BLOCK // 8) <= BROADCAST
+    block, bit = _place(key)
+    df = docs.withColumn("block", block).join(F.broadcast(found) if small else found, "block", "left")
+
+    def holds(kind: str) -> Column:
+        octet = F.conv(F.hex(F.substr(F.col(kind), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftrightunsigned", octet, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return df.withColumn("kinds", F.filter(F.array(*[F.when(F.col(k).isNotNull() & holds(k), F.lit(k)) for k in kinds]), lambda x: x.isNotNull())).drop("block", *kinds)
 
 
 def _matches(rule: Rule, kinds: Column, number: int, gated: bool) -> Column:
@@ -185,8 +198,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id")
     gated = {k: q for k, q in queries.items() if q}
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of().alias("_t"), F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("_key"))
     if gated:
-        found = candidates(postings(docs, sorted({t for q in gated.values() for c in q for t in c}), key), gated)
-        base = base.join(found, "_key", "left")
+        index = written(postings(docs, sorted({t for q in gated.values() for c in q for t in c}), key), "postings")
+        base = _flagged(base, candidates(index, gated), list(gated), F.col("_key"))
     else:
         base = base.withColumn("kinds", F.array().cast("array<string>"))
     each = F.filter(F.array(*[_matches(r, F.col("kinds"), i, r.kind in gated) for i, r in enumerate(rules)]), lambda x: x.isNotNull())

@@ -50,8 +50,10 @@ def test_secrets(spark, rows):
     assert "AKIA" not in red[4] and red[1] == "" and red[0] is None
 
 
-def test_secrets_of_far_ids(spark):
+@pytest.mark.parametrize("broadcast", [1 << 26, 0])
+def test_secrets_of_far_ids(spark, monkeypatch, broadcast):
     """Ids near block edges, beyond 2**53 on either side and at the ends of the type."""
+    monkeypatch.setattr(secrets, "BROADCAST", broadcast)
     edges = [s * (1 << b) + d for b in (15, 53, 54, 60, 62) for s in (1, -1) for d in (-32769, -32768, -1, 0, 1, 32767, 32768)]
     ids = sorted({0, -1, -32768, (1 << 63) - 1, -(1 << 63), *edges})
     text = "a token = \"abcdef12\" and AKIA" + "Z9" * 12
@@ -72,6 +74,26 @@ def test_quality(spark, rows):
     cleaned = {r.doc_id: r.text for r in quality.cleaned_documents(table(spark, rows)).collect()}
     assert "Home" not in cleaned[62] and cleaned[10] == dict(rows)[10] and 3 not in cleaned
     assert quality.cleaned_documents(table(spark, [])).count() == 0
+    words = " ".join(f"word{i}" for i in range(80))
+    kept = [(1, words), (2, "\n".join(" ".join(words.split()[i : i + 10]) for i in range(0, 80, 10))), (3, words + "\u0964"), (4, "")]
+    got = {r.doc_id: (r.kept, r.n_lines_removed) for r in quality.quality(table(spark, kept)).select("row.doc_id", "q.*").collect()}
+    assert got == {1: (True, 0), 2: (True, 1), 3: (True, 0), 4: (False, 0)}  # one line, wrapped prose but its last line, another script's mark
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_against_sql(spark, sf):
+    """The operators that SQL can say, on whole tables."""
+    import duckdb
+
+    from graphtally.llm import oracles, queries
+
+    con, folder = duckdb.connect(), f"/root/testdata/{sf}"
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in oracles.ORACLES.items():
+        df, r = queries.QUERIES[name](spark, folder), con.execute(sql)
+        names = [c[0] for c in r.description]
+        assert sorted(names) == sorted(df.columns), name
+        assert sorted(map(tuple, df.select(*names).collect()), key=str) == sorted(r.fetchall(), key=str), name
 
 
 def test_sharding(spark, rows):
