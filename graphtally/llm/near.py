@@ -291,25 +291,27 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     band = nodes.select("nid", F.explode("keys").alias("key"))
-    # Written first: a join of two plain tables splits a band key that very many share.
-    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")).where("cnt > 1"), "shared")
-    met = written(band.join(shared, "key"), "buckets")
+    # Written first: a join of two plain tables splits a band key that very many share. The
+    # keys grow with the data, so they are never broadcast, however few a small input has.
+    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("key"), "shared")
+    met = written(band.join(shared.hint("merge"), "key", "left_semi"), "buckets")
     drop_written(spark, shared)
+    band_sizes = written(met.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")), "band-sizes")
     wanted = met.select("nid").distinct()
     asked = nodes.select("fp", "nid").join(wanted, "nid", "left_semi")
     full = held.select("fp", "sig", "text").join(asked, "fp")
     full = written(full.groupBy("nid").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
 
     # First every node meets one pivot: the least of its buckets' least members.
-    first = met.groupBy("nid").agg(F.min("pivot").alias("a")).select("a", F.col("nid").alias("b"))
+    first = met.join(band_sizes.select("key", "pivot").hint("merge"), "key").groupBy("nid").agg(F.min("pivot").alias("a")).select("a", F.col("nid").alias("b"))
     links = _verified(first, full, p)
     roots = written(components(links), "roots")
 
     def open_rows() -> DataFrame:
         """Rows of buckets that still hold several components."""
-        r = met.select("key", "nid", "cnt").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "cnt", F.coalesce("root", "nid").alias("comp"))
+        r = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("comp"))
         left = written(r.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "open-keys")
-        return r.join(left, "key")
+        return r.join(left.join(band_sizes.select("key", "cnt"), "key"), "key").select("key", "nid", "cnt", "comp")
 
     for turn in range(p.rounds + 1):
         left = written(open_rows(), "open")
@@ -336,7 +338,7 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
 
     placed = nodes.select("fp", "nid", "low").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     placed = written(placed, "placed")
-    for df in (full, met, links, roots, nodes):
+    for df in (full, met, band_sizes, links, roots, nodes):
         drop_written(spark, df)
     release(spark)
     return rows, placed

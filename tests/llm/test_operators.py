@@ -403,6 +403,92 @@ def test_columns_of_any_name(spark, rows):
     assert langid.identified(docs.withColumn("lang", F.lit("aa"))).count() == len(rows)
 
 
+def plain_pipeline(docs):
+    """The pipeline's stages on lists of (doc_id, text), without an operator of the library; (doc_id, text) that are packed."""
+    r, out = quality.LineRules(), []
+    for i, text in docs:
+        text = text or ""
+        words, lines, kept = WORD.findall(text), text.split("\n"), []
+        grams = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
+        repeated = {j for k in range(len(words) - 2) if grams[tuple(words[k : k + 3])] > 1 for j in range(k, k + 3)}
+        for k, line in enumerate(lines):
+            n = len(WORD.findall(line))
+            symbols = len(re.findall(r"[#*$%&|<>]", line)) + len(re.findall(r"[!?]{2,}", line))
+            goes_on = k + 1 < len(lines) and re.match(r"[ \t]*[^\W\d_]", lines[k + 1]) and lines[k + 1].lstrip(" \t")[0].islower()
+            unended = r.min_words_for_end <= n <= r.max_words_for_end and line.strip(" \t\n\x0b\f\r")[-1:] not in r.ends and not goes_on
+            bars = sum(x in ("|", "\u00bb", "\u2022", ">", "/") for x in re.split(r"[ \t]", line))
+            if not n or not (unended or symbols > n * r.max_symbol_share or (bars >= r.min_separators and bars >= n * r.min_separator_share) or any(p in line.lower() for p in r.phrases)):
+                kept.append(line)
+        left = "\n".join(kept)
+        if len(words) >= 50 and 100 * len(repeated) <= 50 * len(words) and 100 * (len(words) - len(WORD.findall(left))) <= r.max_lost_percent * len(words):
+            out.append((i, left))
+    sets = []
+    for _, t in out:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(out)))
+    for i in range(len(out)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if q in (root[i], root[j]) else q for q in root]
+    groups = collections.defaultdict(list)
+    for q, d in zip(root, out, strict=True):
+        groups[q].append(d)
+    out = [min(g, key=lambda d: (d[0] is None, d[0] or 0)) for g in groups.values()]
+    spans = [list(WORD.finditer(t)) for _, t in out]
+    seen = collections.Counter(tuple(m[0] for m in w[k : k + 50]) for w in spans for k in range(len(w) - 49))
+    cut = []
+    for (i, t), w in zip(out, spans, strict=True):
+        gone = [False] * len(t)
+        for k in range(len(w) - 49):
+            if seen[tuple(m[0] for m in w[k : k + 50])] > 1:
+                gone[w[k].start() : w[k + 49].end()] = [True] * (w[k + 49].end() - w[k].start())
+        left = "".join(c for c, g in zip(t, gone, strict=True) if not g)
+        if WORD.search(left):
+            cut.append((i, left))
+    clean = []
+    for i, t in cut:
+        found = sorted((m.start(), m.end()) for rule in secrets.RULES for m in re.finditer(rule.pattern, t) if len(m.group(rule.group)) >= rule.least)
+        parts, at = [], 0
+        for s, e in found:
+            if s >= at:
+                parts += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        clean.append((i, "".join(parts) + t[at:]))
+    return clean
+
+
+def test_pipeline_against_plain(spark, tmp_path):
+    """run() on a doubled row, null ids, near copies, shared passages, secrets, junk and long texts."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    word = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+
+    def prose(n):
+        return ". ".join(" ".join(r.choices(word, k=12)).capitalize() for _ in range(n // 12)) + "."
+
+    texts = [prose(120) for _ in range(12)]
+    passage = prose(72)
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, prose(90)), (40, texts[2].replace(word[5], "x") + " Extra."), (41, texts[3].lower())]
+    docs += [(50 + i, prose(60) + "\n" + passage + "\n" + prose(60)) for i in range(3)]
+    docs += [(60, prose(60) + ' password = "abcdefgh12" AKIA' + "Q7" * 12 + " " + "0f" * 16 + ". " + prose(24)), (61, prose(60) + "\nHome | About | Contact\nclick here to go on\n" + prose(24))]
+    docs += [(62, None), (63, ""), (64, "short"), (65, "same words again " * 60), (66, prose(6000)), (1 << 60, texts[4][:-1] + "!")]
+    spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_str(tokenizer_file("word_bpe_49k.json"))
+    want = []
+    for i, text in plain_pipeline(docs):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        for s in range(0, len(ids), 2048):
+            want.append((i, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes()), len(ids)))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((x.doc_id, x.start, x.length, x.ids_crc32, x.doc_tokens) for x in got), key=str) == sorted(want, key=str)
+    for k in {x.sequence_id for x in got}:
+        own = sorted((x.offset, x.length) for x in got if x.sequence_id == k)
+        assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(n for _, n in own) <= 2048
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
