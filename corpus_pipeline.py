@@ -42,7 +42,7 @@ STAGES = [
     ("sequence_packing", sequence_packing),
 ]
 
-#: Tokenizing has no SQL. Tests hold near_dedup to expected rows on a small fixture; run() is compared with no plain version yet.
+#: Tokenizing has no SQL; tests/llm holds the rows of run() against a plain version of all stages on a small fixture.
 ORACLE_SQL = None
 
 
