@@ -219,7 +219,8 @@ def _blocked(rows: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
     outer = rows.where("not inner")
     left = outer.withColumn("s", upto("ni")).select("key", "nid", "comp", F.col("own").alias("r"), F.lit(0).alias("kind"), "s", F.lit(0).alias("side"))
     each = outer.withColumn("t", upto("no")).select("key", "nid", "comp", F.least("own", "t").alias("r"), F.lit(1).alias("kind"), F.greatest("own", "t").alias("s"), (F.col("own") > F.col("t")).cast("int").alias("side"))
-    tasks = inner.unionAll(left).unionAll(each).join(nodes.select("nid", "n", "keys", "sig", "text"), "nid")
+    # The same join at every size: what is compared grows with the buckets.
+    tasks = inner.unionAll(left).unionAll(each).join(nodes.select("nid", "n", "keys", "sig", "text").hint("merge"), "nid")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
