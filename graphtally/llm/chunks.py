@@ -16,10 +16,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from .hashing import SHORT, mixed, short_words
+from .hashing import SHORT, short_words
 
 #: Chunks kept in a worker's table, and bytes of those beyond SHORT.
-MOST, MOST_LONG = 1 << 20, 1 << 25
+MOST, MOST_LONG = 1 << 21, 1 << 25
 #: Bytes cut and looked up at once: about 60 bytes of memory for each.
 AT_ONCE = 1 << 21
 
@@ -69,47 +69,53 @@ class Chunked:
     def clear(self) -> None:
         self.bits = 16
         self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.key = np.zeros((1 << 12, 3), np.uint64)  # the bytes of a short chunk, then its size and place
+        self.key = [np.zeros(1 << 12, np.uint64) for _ in range(3)]  # the bytes of a short chunk, its size and place
         self.off = np.zeros(1 << 12, np.int64)
         self.len = np.zeros(1 << 12, np.int32)
         self.flat = np.zeros(1 << 14, np.uint32)
         self.long: dict[tuple[bytes, bool], int] = {}
         self.n = self.used = self.long_bytes = 0
 
-    def _slots(self, k: np.ndarray) -> np.ndarray:
+    def _slots(self, k: tuple[np.ndarray, ...]) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return (mixed(k[:, 0] + mixed(k[:, 1] + k[:, 2] * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(64 - self.bits)).astype(np.int64)
+            h = (k[0] ^ k[1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ k[2] << np.uint64(57)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _find(self, k: np.ndarray) -> np.ndarray:
+    def _find(self, k: tuple[np.ndarray, ...]) -> np.ndarray:
         """Entry of each short chunk, -1 if there is none."""
-        out, left, at = np.full(len(k), -1, np.int64), np.arange(len(k)), self._slots(k)
-        while len(left):
-            e = self.slot[at]
-            some = e >= 0
-            left, at, e = left[some], at[some], e[some]
-            same = (self.key[e] == k[left]).all(1)
-            out[left[same]] = e[same]
-            left, at = left[~same], (at[~same] + 1) & ((1 << self.bits) - 1)
+        at = self._slots(k)
+        out = self.slot[at]
+        left = np.flatnonzero(out >= 0)
+        while len(left):  # entries that are another chunk's: on to the next slot
+            e = out[left]
+            same = (self.key[0][e] == k[0][left]) & (self.key[1][e] == k[1][left]) & (self.key[2][e] == k[2][left])
+            left = left[~same]
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.slot[at[left]]
+            left = left[out[left] >= 0]
         return out
 
     def _place(self, entries: np.ndarray) -> None:
-        at = self._slots(self.key[entries])
+        at = self._slots(tuple(x[entries] for x in self.key))
         while len(entries):
             free = self.slot[at] < 0
             self.slot[at[free]] = entries[free]  # of several that want one slot the last gets it
             lost = self.slot[at] != entries
             entries, at = entries[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
 
-    def _add(self, keys: np.ndarray, ids: list) -> np.ndarray:
+    def _add(self, keys: tuple[np.ndarray, ...], ids: list) -> np.ndarray:
         """New entries; those whose key says a size of up to SHORT can be found by it."""
-        m, lens = len(keys), np.fromiter(map(len, ids), np.int32, len(ids))
+        m, lens = len(ids), np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if m else np.zeros(0, np.uint32)
         while self.n + m > len(self.off):
-            self.key, self.off, self.len = np.concatenate((self.key, self.key)), np.concatenate((self.off, self.off)), np.concatenate((self.len, self.len))
+            self.key, self.off, self.len = [np.concatenate((x, x)) for x in self.key], np.concatenate((self.off, self.off)), np.concatenate((self.len, self.len))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate((self.flat, self.flat))
         new = np.arange(self.n, self.n + m, dtype=np.int32)
-        self.key[new], self.len[new] = keys, lens
+        self.len[new] = lens
+        for x, own in zip(self.key, keys, strict=True):
+            x[new] = own
         self.off[new] = self.used + np.concatenate(([0], np.cumsum(lens[:-1], dtype=np.int64))) if m else 0
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -118,42 +124,41 @@ class Chunked:
             self.bits += 2
             self.slot = np.full(1 << self.bits, -1, np.int32)
             every = np.arange(self.n, dtype=np.int32)
-            self._place(every[self.key[: self.n, 2] <= 2 * SHORT + 1])
+            self._place(every[self.key[2][: self.n] <= 2 * SHORT + 1])
         else:
-            self._place(new[keys[:, 2] <= 2 * SHORT + 1])
+            self._place(new[keys[2] <= 2 * SHORT + 1])
         return new
 
     def _group(self, b: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and each chunk's number of ids."""
         size = end - start
-        k = np.stack((*short_words(b, start, size), (2 * size + first).astype(np.uint64)), 1)
-        long = np.flatnonzero(size > SHORT)
+        k = (*short_words(b, start, size), (2 * size + first).astype(np.uint64))
+        e = self._find(k)
         raw = memoryview(np.ascontiguousarray(b))
-        names = {int(i): (bytes(raw[start[i] : end[i]]), bool(first[i])) for i in long}
-
-        def entries() -> np.ndarray:
-            e = np.full(len(k), -1, np.int64)
-            few = np.flatnonzero(size <= SHORT)
-            e[few] = self._find(k[few])
-            for i, name in names.items():
-                e[i] = self.long.get(name, -1)
-            return e
-
-        e = entries()
+        long = np.flatnonzero(size > SHORT)
+        names = {i: (bytes(raw[s:t]), f) for i, s, t, f in zip(*(x.tolist() for x in (long, start[long], end[long], first[long])), strict=True)}
+        for i, name in names.items():
+            e[i] = self.long.get(name, -1)
         if len(miss := np.flatnonzero(e < 0)):
             if self.n + len(miss) > MOST or self.long_bytes > MOST_LONG:
                 self.clear()
-                miss = np.arange(len(k))
+                miss = np.arange(len(e))
             short = miss[size[miss] <= SHORT]
-            order = short[np.lexsort(k[short].T)]
-            new = order[np.concatenate(([True], (k[order[1:]] != k[order[:-1]]).any(1)))] if len(order) else order
-            unmet = {names[int(i)]: int(i) for i in miss if int(i) in names}
+            order = short[np.lexsort([x[short] for x in k])]
+            differs = np.zeros(max(0, len(order) - 1), bool)
+            for x in k:
+                differs |= x[order[1:]] != x[order[:-1]]
+            new = order[np.concatenate(([True], differs))] if len(order) else order
+            unmet = {names[i]: i for i in miss.tolist() if i in names}
             new = np.concatenate((new, np.fromiter(unmet.values(), np.int64, len(unmet))))
-            at = self._add(k[new], self.tokens([bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(start[new], end[new], strict=True)], first[new].tolist()))
+            at = self._add(tuple(x[new] for x in k), self.tokens([bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)], first[new].tolist()))
             for name, entry in zip(unmet, at[len(new) - len(unmet) :].tolist(), strict=True):
                 self.long[name] = entry
                 self.long_bytes += len(name[0])
-            e = entries()
+            e[short] = self._find(tuple(x[short] for x in k))
+            for i in miss.tolist():
+                if i in names:
+                    e[i] = self.long[names[i]]
         lens = self.len[e].astype(np.int64)
         upto = np.cumsum(lens)
         return self.flat[np.repeat(self.off[e] - upto + lens, lens) + np.arange(int(upto[-1]) if len(upto) else 0)], lens
