@@ -39,11 +39,12 @@ def half_edges(g: Graph, els: set[int]) -> DataFrame:
 
 
 class RandomWalk(Estimator):
-    """Mean over independent walks of n - 1 vertices, for patterns of n.
+    """Mean over the windows of n - 1 vertices that slide along independent walks, for patterns of n.
 
-    A walk starts at a uniform half-edge, which is the walk's stationary state, so its
-    probability is 1 / (2E * the degrees passed through).  Every way to lay all pattern
-    vertices but one on the walk counts the vertices that close the pattern; the sum over
+    A walk starts at a uniform half-edge, which is the walk's stationary state, so the
+    probability of every window is 1 / (2E * the degrees passed through).  Windows of one
+    vertex do not slide: a step would cost as much as a new start.  Every way to lay all pattern
+    vertices but one on a window counts the vertices that close the pattern; the sum over
     the probability and the number of such paths has the number of matches as its mean.
     -1 for patterns of more than five vertices and such that no path covers, 0 without a
     walk in the budget, which is a share ``p`` of the pattern's label counts in steps.
@@ -51,12 +52,17 @@ class RandomWalk(Estimator):
 
     name = "impr"
 
-    def __init__(self, p: float = 0.03) -> None:
-        self.p = p
+    def __init__(self, p: float = 0.03, windows: int = 4) -> None:
+        self.p, self.windows = p, windows
+
+    def windows_of(self, p: Pattern) -> int:
+        """Windows of a walk."""
+        return self.windows if len(p.vertices) > 2 else 1
 
     def walks(self, g: Graph, p: Pattern, n: int, seed: int) -> DataFrame:
-        """(walk, inv, x0.., l1.., o1..): vertices, inverse probability, label and direction of each step."""
-        steps = len(p.vertices) - 2
+        """(walk, inv, x0.., l1.., o1..): a row a window with its vertices, inverse probability, label and direction of each step."""
+        wide, slides = len(p.vertices) - 2, self.windows_of(p)
+        steps = wide + slides - 1
         half = half_edges(g, {e.el for e in p.edges})
         total = 2 * sum(g.stats["el"].get(el, 0) for el in {e.el for e in p.edges})
 
@@ -65,15 +71,22 @@ class RandomWalk(Estimator):
 
         rows = g.edges.sparkSession.range(n).select(F.col("id").alias("walk")).withColumn("_i", pick(0, F.lit(total)))
         first = placed(half, []).drop("_n").withColumnsRenamed({"vid": "x0", "other": "x1", "el": "l1", "out": "o1"})
-        rows = rows.join(first, "_i").drop("_i").withColumn("inv", F.lit(float(total)))
+        rows = rows.join(first, "_i").drop("_i")
         degree = half.groupBy("vid").agg(F.count(F.lit(1)).alias("_n"))
         if steps == 0:
-            return rows.drop("x1", "l1", "o1").join(degree.withColumnRenamed("vid", "x0"), "x0").withColumn("inv", F.col("inv") / F.col("_n")).drop("_n")
+            return rows.drop("x1", "l1", "o1").join(degree.withColumnRenamed("vid", "x0"), "x0").withColumn("inv", F.lit(float(total)) / F.col("_n")).drop("_n")
         ranked = placed(half, ["vid"]).drop("_n") if steps > 1 else None
         for k in range(2, steps + 1):
-            rows = rows.join(degree.withColumnRenamed("vid", f"x{k - 1}"), f"x{k - 1}").withColumn("_i", pick(k, F.col("_n"))).withColumn("inv", F.col("inv") * F.col("_n")).drop("_n")
+            rows = rows.join(degree.withColumnRenamed("vid", f"x{k - 1}"), f"x{k - 1}").withColumn("_i", pick(k, F.col("_n"))).withColumnRenamed("_n", f"n{k - 1}")
             rows = rows.join(ranked.withColumnsRenamed({"vid": f"x{k - 1}", "other": f"x{k}", "el": f"l{k}", "out": f"o{k}"}), [f"x{k - 1}", "_i"]).drop("_i")
-        return rows
+        found = []
+        for j in range(slides):
+            inv = F.lit(float(total))
+            for k in range(j + 1, j + wide):
+                inv = inv * F.col(f"n{k}")
+            parts = [F.col(f"x{j + k}").alias(f"x{k}") for k in range(wide + 1)] + [F.col(f"{c}{j + k}").alias(f"{c}{k}") for c in "lo" for k in range(1, wide + 1)]
+            found.append(F.struct(inv.alias("inv"), *parts))
+        return rows.select("walk", F.inline(F.array(*found)))
 
     def _closed(self, g: Graph, p: Pattern, rows: DataFrame, left: int) -> DataFrame:
         """(inv, cnt) of laid walks (inv, v<i> for all vertices but ``left``): the vertices that close the pattern."""
@@ -111,7 +124,8 @@ class RandomWalk(Estimator):
         n, paths = len(p.vertices), open_paths(p) if len(p.vertices) <= 5 else []
         if not paths or len(p.parts()) != 1:
             return -1.0
-        walks = int(self.p * sum(g.stats["el"].get(e.el, 0) for e in p.edges)) // n
+        slides = self.windows_of(p)
+        walks = int(self.p * sum(g.stats["el"].get(e.el, 0) for e in p.edges)) // (n + slides - 1)
         if walks <= 0 or empty(g, p):
             return 0.0
         rows, laid = self.walks(g, p, walks, seed), []
@@ -129,4 +143,4 @@ class RandomWalk(Estimator):
             own = self._closed(g, p, own, left)
             parts = own if parts is None else parts.unionAll(own)
         total = parts.agg(F.coalesce(F.sum(F.col("inv") * F.col("cnt")), F.lit(0.0))).head()[0]
-        return float(total) / (len(paths) * walks)
+        return float(total) / (len(paths) * walks * slides)

@@ -92,11 +92,14 @@ def budget(g: Graph, p: Pattern, rate: float) -> int:
     return int(int(sum(sizes) / len(sizes)) * rate)
 
 
-def walk_plans(p: Pattern, most: int) -> Iterator[list[int]]:
-    """Orders of the edges in which each meets an earlier one, the starts taken in turn."""
+def walk_plans(p: Pattern, most: int, labels: bool = False) -> Iterator[list[int]]:
+    """Orders of the edges in which each meets an earlier one, the starts taken in turn.
+
+    With ``labels`` an order may also start at a labelled vertex v, written -1 - v.
+    """
 
     def grow(order: list[int], seen: set[int]) -> Iterator[list[int]]:
-        if len(order) == len(p.edges):
+        if sum(i >= 0 for i in order) == len(p.edges):
             yield order
             return
         for i, e in enumerate(p.edges):
@@ -104,6 +107,8 @@ def walk_plans(p: Pattern, most: int) -> Iterator[list[int]]:
                 yield from grow([*order, i], seen | {e.src, e.dst})
 
     left = [grow([i], {e.src, e.dst}) for i, e in enumerate(p.edges)]
+    if labels:
+        left += [grow([-1 - v.id], {v.id}) for v in p.vertices if v.label is not None]
     n = 0
     while left and n < most:
         for own in list(left):
@@ -123,8 +128,10 @@ def random_vertices(g: Graph, vl: int, n: int, seed: int) -> DataFrame:
 
 
 class WanderJoin(Estimator):
-    """Horvitz-Thompson mean of random walks over the pattern's edges.
+    """Horvitz-Thompson mean of random walks over the pattern's edges and vertex labels.
 
+    A walk starts at a random edge or a random vertex of a label; labels of vertices that it
+    meets later are membership tests of probability 1.
     Rounds of trial walks, as many of each plan and doubled from round to round, go on until
     a plan has ``enough`` successes; of the plans with half as many the one of least variance
     times mean look-ups takes the rest of the budget.  The mean is over all walks, failed
@@ -143,6 +150,13 @@ class WanderJoin(Estimator):
         labels = {v.id: v.label for v in p.vertices if v.label is not None}
         rows, seen = spark.range(n).select(F.col("id").alias("walk"), F.lit(1.0).alias("inv")), set()
         for step, i in enumerate(order):
+            if i < 0:  # the start is a vertex of a label
+                v = -1 - i
+                rows = random_vertices(g, labels[v], n, seed).select("walk", F.lit(float(g.stats["vl"].get(labels[v], 0))).alias("inv"), F.col("vid").alias(f"v{v}"))
+                if p.vertices[v].bound is not None:
+                    rows = rows.where(F.col(f"v{v}") == p.vertices[v].bound)
+                seen.add(v)
+                continue
             e = p.edges[i]
             if not seen:
                 total = g.stats["el"][e.el]
@@ -177,7 +191,7 @@ class WanderJoin(Estimator):
         n = budget(g, p, self.p)
         if n <= 0 or empty(g, p):
             return 0.0
-        plans = list(walk_plans(p, min(n, self.plans)))
+        plans = list(walk_plans(p, min(n, self.plans), labels=True))
         if not plans:
             return 0.0
         seen = [[0.0, 0.0, 0, 0] for _ in plans]  # sum, squares, successes, walks

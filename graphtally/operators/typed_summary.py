@@ -169,11 +169,13 @@ def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target:
     held.save("edge", first.join(at.select(F.col("b").alias("bs"), F.col("root").alias("rs")), "bs").join(at.select(F.col("b").alias("bd"), F.col("root").alias("rd")), "bd").groupBy(F.col("rs").alias("bs"), "el", F.col("rd").alias("bd")).agg(F.sum("w").alias("w")))
 
 
-def partitions(n: int) -> list[tuple[int, ...]]:
-    """Set partitions of n edges as block numbers in first-use order."""
-    out = [(0,)]
-    for _ in range(n - 1):
-        out = [(*x, b) for x in out for b in range(max(x) + 2)]
+def partitions(labels: list[int], most: int) -> list[tuple[int, ...]]:
+    """Set partitions of edges into blocks of one label each, as block numbers in first-use order."""
+    out: list[tuple[int, ...]] = [()]
+    for i, el in enumerate(labels):
+        out = [(*x, b) for x in out for b in range(max(x, default=-1) + 2) if all(labels[j] == el for j in range(i) if x[j] == b)]
+        if len(out) > most:
+            raise ValueError(f"more than {most} ways in which the pattern's edges can fall on one")
     return out
 
 
@@ -181,8 +183,8 @@ class TypedSummary(Estimator):
     """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge."""
 
     name, fixed = "sumrdf", True
-    #: Pattern edges beyond which the partitions are too many to enumerate.
-    most_edges = 7
+    #: Partitions beyond which an expression gets too large: those of seven edges of one label.
+    most_partitions = 877
 
     def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0) -> None:
         self.ratio, self.threshold, self.least_target = ratio, threshold, least_target
@@ -199,11 +201,10 @@ class TypedSummary(Estimator):
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
-        if len(p.edges) > self.most_edges:
-            raise ValueError(f"patterns of up to {self.most_edges} edges")
+        ways = partitions([e.el for e in p.edges], self.most_partitions)
         held = self.summary_of(g, summary)
         embeddings = self.embeddings(held, g, p)
-        terms = [t for t in (self._term(p, x) for x in partitions(len(p.edges))) if t is not None]
+        terms = [t for t in (self._term(p, x) for x in ways) if t is not None]
         total = None
         for condition, value in self._minimal(p, terms):
             part = F.when(condition, value).otherwise(F.lit(0.0))
@@ -239,7 +240,7 @@ class TypedSummary(Estimator):
             met |= {e.src, e.dst}
         for v in p.vertices:
             if v.id not in met:  # a vertex without edges is any candidate
-                acc = acc.crossJoin(candidates[v.id])
+                acc = candidates[v.id] if acc is None else acc.crossJoin(candidates[v.id])
         return acc
 
     def _term(self, p: Pattern, blocks: tuple[int, ...]) -> tuple | None:

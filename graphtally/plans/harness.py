@@ -44,8 +44,8 @@ def within(spark: SparkSession, seconds: float | None, work):  # noqa: ANN001, A
         sc.setLocalProperty("spark.jobGroup.id", None)
 
 
-def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], methods: list[Estimator], n: int = 30, seed: int = 0, timeout: float | None = None, summaries: dict[str, Store] | None = None) -> DataFrame:
-    """One row per trial; fixed estimators run once, whatever goes wrong becomes a row.
+def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], methods: list[Estimator], n: int = 30, seed: int = 0, timeout: float | None = None, summaries: dict[str, Store] | None = None, repeat_fixed: bool = False) -> DataFrame:
+    """One row per trial; fixed estimators run once (unless times are what is asked), whatever goes wrong becomes a row.
 
     Summaries are built once per method and read by every trial.  Status is ok, error or
     timeout; a timeout ends the trials of its pattern and method.
@@ -55,7 +55,7 @@ def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], meth
         if m.name not in summaries:
             summaries[m.name] = m.summarize(g, Store.scratch(spark))
         for name, p in patterns.items():
-            for i in range(1 if m.fixed else n):
+            for i in range(1 if m.fixed and not repeat_fixed else n):
                 began = time.perf_counter()
                 est, status, error = None, "ok", None
                 try:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
 from ..operators.base import Estimator
 from ..operators.graph import Graph
+from ..sources import text
 from ..sources.star import star_graph, star_sql
 from . import estimate_sql
 from .harness import qerror_report, qerrors, run_trials, trial_stats
@@ -23,6 +24,7 @@ PATTERNS = {
     "cycle4": Pattern.of([(0, 1, 3), (1, 2, 1), (3, 2, 2), (0, 3, 5)]),
     "bound": Pattern.of([(0, 1, 3), (1, 2, 1)], bounds={2: (1 << 56) + 7}),
     "wedge_in": Pattern.of([(0, 1, 1), (2, 1, 2)]),
+    "two_parts": Pattern.of([(0, 1, 0), (2, 3, 1)]),
     "labelled": Pattern.of([(0, 1, 3), (1, 2, 1)], {0: 6, 1: 10}),
 }
 REPORTED = ("chain3", "triangle", "wedge_in")
@@ -75,6 +77,37 @@ def _refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.crossJoin(held.table("edge").agg(F.count(F.lit(1)).alias("edges"), F.sum("w").alias("weight")))  # one row each
 
 
+def _text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as lines and read again: rows and sums of ids by kind and label."""
+    path = f"{Store.scratch(spark).path}/lines"
+    text.text_lines(star_graph(spark, sf_dir)).write.text(path)
+    g = text.read_text(spark, path)
+    v = g.vlabels.select(F.lit("v").alias("kind"), F.col("vl").alias("label"), (F.col("vid") % 1000003).alias("x"))
+    e = g.edges.select(F.lit("e").alias("kind"), F.col("el").alias("label"), (F.col("src") % 1000003 * 31 + F.col("dst") % 1000003).alias("x"))
+    return v.unionAll(e).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"))
+
+
+def _native_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the graph written in the native layout and read again."""
+    path = f"{Store.scratch(spark).path}/native"
+    text.write_parquet(star_graph(spark, sf_dir), path)
+    s = text.read_parquet(spark, path).stats
+    return spark.createDataFrame([(s["v"], s["e"], s["nvl"], s["nel"])], "v long, e long, nvl long, nel long")
+
+
+def _type_inclusion(g: Graph) -> DataFrame:
+    """Vertices whose type includes label 5 and outgoing labels 3 and 4."""
+    return g.vertex_types().where(typed_summary.includes("vls", {5}) & typed_summary.includes("outs", {3, 4}) & typed_summary.includes("ins", set())).select("vid")
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings of the chain into the summary."""
+    store, m, p = Store.scratch(spark), typed_summary.TypedSummary(), PATTERNS["chain3"]
+    g = star_graph(spark, sf_dir).stored(store)
+    found = m.embeddings(m.summarize(g, store), g, p)
+    return found.select(*[f"b{v.id}" for v in p.vertices], *[f"w{i}" for i in range(len(p.edges))])
+
+
 def toy_graph(spark: SparkSession) -> Graph:
     """Five vertices of label 0 and the edges 2-3, 2-1, 1-0, 2-4 of label 0."""
     return Graph(spark.createDataFrame([(i,) for i in range(5)], "vid long"), spark.createDataFrame([(i, 0) for i in range(5)], "vid long, vl int"), spark.createDataFrame([(2, 3, 0), (2, 1, 0), (1, 0, 0), (2, 4, 0)], "src long, dst long, el int"))
@@ -156,6 +189,11 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "elabel_cardinality": _over(lambda g: g.elabel_cardinality()),
     "elabel_ordinal": _over(lambda g: g.elabel_ordinal(5)),
     "edge_exists": _over(_edge_exists),
+    "text_round_trip": _text_round_trip,
+    "native_round_trip": _native_round_trip,
+    "type_inclusion": _over(_type_inclusion),
+    "sumrdf_embeddings": _embeddings,
+    "jsub_weights": _over(lambda g: sampling.completions(g, PATTERNS["chain3"], [0, 1, 2]).select("v0", "v1", "w")),
     "has_vlabel": _over(lambda g: g.having_vlabel(g.vertices, 6)),
     "has_elabel": _over(lambda g: g.having_elabel(g.vertices, 6)),
     "ith_edge": _over(lambda g: g.ranked_edges().where("i = 7").select("el", "src", "dst")),
@@ -207,6 +245,12 @@ ORACLES: dict[str, str] = {f"exact_{n}": f"{_WITH} {exact.count_sql(p)}" for n,
     "elabel_ordinal": f"{_WITH}, own AS (SELECT src, list(DISTINCT el ORDER BY el) AS els FROM edges GROUP BY src) SELECT v.vid, (coalesce(list_position(els, 5), 0) - 1)::BIGINT AS i FROM (SELECT DISTINCT vid FROM vlabels) v LEFT JOIN own ON v.vid = own.src",
     "edge_exists": f"""{_WITH}, own AS (SELECT src, dst FROM edges WHERE el = 4), asked AS (SELECT src, dst, 4 AS el FROM own UNION SELECT dst, src, 4 FROM own UNION SELECT src, dst + 1, 4 FROM own UNION SELECT src, dst, 6 FROM own)
 SELECT src, dst, el FROM asked INTERSECT SELECT src, dst, el FROM edges""",
+    "text_round_trip": f"""{_WITH} SELECT 'v' AS kind, vl AS label, count(*)::BIGINT AS n, sum(vid % 1000003)::BIGINT AS x FROM vlabels GROUP BY vl
+UNION ALL SELECT 'e', el, count(*)::BIGINT, sum(src % 1000003 * 31 + dst % 1000003)::BIGINT FROM edges GROUP BY el""",
+    "native_round_trip": f"{_WITH} SELECT (SELECT count(DISTINCT vid) FROM vlabels)::BIGINT AS v, (SELECT count(*) FROM edges)::BIGINT AS e, (SELECT max(vl) + 1 FROM vlabels)::BIGINT AS nvl, (SELECT max(el) + 1 FROM edges)::BIGINT AS nel",
+    "type_inclusion": f"{_WITH} SELECT vid FROM vlabels WHERE vl = 5 AND vid IN (SELECT src FROM edges WHERE el = 3) AND vid IN (SELECT src FROM edges WHERE el = 4)",
+    "sumrdf_embeddings": f"{_WITH}{_TYPES}{estimate_sql.SUMMARY} SELECT e0.bs AS b0, e0.bd AS b1, e1.bd AS b2, e2.bd AS b3, e0.w AS w0, e1.w AS w1, e2.w AS w2 FROM se e0 JOIN se e1 ON e0.bd = e1.bs JOIN se e2 ON e1.bd = e2.bs WHERE e0.el = 3 AND e1.el = 1 AND e2.el = 0",
+    "jsub_weights": f"{_WITH}, m AS (SELECT e1.src AS v1, count(*) AS k FROM edges e1 JOIN edges e2 ON e1.dst = e2.src WHERE e1.el = 1 AND e2.el = 0 GROUP BY e1.src) SELECT src AS v0, dst AS v1, k::DOUBLE AS w FROM edges JOIN m ON dst = m.v1 WHERE el = 3",
     "has_vlabel": f"{_WITH} SELECT vid FROM vlabels WHERE vl = 6",
     "has_elabel": f"{_WITH} SELECT DISTINCT src AS vid FROM edges WHERE el = 6",
     "ith_edge": f"{_WITH} SELECT el, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY el ORDER BY src, dst) AS i FROM edges) x WHERE i = 8",

@@ -60,6 +60,44 @@ def test_wander_join_mean(spark):
     assert sampling.WanderJoin(60.0).estimate(g, p, 3) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
 
 
+def test_wander_join_from_labels(spark):
+    """Orders may start at a labelled vertex; every order alone has the exact count as its mean."""
+    r = random.Random(8)
+    edges = sorted({(r.randrange(20), r.randrange(20), r.randrange(2)) for _ in range(160)})
+    g = graph(spark, 20, [(i, i % 3) for i in range(20)], edges)
+    p = Pattern.of([(0, 1, 0), (1, 2, 1)], {0: 1, 1: 2})
+    plans = list(sampling.walk_plans(p, 12, labels=True))
+    assert plans == [[0, 1], [1, 0], [-1, 0, 1], [-2, 0, 1], [-2, 1, 0]] and list(sampling.walk_plans(p, 12)) == [[0, 1], [1, 0]]
+    want = exact.count(g, p).head()[0]
+    wj = sampling.WanderJoin(60.0)
+    for k, order in enumerate(plans):
+        assert wj._moments(g, p, order, 20000, k)[0] / 20000 == pytest.approx(want, rel=0.15)
+    assert wj.estimate(g, p, 2) == pytest.approx(want, rel=0.2)
+
+
+def test_partitions(spark):
+    assert len(typed_summary.partitions([0] * 7, 877)) == 877
+    assert typed_summary.partitions(list(range(9)), 877) == [tuple(range(9))]
+    assert sorted(typed_summary.partitions([0, 1, 0], 877)) == [(0, 1, 0), (0, 1, 2)]
+    with pytest.raises(ValueError):
+        typed_summary.partitions([0] * 8, 877)
+    g = graph(spark, 9, [], [(i, i + 1, i) for i in range(8)])
+    assert typed_summary.TypedSummary().estimate(g, Pattern.of([(i, i + 1, i) for i in range(8)])) == pytest.approx(1.0)
+
+
+def test_experiments(spark, tmp_path):
+    lines = cli.experiment("ratios", "g", "q", "o")
+    assert len(lines) == 24 and lines[0] == ["-q", "-m", "wj", "-d", "g", "-i", "q", "-o", "o/ratios_wj_0.0001.txt", "-n", "30", "-p", "0.0001"]
+    assert [len(cli.experiment(k, "g", "q", "o")) for k in cli.EXPERIMENTS] == [3, 7, 24, 25]
+    (tmp_path / "g.txt").write_text("t # 1\nv 0 0\nv 1 0\nv 2 0\ne 0 1 0\ne 1 2 0\n")
+    (tmp_path / "q.txt").write_text("t # s 1\nv 0 0 -1\nv 1 0 -1\ne 0 1 0\n")
+    assert cli.main(["-x", "accuracy", "-d", str(tmp_path / "g.txt"), "-i", str(tmp_path / "q.txt"), "-o", str(tmp_path / "res"), "-n", "1"]) == 0
+    assert len(list((tmp_path / "res").glob("accuracy_*.txt"))) == 7
+    assert float((tmp_path / "res" / "accuracy_bsk.txt").read_text().split()[1]) == 2
+    cli.main(["-b", "-m", "cset", "-d", str(tmp_path / "g.txt"), "-s", "5", "-o", str(tmp_path / "b.txt")])
+    assert (tmp_path / "b.txt").read_text().startswith("cset ")
+
+
 def test_random_walk(spark, toy):
     assert random_walk.RandomWalk().estimate(toy, TOY) == 0
     assert random_walk.RandomWalk().estimate(toy, Pattern.of([(i, i + 1, 0) for i in range(5)])) == -1
@@ -68,6 +106,9 @@ def test_random_walk(spark, toy):
     edges = sorted({(r.randrange(12), r.randrange(12), r.randrange(2)) for _ in range(90)})
     g = graph(spark, 12, [(i, i % 2) for i in range(12)], edges)
     for p in (Pattern.of([(0, 1, 0)]), Pattern.of([(0, 1, 0), (1, 2, 1), (0, 2, 0)]), Pattern.of([(0, 1, 0), (0, 2, 1)], {1: 1}), Pattern.of([(0, 0, 0), (0, 1, 1)])):
+        one = random_walk.RandomWalk()
+        rows = one.walks(g, p, 50, 1)
+        assert rows.count() == 50 * one.windows_of(p) and one.windows_of(p) == (4 if len(p.vertices) > 2 else 1)
         assert random_walk.RandomWalk(100.0).estimate(g, p, 1) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
 
 
