@@ -162,9 +162,11 @@ def _confirm(pairs: DataFrame, p: Near) -> DataFrame:
     return pairs.mapInArrow(rows, "u long, v long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, p: Near) -> DataFrame:
-    """Links among candidate pairs (a, b), written."""
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _verified(pairs: DataFrame, nodes: DataFrame, p: Near, once: bool = False) -> DataFrame:
+    """Links among candidate pairs (a, b), written; ``once``: hardly a pair comes twice."""
+    pairs = pairs.where("a <> b")
+    if not once:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sig = nodes.select("nid", "sig")
     pairs = pairs.join(sig.select(F.col("nid").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("nid").alias("b"), F.col("sig").alias("sig_b")), "b")
     pairs = written(_prune(pairs.select("a", "b", "sig_a", "sig_b"), p), "pairs")
@@ -285,34 +287,32 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
     (whether the id is null, doc_id, row).
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, p, row), "signatures")
+    rows = written(signatures(docs, p, row).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     held = rows.where("n > 0")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)) if row else F.min("doc_id")
-    nodes = held.groupBy("fp").agg(low.alias("low"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
+    # A set's node bears the number of its first row, whose text and signature stand for it.
+    nodes = written(held.groupBy("fp").agg(low.alias("low"), F.min("rid").alias("nid"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
 
     band = nodes.select("nid", F.explode("keys").alias("key"))
     # Written first: a join of two plain tables splits a band key that very many share. The
     # keys grow with the data, so they are never broadcast, however few a small input has.
-    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1").select("key"), "shared")
-    met = written(band.join(shared.hint("merge"), "key", "left_semi"), "buckets")
+    shared = written(band.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")).where("cnt > 1"), "shared")
+    met = written(band.join(shared.hint("merge"), "key").select("nid", "key", "cnt", "pivot"), "buckets")
     drop_written(spark, shared)
-    band_sizes = written(met.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("nid").alias("pivot")), "band-sizes")
-    wanted = met.select("nid").distinct()
-    asked = nodes.select("fp", "nid").join(wanted, "nid", "left_semi")
-    full = held.select("fp", "sig", "text").join(asked, "fp")
-    full = written(full.groupBy("nid").agg(F.first("sig").alias("sig"), F.first("text").alias("text")), "candidates")
-
     # First every node meets one pivot: the least of its buckets' least members.
-    first = met.join(band_sizes.select("key", "pivot").hint("merge"), "key").groupBy("nid").agg(F.min("pivot").alias("a")).select("a", F.col("nid").alias("b"))
-    links = _verified(first, full, p)
-    roots = written(components(links), "roots")
+    first = written(met.groupBy("nid").agg(F.min("pivot").alias("a")), "first")
+    full = held.select(F.col("rid").alias("nid"), "sig", "text").join(first.select("nid").hint("merge"), "nid", "left_semi")
+    full = written(full, "candidates")
+    links = _verified(first.select("a", F.col("nid").alias("b")), full, p, once=True)
+    drop_written(spark, first)
+    roots = components(links)
+    drop_written(spark, links)
 
     def open_rows() -> DataFrame:
         """Rows of buckets that still hold several components."""
-        r = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", F.coalesce("root", "nid").alias("comp"))
+        r = met.join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("key", "nid", "cnt", F.coalesce("root", "nid").alias("comp"))
         left = written(r.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"), "open-keys")
-        return r.join(left.join(band_sizes.select("key", "cnt"), "key"), "key").select("key", "nid", "cnt", "comp")
+        return r.join(left, "key", "left_semi")
 
     for turn in range(p.rounds + 1):
         left = written(open_rows(), "open")
@@ -323,23 +323,27 @@ def _placed(docs: DataFrame, p: Near, row: str = "") -> tuple[DataFrame, DataFra
             order = F.xxhash64("nid", F.lit(turn))
             pivots = left.where(F.col("cnt") > p.small).groupBy("key").agg(F.min_by(F.struct(F.col("nid").alias("a"), F.col("comp").alias("of")), order).alias("x")).select("key", "x.*")
             near = left.join(pivots, "key").where("comp <> of").groupBy("nid", "of").agg(F.min("a").alias("a"))
-            more = _verified(near.select("a", F.col("nid").alias("b")), full, p)
+            more = [_verified(near.select("a", F.col("nid").alias("b")), full, p, once=True)]
         else:
             member = F.struct(F.col("nid").alias("a"), F.col("comp").alias("c"))
             few = left.where(F.col("cnt") <= p.small).groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("ids"))
             two = F.flatten(F.transform("ids", lambda x, i: F.transform(F.filter(F.slice("ids", i + 2, F.lit(p.small)), lambda y: y["c"] != x["c"]), lambda y: F.struct(x["a"].alias("a"), y["a"].alias("b")))))
-            small = _verified(few.select(F.explode(two).alias("x")).select("x.*"), full, p)
+            more = [_verified(few.select(F.explode(two).alias("x")).select("x.*"), full, p)]
             large = left.where(F.col("cnt") > p.small).join(nodes.select("nid", "n"), "nid").select("key", "nid", "comp", "n")
-            more = small if large.isEmpty() else small.unionAll(_blocked(large, full.join(nodes.select("nid", "n", "keys"), "nid"), p))
-        before = (links, more, roots, left)
-        links = written(links.unionAll(more), "links")
-        roots = written(components(links), "roots")
+            if not large.isEmpty():
+                more.append(_blocked(large, full.join(nodes.select("nid", "n", "keys"), "nid"), p))
+        before = (*more, roots, left)
+        # The components so far are stars that stand for all links so far.
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        for df in more:
+            edges = edges.unionAll(df.select("u", "v"))
+        roots = components(edges)
         for df in before:
             drop_written(spark, df)
 
     placed = nodes.select("fp", "nid", "low").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     placed = written(placed, "placed")
-    for df in (full, met, band_sizes, links, roots, nodes):
+    for df in (full, met, roots, nodes):
         drop_written(spark, df)
     release(spark)
     return rows, placed
