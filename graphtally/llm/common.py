@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 #: A Mersenne prime: products of two residues stay below 2**62, so ANSI arithmetic holds.
 P31 = 2147483647
+#: Numbers of one bitmap, and bytes of bitmaps that are broadcast at most.
+BLOCK = 1 << 15
+BITMAP_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +59,22 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose long ``column`` is in the column of that name of ``ids``, a written table.
+
+    The numbers go to the rows as bitmaps, exact and about a bit each where they are dense,
+    so rows are not shuffled; above ``BITMAP_BYTES`` rows and numbers meet in a shuffle.
+    """
+    block, bit = F.shiftright(column, BLOCK.bit_length() - 1).alias("_block"), F.pmod(column, F.lit(BLOCK)).cast("long")
+    bits = written(ids.groupBy(block).agg(F.bitmap_construct_agg(bit).alias("_bits")), "bitmaps")
+    if bits.count() * (BLOCK // 8) > BITMAP_BYTES:
+        drop_written(df.sparkSession, bits)
+        return df.join(ids, column, "left_semi")
+    octet = F.conv(F.hex(F.substr("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(octet, (bit % 8).cast("int")) == 1
+    return df.select("*", block).join(F.broadcast(bits), "_block").where(held).select(*df.columns)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, only, release, written
 from .components import components
 from .shingles import buffers, shingle_sets
 
@@ -381,4 +381,4 @@ def one_of_each(docs: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
     kept = written(kept, "kept")
     for df in (rows, placed):
         drop_written(docs.sparkSession, df)
-    return numbered.join(kept, "number", "left_semi").select("row.*")
+    return only(numbered, kept, "number").select("row.*")

@@ -1,8 +1,8 @@
-"""Components of links by each of their ways, and how many jobs near_duplicates asks of Spark."""
+"""Components of links and choice by bitmaps by each of their ways; what near_duplicates and near_dedup ask of Spark."""
 
 import random
 
-from graphtally.llm import components, near
+from graphtally.llm import common, components, near
 
 
 def plain(links):
@@ -46,3 +46,27 @@ def test_near_asks_for_few_jobs(spark):
     context.setJobGroup("", "")
     assert {x.component_id for x in got.collect()} == {0, *range(40, 80, 2)}
     assert jobs <= 80, jobs
+
+
+def test_only(spark, monkeypatch):
+    """By bitmaps and by a shuffle: the rows of these numbers, at block edges and both ends of the type too."""
+    edges = [0, 1, 7, 8, 32767, 32768, 65535, (5 << 33) + 7, -1, -32768, -32769, 2**63 - 1, -(2**63)]
+    rows = [(x, str(i)) for i, x in enumerate(edges + edges[:3])]
+    df = spark.createDataFrame(rows, "number long, text string")
+    for asked in (edges[::2], edges[1::2], []):
+        ids = common.written(spark.createDataFrame([(x,) for x in asked], "number long"), "ids")
+        for most in (64 << 20, 0):
+            monkeypatch.setattr(common, "BITMAP_BYTES", most)
+            assert sorted(common.only(df, ids, "number").collect()) == sorted(x for x in rows if x[0] in asked), (asked, most)
+
+
+def test_near_dedup_shuffles_no_whole_rows(spark):
+    """However large the table, the rows that stay are chosen where they lie."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = near.one_of_each(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h"), (4, "")], "doc_id long, text string"))
+        assert sorted(x.doc_id for x in df.collect()) == [1, 3, 4]
+        assert "SortMergeJoin" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
