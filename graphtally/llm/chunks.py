@@ -4,8 +4,9 @@ A text is cut at places where its tokenizer surely cuts too, so the ids of a tex
 the ids of its chunks in a row.  Chunks are looked up in a hash table per Python worker
 (vectorised over a batch), and only chunks not met before go to the tokenizer.  Chunks
 are told apart by content, never by a hash: those of up to SHORT bytes are their own key,
-longer ones are keys of a dictionary.  The table is emptied when it holds ``MOST`` chunks
-or ``MOST_LONG`` bytes of long ones, so memory has a bound whatever the text.
+longer ones are keys of a dictionary.  The table is emptied when it holds ``MOST`` chunks,
+``MOST_IDS`` ids or ``MOST_LONG`` bytes of long chunks, what Python needs for their keys
+included, so memory has a bound whatever the text: about 200 MB.
 """
 
 from __future__ import annotations
@@ -18,10 +19,14 @@ import pyarrow as pa
 
 from .hashing import SHORT, short_words
 
-#: Chunks kept in a worker's table, and bytes of those beyond SHORT.
-MOST, MOST_LONG = 1 << 21, 1 << 25
+#: Chunks kept in a worker's table, their ids, and bytes of the chunks beyond SHORT.
+MOST, MOST_IDS, MOST_LONG = 1 << 21, 1 << 24, 1 << 25
+#: Bytes that a key of the dictionary takes beside its chunk: the bytes object, the pair, the entry's number and their places.
+PER_LONG = 256
 #: Bytes cut and looked up at once: about 60 bytes of memory for each.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
+#: New chunks that go to the tokenizer at once, whose results are Python objects.
+NEW_AT_ONCE = 1 << 15
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -69,10 +74,11 @@ class Chunked:
     def clear(self) -> None:
         self.bits = 16
         self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.key = [np.zeros(1 << 12, np.uint64) for _ in range(3)]  # the bytes of a short chunk, its size and place
-        self.off = np.zeros(1 << 12, np.int64)
-        self.len = np.zeros(1 << 12, np.int32)
-        self.flat = np.zeros(1 << 14, np.uint32)
+        # Room for a full table at once: zeros take no memory until they are written, a copy that grows takes all of it.
+        self.key = [np.zeros(MOST, kind) for kind in (np.uint64, np.uint64, np.uint8)]  # the bytes of a short chunk, its size and place
+        self.off = np.zeros(MOST, np.int64)
+        self.len = np.zeros(MOST, np.int32)
+        self.flat = np.zeros(MOST_IDS, np.uint32)
         self.long: dict[tuple[bytes, bool], int] = {}
         self.n = self.used = self.long_bytes = 0
 
@@ -115,7 +121,7 @@ class Chunked:
         new = np.arange(self.n, self.n + m, dtype=np.int32)
         self.len[new] = lens
         for x, own in zip(self.key, keys, strict=True):
-            x[new] = own
+            x[new] = np.minimum(own, np.iinfo(x.dtype).max).astype(x.dtype)  # any size beyond SHORT says the same
         self.off[new] = self.used + np.concatenate(([0], np.cumsum(lens[:-1], dtype=np.int64))) if m else 0
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -140,7 +146,7 @@ class Chunked:
         for i, name in names.items():
             e[i] = self.long.get(name, -1)
         if len(miss := np.flatnonzero(e < 0)):
-            if self.n + len(miss) > MOST or self.long_bytes > MOST_LONG:
+            if self.n + len(miss) > MOST or self.used > MOST_IDS or self.long_bytes > MOST_LONG:
                 self.clear()
                 miss = np.arange(len(e))
             short = miss[size[miss] <= SHORT]
@@ -151,10 +157,15 @@ class Chunked:
             new = order[np.concatenate(([True], differs))] if len(order) else order
             unmet = {names[i]: i for i in miss.tolist() if i in names}
             new = np.concatenate((new, np.fromiter(unmet.values(), np.int64, len(unmet))))
-            at = self._add(tuple(x[new] for x in k), self.tokens([bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(start[new].tolist(), end[new].tolist(), strict=True)], first[new].tolist()))
-            for name, entry in zip(unmet, at[len(new) - len(unmet) :].tolist(), strict=True):
+            added = [np.zeros(0, np.int32)]
+            for low in range(0, len(new), NEW_AT_ONCE):
+                some = new[low : low + NEW_AT_ONCE]
+                ids = self.tokens([bytes(raw[i:j]).decode("utf-8", "replace") for i, j in zip(start[some].tolist(), end[some].tolist(), strict=True)], first[some].tolist())
+                added.append(self._add(tuple(x[some] for x in k), ids))
+            at = np.concatenate(added)[len(new) - len(unmet) :]
+            for name, entry in zip(unmet, at.tolist(), strict=True):
                 self.long[name] = entry
-                self.long_bytes += len(name[0])
+                self.long_bytes += len(name[0]) + PER_LONG
             e[short] = self._find(tuple(x[short] for x in k))
             for i in miss.tolist():
                 if i in names:

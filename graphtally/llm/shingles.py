@@ -8,9 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .chunks import AT_ONCE, _BLANK
+from .chunks import _BLANK
 from .hashing import mixed, span_hashes
 
+#: Bytes of texts worked on at once.
+AT_ONCE = 1 << 21
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 

@@ -198,6 +198,7 @@ def encode_shards(docs: DataFrame, vocabulary: str, end_id: int, partitions: int
                     open_ids, docs_in, lens, total, seq = [], [], [], 0, seq + 1
         if docs_in:
             yield closed()
+        pa.default_memory_pool().release_unused()  # a worker outlives its task, and would keep the room of its batches
 
     return rows.mapInArrow(images, "part int, seq long, n_tokens long, image binary")
 
@@ -216,6 +217,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     "doc_id": pa.array(w.doc_ids, pa.int64()), "_local": pa.array(ends - w.lengths), "n_tokens": pa.array(w.lengths),
                     "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part.as_py()] * m, pa.int32()), "seq": pa.array([seq.as_py()] * m, pa.int64()),
                 })
+        pa.default_memory_pool().release_unused()
 
     read = shards.select("part", "seq", "image").mapInArrow(rows, "doc_id long, _local long, n_tokens long, ids_crc32 long, part int, seq long")
     # Starts of shards: within a part, then over the parts, whose number is the partition count.

@@ -117,6 +117,30 @@ def test_chunked_ids(rows, name):
     assert [i.tolist() for _, i in chunks.bpe(tokenizer_file(name))(pa.array(texts))] == want
 
 
+def test_chunk_table_bounds(rows, monkeypatch):
+    """What is kept of many different long chunks is bounded, keys included; small bounds and slices give the same ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(tokenizer_file("byte_bpe_50k.json"))
+    r = random.Random(5)
+    texts = [" " + "".join(r.choice("abcdefgh") for _ in range(24)) for _ in range(4000)]
+    monkeypatch.setattr(chunks, "MOST_LONG", 1 << 16)
+    monkeypatch.setattr(chunks, "_kept", {})
+    encode = chunks.bpe(tokenizer_file("byte_bpe_50k.json"))
+    most = 0
+    for i in range(0, len(texts), 50):
+        list(encode(pa.array(texts[i : i + 50])))
+        most = max(most, len(encode.long))
+    assert 50 <= most <= (1 << 16) // 256 + 50
+    for name, size in (("MOST", 300), ("MOST_IDS", 500), ("NEW_AT_ONCE", 7), ("AT_ONCE", 2000)):
+        monkeypatch.setattr(chunks, name, size)
+    encode.clear()
+    texts = [x for _, x in rows] + texts[:200] + [thue_morse(10, "ab")]
+    want = [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert [i.tolist() for _, i in encode(pa.array(texts))] == want
+
+
 def test_packing(spark, rows):
     got = packing.pack(table(spark, rows), tokenizer_file("word_bpe_49k.json"), 1, 64).toPandas()
     assert got.length.sum() == got[got.start == 0].doc_tokens.sum() and (got.start == 0).sum() == len(rows)
