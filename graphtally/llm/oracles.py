@@ -77,4 +77,14 @@ done AS (SELECT start, max_by(p, steps) AS p FROM walk GROUP BY start)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, (p // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, number::BIGINT AS row_number FROM numbered JOIN done ON start = number"""
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op4_quality_rules": _op4(), "op5_feistel_shards": _op5()}
+def _op12() -> str:
+    sound = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {sound}),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score FROM v AS a, v WHERE a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) x WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op4_quality_rules": _op4(), "op5_feistel_shards": _op5(), "op12_full_sort_negatives": _op12()}

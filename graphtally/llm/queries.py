@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
+from . import langid, near, negatives, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,13 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_full_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lossless_webp": op2_lossless_webp,
@@ -86,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
+    "op12_full_sort_negatives": op12_full_sort_negatives,
 }

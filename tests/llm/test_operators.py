@@ -88,7 +88,8 @@ def test_against_sql(spark, sf):
     from graphtally.llm import oracles, queries
 
     con, folder = duckdb.connect(), f"/root/testdata/{sf}"
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for t in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     for name, sql in oracles.ORACLES.items():
         df, r = queries.QUERIES[name](spark, folder), con.execute(sql)
         names = [c[0] for c in r.description]
