@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near, negatives, packing, pieces, quality, repeats, secrets, sharding, wavelet, webp
+from . import langid, near, negatives, packing, periods, pieces, quality, repeats, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +82,10 @@ def op12_full_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows)
 
 
+def op13_lpf_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.periodic_runs(documents(spark, sf_dir), tails=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_lossless_webp": op2_lossless_webp,
@@ -94,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_histogram_packing": op9_histogram_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
     "op12_full_sort_negatives": op12_full_sort_negatives,
+    "op13_lpf_runs": op13_lpf_runs,
 }
