@@ -77,6 +77,26 @@ done AS (SELECT start, max_by(p, steps) AS p FROM walk GROUP BY start)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, (p // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, number::BIGINT AS row_number FROM numbered JOIN done ON start = number"""
 
 
+def _op11(window: int = 10, span: int = 15) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, w[k:least(k + {window - 1}, len(w))] AS x FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - {window - 1}) + 1)) AS k FROM i WHERE len(w) > 0) z),
+pos AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+starts AS (SELECT DISTINCT x, len(x) AS n, x[1] AS word FROM iw),
+found AS (SELECT DISTINCT r, k, n, s.x FROM pos JOIN starts s ON pos.word = s.word JOIN d USING (r) WHERE k + n - 1 <= len(w) AND w[k:k + n - 1] = s.x),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS k FROM found) z GROUP BY r),
+pairs AS (SELECT DISTINCT r, item FROM found JOIN iw ON found.x = iw.x),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM pairs GROUP BY r),
+often AS (SELECT word, count(*) AS n FROM pos GROUP BY word),
+rare AS (SELECT x, min_by(word, (coalesce(n, 0), word)) AS word FROM (SELECT x, unnest(x) AS word FROM starts) z LEFT JOIN often USING (word) GROUP BY x),
+near AS (SELECT DISTINCT r, rare.x FROM pos JOIN rare USING (word) JOIN d USING (r) WHERE list_has_all(w[greatest(1, k - {span - 1}):k + {span - 1}], rare.x) AND len(list_filter(range(greatest(1, k - {span - 1}), k + 1), lambda s: list_has_all(w[s:s + {span - 1}], rare.x))) > 0),
+around AS (SELECT r, count(DISTINCT item) AS n_near_items FROM near JOIN iw ON near.x = iw.x GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN around USING (r)"""
+
+
 def _op12() -> str:
     sound = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
     return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND {sound}),
@@ -87,4 +107,4 @@ FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT s.same AND 30 * p.score <=
 SELECT * FROM n WHERE rank <= 10"""
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op4_quality_rules": _op4(), "op5_feistel_shards": _op5(), "op12_full_sort_negatives": _op12()}
+ORACLES: dict[str, str] = {"op1_secret_scan": _op1(), "op4_quality_rules": _op4(), "op5_feistel_shards": _op5(), "op11_positional_index": _op11(), "op12_full_sort_negatives": _op12()}

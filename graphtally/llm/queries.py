@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, near, negatives, packing, periods, pieces, quality, repeats, secrets, sharding, wavelet, webp
+from . import langid, near, negatives, packing, periods, pieces, postings, quality, repeats, secrets, sharding, wavelet, webp
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), postings.Search(window=10, span=15))
+
+
 def op12_full_sort_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_bayes": op8_minhash_bayes,
     "op9_histogram_packing": op9_histogram_packing,
     "op10_wavelet_shards": op10_wavelet_shards,
+    "op11_positional_index": op11_positional_index,
     "op12_full_sort_negatives": op12_full_sort_negatives,
     "op13_lpf_runs": op13_lpf_runs,
 }
