@@ -46,89 +46,110 @@ def degrees(rows: DataFrame, active: int, size: int) -> DataFrame:
 
 
 def formulae(p: Pattern) -> list[tuple[list[int], dict[int, int]]]:
-    """(relations counted in full, relation -> active attribute), one per way to cover each join attribute."""
+    """(relations counted in full, relation -> active attribute), one per way to have each join attribute covered by one of its relations.
+
+    A relation that covers all of its attributes is counted, one that covers all but one
+    bounds by its degree for that one, one that covers none of several is left out; any
+    other cover is none.
+    """
     rs = relations(p)
-    held: dict[int, list[int]] = {}
-    for i, r in enumerate(rs):
-        for a in {a for a, _ in r.attrs}:
-            held.setdefault(a, []).append(i)
-    attrs = sorted(held)
+    own_attrs = [{a for a, _ in r.attrs} for r in rs]
+    attrs = sorted(set().union(*own_attrs))
+    held = [[i for i, own in enumerate(own_attrs) if a in own] for a in attrs]
     out = []
-    for choice in itertools.product(*(held[a] for a in attrs)):
-        given: dict[int, set[int]] = {}
-        for a, i in zip(attrs, choice, strict=True):
-            given.setdefault(i, set()).add(a)
+    for choice in itertools.product(*held):
         full, active = [], {}
-        for i, own in given.items():
-            missing = {a for a, _ in rs[i].attrs} - own
-            if len(missing) > 1:
-                break
-            if missing:
-                active[i] = missing.pop()
-            else:
+        for i, own in enumerate(own_attrs):
+            missing = own - {a for a, j in zip(attrs, choice, strict=True) if j == i}
+            if not missing:
                 full.append(i)
+            elif len(missing) == 1:
+                active[i] = missing.pop()
+            elif missing != own:
+                break
         else:
-            if full and (full, active) not in out:
+            if full:
                 out.append((full, active))
     return out
 
 
+def cut_attributes(rs: list[PRelation], full: list[int], active: dict[int, int], tight: bool = False) -> list[int]:
+    """The attributes that a formula's buckets follow: held by a counted relation and by one that isn't, be it in the formula or not.
+
+    ``tight``: only those that a counted relation shares with a degree; finer buckets of fewer attributes.
+    """
+    counted = {a for i in full for a, _ in rs[i].attrs}
+    return sorted(counted & (set(active.values()) if tight else {a for i, r in enumerate(rs) if i not in full for a, _ in r.attrs}))
+
+
 class BoundSketch(Estimator):
     name, fixed = "bsk", True
 
-    def __init__(self, budget: int = 4096, bounds: str = "ignore") -> None:
-        self.budget, self.bounds = budget, bounds
+    def __init__(self, budget: int = 4096, bounds: str = "ignore", tight: bool = False) -> None:
+        self.budget, self.bounds, self.tight = budget, bounds, tight
         self._kept: dict = {}
 
+    def size_pairs(self) -> list[tuple[int, int]]:
+        """Sizes of both columns' axes that fit the budget together."""
+        sizes = hash_sizes(self.budget)
+        return [(a, b) for a in sizes for b in sizes if (a - 1) * (b - 1) <= self.budget]
+
     def summarize(self, g: Graph, store: Store) -> Store:
-        """Table ``sketch`` (kind, label, active, n0, n1, h0, h1, value) for all labels and the budget's sizes.
+        """Table ``sketch`` (kind, label, active, n0, n1, h0, h1, value) for all labels and all pairs of sizes.
 
-        ``active`` -1 counts rows by bucket (n 0: that column is not cut); else it is the
-        column whose largest degree is kept by bucket of it.
+        ``active`` -1 counts rows by bucket, else it is the column whose largest degree
+        within the bucket is kept; size 1 leaves a column uncut.  A vertex's edges are
+        counted once by the buckets of their other ends, for all sizes of that axis; sums and
+        maxima of those counts are the buckets of every size of the vertex's own axis.
         """
         e = g.edges.select(F.lit("e").alias("kind"), F.col("el").alias("label"), F.col("src").alias("c0"), F.col("dst").alias("c1"))
         v = g.vlabels.select(F.lit("v").alias("kind"), F.col("vl").alias("label"), F.col("vid").alias("c0"), F.lit(0).cast("long").alias("c1"))
-        parts = []
-
-        def cells(rows: DataFrame, active: int, n0: int, n1: int, value: F.Column) -> None:
-            h0, h1 = (F.pmod(f"c{c}", F.lit(n)) if n else F.lit(0).cast("long") for c, n in ((0, n0), (1, n1)))
-            cut = rows.groupBy("kind", "label", h0.alias("h0"), h1.alias("h1")).agg(value.alias("value"))
-            parts.append(cut.select("kind", "label", F.lit(active).alias("active"), F.lit(n0).alias("n0"), F.lit(n1).alias("n1"), "h0", "h1", "value"))
-
-        degree = {c: store.save(f"degree{c}", e.groupBy("kind", "label", F.col(f"c{c}")).agg(F.count(F.lit(1)).alias("n"))) for c in (0, 1)}
-        sizes = [0, *hash_sizes(self.budget)]
-        for n in sizes:
-            # Counts by one column follow from its degrees.
-            cells(degree[0], -1, n, 0, F.sum("n"))
-            cells(v, -1, n, 0, F.count(F.lit(1)))
-            if n:
-                cells(degree[1], -1, 0, n, F.sum("n"))
-                if n <= max(1, round(self.budget**0.5)):
-                    cells(e, -1, n, n, F.count(F.lit(1)))
-            cells(degree[0], 0, n, 0, F.max("n"))
-            cells(degree[1], 1, 0, n, F.max("n"))
-        whole = parts[0]
-        for x in parts[1:]:
-            whole = whole.unionAll(x)
-        store.save("sketch", whole)
+        pairs = self.size_pairs()
+
+        def cells(rows: DataFrame, own: int, pairs: list[tuple[int, int]], counted: bool) -> DataFrame:
+            c, n, other, m = (f"c{own}", f"n{own}", f"c{1 - own}", f"n{1 - own}")
+            sizes = sorted({x[1 - own] for x in pairs})
+            beside = {k: [x[own] for x in pairs if x[1 - own] == k] for k in sizes}
+            degree = rows.withColumn(m, F.explode(F.array(*[F.lit(x) for x in sizes]))).groupBy("kind", "label", c, m, F.pmod(other, m).alias(f"h{1 - own}")).agg(F.count(F.lit(1)).alias("n"))
+            fits = F.coalesce(*[F.when(F.col(m) == k, F.array(*[F.lit(x) for x in xs])) for k, xs in beside.items()])
+            each = degree.withColumn(n, F.explode(fits))
+            both = each.groupBy("kind", "label", "n0", "n1", F.pmod(c, n).alias(f"h{own}"), f"h{1 - own}").agg(F.sum("n").alias("count"), F.max("n").alias("degree"))
+            kinds = [F.struct(F.lit(own).alias("active"), F.col("degree").alias("value"))] + [F.struct(F.lit(-1).alias("active"), F.col("count").alias("value"))] * counted
+            return both.withColumn("x", F.explode(F.array(*kinds))).select("kind", "label", "x.active", "n0", "n1", "h0", "h1", "x.value")
+
+        single = [(n, 1) for n in hash_sizes(self.budget)]
+        store.save("sketch", cells(e, 0, pairs, True).unionAll(cells(e, 1, pairs, False)).unionAll(cells(v, 0, single, True)))
         return store
 
-    def _sketch(self, g: Graph, r: PRelation, active: int | None, sizes: dict[int, int], held: Store) -> np.ndarray:
-        """A sketch on the driver: at most the budget's number of cells."""
-        key = (held.path, r.table, tuple(sorted(r.bounds.items())), active, tuple(sizes.items()))
-        if key not in self._kept:
-            cells = np.zeros(tuple(sizes.values()) or (1,))
+    def _key(self, r: PRelation, active: int | None, sizes: dict[int, int], held: Store) -> tuple:
+        return held.path, r.table, tuple(sorted(r.bounds.items())), -1 if active is None else active, tuple(sizes.items())
+
+    def _fetch(self, g: Graph, needed: list[tuple[PRelation, int | None, dict[int, int]]], held: Store) -> None:
+        """Bring sketches to the driver, at most the budget's number of cells each; those of whole labels in one job."""
+        missing = {k: x for x in needed if (k := self._key(*x, held)) not in self._kept}
+        self._kept |= {k: np.zeros(tuple(sizes.values()) or (1,)) for k, (_, _, sizes) in missing.items()}
+        stored, rule = {}, F.lit(False)
+        for k, (r, active, sizes) in missing.items():
+            at = [f"h{c}" for c in sizes]
             if r.bounds:  # a bound relation is no label's whole one
                 rows = table(g, r)
-                got = degrees(rows, active, sizes.get(active, 1)).select(F.struct("h").alias("at"), "value") if active is not None else (counts(rows, sizes) if sizes else rows.agg(F.count(F.lit(1)).alias("value"))).select(F.struct(*[f"h{c}" for c in sizes], *[F.lit(0)] * (not sizes)).alias("at"), "value")
-            else:
-                n0, n1 = (sizes.get(c, 0) for c in (0, 1))
-                own = held.table("sketch").where((F.col("kind") == r.table[0]) & (F.col("label") == r.table[1]) & (F.col("active") == (-1 if active is None else active)) & (F.col("n0") == n0) & (F.col("n1") == n1))
-                got = own.select(F.struct(*[f"h{c}" for c in sizes], *[F.lit(0)] * (not sizes)).alias("at"), "value")
-            for x in got.collect():
-                cells[tuple(x["at"])] = x["value"]
-            self._kept[key] = cells
-        return self._kept[key]
+                if active is not None:
+                    got = degrees(rows, active, sizes.get(active, 1)).withColumnRenamed("h", f"h{active}")
+                else:
+                    got = counts(rows, sizes) if sizes else rows.agg(F.count(F.lit(1)).alias("value"))
+                for x in got.collect():
+                    self._kept[k][tuple(x[c] for c in at) or 0] = x["value"]
+                continue
+            own = (*r.table, k[3], *(sizes.get(c, 1) for c in (0, 1)))
+            stored[own] = k, at
+            same = F.lit(True)
+            for c, x in zip(("kind", "label", "active", "n0", "n1"), own, strict=True):
+                same = same & (F.col(c) == x)
+            rule = rule | same
+        if stored:
+            for x in held.table("sketch").where(rule).collect():
+                k, at = stored[x["kind"], x["label"], x["active"], x["n0"], x["n1"]]
+                self._kept[k][tuple(x[c] for c in at) or 0] = x["value"]
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
@@ -136,10 +157,9 @@ class BoundSketch(Estimator):
         held = self.summary_of(g, summary)
         p = p.without_bounds() if self.bounds == "ignore" else p
         rs = relations(p)
-        found = formulae(p)
-        if not found:
-            return float(np.prod([self._sketch(g, r, None, {}, held).sum() for r in rs]))
-        return float(min(self._value(g, rs, full, active, held) for full, active in found))
+        found = [self._factors(rs, full, active) for full, active in formulae(p)]
+        self._fetch(g, [(rs[i], c, sizes) for factors in found for i, c, sizes, _ in factors], held)
+        return float(min(self._value(rs, factors, held) for factors in found))
 
     def formula_text(self, p: Pattern, full: list[int], active: dict[int, int]) -> str:
         """A formula as text: counts of relations times degrees, each with its attributes."""
@@ -150,18 +170,21 @@ class BoundSketch(Estimator):
 
         return " * ".join([f"count {name(i)}" for i in full] + [f"degree of x{a} in {name(i)}" for i, a in active.items()])
 
-    def _value(self, g: Graph, rs: list[PRelation], full: list[int], active: dict[int, int], held: Store) -> float:
-        """Sum over buckets of counts times degrees; an attribute is bucketed where a count and a degree share it."""
-        split = sorted({a for i in full for a, _ in rs[i].attrs} & set(active.values()))
+    def _factors(self, rs: list[PRelation], full: list[int], active: dict[int, int]) -> list[tuple[int, int | None, dict[int, int], list[int]]]:
+        """(relation, active column, sizes by column, attributes of these) of each sketch of a formula."""
+        split = cut_attributes(rs, full, active, self.tight)
         n = max(1, round(self.budget ** (1 / len(split)))) if split else 1
-        letters, operands, terms = {a: chr(97 + k) for k, a in enumerate(split)}, [], []
-        for i in full:
-            sizes = {c: n for a, c in rs[i].attrs if a in letters}
-            cells = self._sketch(g, rs[i], None, sizes, held)
-            operands.append(cells)
-            terms.append("".join(letters[a] for a, c in rs[i].attrs if c in sizes) or "Z")
-        for i, a in active.items():
-            column = next(c for b, c in rs[i].attrs if b == a)
-            operands.append(self._sketch(g, rs[i], column, {column: n} if a in letters else {}, held))
-            terms.append(letters.get(a, "Z"))
-        return float(np.einsum(",".join(terms) + "->", *operands, optimize=True))
+        split = split if n > 1 else []
+        out = []
+        for i in [*full, *active]:
+            # A loop holds its attribute twice; one column tells the bucket.
+            own = {a: c for a, c in reversed(rs[i].attrs) if a in split and (i in full or a == active[i])}
+            column = next(c for a, c in rs[i].attrs if a == active[i]) if i in active else None
+            out.append((i, column, {c: n for c in sorted(own.values())}, sorted(own, key=own.get)))
+        return out
+
+    def _value(self, rs: list[PRelation], factors: list[tuple[int, int | None, dict[int, int], list[int]]], held: Store) -> float:
+        """Sum over buckets of counts times degrees."""
+        letters = {a: chr(97 + k) for k, a in enumerate(sorted({a for *_, own in factors for a in own}))}
+        terms = ["".join(letters[a] for a in own) or "Z" for *_, own in factors]
+        return float(np.einsum(",".join(terms) + "->", *[self._kept[self._key(rs[i], c, sizes, held)] for i, c, sizes, _ in factors], optimize=True))

@@ -157,6 +157,12 @@ def _sketch(kind: str) -> Callable[[Graph], DataFrame]:
     return run
 
 
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sketches of all labels and all pairs of sizes of a small budget."""
+    store = Store.scratch(spark)
+    return bound_sketch.BoundSketch(budget=64).summarize(star_graph(spark, sf_dir).stored(store), store).table("sketch")
+
+
 def _sample(g: Graph) -> DataFrame:
     rows = g.of_label(5)
     return rows.where(sampling.unit_hash(F.col("src"), 2862933555777941757, 3037000493) < 0.03).select("src", "dst")
@@ -207,7 +213,8 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "cs_sample": _over(_sample),
     "cset_rule": _rule,
     "cset_est": _estimates(charsets.CharacteristicSets, ("chain3", "star3", "triangle", "wedge_in")),
-    "bsk_est": _estimates(bound_sketch.BoundSketch, ("chain3", "triangle", "wedge_in")),
+    "bsk_est": _estimates(bound_sketch.BoundSketch, ("chain3", "star3", "triangle", "cycle4", "wedge_in")),
+    "bsk_sketches": _sketches,
     "sumrdf_est": _estimates(typed_summary.TypedSummary, ("chain3", "triangle", "wedge_in")),
     "cs_est": _estimates(sampling.CorrelatedSampling, ("chain3", "star3")),
     "wj_est": _estimates(sampling.WanderJoin, ("chain3",)),
@@ -269,6 +276,15 @@ SELECT a.bucket AS bs, el, b.bucket AS bd, count(*)::BIGINT AS w FROM edges JOIN
 }
 
 
+def _sketches_sql() -> str:
+    """Sizes that a budget of 64 has: 64, 8, 4, 3, 2 and 1."""
+    return f"""{_WITH}, sizes AS (SELECT unnest([1, 2, 3, 4, 8, 64]) AS n), pairs AS (SELECT a.n AS n0, b.n AS n1 FROM sizes a, sizes b WHERE (a.n - 1) * (b.n - 1) <= 64),
+e AS (SELECT 'e' AS kind, el AS label, src, dst, n0, n1, src % n0 AS h0, dst % n1 AS h1 FROM edges, pairs UNION ALL SELECT 'v', vl, vid, 0, n, 1, vid % n, 0 FROM vlabels, sizes),
+outs AS (SELECT kind, label, n0, n1, h0, h1, src, count(*) AS n FROM e GROUP BY ALL), ins AS (SELECT kind, label, n0, n1, h0, h1, dst, count(*) AS n FROM e WHERE kind = 'e' GROUP BY ALL)
+SELECT kind, label, -1 AS active, n0, n1, h0, h1, count(*)::BIGINT AS value FROM e GROUP BY ALL
+UNION ALL SELECT kind, label, 0, n0, n1, h0, h1, max(n)::BIGINT FROM outs GROUP BY ALL UNION ALL SELECT kind, label, 1, n0, n1, h0, h1, max(n)::BIGINT FROM ins GROUP BY ALL"""
+
+
 def _est_sql(ctes: str, value: Callable[[Pattern], str], names: tuple[str, ...]) -> str:
     return f"{_WITH}{ctes} " + " UNION ALL ".join(f"SELECT '{n}' AS query, {estimate_sql.digits9(value(PATTERNS[n]))} AS est" for n in names)
 
@@ -276,7 +292,8 @@ def _est_sql(ctes: str, value: Callable[[Pattern], str], names: tuple[str, ...])
 _CSETS = _TYPES + estimate_sql.charsets_sql()
 ORACLES |= {
     "cset_est": _est_sql(_CSETS, estimate_sql.cset, ("chain3", "star3", "triangle", "wedge_in")),
-    "bsk_est": _est_sql("", estimate_sql.bsk, REPORTED),
+    "bsk_est": _est_sql("", estimate_sql.bsk, ("chain3", "star3", "triangle", "cycle4", "wedge_in")),
+    "bsk_sketches": _sketches_sql(),
     "sumrdf_est": _est_sql(_TYPES + estimate_sql.SUMMARY, estimate_sql.sumrdf, REPORTED),
     "cs_est": _est_sql("", estimate_sql.cs, ("chain3", "star3")),
     "jsub_full_est": _est_sql("", lambda p: f"({exact.count_sql(p)})", ("chain3", "star3", "wedge_in")),

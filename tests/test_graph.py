@@ -54,6 +54,29 @@ def test_against_enumeration(spark):
     assert sampling.JSub(full=True).estimate(g, patterns[1]) == exact.count(g, patterns[1]).head()[0]
 
 
+def test_bound_holds(spark):
+    """No formula lies below the count, whatever the pattern, the budget or the rule for cutting; relations that cover nothing count by their degree."""
+    r = random.Random(6)
+    edges = sorted({(r.randrange(9), r.randrange(9), r.randrange(2)) for _ in range(60)})
+    g = graph(spark, 9, [(i, i % 2) for i in range(9)], edges)
+    shapes = [[(0, 1), (1, 2), (2, 3)], [(0, 1), (0, 2), (0, 3)], [(0, 1), (1, 2), (0, 2)], [(0, 1), (1, 2), (3, 2), (0, 3)], [(0, 1), (2, 1)], [(0, 1), (2, 3)], [(0, 0), (0, 1), (1, 2)]]
+    ps = [Pattern.of([(a, b, r.randrange(2)) for a, b in x], {0: 1} if k % 2 else {}) for k, x in enumerate(shapes)]
+    wants = [exact.count(g, p).head()[0] for p in ps]
+    for m in (bound_sketch.BoundSketch(1), bound_sketch.BoundSketch(30), bound_sketch.BoundSketch(30, tight=True)):
+        held = m.summarize(g, Store.scratch(spark))
+        for p, want in zip(ps, wants, strict=True):
+            assert m.estimate(g, p, 0, held) >= want
+    p = Pattern.of([(0, 1, 0), (1, 2, 1)], bounds={2: edges[0][1]})
+    assert bound_sketch.BoundSketch(30, bounds="apply").estimate(g, p) >= exact.count(g, p).head()[0]
+
+
+def test_cut_attributes():
+    p = Pattern.of([(0, 1, 4), (1, 2, 6), (0, 2, 5)])
+    rs = relations(p)
+    assert bound_sketch.cut_attributes(rs, [0], {1: 1}) == [0, 1]  # 0 is held by the relation that is left out
+    assert bound_sketch.cut_attributes(rs, [0], {1: 1}, tight=True) == [1]
+
+
 def test_wander_join_mean(spark):
     g = graph(spark, 40, [], [(i, 20 + (i * k) % 20, 0) for i in range(20) for k in (1, 3, 7)] + [(20 + i, (i * 5 + k) % 20, 1) for i in range(20) for k in range(1 + i % 3)])
     p = Pattern.of([(0, 1, 0), (1, 2, 1)])
