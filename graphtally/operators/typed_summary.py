@@ -3,12 +3,11 @@
 The estimate is the expected number of matches over graphs that share the summary:
 every embedding of the pattern in the summary contributes the weight products of all
 ways pattern edges can fall on one edge (inclusion and exclusion over edge partitions).
+The signs of that lattice are a small table, joined to the embeddings.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -169,23 +168,76 @@ def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target:
     held.save("edge", first.join(at.select(F.col("b").alias("bs"), F.col("root").alias("rs")), "bs").join(at.select(F.col("b").alias("bd"), F.col("root").alias("rd")), "bd").groupBy(F.col("rs").alias("bs"), "el", F.col("rd").alias("bd")).agg(F.sum("w").alias("w")))
 
 
-def partitions(labels: list[int], most: int) -> list[tuple[int, ...]]:
-    """Set partitions of edges into blocks of one label each, as block numbers in first-use order."""
-    out: list[tuple[int, ...]] = [()]
-    for i, el in enumerate(labels):
-        out = [(*x, b) for x in out for b in range(max(x, default=-1) + 2) if all(labels[j] == el for j in range(i) if x[j] == b)]
-        if len(out) > most:
-            raise ValueError(f"more than {most} ways in which the pattern's edges can fall on one")
+Blocks = tuple[int, ...]
+
+
+def partitions(groups: list[int]) -> list[Blocks]:
+    """Set partitions of things into blocks of one group each, as block numbers in first-use order."""
+    out: list[Blocks] = [()]
+    for i, g in enumerate(groups):
+        out = [(*x, b) for x in out for b in range(max(x, default=-1) + 2) if all(groups[j] == g for j in range(i) if x[j] == b)]
     return out
 
 
+def unified(p: Pattern, blocks: Blocks) -> tuple[int, ...] | None:
+    """The least vertex of each vertex's class when the edges of a block are one; None if they cannot be.
+
+    They cannot if that makes two bound vertices one, or two blocks the same edge (another partition says so).
+    """
+    root, first = list(range(len(p.vertices))), {}
+    for i, k in enumerate(blocks):
+        e, f = p.edges[i], p.edges[first.setdefault(k, i)]
+        for a, b in ((e.src, f.src), (e.dst, f.dst)):
+            x, y = root[a], root[b]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+    for v in p.vertices:
+        if v.bound is not None and any(root[u.id] == root[v.id] and u.bound != v.bound for u in p.vertices):
+            return None
+    edges = {(root[p.edges[i].src], p.edges[i].el, root[p.edges[i].dst]) for i in first.values()}
+    return tuple(root) if len(edges) == len(first) else None
+
+
+def terms(p: Pattern, key: Blocks) -> dict[tuple[Blocks, Blocks], int]:
+    """(powers of vertices' weights, drawn edges) -> factor: the estimate of an embedding as a sum of products.
+
+    ``key`` names the first pattern edge on the same summary edge, for each; only those can
+    be one edge.  Solutions of a partition alone are its solutions less those of all coarser
+    partitions alone, filled from coarse to fine; partitions that an embedding allows are
+    closed under refinement, so these signs hold for all embeddings of the key.  Products of
+    equal buckets fall together, which leaves few.
+    """
+    like = list(range(len(p.vertices)))  # vertices that the key puts into one bucket
+    for i, j in enumerate(key):
+        for a, b in ((p.edges[i].src, p.edges[j].src), (p.edges[i].dst, p.edges[j].dst)):
+            x, y = like[a], like[b]
+            like = [min(x, y) if r in (x, y) else r for r in like]
+    roots = {x: r for x in partitions(list(key)) if (r := unified(p, x)) is not None}
+    alone: dict[Blocks, dict[Blocks, int]] = {}
+    out: dict[tuple[Blocks, Blocks], int] = {}
+    for blocks in sorted(roots, key=lambda x: max(x, default=-1)):
+        root, power = roots[blocks], [0] * len(p.vertices)
+        for v in set(root):
+            if all(p.vertices[u].bound is None for u in range(len(root)) if root[u] == v):
+                power[like[v]] += 1
+        own = {tuple(power): 1}
+        n = max(blocks, default=-1) + 1
+        group = [key[blocks.index(b)] for b in range(n)]
+        for joined in partitions(group):
+            coarser = tuple(joined[b] for b in blocks)
+            if coarser != blocks and coarser in roots:
+                for x, k in alone[coarser].items():
+                    own[x] = own.get(x, 0) - k
+        alone[blocks] = own
+        drawn = tuple(group.count(i) for i in range(len(p.edges)))
+        for x, k in own.items():
+            out[x, drawn] = out.get((x, drawn), 0) + k
+    return {x: k for x, k in out.items() if k}
+
+
 class TypedSummary(Estimator):
     """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge."""
 
     name, fixed = "sumrdf", True
-    #: Partitions beyond which an expression gets too large: those of seven edges of one label.
-    most_partitions = 877
-
     def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0) -> None:
         self.ratio, self.threshold, self.least_target = ratio, threshold, least_target
 
@@ -201,15 +253,46 @@ class TypedSummary(Estimator):
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if empty(g, p):
             return 0.0
-        ways = partitions([e.el for e in p.edges], self.most_partitions)
-        held = self.summary_of(g, summary)
-        embeddings = self.embeddings(held, g, p)
-        terms = [t for t in (self._term(p, x) for x in ways) if t is not None]
-        total = None
-        for condition, value in self._minimal(p, terms):
-            part = F.when(condition, value).otherwise(F.lit(0.0))
-            total = part if total is None else total + part
-        return float(embeddings.agg(F.coalesce(F.sum(total), F.lit(0.0))).head()[0])
+        embeddings = self.embeddings(self.summary_of(g, summary), g, p).withColumn("key", self._key(p))
+        if len({e.el for e in p.edges}) == len(p.edges):
+            keys = [",".join(str(i) for i in range(len(p.edges)))]
+        else:
+            embeddings = Store.scratch(g.edges.sparkSession).save("embeddings", embeddings)
+            keys = [x[0] for x in embeddings.select("key").distinct().collect()]  # ways in which a pattern's edges can meet
+        rows = [(key, float(k), list(power), list(drawn)) for key in keys for (power, drawn), k in terms(p, tuple(int(x) for x in key.split(",") if x)).items()]
+        # The table depends on the pattern, not on the graph.
+        by_key = F.broadcast(g.edges.sparkSession.createDataFrame(rows, "key string, factor double, power array<int>, drawn array<int>"))
+        return float(embeddings.join(by_key, "key").agg(F.coalesce(F.sum(F.col("factor") * self._product(p)), F.lit(0.0))).head()[0])
+
+    @staticmethod
+    def _key(p: Pattern) -> F.Column:
+        """For each pattern edge the first one on the same summary edge."""
+        first = []
+        for i, e in enumerate(p.edges):
+            at = F.lit(i)
+            for j in range(i - 1, -1, -1):
+                f = p.edges[j]
+                if f.el == e.el:
+                    at = F.when((F.col(f"b{e.src}") == F.col(f"b{f.src}")) & (F.col(f"b{e.dst}") == F.col(f"b{f.dst}")), F.lit(j)).otherwise(at)
+            first.append(at.cast("string"))
+        return F.concat_ws(",", *first)
+
+    @staticmethod
+    def _product(p: Pattern) -> F.Column:
+        """Weights to their powers, times the chance that so many different edges are drawn from each summary edge's, without replacement."""
+        times = lambda a, x: a * x
+        weights = F.array(*[F.col(f"n{v.id}") for v in p.vertices])
+        out = F.aggregate(F.zip_with("power", weights, lambda k, n: F.pow(n, k)), F.lit(1.0), times)
+        if p.edges:
+            edges = F.array(*[F.struct(F.col(f"w{i}").alias("w"), (F.col(f"n{e.src}") * F.col(f"n{e.dst}")).alias("cells")) for i, e in enumerate(p.edges)])
+            turns = F.array(*[F.lit(float(i)) for i in range(len(p.edges))])
+
+            def drawn(k: F.Column, e: F.Column) -> F.Column:
+                chance = lambda i: F.when((e["w"] > i) & (e["cells"] > i), (e["w"] - i) / F.greatest(e["cells"] - i, F.lit(1.0))).otherwise(F.lit(0.0))
+                return F.aggregate(turns, F.lit(1.0), lambda a, i: F.when(i < k, a * chance(i)).otherwise(a))
+
+            out = out * F.aggregate(F.zip_with("drawn", edges, drawn), F.lit(1.0), times)
+        return out
 
     def embeddings(self, held: Store, g: Graph, p: Pattern) -> DataFrame:
         """(b<v>, n<v> for vertices, w<i> for edges): mappings of the pattern into the summary.
@@ -242,68 +325,3 @@ class TypedSummary(Estimator):
             if v.id not in met:  # a vertex without edges is any candidate
                 acc = candidates[v.id] if acc is None else acc.crossJoin(candidates[v.id])
         return acc
-
-    def _term(self, p: Pattern, blocks: tuple[int, ...]) -> tuple | None:
-        """Vertex classes and distinct edges when the edges of a block are one; None if they cannot be."""
-        root = list(range(len(p.vertices)))
-        first: dict[int, int] = {}
-        for i, k in enumerate(blocks):
-            e, f = p.edges[i], p.edges[first.setdefault(k, i)]
-            if e.el != f.el:
-                return None
-            if i == first[k]:
-                continue
-            for a, b in ((e.src, f.src), (e.dst, f.dst)):
-                x, y = root[a], root[b]
-                root = [min(x, y) if r in (x, y) else r for r in root]
-        for v in p.vertices:
-            if v.bound is not None and any(root[u.id] == root[v.id] and u.id != v.id and u.bound != v.bound for u in p.vertices):
-                return None
-        edges = [(root[p.edges[i].src], p.edges[i].el, root[p.edges[i].dst], i) for i in first.values()]
-        if len({x[:3] for x in edges}) < len(edges):
-            return None  # unified ends make two blocks one edge: another partition says so
-        return blocks, tuple(root), tuple(edges)
-
-    def _minimal(self, p: Pattern, terms: list[tuple]):  # noqa: ANN202
-        """(condition, value) per partition: solutions of just that partition times the chance of its edges."""
-
-        def solutions(root: tuple[int, ...]):  # noqa: ANN202
-            out = F.lit(1.0)
-            for v in sorted(set(root)):
-                if all(p.vertices[u].bound is None for u in range(len(root)) if root[u] == v):
-                    out = out * F.col(f"n{v}")
-            return out
-
-        def unified(root: tuple[int, ...]):  # noqa: ANN202
-            out = F.lit(True)
-            for v, r in enumerate(root):
-                if v != r:
-                    out = out & (F.col(f"b{v}") == F.col(f"b{r}"))
-            return out
-
-        def coarser(x: tuple[int, ...], y: tuple[int, ...]) -> bool:
-            """Whether every block of y lies in a block of x."""
-            return x != y and len({(b, a) for a, b in zip(x, y, strict=True)}) == len(set(y))
-
-        by = {t[0]: t for t in terms}
-
-        @lru_cache(None)
-        def minimal(blocks: tuple[int, ...]):  # noqa: ANN202
-            out = solutions(by[blocks][1])
-            for other in by:
-                if coarser(other, blocks):
-                    out = out - F.when(unified(by[other][1]), minimal(other)).otherwise(F.lit(0.0))
-            return out
-
-        for blocks, root, edges in terms:
-            chance, done = F.lit(1.0), []
-            for s, el, d, i in edges:
-                # Edges that share a summary edge draw without replacement.
-                rank = F.lit(0.0)
-                for s2, el2, d2 in done:
-                    if el2 == el:
-                        rank = rank + F.when((F.col(f"b{s2}") == F.col(f"b{s}")) & (F.col(f"b{d2}") == F.col(f"b{d}")), 1.0).otherwise(0.0)
-                done.append((s, el, d))
-                cells = F.col(f"n{s}") * F.col(f"n{d}") - rank
-                chance = chance * F.when((F.col(f"w{i}") > rank) & (cells > 0), (F.col(f"w{i}") - rank) / F.greatest(cells, F.lit(1.0))).otherwise(F.lit(0.0))
-            yield unified(root), minimal(blocks) * chance

@@ -110,6 +110,21 @@ def sumrdf(p: Pattern) -> str:
     return f"(SELECT coalesce(sum({value}), 0) FROM {', '.join(tables)} WHERE {' AND '.join(conditions)})"
 
 
+#: Estimates where edges of one label can be one edge, worked out by hand: what is left for just one way, times its chance.
+FAN = """(WITH t AS (SELECT n0.size AS a, x.size AS x, y.size AS y, z.size AS z, e0.w AS w0, e1.w AS w1, e2.w AS w2, (x.bucket = y.bucket)::INT AS xy, (x.bucket = z.bucket)::INT AS xz, (y.bucket = z.bucket)::INT AS yz
+FROM se e0 JOIN se e1 ON e0.bs = e1.bs JOIN se e2 ON e0.bs = e2.bs JOIN sb n0 ON n0.bucket = e0.bs JOIN sb x ON x.bucket = e0.bd JOIN sb y ON y.bucket = e1.bd JOIN sb z ON z.bucket = e2.bd WHERE e0.el = 4 AND e1.el = 4 AND e2.el = 4),
+u AS (SELECT *, xy * xz * a * x AS all3, w0 / (a * x) AS f0, CASE WHEN w1 > xy AND a * y > xy THEN (w1 - xy) / greatest(a * y - xy, 1) ELSE 0 END AS f1,
+CASE WHEN w2 > xz + yz AND a * z > xz + yz THEN (w2 - xz - yz) / greatest(a * z - xz - yz, 1) ELSE 0 END AS f2, CASE WHEN w2 > xz AND a * z > xz THEN (w2 - xz) / greatest(a * z - xz, 1) ELSE 0 END AS g2 FROM t),
+v AS (SELECT *, xy * (a * x * z - all3) AS p12, xz * (a * x * y - all3) AS p13, yz * (a * x * y - all3) AS p23 FROM u)
+SELECT coalesce(sum((a * x * y * z - p12 - p13 - p23 - all3) * f0 * f1 * f2 + p12 * f0 * g2 + p13 * f0 * f1 + p23 * f0 * f1 + all3 * f0), 0) FROM v)"""
+ZIGZAG = """(WITH t AS (SELECT a.size AS a, b.size AS b, c.size AS c, d.size AS d, e0.w AS w0, e1.w AS w1, e2.w AS w2, (a.bucket = c.bucket)::INT AS ac, (b.bucket = d.bucket)::INT AS bd
+FROM se e0 JOIN se e1 ON e0.bd = e1.bd JOIN se e2 ON e1.bs = e2.bs JOIN sb a ON a.bucket = e0.bs JOIN sb b ON b.bucket = e0.bd JOIN sb c ON c.bucket = e1.bs JOIN sb d ON d.bucket = e2.bd WHERE e0.el = 4 AND e1.el = 4 AND e2.el = 4),
+u AS (SELECT *, ac * bd * a * b AS all3, w0 / (a * b) AS f0, CASE WHEN w1 > ac AND c * b > ac THEN (w1 - ac) / greatest(c * b - ac, 1) ELSE 0 END AS f1,
+CASE WHEN w2 > ac * bd + bd AND c * d > ac * bd + bd THEN (w2 - ac * bd - bd) / greatest(c * d - ac * bd - bd, 1) ELSE 0 END AS f2, CASE WHEN w2 > bd AND c * d > bd THEN (w2 - bd) / greatest(c * d - bd, 1) ELSE 0 END AS g2 FROM t),
+v AS (SELECT *, ac * (a * b * d - all3) AS p01, bd * (a * b * c - all3) AS p12 FROM u)
+SELECT coalesce(sum((a * b * c * d - p01 - p12 - all3) * f0 * f1 * f2 + p01 * f0 * g2 + p12 * f0 * f1 + all3 * f0), 0) FROM v)"""
+
+
 def cs(p: Pattern, rate: float = 0.03, seed: int = 0) -> str:
     rs, least, tables, conditions, first = relations(p), {}, [], [], {}
     for r in rs:

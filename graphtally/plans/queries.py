@@ -26,6 +26,8 @@ PATTERNS = {
     "wedge_in": Pattern.of([(0, 1, 1), (2, 1, 2)]),
     "two_parts": Pattern.of([(0, 1, 0), (2, 3, 1)]),
     "labelled": Pattern.of([(0, 1, 3), (1, 2, 1)], {0: 6, 1: 10}),
+    "fan": Pattern.of([(0, 1, 4), (0, 2, 4), (0, 3, 4)]),
+    "zigzag": Pattern.of([(0, 1, 4), (2, 1, 4), (2, 3, 4)]),
 }
 REPORTED = ("chain3", "triangle", "wedge_in")
 FIXED = (charsets.CharacteristicSets, bound_sketch.BoundSketch, typed_summary.TypedSummary)
@@ -216,6 +218,7 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "bsk_est": _estimates(bound_sketch.BoundSketch, ("chain3", "star3", "triangle", "cycle4", "wedge_in")),
     "bsk_sketches": _sketches,
     "sumrdf_est": _estimates(typed_summary.TypedSummary, ("chain3", "triangle", "wedge_in")),
+    "sumrdf_repeat_est": _estimates(typed_summary.TypedSummary, ("fan", "zigzag")),
     "cs_est": _estimates(sampling.CorrelatedSampling, ("chain3", "star3")),
     "wj_est": _estimates(sampling.WanderJoin, ("chain3",)),
     "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle")),
@@ -295,6 +298,7 @@ ORACLES |= {
     "bsk_est": _est_sql("", estimate_sql.bsk, ("chain3", "star3", "triangle", "cycle4", "wedge_in")),
     "bsk_sketches": _sketches_sql(),
     "sumrdf_est": _est_sql(_TYPES + estimate_sql.SUMMARY, estimate_sql.sumrdf, REPORTED),
+    "sumrdf_repeat_est": f"{_WITH}{_TYPES}{estimate_sql.SUMMARY} SELECT 'fan' AS query, {estimate_sql.digits9(estimate_sql.FAN)} AS est UNION ALL SELECT 'zigzag', {estimate_sql.digits9(estimate_sql.ZIGZAG)}",
     "cs_est": _est_sql("", estimate_sql.cs, ("chain3", "star3")),
     "jsub_full_est": _est_sql("", lambda p: f"({exact.count_sql(p)})", ("chain3", "star3", "wedge_in")),
 }
