@@ -93,14 +93,20 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, p: Lang
     data = []
     for label, at, n_at in rows:
         data.append((number[label], np.append(at, len(idf)).astype(np.int32), np.append(values(at, n_at, idf), 1.0).astype(np.float32)))
-    held = data[:: p.calibrate_every]
-    train = [x for i, x in enumerate(data) if i % p.calibrate_every] or data
+    held, train, met = [], [], [0] * len(labels)
+    for x in data:  # a label's first rows train, so none is only calibrated on
+        met[x[0]] += 1
+        (train if met[x[0]] % p.calibrate_every else held).append(x)
+    held = held or data
+    own = [[x for x in train if x[0] == y] for y in range(len(labels))]
+    # A label of few rows sees them more often, so that no label drowns it.
+    turns = [rows[k % len(rows)] for k in range(max(map(len, own))) for rows in own]
 
     def weights(at: np.ndarray | slice) -> np.ndarray:
         return -np.sign(z[at]) * np.maximum(np.abs(z[at]) - p.l1, 0) / ((p.beta + np.sqrt(n[at])) / p.alpha + p.l2)
 
     for _ in range(p.epochs):
-        for y, at, x in train:
+        for y, at, x in turns:
             w = weights(at)
             e = softmax(x @ w)
             e[y] -= 1
@@ -147,12 +153,14 @@ def train(rows: DataFrame, p: LangId) -> Model | None:
     df[list(seen)] = list(seen.values())
     idf = np.log((1 + docs) / (1 + df)) + 1
 
-    # The rows of least hash per label. A threshold from the label's count leaves a few times
-    # per_label of them before any are ranked; rows equal in key, label and text are one.
+    # The rows of least hash per label, rows equal in key, label and text as one. A threshold
+    # from the label's different rows leaves a few times per_label of them before any are
+    # ranked, and the row of least hash at any rate.
     hashed = rows.withColumn("h", F.xxhash64("key", "lang", "text"))
+    low = F.pmod("h", F.lit(1 << 30))
     share = F.least(F.lit(1.0), F.lit(4.0 * p.per_label) / F.count(F.lit(1)))
-    under = rows.groupBy("lang").agg((share * F.lit(float(1 << 30))).cast("long").alias("under"))  # one row a label
-    near = hashed.join(F.broadcast(under), "lang").where(F.pmod("h", F.lit(1 << 30)) <= F.col("under")).dropDuplicates(["key", "lang", "h"])
+    under = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.greatest(F.min(low), (share * F.lit(float(1 << 30))).cast("long")).alias("under"))  # one row a label
+    near = hashed.join(F.broadcast(under), "lang").where(low <= F.col("under")).dropDuplicates(["key", "lang", "h"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "key"))
     chosen = near.withColumn("r", rank).where(F.col("r") <= p.per_label)
 

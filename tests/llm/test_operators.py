@@ -307,6 +307,14 @@ def test_langid(spark):
     assert (none.lang_pred, none.score) == ("und", 0.0)
 
 
+def test_langid_learns_a_language_of_one_repeated_row(spark):
+    once = [(i, "baba bobo bibi", "aa") for i in range(1000)]
+    training = [i for i in range(5000, 5020) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for i in training[:3]:
+        df = spark.createDataFrame(once + [(i, "xuxe qoqo xexe", "zz")] * 20000, "doc_id long, text string, lang string").repartition(4)
+        assert {r.lang_pred for r in langid.identified(df).where(f"doc_id = {i}").distinct().collect()} == {"zz"}
+
+
 def test_repeats(spark, rows):
     def plain(size, rows=rows):
         data = [(t or "").encode() for _, t in rows]
