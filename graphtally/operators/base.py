@@ -15,6 +15,8 @@ class Estimator(ABC):
     name = ""
     #: Whether repeated runs give one estimate.
     fixed = False
+    #: Whether ``trials(g, p, seeds, summary)`` makes all trials at once, as rows (seed, est).
+    batched = False
 
     def summarize(self, g: Graph, store: Store) -> Store:
         """Build the summary's tables in ``store``; those that are there already stay. Samplers have none."""

@@ -126,6 +126,21 @@ def ranked(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     return rows.join(parts, [by, "_b"]).withColumn("i", F.col("_r") + F.col("_f")).drop("_b", "_r", "_f")
 
 
+def ranked_within(rows: DataFrame, by: list[str], label: str, order: str) -> DataFrame:
+    """``rows`` with ``i``, the position in its group of ``by`` (many groups) by ``order`` (a long, distinct within a group), from 0.
+
+    The range that ``order`` has under each ``label`` (one of ``by``, few values) is cut into
+    PARTS; a group is ranked part by part, so a hub is no single task's.
+    """
+    span = rows.groupBy(label).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))  # one row a label
+    part = F.floor((F.col(order) - F.col("_lo")) / F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(PARTS)))).cast("int")
+    rows = rows.join(F.broadcast(span), label).withColumn("_b", part).drop("_lo", "_hi")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(order)) - 1)
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c")).select(*by, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_f"))
+    return rows.join(parts, [*by, "_b"]).withColumn("i", F.col("_r") + F.col("_f")).drop("_b", "_r", "_f")
+
+
 def placed(rows: DataFrame, by: list[str]) -> DataFrame:
     """``rows`` (distinct) with a position ``_i`` from 0 and the count ``_n`` within ``by``; a hub is ranked in PARTS parts."""
     every = rows.columns

@@ -1,14 +1,13 @@
 """Sampling estimators: correlated hash samples, random join walks, walks closed by exact weights.
 
-Draws come from an explicit hash of (seed, walk, step), so a run is reproducible on any
-partitioning; all walks of a plan advance together, one join per step.
+Trials are data: all walks of all trials and plans advance together, one table a step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern, relations
@@ -16,10 +15,11 @@ from ..plans.store import Store
 from .base import Estimator, empty
 from .bound_sketch import table
 from .exact import edge_rows
-from .graph import Graph, placed
+from .graph import Graph
+from .walks import draw, index, walk
 
-#: 2**61 - 1, the modulus of the sample hash, and 2**31 - 1, that of the walk draws.
-P61, P31 = (1 << 61) - 1, (1 << 31) - 1
+#: 2**61 - 1, the modulus of the sample hash.
+P61 = (1 << 61) - 1
 
 
 def unit_hash(x: Column, s1: int, s2: int) -> Column:
@@ -29,13 +29,6 @@ def unit_hash(x: Column, s1: int, s2: int) -> Column:
     return ((y % F.lit(str(1 << 64)).cast(wide)) % F.lit(str(P61)).cast(wide)).cast("double") / F.lit(float(P61))
 
 
-def draw(walk: Column, step: int, seed: int, n: Column) -> Column:
-    """A position below n."""
-    a, b = (seed * 7919 + step * 104729 + 48271) % P31 | 1, (seed * 15485863 + step * 32452843 + 11) % P31
-    y = (walk % F.lit(P31) * F.lit(a) + F.lit(b)) % F.lit(P31)
-    return ((y * F.lit(16807) + F.lit(step)) % F.lit(P31)) % n
-
-
 class CorrelatedSampling(Estimator):
     """Tuples stay where the hash of every join attribute lies under its least rate; the join of the samples is scaled."""
 
@@ -120,98 +113,85 @@ def walk_plans(p: Pattern, most: int, labels: bool = False) -> Iterator[list[int
                 yield order
 
 
-def random_vertices(g: Graph, vl: int, n: int, seed: int) -> DataFrame:
-    """(walk, vid): n uniform draws, with replacement, among the vertices of a label."""
-    rows, total = placed(g.with_label(vl), []), g.stats["vl"].get(vl, 0)
-    walks = g.edges.sparkSession.range(n if total else 0).select(F.col("id").alias("walk"))
-    return walks.withColumn("_i", draw(F.col("walk"), 0, seed, F.lit(max(1, total)))).join(rows, "_i").select("walk", "vid")
+def zeros(g: Graph, seeds: list[int]) -> DataFrame:
+    return g.edges.sparkSession.createDataFrame([(s, 0.0) for s in seeds], TRIALS)
+
+
+TRIALS = "seed int, est double"
 
 
 class WanderJoin(Estimator):
     """Horvitz-Thompson mean of random walks over the pattern's edges and vertex labels.
 
     A walk starts at a random edge or a random vertex of a label; labels of vertices that it
-    meets later are membership tests of probability 1.
-    Rounds of trial walks, as many of each plan and doubled from round to round, go on until
-    a plan has ``enough`` successes; of the plans with half as many the one of least variance
-    times mean look-ups takes the rest of the budget.  The mean is over all walks, failed
-    ones as 0.  ``plans`` orders are tried at most, from every start edge in turn: each is a
-    Spark job a round, and the mean is unbiased whichever are tried.
+    meets later are membership tests of probability 1.  Walks take the plans (orders of the
+    relations, as many as there are walks at most) in turn until a plan has succeeded
+    ``enough`` times; of the plans with half as many successes, the one of least variance
+    times mean look-ups takes all further walks.  The mean is over all walks of the budget,
+    failed ones as 0.  Walks are made some time before it is known that a plan has enough,
+    ``trial`` a plan at first and twice as many each time; those after that point don't count.
     """
 
-    name = "wj"
+    name, batched = "wj", True
 
-    def __init__(self, p: float = 0.03, trial: int = 128, plans: int = 12, enough: int = 100) -> None:
-        self.p, self.trial, self.plans, self.enough = p, trial, plans, enough
+    def __init__(self, p: float = 0.03, trial: int = 128, enough: int = 100) -> None:
+        self.p, self.trial, self.enough = p, trial, enough
 
-    def walks(self, g: Graph, p: Pattern, order: list[int], n: int, seed: int) -> DataFrame:
-        """(walk, inv): inverse probability of each walk, 0 for those that fail."""
-        spark = g.edges.sparkSession
-        labels = {v.id: v.label for v in p.vertices if v.label is not None}
-        rows, seen = spark.range(n).select(F.col("id").alias("walk"), F.lit(1.0).alias("inv")), set()
-        for step, i in enumerate(order):
-            if i < 0:  # the start is a vertex of a label
-                v = -1 - i
-                rows = random_vertices(g, labels[v], n, seed).select("walk", F.lit(float(g.stats["vl"].get(labels[v], 0))).alias("inv"), F.col("vid").alias(f"v{v}"))
-                if p.vertices[v].bound is not None:
-                    rows = rows.where(F.col(f"v{v}") == p.vertices[v].bound)
-                seen.add(v)
-                continue
-            e = p.edges[i]
-            if not seen:
-                total = g.stats["el"][e.el]
-                ranked = placed(g.of_label(e.el).select("src", "dst"), []).drop("_n")
-                rows = rows.withColumn("_i", draw(F.col("walk"), step, seed, F.lit(total))).join(ranked, "_i").withColumn("inv", F.col("inv") * total)
-                rows = rows.withColumn("_ok", F.col("src") == F.col("dst")).where("_ok").drop("_ok", "dst").withColumnRenamed("src", f"v{e.src}") if e.src == e.dst else rows.withColumnRenamed("src", f"v{e.src}").withColumnRenamed("dst", f"v{e.dst}")
-                rows = rows.drop("_i")
-            elif {e.src, e.dst} <= seen:
-                ends = g.of_label(e.el).select(F.col("src").alias("_s"), F.col("dst").alias("_t"))
-                rows = rows.join(ends, (F.col(f"v{e.src}") == F.col("_s")) & (F.col(f"v{e.dst}") == F.col("_t")), "left_semi")
-            else:
-                out = e.src in seen
-                here, there = (e.src, e.dst) if out else (e.dst, e.src)
-                adj = Graph(g.vertices, g.vlabels, g.of_label(e.el)).ranked_adjacency(out).select(F.col("vid").alias(f"v{here}"), F.col("i").alias("_i"), F.col("other").alias(f"v{there}"))
-                deg = Graph(g.vertices, g.vlabels, g.of_label(e.el)).degree(out).select(F.col("vid").alias(f"v{here}"), "deg")
-                rows = rows.join(deg, f"v{here}").withColumn("_i", draw(F.col("walk"), step, seed, F.col("deg"))).withColumn("inv", F.col("inv") * F.col("deg")).drop("deg")
-                rows = rows.join(adj, [f"v{here}", "_i"]).drop("_i")
-            for v in {e.src, e.dst} - seen:
-                if p.vertices[v].bound is not None:
-                    rows = rows.where(F.col(f"v{v}") == p.vertices[v].bound)
-                if v in labels:
-                    rows = rows.join(g.with_label(labels[v]).withColumnRenamed("vid", f"v{v}"), f"v{v}", "left_semi")
-            seen |= {e.src, e.dst}
-        return rows.select("walk", "inv")
-
-    def _moments(self, g: Graph, p: Pattern, order: list[int], n: int, seed: int) -> tuple[float, float, int]:
-        """Sum, sum of squares and successes of n walks."""
-        r = self.walks(g, p, order, n, seed).agg(F.coalesce(F.sum("inv"), F.lit(0.0)), F.coalesce(F.sum(F.col("inv") * F.col("inv")), F.lit(0.0)), F.count(F.lit(1))).head()
-        return float(r[0]), float(r[1]), int(r[2])
+    def summarize(self, g: Graph, store: Store) -> Store:
+        return index(g, store)
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
-        n = budget(g, p, self.p)
-        if n <= 0 or empty(g, p):
-            return 0.0
-        plans = list(walk_plans(p, min(n, self.plans), labels=True))
+        return float(self.trials(g, p, [seed], summary).head()["est"])
+
+    def trials(self, g: Graph, p: Pattern, seeds: list[int], summary: Store | None = None) -> DataFrame:
+        """(seed, est) of each seed's trial."""
+        spark, n = g.edges.sparkSession, budget(g, p, self.p)
+        plans = list(walk_plans(p, n, labels=True)) if n > 0 and not empty(g, p) else []
         if not plans:
-            return 0.0
-        seen = [[0.0, 0.0, 0, 0] for _ in plans]  # sum, squares, successes, walks
-        used, size, turn = 0, self.trial, 0
-        while len(plans) > 1 and max(x[2] for x in seen) < self.enough and used + size * len(plans) <= n:
-            for k, order in enumerate(plans):
-                got = self._moments(g, p, order, size, seed * 1_000_003 + turn * 1009 + k + 1)
-                seen[k] = [a + b for a, b in zip(seen[k], (*got, size), strict=True)]
-                used += size
-            turn, size = turn + 1, size * 2
-        best, least = plans[0], float("inf")
-        for order, (s, q, won, walks) in zip(plans, seen, strict=True):
-            if walks and won >= self.enough / 2:
-                # A walk that fails has looked up half of its steps, taken as the mean.
-                cost = (q / walks - (s / walks) ** 2) * len(order) * (0.5 + 0.5 * won / walks)
-                best, least = min((best, least), (order, cost), key=lambda x: x[1])
-        total = sum(x[0] for x in seen)
-        if n > used:
-            total += self._moments(g, p, best, n - used, seed * 1_000_003)[0]
-        return total / n
+            return zeros(g, seeds)
+        held, won, seen = self.summary_of(g, summary), [], []
+        shared = {s: 0 for s in seeds} if len(plans) == 1 else {}  # walks that take the plans in turn
+        best = {s: 0 for s in seeds} if len(plans) == 1 else {}
+        low, high = 0, min(n, len(plans) * self.trial)
+        while (left := [s for s in seeds if s not in shared]) and low < n:
+            every = spark.range(len(left) * (high - low)).select(F.get(F.array(*[F.lit(s) for s in left]), (F.col("id") / (high - low)).cast("int")).alias("seed"), (F.col("id") % (high - low) + low).alias("walk"))
+            steps = walk(held, g, p, plans, every.withColumn("plan", (F.col("walk") % len(plans)).cast("int")), Store.scratch(spark))
+            won.append(steps[-1].select("seed", "walk", "plan", "inv"))
+            seen += [x.select("seed", "walk", "plan") for x in steps[:-1]]
+            turn = F.row_number().over(Window.partitionBy("seed", "plan").orderBy("walk"))
+            full = self._all(won).withColumn("k", turn).where(F.col("k") == self.enough).groupBy("seed").agg(F.min("walk").alias("walk"))
+            now = {r["seed"]: r["walk"] + 1 for r in full.collect() if r["seed"] in left}  # a row a trial
+            shared |= now
+            if now:
+                best |= self._best(spark, self._all(won), self._all(seen) if seen else None, now, len(plans))
+            low, high = high, min(n, 2 * high)
+        shared = {s: shared.get(s, n) for s in seeds}
+        upto = spark.createDataFrame([(s, k, best.get(s)) for s, k in shared.items()], "seed int, shared long, best int")
+        parts = [self._all(won).join(F.broadcast(upto), "seed").where("walk < shared").select("seed", "inv")] if won else []
+        if any(k < n for k in shared.values()):
+            every = spark.range(len(seeds) * n).select(F.get(F.array(*[F.lit(s) for s in seeds]), (F.col("id") / n).cast("int")).alias("seed"), (F.col("id") % n).alias("walk"))
+            rest = every.join(F.broadcast(upto), "seed").where("walk >= shared").select("seed", "walk", F.col("best").alias("plan"))
+            parts.append(walk(held, g, p, plans, rest, Store.scratch(spark))[-1].select("seed", "inv"))
+        sums = self._all(parts).groupBy("seed").agg(F.sum("inv").alias("total"))
+        return upto.join(sums, "seed", "left").select("seed", (F.coalesce("total", F.lit(0.0)) / n).alias("est"))
+
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionAll(x)
+        return out
+
+    def _best(self, spark: SparkSession, won: DataFrame, seen: DataFrame | None, shared: dict[int, int], plans: int) -> dict[int, int]:
+        """The plan of least variance times mean look-ups of each trial, by its walks until then."""
+        upto = F.broadcast(spark.createDataFrame(list(shared.items()), "seed int, shared long"))
+        stats = won.join(upto, "seed").where("walk < shared").groupBy("seed", "plan", "shared").agg(F.sum("inv").alias("s"), F.sum(F.col("inv") * F.col("inv")).alias("q"), F.count(F.lit(1)).alias("won")).where(F.col("won") >= self.enough / 2)
+        looks = seen.join(upto, "seed").where("walk < shared").groupBy("seed", "plan").agg(F.count(F.lit(1)).alias("looks")) if seen is not None else None
+        stats = stats.join(looks, ["seed", "plan"], "left") if looks is not None else stats.withColumn("looks", F.lit(0))
+        walks = F.floor((F.col("shared") - F.col("plan") + plans - 1) / plans)
+        # Every walk looks up its start, and one relation more after each step that it survives but the last.
+        cost = (F.col("q") - F.col("s") * F.col("s") / walks) / F.greatest(walks - 1, F.lit(1)) * (1 + F.coalesce("looks", F.lit(0)) / walks)
+        return {r["seed"]: r["plan"] for r in stats.groupBy("seed").agg(F.min_by("plan", F.struct(cost, F.col("plan"))).alias("plan")).collect()}
 
 
 def completions(g: Graph, p: Pattern, order: list[int]) -> DataFrame:
@@ -253,43 +233,81 @@ def tree_plans(p: Pattern, most: int) -> list[list[int]]:
     return out
 
 
+def sampled_completions(g: Graph, p: Pattern, order: list[int], starts: DataFrame, store: Store) -> DataFrame:
+    """``starts`` (v<i> of the order's first edge and further columns) with ``w``, how many ways the later edges extend each.
+
+    From the start outwards, each edge keeps only the tuples that meet what is kept of its
+    parent; weights then go back over these.  Tables are written once and read twice.
+    """
+    parent, seen = {}, [order[0]]
+    for i in order[1:]:
+        ends = {p.edges[i].src, p.edges[i].dst}
+        parent[i] = next((j, v) for j in seen for v in ends & {p.edges[j].src, p.edges[j].dst})
+        seen.append(i)
+    rows = {order[0]: starts.withColumn("w", F.lit(1.0))}
+    for i in order[1:]:
+        j, v = parent[i]
+        rows[i] = store.save(f"kept{i}", edge_rows(g, p, i).join(rows[j].select(f"v{v}").distinct(), f"v{v}", "left_semi")).withColumn("w", F.lit(1.0))
+    for i in reversed(order[1:]):
+        j, v = parent[i]
+        message = rows[i].groupBy(f"v{v}").agg(F.sum("w").alias("_m"))
+        rows[j] = rows[j].join(message, f"v{v}").withColumn("w", F.col("w") * F.col("_m")).drop("_m")
+    return rows[order[0]]
+
+
 class JSub(Estimator):
-    """Sampled start tuples closed by exact weights over an acyclic part of the pattern: an upper bound in expectation on cyclic ones.
+    """Drawn start tuples closed by exact weights over an acyclic part of the pattern: an upper bound in expectation on cyclic ones.
 
-    Of the join trees the one whose trial walk has the least inverse probability is taken;
-    trees whose trial fails are passed over, and the first stands if all fail.
+    Of the join trees, as many as the budget has walks at most, the one whose trial walk has
+    the least inverse probability is taken; trees whose trial fails are passed over, and the
+    first stands if all fail.  Start tuples are drawn first and what they can't meet is never
+    joined; the mean over the draws of their weights times the start's tuples is the estimate.
     """
 
-    name = "jsub"
+    name, batched = "jsub", True
 
-    def __init__(self, p: float = 0.03, full: bool = False, plans: int = 24) -> None:
-        self.p, self.full, self.plans = p, full, plans
+    def __init__(self, p: float = 0.03, full: bool = False) -> None:
+        self.p, self.full = p, full
 
-    def tree(self, g: Graph, p: Pattern, n: int, seed: int) -> list[int]:
-        plans = tree_plans(p, max(1, min(n, self.plans)))
-        if len(plans) == 1 or self.full:
-            return plans[0]
-        best, least = plans[0], float("inf")
-        for k, order in enumerate(plans):
-            kept = Pattern(p.vertices, tuple(p.edges[i] for i in order))
-            won = WanderJoin().walks(g, kept, list(range(len(order))), 1, seed * 1_000_003 + k).head()
-            if won is not None and won["inv"] < least:
-                best, least = order, won["inv"]
-        return best
+    def summarize(self, g: Graph, store: Store) -> Store:
+        return index(g, store)
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
-        if empty(g, p):
-            return 0.0
-        n = budget(g, p, self.p)
-        if n <= 0 and not self.full:
-            return 0.0
-        order = self.tree(g, p, n, seed)
-        rows = completions(g, p, order)
-        if self.full:
-            return float(rows.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0])
-        n *= len(order)
-        size = g.stats["el"][p.edges[order[0]].el]
-        rate = min(1.0, n / size)
-        ends = sorted({f"v{p.edges[order[0]].src}", f"v{p.edges[order[0]].dst}"})
-        picked = F.pmod(F.xxhash64(*ends, F.lit(seed)), F.lit(P31)) < F.lit(int(rate * P31))
-        return float(rows.where(picked).agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0]) / rate
+        if self.full and not empty(g, p):
+            return float(completions(g, p, tree_plans(p, 1)[0]).agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0])
+        return float(self.trials(g, p, [seed], summary).head()["est"])
+
+    def trees(self, g: Graph, p: Pattern, plans: list[list[int]], seeds: list[int], held: Store) -> dict[int, int]:
+        """The tree of each trial, by a walk over each tree."""
+        if len(plans) == 1:
+            return dict.fromkeys(seeds, 0)
+        spark = g.edges.sparkSession
+        every = spark.range(len(seeds) * len(plans)).select(F.get(F.array(*[F.lit(s) for s in seeds]), (F.col("id") / len(plans)).cast("int")).alias("seed"), (F.col("id") % len(plans)).alias("walk"))
+        last = walk(held, g, p, plans, every.withColumn("plan", F.col("walk").cast("int")), Store.scratch(spark))[-1]
+        found = last.groupBy("seed").agg(F.min_by("plan", F.struct("inv", "plan")).alias("plan")).collect()  # a row a trial
+        return dict.fromkeys(seeds, 0) | {r["seed"]: r["plan"] for r in found}
+
+    def trials(self, g: Graph, p: Pattern, seeds: list[int], summary: Store | None = None) -> DataFrame:
+        """(seed, est) of each seed's trial."""
+        spark, n = g.edges.sparkSession, budget(g, p, self.p)
+        if n <= 0 or empty(g, p):
+            return zeros(g, seeds)
+        held, plans = self.summary_of(g, summary), tree_plans(p, n)
+        chosen, parts = self.trees(g, p, plans, seeds, held), []
+        for k in sorted(set(chosen.values())):
+            own, order = [s for s in seeds if chosen[s] == k], plans[k]
+            e, size = p.edges[order[0]], g.stats["el"][p.edges[order[0]].el]
+            every = spark.range(len(own) * n).select(F.get(F.array(*[F.lit(s) for s in own]), (F.col("id") / n).cast("int")).alias("seed"), (F.col("id") % n).alias("walk"))
+            drawn = every.withColumn("i", draw(F.col("walk"), len(order), F.col("seed"), F.lit(size))).join(held.table("starts").where(F.col("el") == e.el), "i")
+            ends = [F.col("src").alias(f"v{e.src}")] + [F.col("dst").alias(f"v{e.dst}")] * (e.src != e.dst)
+            drawn = drawn.where("src = dst") if e.src == e.dst else drawn
+            store = Store.scratch(spark)
+            # What a start must be by itself, its labels and bounds, its edge's own rows say.
+            starts = store.save("starts", drawn.select("seed", *ends))
+            fits = edge_rows(g, p, order[0]) if any(p.vertices[v].bound is not None or p.vertices[v].label is not None for v in (e.src, e.dst)) else None
+            starts = starts.join(fits, sorted({f"v{e.src}", f"v{e.dst}"}), "left_semi") if fits is not None else starts
+            weights = sampled_completions(g, p, order, starts, store)
+            sums = weights.groupBy("seed").agg(F.sum("w").alias("w"))
+            given = spark.createDataFrame([(s,) for s in own], "seed int")
+            parts.append(given.join(sums, "seed", "left").select("seed", (F.coalesce("w", F.lit(0.0)) * float(size) / n).alias("est")))
+        return WanderJoin._all(parts)

@@ -48,13 +48,26 @@ def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], meth
     """One row per trial; fixed estimators run once (unless times are what is asked), whatever goes wrong becomes a row.
 
     Summaries are built once per method and read by every trial.  Status is ok, error or
-    timeout; a timeout ends the trials of its pattern and method.
+    timeout; a timeout ends the trials of its pattern and method.  A method whose trials are
+    data makes them together: they share the time and one fate, and get as many timeouts' time.
     """
     rows, summaries = [], dict(summaries or {})
     for m in methods:
         if m.name not in summaries:
             summaries[m.name] = m.summarize(g, Store.scratch(spark))
         for name, p in patterns.items():
+            if m.batched:
+                began, found, status, error = time.perf_counter(), {}, "ok", None
+                seeds = [seed + i for i in range(n)]
+                try:
+                    found = dict(within(spark, timeout and timeout * n, lambda m=m, p=p, seeds=seeds: [tuple(r) for r in m.trials(g, p, seeds, summaries[m.name]).collect()]))
+                except TimeoutError as e:
+                    status, error, seeds = "timeout", str(e), seeds[:1]
+                except Exception as e:  # noqa: BLE001
+                    status, error = "error", f"{type(e).__name__}: {str(e)[:500]}"
+                took, kb = (time.perf_counter() - began) * 1000 / len(seeds), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+                rows += [(name, m.name, s, found.get(s), took, status, error, kb) for s in seeds]
+                continue
             for i in range(1 if m.fixed and not repeat_fixed else n):
                 began = time.perf_counter()
                 est, status, error = None, "ok", None

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql.functions import udf
 
 from graphtally.operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
+from graphtally.operators import walks as walks_
 from graphtally.operators.graph import Graph
 from graphtally.plans import cli
 from graphtally.plans.harness import error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
@@ -92,12 +93,138 @@ def test_wander_join_from_labels(spark):
     plans = list(sampling.walk_plans(p, 12, labels=True))
     assert plans == [[0, 1], [1, 0], [-1, 0, 1], [-2, 0, 1], [-2, 1, 0]] and list(sampling.walk_plans(p, 12)) == [[0, 1], [1, 0]]
     want = exact.count(g, p).head()[0]
+    held, walks = walks_.index(g, Store.scratch(spark)), spark.range(20000 * len(plans)).selectExpr("7 AS seed", "id div 5 AS walk", "CAST(id % 5 AS INT) AS plan")
+    last = walks_.walk(held, g, p, plans, walks, Store.scratch(spark))[-1]
+    means = {x["plan"]: x["s"] / 20000 for x in last.groupBy("plan").agg({"inv": "sum"}).withColumnRenamed("sum(inv)", "s").collect()}
+    assert means == {k: pytest.approx(want, rel=0.15) for k in range(5)}
     wj = sampling.WanderJoin(60.0)
-    for k, order in enumerate(plans):
-        assert wj._moments(g, p, order, 20000, k)[0] / 20000 == pytest.approx(want, rel=0.15)
     assert wj.estimate(g, p, 2) == pytest.approx(want, rel=0.2)
 
 
+def plain_draw(walk, step, seed, n):
+    p31 = (1 << 31) - 1
+    a, b = (seed * 7919 + step * 104729 + 48271) % p31 | 1, (seed * 15485863 + step * 32452843 + 11) % p31
+    return ((walk % p31 * a + b) % p31 * 16807 + step) % p31 % n
+
+
+def plain_walk(edges, labels, p, order, walk, seed):
+    """(inverse probability or None, look-ups) of a walk, by the definition."""
+    at, inv, looks = {}, 1.0, 0
+    for step, i in enumerate(order):
+        looks += 1
+        fresh = []
+        if i < 0:
+            own = sorted(v for v, vl in labels if vl == p.vertices[-1 - i].label)
+            at[-1 - i] = own[plain_draw(walk, step, seed, len(own))]
+            inv *= len(own)
+            if p.vertices[-1 - i].bound not in (None, at[-1 - i]):
+                return None, looks
+            continue
+        e = p.edges[i]
+        if not at:
+            own = sorted((a, b) for a, b, el in edges if el == e.el)
+            a, b = own[plain_draw(walk, step, seed, len(own))]
+            inv *= len(own)
+            if e.src == e.dst and a != b:
+                return None, looks
+            at[e.src], at[e.dst] = a, b
+            fresh = [e.src, e.dst]
+        elif e.src in at and e.dst in at:
+            if (at[e.src], at[e.dst], e.el) not in edges:
+                return None, looks
+        else:
+            here, there = (e.src, e.dst) if e.src in at else (e.dst, e.src)
+            own = sorted(b if here == e.src else a for a, b, el in edges if el == e.el and at[here] == (a if here == e.src else b))
+            if not own:
+                return None, looks
+            at[there] = own[plain_draw(walk, step, seed, len(own))]
+            inv *= len(own)
+            fresh = [there]
+        for v in fresh:
+            if p.vertices[v].bound not in (None, at[v]) or p.vertices[v].label is not None and (at[v], p.vertices[v].label) not in labels:
+                return None, looks
+    return inv, looks
+
+
+def plain_wander(edges, labels, p, plans, n, seed, enough):
+    seen, total, chosen = [[] for _ in plans], 0.0, 0 if len(plans) == 1 else None
+    for i in range(n):
+        k = i % len(plans) if chosen is None else chosen
+        inv, looks = plain_walk(edges, labels, p, plans[k], i, seed)
+        total += inv or 0.0
+        if chosen is None:
+            seen[k].append((inv or 0.0, looks))
+            if sum(x > 0 for x, _ in seen[k]) == enough:
+                costs = []
+                for j, own in enumerate(seen):
+                    if sum(x > 0 for x, _ in own) >= enough / 2:
+                        mean = sum(x for x, _ in own) / len(own)
+                        costs.append((sum((x - mean) ** 2 for x, _ in own) / max(1, len(own) - 1) * sum(y for _, y in own) / len(own), j))
+                chosen = min(costs)[1]
+    return total / n
+
+
+def test_trials_are_data(spark):
+    """All trials of a run in one job, each as a plain walk by walk version has it, whatever the rounds; plans are not capped."""
+    r = random.Random(4)
+    edges = {(r.randrange(14), r.randrange(14), r.randrange(2)) for _ in range(150)}
+    labels = {(i, i % 2) for i in range(14)}
+    g = graph(spark, 14, sorted(labels), sorted(edges))
+    triangle, star = Pattern.of([(0, 1, 0), (1, 2, 1), (0, 2, 0)], {1: 1}), Pattern.of([(0, i, i % 2) for i in range(1, 5)], bounds={1: min(edges)[1]})
+    held = sampling.WanderJoin().summarize(g, Store.scratch(spark))
+    for p, rate, seeds in ((triangle, 6.0, [0, 1, 5]), (star, 2.0, [3])):
+        n = sampling.budget(g, p, rate)
+        plans = list(sampling.walk_plans(p, n, labels=True))
+        assert len(plans) == (10 if p is triangle else 24)
+        want = {s: plain_wander(edges, labels, p, plans, n, s, 6) for s in seeds}
+        assert len(set(want.values())) == len(seeds) and all(want.values())
+        for trial in (8,) if p is triangle else (128,):
+            got = {x["seed"]: x["est"] for x in sampling.WanderJoin(rate, trial, 6).trials(g, p, seeds, held).collect()}
+            assert got == {s: pytest.approx(x) for s, x in want.items()}
+    t = run_trials(spark, g, {"triangle": triangle}, [sampling.WanderJoin(6.0, 128, 6)], 2, summaries={"wj": held})
+    assert {x["seed"]: x["est"] for x in t.collect()} == {s: pytest.approx(plain_wander(edges, labels, triangle, list(sampling.walk_plans(triangle, 10**6, labels=True)), sampling.budget(g, triangle, 6.0), s, 6)) for s in (0, 1)}
+
+
+def plain_jsub(edges, labels, p, n, seed):
+    trees = sampling.tree_plans(p, n)
+    tried = [(inv, k) for k, order in enumerate(trees) if (inv := plain_walk(edges, labels, p, order, k, seed)[0]) is not None]
+    order = trees[min(tried, default=(0, 0))[1] if len(trees) > 1 else 0]
+    own = sorted((a, b) for a, b, el in edges if el == p.edges[order[0]].el)
+
+    def extend(at, rest):
+        if not rest:
+            return 1
+        e, total = p.edges[rest[0]], 0
+        for a, b, el in edges:
+            if el == e.el and all(at.get(v, x) == x and (p.vertices[v].label is None or (x, p.vertices[v].label) in labels) for v, x in ((e.src, a), (e.dst, b))):
+                total += extend(at | {e.src: a, e.dst: b}, rest[1:])
+        return total
+
+    total = 0
+    for i in range(n):
+        a, b = own[plain_draw(i, len(order), seed, len(own))]
+        e = p.edges[order[0]]
+        if all(p.vertices[v].label is None or (x, p.vertices[v].label) in labels for v, x in ((e.src, a), (e.dst, b))):
+            total += extend({e.src: a, e.dst: b}, order[1:])
+    return total * len(own) / n
+
+
+def test_drawn_starts(spark):
+    """Weights of drawn starts only, as a plain version has them; their mean is the acyclic part's count."""
+    r = random.Random(14)
+    edges = {(r.randrange(12), r.randrange(12), r.randrange(2)) for _ in range(90)}
+    labels = {(i, i % 2) for i in range(12)}
+    g = graph(spark, 12, sorted(labels), sorted(edges))
+    held = sampling.JSub().summarize(g, Store.scratch(spark))
+    for p in (Pattern.of([(0, 1, 0), (1, 2, 1)], {0: 1}), Pattern.of([(0, 1, 0), (1, 2, 1), (0, 2, 0)])):
+        n = sampling.budget(g, p, 0.4)
+        got = {x["seed"]: x["est"] for x in sampling.JSub(0.4).trials(g, p, [0, 2, 9], held).collect()}
+        assert got == {s: pytest.approx(plain_jsub(edges, labels, p, n, s)) for s in (0, 2, 9)} and all(got.values())
+    p = Pattern.of([(0, 1, 0), (1, 2, 1)])
+    ests = [x["est"] for x in sampling.JSub(1.0).trials(g, p, list(range(12)), held).collect()]
+    assert sum(ests) / 12 == pytest.approx(exact.count(g, p).head()[0], rel=0.1)
+
+
 def test_partitions(spark):
     assert len(typed_summary.partitions([0] * 7)) == 877
     assert typed_summary.partitions(list(range(9))) == [tuple(range(9))]
@@ -325,8 +452,8 @@ def test_positions_and_cardinalities(spark):
     outs = {v: sorted({el for s, _, el in edges if s == v}) for v in range(10)}
     assert {x["vid"]: x["n"] for x in g.elabel_cardinality().collect()} == {v: len(outs[v]) for v in outs}
     assert {x["vid"]: x["i"] for x in g.elabel_ordinal(1).collect()} == {v: outs[v].index(1) if 1 in outs[v] else -1 for v in outs}
-    drawn = [x["vid"] for x in sampling.random_vertices(g, 0, 400, 7).collect()]
-    assert len(drawn) == 400 and set(drawn) == {0, 2, 4, 6, 8}
+    steps = walks_.index(g, Store.scratch(spark)).table("steps").collect()
+    assert {(x["out"], x["el"], x["vid"], x["i"]): x["other"] for x in steps} == {(out, el, v, i): w for out in (True, False) for el in range(3) for v in range(20) for i, w in enumerate(sorted((b if out else a) for a, b, x in edges if x == el and v == (a if out else b)))}
 
 
 def test_join_order_and_trees():
