@@ -145,6 +145,82 @@ def cs(p: Pattern, rate: float = 0.03, seed: int = 0) -> str:
     return f"(SELECT count(*)::DOUBLE / {scale!r} FROM {', '.join(tables)} WHERE {' AND '.join(conditions)})"
 
 
+#: Edges by position: in their label, at their source and at their target, with the counts of each.
+PLACES = """, es AS (SELECT el, src, dst, row_number() OVER (PARTITION BY el ORDER BY src, dst) - 1 AS i, row_number() OVER (PARTITION BY el, src ORDER BY dst) - 1 AS i_src, row_number() OVER (PARTITION BY el, dst ORDER BY src) - 1 AS i_dst,
+count(*) OVER (PARTITION BY el) AS n, count(*) OVER (PARTITION BY el, src) AS n_src, count(*) OVER (PARTITION BY el, dst) AS n_dst FROM edges)"""
+#: Orders of the edges, worked out by hand: all of them for wj; for jsub the trees, each with how its start is extended.
+ORDERS = {"chain3": [(0, 1, 2), (1, 0, 2), (2, 1, 0), (1, 2, 0)], "wedge_in": [(0, 1), (1, 0)]}
+_DOWN = "(SELECT src, count(*) AS k FROM edges WHERE el = 0 GROUP BY src)"
+_UP = "(SELECT dst, count(*) AS k FROM edges WHERE el = 3 GROUP BY dst)"
+TREES = {
+    "chain3": [
+        ((0, 1, 2), f"SELECT e.dst AS x, sum(d.k) AS w FROM (SELECT src AS dst, dst AS n FROM edges WHERE el = 1) e JOIN {_DOWN} d ON e.n = d.src GROUP BY e.dst", "s.dst = t.x"),
+        ((1, 0, 2), f"SELECT a.dst AS x, d.src AS y, a.k * d.k AS w FROM edges b JOIN {_UP} a ON b.src = a.dst JOIN {_DOWN} d ON b.dst = d.src WHERE b.el = 1", "s.src = t.x AND s.dst = t.y"),
+        ((2, 1, 0), f"SELECT b.dst AS x, sum(a.k) AS w FROM edges b JOIN {_UP} a ON b.src = a.dst WHERE b.el = 1 GROUP BY b.dst", "s.src = t.x"),
+    ],
+    "triangle": [((i, j), f"SELECT {own} AS x, count(*) AS w FROM edges WHERE el = {el} GROUP BY {own}", f"s.{at} = t.x") for i, j, at, el, own in ((0, 1, "dst", 6, "src"), (1, 0, "src", 4, "dst"), (2, 0, "src", 4, "src"), (0, 2, "src", 5, "src"), (1, 2, "dst", 5, "dst"), (2, 1, "dst", 6, "dst"))],
+    "wedge_in": [((i, j), f"SELECT dst AS x, count(*) AS w FROM edges WHERE el = {el} GROUP BY dst", "s.dst = t.x") for i, j, el in ((0, 1, 2), (1, 0, 1))],
+}
+_P31 = (1 << 31) - 1
+
+
+def draw(walk: str, step: int, seed: str, n: str) -> str:
+    a, b = f"((({seed} * 7919 + {step * 104729 + 48271}) % {_P31}) | 1)", f"(({seed} * 15485863 + {step * 32452843 + 11}) % {_P31})"
+    return f"(((({walk} % {_P31} * {a} + {b}) % {_P31}) * 16807 + {step}) % {_P31}) % {n}"
+
+
+def walked(p: Pattern, order: tuple[int, ...], walks: str) -> str:
+    """(seed, walk, inv, looks) of ``walks`` (seed, walk) along an order of a pattern without labels, bounds and cycles."""
+    at, joins, inv, looks = {}, [], [], ["1"]
+    for k, i in enumerate(order):
+        e = p.edges[i]
+        if k == 0:
+            joins.append(f"LEFT JOIN es s0 ON s0.el = {e.el} AND s0.i = {draw('w.walk', 0, 'w.seed', f'(SELECT count(*) FROM edges WHERE el = {e.el})')}")
+            inv.append("s0.n")
+        else:
+            v, c = next((v, c) for v, c in ((e.src, "src"), (e.dst, "dst")) if v in at)
+            joins.append(f"LEFT JOIN (SELECT DISTINCT {c}, n_{c} FROM es WHERE el = {e.el}) d{k} ON d{k}.{c} = {at[v]} LEFT JOIN es s{k} ON s{k}.el = {e.el} AND s{k}.{c} = {at[v]} AND s{k}.i_{c} = {draw('w.walk', k, 'w.seed', f'd{k}.n_{c}')}")
+            inv.append(f"s{k}.n_{c}")
+        if k + 1 < len(order):
+            looks.append(f"(s{k}.el IS NOT NULL)::INT")
+        for v, c in ((e.src, "src"), (e.dst, "dst")):
+            at.setdefault(v, f"s{k}.{c}")
+    return f"SELECT w.seed, w.walk, coalesce({' * '.join(f'{x}::DOUBLE' for x in inv)}, 0) AS inv, {' + '.join(looks)} AS looks FROM {walks} w {' '.join(joins)}"
+
+
+def _budget(p: Pattern, rate: float) -> str:
+    sizes = " + ".join(f"(SELECT count(*) FROM edges WHERE el = {e.el})" for e in p.edges)
+    return f"floor((({sizes}) // {len(p.edges)}) * {rate!r})::BIGINT"
+
+
+def wj(p: Pattern, name: str, rate: float = 0.03, seeds: tuple[int, ...] = (0,), enough: int = 100) -> str:
+    """(seed, est), by all walks along all orders."""
+    orders = ORDERS[name]
+    all_walks = " UNION ALL ".join(f"SELECT {k} AS plan, x.* FROM ({walked(p, order, 'w')}) x" for k, order in enumerate(orders))
+    return f"""(WITH b AS (SELECT {_budget(p, rate)} AS n), w AS (SELECT seed, walk FROM (SELECT unnest({list(seeds)}) AS seed) s, (SELECT unnest(range(0, (SELECT n FROM b))) AS walk) k),
+r AS ({all_walks}), rr AS (SELECT * FROM r WHERE walk % {len(orders)} = plan),
+f AS (SELECT seed, min(walk) + 1 AS t FROM (SELECT seed, walk, row_number() OVER (PARTITION BY seed, plan ORDER BY walk) AS k FROM rr WHERE inv > 0) x WHERE k = {enough} GROUP BY seed),
+t AS (SELECT s.seed, coalesce(f.t, (SELECT n FROM b)) AS t FROM (SELECT unnest({list(seeds)}) AS seed) s LEFT JOIN f ON f.seed = s.seed),
+c AS (SELECT rr.seed, plan, var_samp(inv) * avg(looks) AS cost FROM rr JOIN t ON rr.seed = t.seed AND walk < t GROUP BY rr.seed, plan HAVING count(*) FILTER (inv > 0) >= {enough / 2}),
+best AS (SELECT seed, min_by(plan, (cost, plan)) AS plan FROM c GROUP BY seed),
+kept AS (SELECT rr.seed, inv FROM rr JOIN t ON rr.seed = t.seed AND walk < t UNION ALL SELECT r.seed, inv FROM r JOIN t ON r.seed = t.seed AND walk >= t JOIN best ON best.seed = r.seed AND best.plan = r.plan)
+SELECT t.seed, coalesce(sum(inv), 0) / (SELECT greatest(n, 1) FROM b) AS est FROM t LEFT JOIN kept ON t.seed = kept.seed GROUP BY t.seed)"""
+
+
+def jsub(p: Pattern, name: str, rate: float = 0.03, seeds: tuple[int, ...] = (0,)) -> str:
+    """(seed, est): the tree by its trial walk, then the weights of its drawn starts."""
+    trees = TREES[name]
+    tried = " UNION ALL ".join(f"SELECT {k} AS plan, x.* FROM ({walked(p, order, 'w')}) x WHERE walk = {k}" for k, (order, _, _) in enumerate(trees))
+    found = " UNION ALL ".join(
+        f"SELECT {k} AS plan, w.seed, coalesce(sum(t.w), 0) * max(size) AS total FROM (SELECT seed, size, {draw('walk', len(order), 'seed', 'size')} AS i FROM (SELECT seed, unnest(range(0, (SELECT n FROM b))) AS walk FROM seeds) y, (SELECT count(*) AS size FROM edges WHERE el = {el}) z) w JOIN (SELECT * FROM es WHERE el = {el}) s ON s.i = w.i LEFT JOIN ({weight}) t ON {on} GROUP BY w.seed"
+        for k, (order, weight, on) in enumerate(trees)
+        for el in (p.edges[order[0]].el,)
+    )
+    return f"""(WITH b AS (SELECT {_budget(p, rate)} AS n), seeds AS (SELECT unnest({list(seeds)}) AS seed), w AS (SELECT seed, unnest(range(0, {len(trees)})) AS walk FROM seeds), tried AS ({tried}),
+chosen AS (SELECT s.seed, coalesce(min_by(plan, (inv, plan)) FILTER (inv > 0), 0) AS plan FROM seeds s LEFT JOIN tried ON s.seed = tried.seed GROUP BY s.seed), found AS ({found})
+SELECT c.seed, coalesce(total, 0)::DOUBLE / (SELECT greatest(n, 1) FROM b) AS est FROM chosen c LEFT JOIN found ON c.seed = found.seed AND c.plan = found.plan)"""
+
+
 def digits9(x: str) -> str:
     """A double cut to nine digits, so that the order of a sum does not show."""
     return f"format('{{:.9g}}', ({x})::DOUBLE)::DOUBLE"

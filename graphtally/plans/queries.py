@@ -58,6 +58,20 @@ def _estimates(estimator: Callable[[], Estimator], names: tuple[str, ...]) -> Qu
     return run
 
 
+SEEDS = (0, 1, 2)
+
+
+def _trials(estimator: Callable[[], Estimator], names: tuple[str, ...]) -> Query:
+    """Estimates of several trials, made together."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = star_graph(spark, sf_dir).stored(Store.scratch(spark))
+        trials = run_trials(spark, g, {n: PATTERNS[n] for n in names}, [estimator()], len(SEEDS))
+        return trials.select("query", "seed", F.format_string("%.8e", "est").cast("double").alias("est"))
+
+    return run
+
+
 def _edge_exists(g: Graph) -> DataFrame:
     """Edges of a label, and the same pairs turned round, moved by one and under another label: which of these are edges."""
     own = g.of_label(4).select("src", "dst")
@@ -220,8 +234,10 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "sumrdf_est": _estimates(typed_summary.TypedSummary, ("chain3", "triangle", "wedge_in")),
     "sumrdf_repeat_est": _estimates(typed_summary.TypedSummary, ("fan", "zigzag")),
     "cs_est": _estimates(sampling.CorrelatedSampling, ("chain3", "star3")),
-    "wj_est": _estimates(sampling.WanderJoin, ("chain3",)),
-    "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle")),
+    "wj_est": _estimates(sampling.WanderJoin, ("chain3", "wedge_in")),
+    "wj_trials": _trials(lambda: sampling.WanderJoin(0.5, 32, 60), ("chain3", "wedge_in")),
+    "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle", "wedge_in")),
+    "jsub_trials": _trials(lambda: sampling.JSub(0.3), ("chain3", "triangle", "wedge_in")),
     "impr_est": _estimates(random_walk.RandomWalk, ("chain3", "wedge_in")),
     "jsub_full_est": _estimates(lambda: sampling.JSub(full=True), ("chain3", "star3", "wedge_in")),
     "sumrdf_refined": _refined,
@@ -302,6 +318,19 @@ ORACLES |= {
     "cs_est": _est_sql("", estimate_sql.cs, ("chain3", "star3")),
     "jsub_full_est": _est_sql("", lambda p: f"({exact.count_sql(p)})", ("chain3", "star3", "wedge_in")),
 }
+
+
+def _seeds_sql(value: Callable[..., str], names: tuple[str, ...], columns: str, **more: object) -> str:
+    return f"{_WITH}{estimate_sql.PLACES} " + " UNION ALL ".join(f"SELECT '{n}' AS query, {columns}{estimate_sql.digits9('est')} AS est FROM {value(PATTERNS[n], n, **more)} x" for n in names)
+
+
+ORACLES |= {
+    "wj_est": _seeds_sql(estimate_sql.wj, ("chain3", "wedge_in"), ""),
+    "wj_trials": _seeds_sql(estimate_sql.wj, ("chain3", "wedge_in"), "seed::INTEGER AS seed, ", rate=0.5, seeds=SEEDS, enough=60),
+    "jsub_est": _seeds_sql(estimate_sql.jsub, ("chain3", "triangle", "wedge_in"), ""),
+    "jsub_trials": _seeds_sql(estimate_sql.jsub, ("chain3", "triangle", "wedge_in"), "seed::INTEGER AS seed, ", rate=0.3, seeds=SEEDS),
+    "type_inclusion": f"{_WITH}, a AS (SELECT DISTINCT src FROM edges WHERE el = 3), b AS (SELECT DISTINCT src FROM edges WHERE el = 4) SELECT vid FROM vlabels JOIN a ON vid = a.src JOIN b ON vid = b.src WHERE vl = 5",
+}
 _FIXED_SQL = {"cset": estimate_sql.cset, "bsk": estimate_sql.bsk, "sumrdf": estimate_sql.sumrdf}
 _ALL_ESTS = " UNION ALL ".join(f"SELECT '{m}' AS method, ({f(PATTERNS[n])})::DOUBLE AS est, ({exact.count_sql(PATTERNS[n])})::DOUBLE AS truth" for m, f in _FIXED_SQL.items() for n in REPORTED)
 _CS_TRIALS = " UNION ALL ".join(f"SELECT {i} AS seed, {estimate_sql.cs(PATTERNS['chain3'], 0.03, i)} AS est" for i in range(3))
