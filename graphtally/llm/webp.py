@@ -10,7 +10,6 @@ references, a packed palette and a predictor and keeps the shortest file.
 from __future__ import annotations
 
 import array
-import contextlib
 import hashlib
 import itertools
 import struct
@@ -223,14 +222,23 @@ def _greens(bits: Bits, codes: tuple[Prefix, ...], total: int, width: int) -> np
         at = refs + steps[refs] + n
         key = window(at, far.width)
         steps[refs] += (n + far.length[key] + _EXTRA[far.symbol[key]]).astype(np.uint8)
-    jump, at, places = steps.tobytes(), bits.at & 7, array.array("q")
+    # Eight tokens at once: where the second, then the fourth, then the eighth after each position starts.
+    room = np.concatenate((steps, np.zeros(1 << 10, np.uint8))).astype(np.int32)
+    every, leaps = np.arange(len(steps), dtype=np.int32), [room]
+    for _ in range(3):
+        last = leaps[-1]
+        leaps.append(np.concatenate((last[: len(steps)] + last[every + last[: len(steps)]], last[len(steps) :])))
+    jump, at, places = memoryview(leaps.pop()), bits.at & 7, array.array("q")
     append = places.append
-    with contextlib.suppress(IndexError):  # the stream's end
-        for _ in range(total):
-            append(at)
-            at += jump[at]
+    for _ in range((total + 7) >> 3):
+        if at >= len(steps):  # the stream's end
+            break
+        append(at)
+        at += jump[at]
     place = np.frombuffer(places, np.int64)
-    place = place[: np.searchsorted(place, len(jump))]
+    for last in reversed(leaps):
+        place = np.stack((place, place + last[place]), 1).ravel()
+    place = place[: np.searchsorted(place, len(steps))]
     symbol = green.symbol[slot[place]]
     ref = np.flatnonzero(symbol >= 256)
     size = np.ones(len(place), np.int64)
