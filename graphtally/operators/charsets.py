@@ -12,17 +12,25 @@ from .graph import Graph
 
 
 def sets(g: Graph, out: bool = True) -> DataFrame:
-    """(vls, els, n, freq): vertices by label lists (vls empty backwards), and edges per label as (el, n) structs."""
-    none = F.array().cast("array<int>")
-    pairs = g.degree(out).groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("el", "deg"))).alias("d"))
-    t = g.vertices.join(pairs, "vid", "left")
-    if out:
-        t = t.join(g.vlabels.groupBy("vid").agg(F.sort_array(F.collect_set("vl")).alias("vls")), "vid", "left")
-    t = t.select("vid", "d", (F.coalesce("vls", none) if out else none).alias("vls"), F.coalesce(F.transform("d", lambda x: x["el"]), none).alias("els"))
-    n = t.groupBy("vls", "els").agg(F.count(F.lit(1)).alias("n"))
-    each = t.select("vls", "els", F.explode("d").alias("x")).groupBy("vls", "els", F.col("x.el").alias("el")).agg(F.sum("x.deg").alias("deg"))
-    freq = each.groupBy("vls", "els").agg(F.sort_array(F.collect_list(F.struct("el", "deg"))).alias("freq"))
-    return n.join(freq, ["vls", "els"], "left")
+    """(vls, els, n, freq): vertices by label lists (vls empty backwards), and edges per label as (el, deg) structs.
+
+    Degrees, labels and bare vertices meet in one shuffle by vertex; a vertex then counts
+    once for its set and once for each of its labels.
+    """
+
+    def rows(df: DataFrame, kind: int, label: F.Column, deg: F.Column) -> DataFrame:
+        return df.select("vid", F.lit(kind).alias("kind"), label.cast("int").alias("el"), deg.cast("long").alias("deg"))
+
+    none = F.lit(None)
+    every = rows(g.vertices, 0, none, none).unionAll(rows(g.degree(out), 2, F.col("el"), F.col("deg")))
+    every = every.unionAll(rows(g.vlabels, 1, F.col("vl"), none)) if out else every
+    vls = F.sort_array(F.collect_set(F.when(F.col("kind") == 1, F.col("el")))).alias("vls")
+    d = F.sort_array(F.collect_list(F.when(F.col("kind") == 2, F.struct("el", "deg")))).alias("d")
+    t = every.groupBy("vid").agg(vls, d, F.min("kind").alias("kind")).where("kind = 0").select("vls", F.transform("d", lambda x: x["el"]).alias("els"), "d")
+    own = F.array(F.struct(none.cast("int").alias("el"), none.cast("long").alias("deg")))
+    each = t.select("vls", "els", F.explode(F.concat(own, "d")).alias("x")).groupBy("vls", "els", "x.el").agg(F.count(F.lit(1)).alias("n"), F.sum("x.deg").alias("deg"))
+    freq = F.sort_array(F.collect_list(F.when(F.col("el").isNotNull(), F.struct("el", "deg")))).alias("freq")
+    return each.groupBy("vls", "els").agg(F.max(F.when(F.col("el").isNull(), F.col("n"))).alias("n"), freq)
 
 
 def bucket_rule(g: Graph, n_sets: int) -> tuple[int, int]:
@@ -97,16 +105,24 @@ class CharacteristicSets(Estimator):
                 result *= g.stats["v"] if self.faithful and i == 0 and g.stats["nvl"] else self._single(g, p, triples[i])
         if not near:
             return result
-        width = held.table("rule").head()["width"]
-        hist = {}
-        for r in held.table("hist").where(F.concat_ws("", "kind", "label").isin(*{f"{t[2]}{t[3]}" for t in triples})).collect():  # buckets of the pattern's labels
-            hist.setdefault((r["kind"], r["label"], r["col"]), {})[r["bucket"]] = r["n"]
-        for i, j in sorted(near):
-            a, b = triples[i], triples[j]
+        return result * float(self._selectivities(held, [(triples[i], triples[j]) for i, j in sorted(near)]))
+
+    @staticmethod
+    def _selectivities(held: Store, pairs: list[tuple[tuple, tuple]]) -> float:
+        """Product over pairs of triples of the share of their relations' product that agrees at the vertex they share, by buckets."""
+        rows = []
+        for k, (a, b) in enumerate(pairs):
             ca, cb = next((x, y) for x in (0, 1) for y in (0, 1) if a[x] == b[y])
-            x, y = hist.get((a[2], a[3], ca), {}), hist.get((b[2], b[3], cb), {})
-            result *= sum(n * y.get(k, 0) / width for k, n in x.items()) / (sum(x.values()) * sum(y.values()))
-        return result
+            rows += [(k, 0, a[2], a[3], ca), (k, 1, b[2], b[3], cb)]
+        # Two rows a pair of the pattern's triples.
+        asked = F.broadcast(held.spark.createDataFrame(rows, "k int, side int, kind string, label int, col int"))
+        n = [F.sum(F.when(F.col("side") == x, F.col("n")).otherwise(F.lit(0))).alias(f"n{x}") for x in (0, 1)]
+        aligned = held.table("hist").join(asked, ["kind", "label", "col"]).groupBy("k", "bucket").agg(*n)
+        sums = aligned.groupBy("k").agg(F.sum(F.col("n0").cast("double") * F.col("n1")).alias("both"), F.sum("n0").alias("a"), F.sum("n1").alias("b"))
+        width, out = held.table("rule").head()["width"], 1.0
+        for r in sums.collect():  # a row a pair
+            out *= r["both"] / width / (r["a"] * r["b"])
+        return out
 
     def _star(self, held: Store, p: Pattern, triples: list, v: int, forward: bool, use: list[int]) -> float:
         own = [triples[i] for i in use]
