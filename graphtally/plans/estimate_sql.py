@@ -221,6 +221,38 @@ chosen AS (SELECT s.seed, coalesce(min_by(plan, (inv, plan)) FILTER (inv > 0), 0
 SELECT c.seed, coalesce(total, 0)::DOUBLE / (SELECT greatest(n, 1) FROM b) AS est FROM chosen c LEFT JOIN found ON c.seed = found.seed AND c.plan = found.plan)"""
 
 
+#: What a window counts, worked out by hand: (path, left out vertex's choices) as SQL over x0.., l1.., o1.. of a window; and the number of paths.
+WINDOWS = {
+    "wedge_in": ("CASE WHEN l1 = 1 THEN (SELECT count(*) FROM edges WHERE el = 2 AND dst = CASE WHEN o1 THEN x1 ELSE x0 END) ELSE (SELECT count(*) FROM edges WHERE el = 1 AND dst = CASE WHEN o1 THEN x1 ELSE x0 END) END", "1", 4),
+    "chain3": (
+        """CASE WHEN l1 = 3 AND o1 AND l2 = 1 AND o2 THEN (SELECT count(*) FROM edges WHERE el = 0 AND src = x2) WHEN l1 = 1 AND NOT o1 AND l2 = 3 AND NOT o2 THEN (SELECT count(*) FROM edges WHERE el = 0 AND src = x0)
+WHEN l1 = 1 AND o1 AND l2 = 0 AND o2 THEN (SELECT count(*) FROM edges WHERE el = 3 AND dst = x0) WHEN l1 = 0 AND NOT o1 AND l2 = 1 AND NOT o2 THEN (SELECT count(*) FROM edges WHERE el = 3 AND dst = x2) ELSE 0 END""",
+        "d1",  # the ends of two steps are never joined here, so all orders pass the middle
+        4,
+    ),
+}
+
+
+def impr(p: Pattern, name: str, rate: float = 0.03, seeds: tuple[int, ...] = (0,), slides: int = 4) -> str:
+    """(seed, est), by the windows of all walks."""
+    count, inverse, paths = WINDOWS[name]
+    n, els = len(p.vertices), ", ".join(str(e.el) for e in p.edges)
+    steps = n - 2 + slides - 1
+    joins, columns = "", ["h0.vid AS x0", "h0.other AS x1", "h0.el AS l1", "h0.out AS o1", "NULL::BIGINT AS d0"]
+    for k in range(2, steps + 1):
+        joins += f" JOIN dg d{k} ON d{k}.vid = {'h0' if k == 2 else f'h{k - 1}'}.other JOIN half h{k} ON h{k}.vid = d{k}.vid AND h{k}.r = {draw('w.walk', k, 'w.seed', f'd{k}.deg')}"
+        columns += [f"h{k}.other AS x{k}", f"h{k}.el AS l{k}", f"h{k}.out AS o{k}", f"d{k}.deg AS d{k - 1}"]
+    first = joins.replace("h1.", "h0.")
+    windows = " UNION ALL ".join(
+        f"SELECT seed, {', '.join([f'x{j + k} AS x{k}' for k in range(n - 1)] + [f'{c}{j + k} AS {c}{k}' for c in 'lo' for k in range(1, n - 1)] + [f'd{j + k} AS d{k}' for k in range(1, n - 2)])} FROM walked" for j in range(slides)
+    )
+    return f"""(WITH seeds AS (SELECT unnest({list(seeds)}) AS seed), own AS (SELECT * FROM edges WHERE el IN ({els})), b AS (SELECT floor((SELECT count(*) FROM own) * {rate!r})::BIGINT // {n + slides - 1} AS n, 2 * (SELECT count(*) FROM own) AS total),
+half AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY el, out DESC, other) - 1 AS r, row_number() OVER (ORDER BY el, CASE WHEN out THEN vid ELSE other END, CASE WHEN out THEN other ELSE vid END, out DESC) - 1 AS pos FROM (SELECT src AS vid, el, true AS out, dst AS other FROM own UNION ALL SELECT dst, el, false, src FROM own) x),
+dg AS (SELECT vid, count(*) AS deg FROM half GROUP BY vid), w AS (SELECT seed, walk, {draw('walk', 0, 'seed', 'total')} AS pos FROM (SELECT seed, unnest(range(0, (SELECT n FROM b))) AS walk FROM seeds) y, b),
+walked AS (SELECT w.seed, {', '.join(columns)} FROM w JOIN half h0 ON h0.pos = w.pos{first}), v AS ({windows}), f AS (SELECT seed, (SELECT total FROM b) * {inverse} * ({count}) AS x FROM v)
+SELECT s.seed, coalesce(sum(x), 0) / (SELECT greatest(n, 1) FROM b) / {paths * slides} AS est FROM seeds s LEFT JOIN f ON s.seed = f.seed GROUP BY s.seed)"""
+
+
 def digits9(x: str) -> str:
     """A double cut to nine digits, so that the order of a sum does not show."""
     return f"format('{{:.9g}}', ({x})::DOUBLE)::DOUBLE"

@@ -239,6 +239,7 @@ QUERIES: dict[str, Query] = {f"exact_{n}": _over(lambda g, p=p: exact.count(g, p
     "jsub_est": _estimates(sampling.JSub, ("chain3", "triangle", "wedge_in")),
     "jsub_trials": _trials(lambda: sampling.JSub(0.3), ("chain3", "triangle", "wedge_in")),
     "impr_est": _estimates(random_walk.RandomWalk, ("chain3", "wedge_in")),
+    "impr_trials": _trials(lambda: random_walk.RandomWalk(0.3), ("chain3", "wedge_in")),
     "jsub_full_est": _estimates(lambda: sampling.JSub(full=True), ("chain3", "star3", "wedge_in")),
     "sumrdf_refined": _refined,
     "toy_values": _toy,
@@ -329,6 +330,8 @@ ORACLES |= {
     "wj_trials": _seeds_sql(estimate_sql.wj, ("chain3", "wedge_in"), "seed::INTEGER AS seed, ", rate=0.5, seeds=SEEDS, enough=60),
     "jsub_est": _seeds_sql(estimate_sql.jsub, ("chain3", "triangle", "wedge_in"), ""),
     "jsub_trials": _seeds_sql(estimate_sql.jsub, ("chain3", "triangle", "wedge_in"), "seed::INTEGER AS seed, ", rate=0.3, seeds=SEEDS),
+    "impr_est": _seeds_sql(estimate_sql.impr, ("chain3", "wedge_in"), ""),
+    "impr_trials": _seeds_sql(estimate_sql.impr, ("chain3", "wedge_in"), "seed::INTEGER AS seed, ", rate=0.3, seeds=SEEDS),
     "type_inclusion": f"{_WITH}, a AS (SELECT DISTINCT src FROM edges WHERE el = 3), b AS (SELECT DISTINCT src FROM edges WHERE el = 4) SELECT vid FROM vlabels JOIN a ON vid = a.src JOIN b ON vid = b.src WHERE vl = 5",
 }
 _FIXED_SQL = {"cset": estimate_sql.cset, "bsk": estimate_sql.bsk, "sumrdf": estimate_sql.sumrdf}

@@ -318,11 +318,59 @@ def test_random_walk(spark, toy):
     r = random.Random(5)
     edges = sorted({(r.randrange(12), r.randrange(12), r.randrange(2)) for _ in range(90)})
     g = graph(spark, 12, [(i, i % 2) for i in range(12)], edges)
+    held = random_walk.RandomWalk().summarize(g, Store.scratch(spark))
     for p in (Pattern.of([(0, 1, 0)]), Pattern.of([(0, 1, 0), (1, 2, 1), (0, 2, 0)]), Pattern.of([(0, 1, 0), (0, 2, 1)], {1: 1}), Pattern.of([(0, 0, 0), (0, 1, 1)])):
-        one = random_walk.RandomWalk()
-        rows = one.walks(g, p, 50, 1)
-        assert rows.count() == 50 * one.windows_of(p) and one.windows_of(p) == (4 if len(p.vertices) > 2 else 1)
-        assert random_walk.RandomWalk(100.0).estimate(g, p, 1) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
+        assert random_walk.RandomWalk(100.0).estimate(g, p, 1, held) == pytest.approx(exact.count(g, p).head()[0], rel=0.15)
+
+
+def plain_impr(edges, labels, p, walks, slides, seed, orders):
+    els, wide = sorted({e.el for e in p.edges}), len(p.vertices) - 2
+    half = [h for el in els for a, b, _ in sorted(e for e in edges if e[2] == el) for h in ((a, b, el, True), (b, a, el, False))]
+    around = {}
+    for a, b, el, out in sorted(half, key=lambda h: (h[2], not h[3], h[1])):
+        around.setdefault(a, []).append((b, el, out))
+    paths, total = random_walk.open_paths(p), 0.0
+    for w in range(walks):
+        a, b, el, out = half[plain_draw(w, 0, seed, len(half))]
+        x, s = [a, b], [(el, out)]
+        for k in range(2, wide + slides):
+            b, el, out = around[x[-1]][plain_draw(w, k, seed, len(around[x[-1]]))]
+            x.append(b), s.append((el, out))
+        for j in range(slides):
+            at, steps = x[j : j + wide + 1], s[j : j + wide]
+            chances = []
+            for order in itertools.permutations(range(wide + 1)):
+                ways, chance = 1, 1.0
+                for a, b in itertools.pairwise(order):
+                    ways *= sum(y == at[b] for y, _, _ in around[at[a]])
+                for k in order[1:-1]:
+                    chance /= len(around[at[k]])
+                chances += [chance] * ways if orders or order == tuple(range(wide + 1)) else []
+            found = 0
+            for vs, way in paths:
+                if all((p.edges[i].el, out) == got for (i, out), got in zip(way, steps, strict=True)):
+                    left = next(v for v in range(len(p.vertices)) if v not in vs)
+                    for y in {v for e in edges for v in e[:2]}:
+                        m = dict(zip(vs, at, strict=True)) | {left: y}
+                        found += all((m[e.src], m[e.dst], e.el) in edges for e in p.edges) and all((v.label is None or (m[v.id], v.label) in labels) and v.bound in (None, m[v.id]) for v in p.vertices)
+            total += found * len(half) / (sum(chances) / len(chances))
+    return total / (len(paths) * walks * slides)
+
+
+def test_windows_of_walks(spark):
+    """Every trial as a plain version has it, both weights; the window's own path is without bias where windows have further edges."""
+    r = random.Random(15)
+    edges = {(r.randrange(11), r.randrange(11), r.randrange(2)) for _ in range(60)}
+    labels = {(i, i % 2) for i in range(11)}
+    g = graph(spark, 11, sorted(labels), sorted(edges))
+    held = random_walk.RandomWalk().summarize(g, Store.scratch(spark))
+    p, seeds = Pattern.of([(0, 1, 0), (1, 2, 1), (3, 2, 0)], {3: 1}), [0, 4]
+    n = int(1.0 * sum(g.stats["el"][e.el] for e in p.edges)) // (len(p.vertices) + 3 - 1)
+    for orders in (True, False):
+        got = {x["seed"]: x["est"] for x in random_walk.RandomWalk(1.0, 3, orders).trials(g, p, seeds, held).collect()}
+        assert got == {s: pytest.approx(plain_impr(edges, labels, p, n, 3, s, orders)) for s in seeds} and all(got.values())
+    ests = [x["est"] for x in random_walk.RandomWalk(20.0, 4, False).trials(g, p, list(range(6)), held).collect()]
+    assert sum(ests) / 6 == pytest.approx(exact.count(g, p).head()[0], rel=0.1)
 
 
 def test_pattern_parse_and_relations():
