@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
 from ..plans.store import Store
 from .base import Estimator, empty
-from .graph import Graph
+from .graph import Graph, ranked
 
 
 def buckets(types: DataFrame) -> DataFrame:
@@ -98,13 +98,36 @@ def merged_in_class(i: np.ndarray, alive: np.ndarray, sig: np.ndarray, threshold
     return to
 
 
-def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target: float = 10000.0) -> None:
+def merged_by_rows(rows: DataFrame, threshold: float, store: Store, name: str) -> DataFrame:
+    """(bucket, to) of ``rows`` (vls, bucket, i, alive, sig), the same sweep as ``merged_in_class`` row by row of the scheme, for class sets of any size.
+
+    A (class set, bin) pair is only ever counted or joined to its first bucket, never gathered.
+    """
+    taken = None
+    for row in range(ROWS):
+        h = F.lit(1)
+        for c in range(COLUMNS):
+            h = _wrapped(h * F.lit(31) + F.get("sig", F.lit(row * COLUMNS + c)))
+        low = h.bitwiseXOR(F.shiftright(h.bitwiseAND(F.lit(0xFFFFFFFF)), 16)).bitwiseAND(F.lit(BINS - 1))
+        alive = rows.where("alive").withColumn("bin", low)
+        alive = alive.join(taken.select("bucket"), "bucket", "left_anti") if taken is not None else alive
+        first = alive.groupBy("vls", "bin").agg(F.min_by(F.struct("bucket", "i", "sig"), "i").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        same = F.aggregate(F.zip_with("sig", "first.sig", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
+        like = alive.join(first.select("vls", "bin", "first"), ["vls", "bin"]).where((F.col("i") > F.col("first.i")) & (same / F.lit(ROWS * COLUMNS) >= F.lit(threshold)))
+        pairs = like.groupBy("vls", "bin").agg(F.min_by(F.struct("bucket", F.col("first.bucket").alias("to")), "i").alias("x")).select("x.bucket", "x.to")
+        pairs = store.save(f"{name}-{row}", pairs)
+        taken = pairs if taken is None else taken.unionAll(pairs)
+    return taken
+
+
+def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target: float = 10000.0, gather: int = 1 << 16) -> None:
     """Merge similar buckets of one class set until the summary's edges fit the target; tables bucket, member, edge of ``held``.
 
     Target: (ratio * data size - 4 |V|) / 12, at least ``least_target``, sizes in bytes of
     32-bit numbers.  A sweep goes over all class sets; sweeps end at the target or when
     one saves fewer than 1000 edges, and then whole runs of class sets become one bucket
-    each.  A class set's buckets are its types, not its vertices; one task sweeps over them.
+    each.  A class set of up to ``gather`` types (not vertices) is swept in one task, a
+    larger one row by row of the scheme by all.
     """
     spark = g.edges.sparkSession
     v, labels = g.stats["v"], sum(g.stats["vl"].values())
@@ -115,8 +138,10 @@ def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target:
     if before <= target:
         held.save("bucket", bucket), held.save("member", held.table("typed_member")), held.save("edge", edges)
         return
-    part = Window.orderBy("bucket")  # one row a bucket of the summary
-    ids = held.save("numbered", bucket.select("bucket", "vls", (F.row_number().over(part) - 1).alias("i")))
+    one = F.lit(0).alias("all")
+    ids = held.save("numbered", ranked(bucket.select(one, "bucket", "vls"), "all", ["bucket"]).select("bucket", "vls", "i"))
+    sizes = held.save("sizes", ids.groupBy("vls").agg(F.count(F.lit(1)).alias("types")).where(F.col("types") > gather))
+    some_large = not sizes.isEmpty()
     mu = held.save("mu0", ids.select("bucket", F.col("bucket").alias("root")))
     turn, fits = 0, False
     while True:
@@ -131,8 +156,14 @@ def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target:
             own = table["bucket"].to_numpy()
             return pd.DataFrame({"bucket": own, "to": own[to]})
 
+        if some_large:
+            none = F.array_repeat(F.lit((1 << 31) - 1).cast("long"), ROWS * COLUMNS)
+            large = held.save(f"signed{turn}", rows.join(sizes, "vls", "left_semi").select("vls", "bucket", F.col("i").cast("long").alias("i"), (F.col("bucket") == F.col("root")).alias("alive"), F.coalesce("sig", none).alias("sig")))
+            spread = merged_by_rows(large, threshold, held, f"taken{turn}")
+            rows = rows.join(sizes, "vls", "left_anti")
         step = rows.groupBy("vls").applyInPandas(sweep, "bucket long, to long")
-        step = held.save(f"step{turn}", step.where("bucket <> to"))
+        step = step.where("bucket <> to")
+        step = held.save(f"step{turn}", step.unionAll(spread) if some_large else step)
         # A taken bucket may have been taken by one that is taken later in the sweep.
         link, hops = step.select(F.col("bucket").alias("root"), "to"), 0
         nxt = mu
@@ -155,7 +186,7 @@ def refined(held: Store, g: Graph, ratio: float, threshold: float, least_target:
         size = classes.agg(F.sum("own"), F.sum(F.size("vls") * F.col("own"))).head()
         n = max(1, int(4 * (2 * size[0] + 3 * now + v + size[1]) / data / ratio))
         groups = ids.groupBy("vls").agg(F.min("i").alias("first"))
-        groups = groups.withColumn("run", F.floor((F.row_number().over(Window.orderBy("first")) - 1) / F.lit(n)))  # one row a class set
+        groups = ranked(groups.select(one, "vls", F.col("first").cast("long").alias("first")), "all", ["first"]).withColumn("run", F.floor(F.col("i") / F.lit(n)))
         run = ids.join(groups.select("vls", "run"), "vls").select("bucket", "run")
         to = run.join(mu.where("bucket = root").select("bucket"), "bucket").groupBy("run").agg(F.min("bucket").alias("to"))
         mu = held.save("mu-last", mu.join(run.withColumnRenamed("bucket", "root"), "root").join(to, "run").select("bucket", F.col("to").alias("root")))
@@ -238,8 +269,8 @@ class TypedSummary(Estimator):
     """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge."""
 
     name, fixed = "sumrdf", True
-    def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0) -> None:
-        self.ratio, self.threshold, self.least_target = ratio, threshold, least_target
+    def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0, gather: int = 1 << 16) -> None:
+        self.ratio, self.threshold, self.least_target, self.gather = ratio, threshold, least_target, gather
 
     def summarize(self, g: Graph, store: Store) -> Store:
         """Tables ``bucket``, ``member`` and ``edge``, refined where the typed summary is too large."""
@@ -247,7 +278,7 @@ class TypedSummary(Estimator):
         typed = store.save("typed_bucket", buckets(types))
         member = store.save("typed_member", membership(types, typed))
         store.save("typed_edge", summary_edges(g.edges, member))
-        refined(store, g, self.ratio, self.threshold, self.least_target)
+        refined(store, g, self.ratio, self.threshold, self.least_target, self.gather)
         return store
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:

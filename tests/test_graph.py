@@ -466,13 +466,13 @@ def plain_refinement(labels, edges, n, ratio, threshold, least):
     return {v: back[find(at[v])] for v in range(n)}
 
 
-@pytest.mark.parametrize(("ratio", "threshold", "least"), [(0.03, 0.15, 10), (0.03, 0.9, 40), (0.5, 0.3, 25), (0.03, 0.15, 10000)])
-def test_refinement(spark, ratio, threshold, least):
+@pytest.mark.parametrize(("ratio", "threshold", "least", "gather"), [(0.03, 0.15, 10, 1 << 16), (0.03, 0.9, 40, 1 << 16), (0.5, 0.3, 25, 1 << 16), (0.03, 0.15, 10000, 1 << 16), (0.03, 0.15, 10, 12)])
+def test_refinement(spark, ratio, threshold, least, gather):
     r = random.Random(9)
     edges = sorted({(r.randrange(40), r.randrange(40), r.randrange(4)) for _ in range(90)})
     labels = [(v, v % 3) for v in range(40)]
     g = graph(spark, 40, labels, edges)
-    held = typed_summary.TypedSummary(ratio, threshold, least).summarize(g, Store.scratch(spark))
+    held = typed_summary.TypedSummary(ratio, threshold, least, gather).summarize(g, Store.scratch(spark))
     want = plain_refinement(labels, edges, 40, ratio, threshold, least)
     assert {x["vid"]: x["bucket"] for x in held.table("member").collect()} == want
     count = {}
