@@ -266,11 +266,15 @@ def terms(p: Pattern, key: Blocks) -> dict[tuple[Blocks, Blocks], int]:
 
 
 class TypedSummary(Estimator):
-    """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge."""
+    """``ratio`` bounds the summary's size, ``threshold`` is the similarity from which buckets merge.
+
+    Beyond ``reduce_from`` summary edges under a pattern's labels, rows without a partner are
+    dropped before any are joined; the embeddings are the same.
+    """
 
     name, fixed = "sumrdf", True
-    def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0, gather: int = 1 << 16) -> None:
-        self.ratio, self.threshold, self.least_target, self.gather = ratio, threshold, least_target, gather
+    def __init__(self, ratio: float = 0.03, threshold: float = 0.15, least_target: float = 10000.0, gather: int = 1 << 16, reduce_from: int = 1 << 20) -> None:
+        self.ratio, self.threshold, self.least_target, self.gather, self.reduce_from = ratio, threshold, least_target, gather, reduce_from
 
     def summarize(self, g: Graph, store: Store) -> Store:
         """Tables ``bucket``, ``member`` and ``edge``, refined where the typed summary is too large."""
@@ -295,6 +299,54 @@ class TypedSummary(Estimator):
         by_key = F.broadcast(g.edges.sparkSession.createDataFrame(rows, "key string, factor double, power array<int>, drawn array<int>"))
         return float(embeddings.join(by_key, "key").agg(F.coalesce(F.sum(F.col("factor") * self._product(p)), F.lit(0.0))).head()[0])
 
+    @staticmethod
+    def _edge_rows(held: Store, p: Pattern, i: int) -> DataFrame:
+        """(b<src>, b<dst>, w<i>) of the summary edges that can be the i-th pattern edge."""
+        e = p.edges[i]
+        rows = held.table("edge").where(F.col("el") == e.el)
+        if e.src == e.dst:
+            return rows.where("bs = bd").select(F.col("bs").alias(f"b{e.src}"), F.col("w").cast("double").alias(f"w{i}"))
+        return rows.select(F.col("bs").alias(f"b{e.src}"), F.col("bd").alias(f"b{e.dst}"), F.col("w").cast("double").alias(f"w{i}"))
+
+    @staticmethod
+    def _reduced(store: Store, p: Pattern, tables: dict[int, DataFrame], candidates: dict[int, DataFrame], order: list[int]) -> tuple[dict[int, DataFrame], list[int]]:
+        """The edges' rows that are in some embedding of the pattern's spanning tree, and an order by what is left of them.
+
+        Rows meet the candidates of both ends, then each edge its children, from the leaves
+        to the root, and its parent on the way back; so no partial embedding of the tree is
+        without an end.
+        """
+        parent: dict[int, int] = {}
+        for k, i in enumerate(order):
+            ends = {p.edges[i].src, p.edges[i].dst}
+            found = [j for j in order[:k] if ends & {p.edges[j].src, p.edges[j].dst}]
+            if found:
+                parent[i] = max(found, key=lambda j: len(ends & {p.edges[j].src, p.edges[j].dst}))
+
+        def meet(i: int, j: int) -> DataFrame:
+            ends = {p.edges[i].src, p.edges[i].dst} & {p.edges[j].src, p.edges[j].dst}
+            shared = [f"b{v}" for v in sorted(ends)]
+            return tables[i].join(tables[j].select(*shared).distinct(), shared, "left_semi")
+
+        tables = dict(tables)
+        for i in order:
+            for v in sorted({p.edges[i].src, p.edges[i].dst}):
+                tables[i] = tables[i].join(candidates[v].select(f"b{v}"), f"b{v}", "left_semi")
+            tables[i] = store.save(f"own{i}", tables[i])
+        for i in reversed(order):
+            if i in parent:
+                tables[parent[i]] = store.save(f"up{parent[i]}-{i}", meet(parent[i], i))
+        for i in order:
+            if i in parent:
+                tables[i] = store.save(f"down{i}", meet(i, parent[i]))
+        size = {i: tables[i].count() for i in order}
+        out, met = [], set()
+        while len(out) < len(order):
+            left = [i for i in order if i not in out]
+            out.append(min(left, key=lambda i: (bool(met) and not met & {p.edges[i].src, p.edges[i].dst}, size[i], i)))
+            met |= {p.edges[out[-1]].src, p.edges[out[-1]].dst}
+        return tables, out
+
     @staticmethod
     def _key(p: Pattern) -> F.Column:
         """For each pattern edge the first one on the same summary edge."""
@@ -338,12 +390,13 @@ class TypedSummary(Estimator):
             if v.bound is not None:
                 own = own.join(m.where(F.col("vid") == v.bound).select(F.col("bucket").alias(f"b{v.id}")), f"b{v.id}", "left_semi")
             candidates[v.id] = own.drop("vls", "outs", "ins")
+        tables = {i: self._edge_rows(held, p, i) for i in range(len(p.edges))}
+        order = p.join_order(g.stats)
+        if len(order) > 1 and held.table("edge").where(F.col("el").isin(*{e.el for e in p.edges})).count() > self.reduce_from:
+            tables, order = self._reduced(Store.scratch(g.edges.sparkSession), p, tables, candidates, order)
         acc, met = None, set()
-        for i in p.join_order(g.stats):
-            e = p.edges[i]
-            rows = held.table("edge").where(F.col("el") == e.el).select(F.col("bs").alias(f"b{e.src}"), *([F.col("bd").alias(f"b{e.dst}")] if e.src != e.dst else [F.col("bd").alias("_d")]), F.col("w").cast("double").alias(f"w{i}"))
-            if e.src == e.dst:
-                rows = rows.where(F.col(f"b{e.src}") == F.col("_d")).drop("_d")
+        for i in order:
+            e, rows = p.edges[i], tables[i]
             if acc is None:
                 acc = rows
             else:

@@ -290,6 +290,28 @@ def test_repeated_labels(spark):
         assert m.estimate(g, p, 0, held) == pytest.approx(plain_typed_estimate(p, list(weight), weight, edge)), es
 
 
+def test_reduced_embeddings(spark):
+    """Rows without a partner go first: the same embeddings, tables that hold only what some embedding of the tree has."""
+    r = random.Random(21)
+    edges = sorted({(r.randrange(14), r.randrange(14), r.randrange(3)) for _ in range(40)})
+    g = graph(spark, 14, [(i, i % 3) for i in range(14)], edges)
+    m = typed_summary.TypedSummary(least_target=1e9)
+    held = m.summarize(g, Store.scratch(spark))
+    for p in (Pattern.of([(0, 1, 0), (1, 2, 1), (2, 3, 2), (0, 3, 1)], {0: 1}), Pattern.of([(0, 1, 0), (1, 1, 1), (2, 1, 2)])):
+        rows = m.embeddings(held, g, p)
+        less = typed_summary.TypedSummary(least_target=1e9, reduce_from=0)
+        assert sorted(map(tuple, less.embeddings(held, g, p).select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+        assert less.estimate(g, p, 0, held) == pytest.approx(m.estimate(g, p, 0, held))
+    p = Pattern.of([(0, 1, 0), (1, 2, 1), (2, 3, 2)])
+    own = {i: m._edge_rows(held, p, i) for i in range(3)}
+    everything = {v.id: held.table("bucket").select(typed_summary.F.col("bucket").alias(f"b{v.id}")) for v in p.vertices}
+    tables, order = m._reduced(Store.scratch(spark), p, own, everything, [1, 0, 2])
+    joined = own[0].join(own[1], "b1").join(own[2], "b2")
+    for i in range(3):
+        assert tables[i].count() == joined.select(*own[i].columns).distinct().count() <= own[i].count()
+    assert sorted(order) == [0, 1, 2]
+
+
 def test_many_edges_of_one_label(spark, toy):
     """Star of seven and eight equal edges: the terms stay few."""
     began = time.perf_counter()
