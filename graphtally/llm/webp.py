@@ -35,7 +35,8 @@ NEAR = (
 )
 
 
-_REVERSED = sum(((np.arange(1 << 15) >> i & 1) << (14 - i)) for i in range(15)).tolist()
+_REVERSED_BITS = sum(((np.arange(1 << 15) >> i & 1) << (14 - i)) for i in range(15))
+_REVERSED = _REVERSED_BITS.tolist()
 
 
 class Bits:
@@ -72,9 +73,11 @@ class Prefix:
             return
         if sum(1 << (self.width - n) for n, _ in used) != 1 << self.width:
             raise ValueError("prefix code lengths that do not fill the tree")
-        for (n, s), code in zip(sorted(used), canonical([n for n, _ in sorted(used)]), strict=True):
-            low = _REVERSED[code] >> (15 - n)
-            self.symbol[low :: 1 << n], self.length[low :: 1 << n] = s, n
+        # Codes rise with their lengths, so each has a run of the table, read with the first bit highest.
+        n, s = np.array(sorted(used), np.int64).T
+        run = np.repeat(np.arange(len(n)), 1 << (self.width - n))
+        at = _REVERSED_BITS[: 1 << self.width] >> (15 - self.width)
+        self.symbol[at], self.length[at] = s[run], n[run]
         self.is_long = self.symbol >= 256
         self._s: list[int] = []
 
@@ -215,22 +218,26 @@ def _greens(bits: Bits, codes: tuple[Prefix, ...], total: int, width: int) -> np
 
     words = np.ndarray((len(raw),), "<u4", room.data, 0, (1,)).astype(np.int64)
     slot = ((words[:, None] >> np.arange(8)) & ((1 << green.width) - 1)).ravel()
-    steps = green.length[slot]
-    refs = np.flatnonzero(green.is_long[slot]) if green.is_long.any() else np.zeros(0, np.int64)
+    steps = (green.length | green.is_long.astype(np.uint8) << 7)[slot]
+    refs = np.flatnonzero(steps > 127)
     if len(refs):
+        steps &= 127
         n = _EXTRA[green.symbol[slot[refs]] - 256]
         at = refs + steps[refs] + n
         key = window(at, far.width)
         steps[refs] += (n + far.length[key] + _EXTRA[far.symbol[key]]).astype(np.uint8)
-    # Eight tokens at once: where the second, then the fourth, then the eighth after each position starts.
-    room = np.concatenate((steps, np.zeros(1 << 10, np.uint8))).astype(np.int32)
-    every, leaps = np.arange(len(steps), dtype=np.int32), [room]
-    for _ in range(3):
+    # Four tokens at once: where the second, then the fourth after each position starts.
+    n = len(steps)
+    leaps = [np.zeros(n + (1 << 10), np.int64)]
+    leaps[0][:n] = steps
+    every = np.arange(n)
+    for _ in range(2):
         last = leaps[-1]
-        leaps.append(np.concatenate((last[: len(steps)] + last[every + last[: len(steps)]], last[len(steps) :])))
+        leaps.append(last.copy())
+        leaps[-1][:n] += last[every + last[:n]]
     jump, at, places = memoryview(leaps.pop()), bits.at & 7, array.array("q")
     append = places.append
-    for _ in range((total + 7) >> 3):
+    for _ in range((total + 3) >> 2):
         if at >= len(steps):  # the stream's end
             break
         append(at)
