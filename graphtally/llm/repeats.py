@@ -14,7 +14,8 @@ tokens are compared starts there:
 * what is left is open: some windows repeat, others don't.  The members of a class go to
   one task with their tokens around the anchor, and there each further digit is one
   token, outwards from the gram: the class of a window after a token is the class before
-  and that token, through all ``size`` tokens; windows alone in their class drop out.
+  and that token, through all ``size`` tokens.  The passes are not made one by one there:
+  a class name is a hash of the tokens so far, so the last one alone is computed and sorted.
 * a class of more than ``gather`` members is not gathered.  Its windows are cut into
   ranges whose shared tokens make the next, longer digit, counted by key in a shuffle
   like digit 1, down to single windows; sub-classes that are small enough by then are

@@ -778,8 +778,8 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the stored files), payload_* and features read back from them.
 
     Null text is no bytes, stored as 64 zeros; equal texts give equal media; rows are
-    independent and nothing moves between tasks.  A text beyond 64 * SIDE bytes becomes
-    several files in a row.
+    independent and nothing moves between tasks.  A text is one file; one beyond SIDE * SIDE
+    bytes, more than an image has pixels, is an error.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
