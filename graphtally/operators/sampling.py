@@ -270,7 +270,7 @@ class JSub(Estimator):
         self.p, self.full = p, full
 
     def summarize(self, g: Graph, store: Store) -> Store:
-        return index(g, store)
+        return store if self.full else index(g, store)  # all starts are no draws
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if self.full and not empty(g, p):
