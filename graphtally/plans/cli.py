@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import argparse
 import time
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,7 +16,8 @@ from ..operators import bound_sketch, charsets, random_walk, sampling, typed_sum
 from ..operators.base import Estimator, summary_path
 from ..operators.graph import Graph
 from ..sources import text
-from .harness import error_lines, result_lines, run_trials, trial_stats
+from ..sources.files import read_texts, write_text
+from .harness import cost_report, error_lines, result_lines, run_trials, trial_stats
 from .pattern import Pattern
 from .store import Store
 
@@ -58,10 +58,9 @@ def graph(spark: SparkSession, path: str) -> Graph:
     return Graph(store.table("vertices"), store.table("vlabels"), store.table("edges").select("src", "dst", "el"))
 
 
-def patterns(path: str) -> dict[str, Pattern]:
-    """The pattern of a file, or of every .txt file below a folder, by name."""
-    root = Path(path)
-    return {str(f.relative_to(root)) if root.is_dir() else f.name: Pattern.read(f) for f in (sorted(root.rglob("*.txt")) if root.is_dir() else [root])}
+def patterns(spark: SparkSession, path: str) -> dict[str, Pattern]:
+    """The pattern of a file, or of every .txt file below a folder, by name; on any store that Spark reads."""
+    return {name: Pattern.from_lines(said.splitlines()) for name, said in read_texts(spark, path, ".txt").items()}
 
 
 def summary(spark: SparkSession, path: str, name: str, m: Estimator, p: float, seed: int, budget: int) -> Store:
@@ -83,10 +82,10 @@ def main(args: list[str] | None = None) -> int:
     a.add_argument("--budget", type=int, default=4096)
     a.add_argument("--threshold", type=float, default=0.15)
     a.add_argument("--timeout", type=float, default=300.0, help="seconds a trial")
+    a.add_argument("--costs", help="folder for a Parquet table of what the trials cost the executors")
     a.add_argument("--repeat-fixed", action="store_true", help="as many trials of fixed estimators, for their times")
     o = a.parse_args(args)
     if o.experiment:
-        Path(o.output or ".").mkdir(parents=True, exist_ok=True)
         return max(main(line) for line in experiment(o.experiment, o.data, o.input, o.output or ".", o.trials))
     if not o.method:
         a.error("a method or an experiment is required")
@@ -97,15 +96,17 @@ def main(args: list[str] | None = None) -> int:
         began = time.perf_counter()
         m.summarize(g, store)
         if o.output:  # a summary that was there takes no time
-            Path(o.output).write_text(f"{o.method} {time.perf_counter() - began:.3f} {store.size()}\n")
+            write_text(spark, o.output, f"{o.method} {time.perf_counter() - began:.3f} {store.size()}\n")
     if o.query:
-        trials = run_trials(spark, g, patterns(o.input), [m], o.trials, o.seed, o.timeout, {m.name: m.summarize(g, store)}, o.repeat_fixed).cache()
+        trials = run_trials(spark, g, patterns(spark, o.input), [m], o.trials, o.seed, o.timeout, {m.name: m.summarize(g, store)}, o.repeat_fixed).cache()
         for lines, ending in ((result_lines(trial_stats(trials)), ""), (error_lines(trials), ".err")):
             said = "".join(f"{r['value']}\n" for r in lines.orderBy("query").collect())  # a line or two a query
             if o.output:
-                Path(o.output + ending).write_text(said)
+                write_text(spark, o.output + ending, said)
             else:
                 print(said, end="")
+        if o.costs:
+            cost_report(trials).write.mode("overwrite").parquet(o.costs)
         trials.unpersist()
     return 0
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..operators.base import Estimator
 from ..operators.graph import Graph
+from .costs import Watch
 from .pattern import Pattern
 from .store import Store
 
-SCHEMA = "query string, method string, seed int, est double, ms double, status string, error string, driver_kb long"
+SCHEMA = "query string, method string, seed int, est double, ms double, status string, error string, driver_kb long, executor_kb long, execution_kb long, cpu_ms double, shuffle_kb double, spill_kb double"
 
 
 def within(spark: SparkSession, seconds: float | None, work):  # noqa: ANN001, ANN201
@@ -49,35 +50,45 @@ def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], meth
 
     Summaries are built once per method and read by every trial.  Status is ok, error or
     timeout; a timeout ends the trials of its pattern and method.  A method whose trials are
-    data makes them together: they share the time and one fate, and get as many timeouts' time.
+    data makes them together: they share the time, the cost and one fate, and get as many
+    timeouts' time.  ``driver_kb`` is the peak of the driver's Python so far, the columns after
+    it are what the trial's jobs cost the executors (see ``Cost``).
     """
     rows, summaries = [], dict(summaries or {})
+
+    def spent(watch: Watch, n: int = 1) -> tuple:
+        c = watch.cost()
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, c.executor_kb, c.execution_kb, c.cpu_ms / n, c.shuffle_kb / n, c.spill_kb / n
+
     for m in methods:
         if m.name not in summaries:
             summaries[m.name] = m.summarize(g, Store.scratch(spark))
         for name, p in patterns.items():
             if m.batched:
-                began, found, status, error = time.perf_counter(), {}, "ok", None
+                began, found, status, error, watch = time.perf_counter(), {}, "ok", None, Watch(spark)
                 seeds = [seed + i for i in range(n)]
                 try:
-                    found = dict(within(spark, timeout and timeout * n, lambda m=m, p=p, seeds=seeds: [tuple(r) for r in m.trials(g, p, seeds, summaries[m.name]).collect()]))
+                    with watch:
+                        found = dict(within(spark, timeout and timeout * n, lambda m=m, p=p, seeds=seeds: [tuple(r) for r in m.trials(g, p, seeds, summaries[m.name]).collect()]))
                 except TimeoutError as e:
                     status, error, seeds = "timeout", str(e), seeds[:1]
                 except Exception as e:  # noqa: BLE001
                     status, error = "error", f"{type(e).__name__}: {str(e)[:500]}"
-                took, kb = (time.perf_counter() - began) * 1000 / len(seeds), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-                rows += [(name, m.name, s, found.get(s), took, status, error, kb) for s in seeds]
+                took, cost = (time.perf_counter() - began) * 1000 / len(seeds), spent(watch, len(seeds))
+                rows += [(name, m.name, s, found.get(s), took, status, error, *cost) for s in seeds]
                 continue
             for i in range(1 if m.fixed and not repeat_fixed else n):
                 began = time.perf_counter()
-                est, status, error = None, "ok", None
+                est, status, error, watch = None, "ok", None, Watch(spark)
                 try:
-                    est = float(within(spark, timeout, lambda m=m, p=p, i=i: m.estimate(g, p, seed + i, summaries[m.name])))
+                    with watch:
+                        est = float(within(spark, timeout, lambda m=m, p=p, i=i: m.estimate(g, p, seed + i, summaries[m.name])))
                 except TimeoutError as e:
                     status, error = "timeout", str(e)
                 except Exception as e:  # noqa: BLE001
                     status, error = "error", f"{type(e).__name__}: {str(e)[:500]}"
-                rows.append((name, m.name, seed + i, est, (time.perf_counter() - began) * 1000, status, error, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss))
+                took = (time.perf_counter() - began) * 1000
+                rows.append((name, m.name, seed + i, est, took, status, error, *spent(watch)))
                 if status == "timeout":
                     break
     return spark.createDataFrame(rows, SCHEMA)
@@ -89,6 +100,12 @@ def trial_stats(trials: DataFrame) -> DataFrame:
     return t.groupBy("query", "method").agg(F.avg("est").alias("avg_est"), F.avg("ms").alias("avg_ms"), F.var_pop("est").alias("var_pop"), F.transform(F.sort_array(F.collect_list(F.struct("seed", "est"))), lambda x: x["est"]).alias("ests"))
 
 
+def cost_report(trials: DataFrame) -> DataFrame:
+    """(query, method, trials, avg_ms, cpu_ms, shuffle_kb, spill_kb, executor_kb, execution_kb, driver_kb): means of what adds up, peaks of memory, whatever the status."""
+    means = [F.avg(c).alias(a) for c, a in (("ms", "avg_ms"), ("cpu_ms", "cpu_ms"), ("shuffle_kb", "shuffle_kb"), ("spill_kb", "spill_kb"))]
+    return trials.groupBy("query", "method").agg(F.count("*").alias("trials"), *means, *[F.max(c).alias(c) for c in ("executor_kb", "execution_kb", "driver_kb")])
+
+
 def qerrors(trials: DataFrame, truth: DataFrame) -> DataFrame:
     """(query, method, seed, qerr) with ``truth`` (query, matches); both sides count 1 at least."""
     t = trials.where("status = 'ok' and est > -1e9").join(truth, "query")

@@ -9,7 +9,8 @@ from graphtally.operators import bound_sketch, charsets, exact, random_walk, sam
 from graphtally.operators import walks as walks_
 from graphtally.operators.graph import Graph
 from graphtally.plans import cli
-from graphtally.plans.harness import error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
+from graphtally.plans.costs import Watch
+from graphtally.plans.harness import cost_report, error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
 from graphtally.plans.pattern import Pattern, relations
 from graphtally.plans.store import Store
 from graphtally.sources import text
@@ -576,3 +577,46 @@ def test_command_line(spark, tmp_path):
         one, two = (tmp_path / "out.txt").read_text().splitlines()
         assert one.startswith("a/toy.txt ") and float(one.split()[1]) == pytest.approx(float(est)) and two.split()[0] == "1"
         assert (tmp_path / "out.txt.err").read_text() == ""
+    cli.main(["-q", "-m", "wj", "-d", f"file://{data}", "-i", f"file://{tmp_path}/queries", "-o", f"file://{tmp_path}/new/wj.txt", "-n", "2", "--costs", f"file://{tmp_path}/costs"])
+    assert (tmp_path / "new" / "wj.txt").read_text().startswith("a/toy.txt ")
+    (r,) = spark.read.parquet(str(tmp_path / "costs")).collect()
+    assert (r["query"], r["method"], r["trials"]) == ("a/toy.txt", "wj", 2) and r["shuffle_kb"] >= 0 and r["cpu_ms"] > 0
+
+
+def test_patterns_by_any_path(spark, tmp_path):
+    """Names with odd characters, several depths, other endings, an empty folder, a single file."""
+    (tmp_path / "q" / "a b#" / "c").mkdir(parents=True)
+    (tmp_path / "none").mkdir()
+    line = "v 0 0 -1\nv 1 0 -1\ne 0 1 {}\n"
+    for i, name in enumerate(("z.txt", "a b#/é%20.txt", "a b#/c/d.txt", "a b#/c/e.csv")):
+        (tmp_path / "q" / name).write_text(line.format(i))
+    got = cli.patterns(spark, f"file://{tmp_path}/q/")
+    assert {n: p.edges[0].el for n, p in got.items()} == {"z.txt": 0, "a b#/é%20.txt": 1, "a b#/c/d.txt": 2}
+    assert list(got) == sorted(got)
+    assert cli.patterns(spark, str(tmp_path / "none")) == {}
+    assert {n: p.edges[0].el for n, p in cli.patterns(spark, str(tmp_path / "q" / "a b#" / "c" / "e.csv")).items()} == {"e.csv": 3}
+
+
+def test_costs(spark, toy):
+    """Only marked jobs count, a second watch starts anew, groups and tags are left as they were."""
+    def work():
+        return spark.range(0, 200000, 1, 4).selectExpr("id % 5000 as k").repartition(3, "k").groupBy("k").count().collect()
+
+    work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "mine")
+    with Watch(spark) as w:
+        work()
+    once = w.cost()
+    work()
+    assert w.cost() == once and once.stages >= 2 and once.cpu_ms > 0 and once.shuffle_kb > 0 and once.spill_kb == 0
+    assert once.executor_kb is None or once.executor_kb > 0
+    with Watch(spark) as nothing:
+        pass
+    assert (nothing.cost().stages, nothing.cost().executor_kb) == (0, None)
+    assert not any(t.startswith("graphtally-") for t in spark.sparkContext.getJobTags())
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "mine"
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    t = run_trials(spark, toy, {"toy": TOY}, [sampling.CorrelatedSampling(1.0), sampling.WanderJoin(1.0)], 2)
+    report = {r["method"]: r for r in cost_report(t).collect()}
+    assert {m: r["trials"] for m, r in report.items()} == {"cs": 2, "wj": 2}
+    assert all(r["cpu_ms"] > 0 and r["driver_kb"] > 0 and r["avg_ms"] > 0 for r in report.values())
