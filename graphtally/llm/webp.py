@@ -21,8 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest side of an image.
-SIDE = 1 << 14
 #: Fixed values of the format: the order of code-length codes, and the distance map of near pixels (dx, dy).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 NEAR = (
@@ -743,34 +741,42 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     return min(files, key=len)
 
 
-def width_of(size: int) -> int:
-    """Row length for a payload: 64 samples, or as many more as keep the rows within SIDE."""
-    return 64 * max(1, _div(size, 64 * SIDE))
+#: Samples in a row of an image, and bytes of a payload in one image at most.
+WIDTH, PIECE = 64, 1 << 18
 
 
 def store(payload: bytes) -> bytes:
-    """The payload (a positive multiple of 64 bytes) as one file of grey pixels; its last row is filled up with zeros."""
-    if len(payload) > SIDE * SIDE:
-        raise ValueError("more bytes than the largest image has pixels")
-    width = width_of(len(payload))
-    samples = np.frombuffer(payload + bytes(-len(payload) % width), np.uint8)
-    return encode_grey(samples, width)
+    """The payload (a positive multiple of 64 bytes) as grey pixels: one file, or several in a row beyond PIECE bytes, so that memory beside the payload stays bounded."""
+    samples = np.frombuffer(payload, np.uint8)
+    return b"".join(encode_grey(samples[i : i + PIECE], WIDTH) for i in range(0, len(samples), PIECE))
 
 
 def load(stored: bytes, size: int) -> np.ndarray:
-    """The first ``size`` samples of a file of ``store``, decoded from its bytes."""
-    pixels = decode_argb(stored).ravel()[:size]
-    return (pixels >> np.uint32(8)).astype(np.uint8)
+    """The ``size`` samples of the files of ``store``, decoded from their bytes."""
+    out, filled, at = np.empty(size, np.uint8), 0, 0
+    while at < len(stored):
+        end = at + 8 + struct.unpack_from("<I", stored, at + 4)[0]
+        pixels = decode_argb(stored[at:end]).ravel()
+        if end > len(stored) or filled + len(pixels) > size:
+            raise ValueError("files that do not hold the payload")
+        out[filled : filled + len(pixels)] = pixels >> np.uint32(8) & np.uint32(255)
+        at, filled = end, filled + len(pixels)
+    if filled < size:
+        raise ValueError("files that do not hold the payload")
+    return out
 
 
 def features(samples: np.ndarray) -> str:
     """Mean, deviation, entropy, distinct values and mean row-to-row change of the pixels read back."""
-    n = np.bincount(samples, minlength=256)
+    n, steps = np.zeros(256, np.int64), 0
+    for i in range(0, len(samples), PIECE):
+        n += np.bincount(samples[i : i + PIECE], minlength=256)
+        steps += int(np.abs(np.diff(samples[i : i + PIECE + 1].astype(np.int16))).sum(dtype=np.int64))
     p = n[n > 0] / len(samples)
     value = np.arange(256)
     mean = float((n * value).sum()) / len(samples)
     spread = max(0.0, float((n * value * value).sum()) / len(samples) - mean * mean) ** 0.5
-    step = float(np.abs(np.diff(samples.astype(np.int16))).mean())
+    step = steps / (len(samples) - 1)
     return f"mean={mean:.4f};std={spread:.4f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.4f};distinct={int((n > 0).sum())};step={step:.4f}"
 
 
@@ -778,8 +784,8 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the stored files), payload_* and features read back from them.
 
     Null text is no bytes, stored as 64 zeros; equal texts give equal media; rows are
-    independent and nothing moves between tasks.  A text is one file; one beyond SIDE * SIDE
-    bytes, more than an image has pixels, is an error.
+    independent and nothing moves between tasks.  A text beyond PIECE bytes is several files
+    in a row.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,7 +191,7 @@ def test_pieces(spark, rows):
 
 def test_webp(spark, rows):
     r = random.Random(1)
-    payloads = [b"\0" * 64, bytes(range(256)), r.randbytes(640), b"ab" * 64, b"a" * 6400, bytes((x + y) & 255 for y in range(50) for x in range(64)), r.randbytes(64 * webp.SIDE + 192)]
+    payloads = [b"\0" * 64, bytes(range(256)), r.randbytes(640), b"ab" * 64, b"a" * 6400, bytes((x + y) & 255 for y in range(50) for x in range(64)), r.randbytes(webp.PIECE), r.randbytes(webp.PIECE - 64), r.randbytes(webp.PIECE + 64), b"ab c" * (webp.PIECE // 2 + 16)]
     payloads += [bytes(r.choices(range(k), k=64 * r.randint(1, 20))) for k in (1, 2, 3, 4, 5, 15, 16, 17) for _ in range(4)]
     for payload in payloads:
         assert webp.load(webp.store(payload), len(payload)).tobytes() == payload
@@ -202,6 +202,31 @@ def test_webp(spark, rows):
     assert webp.media(table(spark, [])).count() == 0
 
 
+def test_webp_in_pieces(spark, monkeypatch):
+    """Long texts are files in a row, each complete; pieces change neither payload nor features; a cut or swollen row is refused."""
+    r = random.Random(3)
+    payload = bytes(r.choices(b"some words and \n", k=64 * 50))
+    whole, feature = webp.store(payload), webp.features(np.frombuffer(payload, np.uint8))
+    back = np.frombuffer(payload, np.uint8)
+    assert f"step={np.abs(np.diff(back.astype(int))).mean():.4f}" in feature and f"mean={back.mean():.4f};std={back.std():.4f}" in feature
+    monkeypatch.setattr(webp, "PIECE", 64 * 7)
+    several = webp.store(payload)
+    assert several.count(b"WEBPVP8L") == 8 and whole.count(b"WEBPVP8L") == 1
+    assert webp.load(several, len(payload)).tobytes() == webp.load(whole, len(payload)).tobytes() == payload
+    assert webp.features(webp.load(several, len(payload))) == feature
+    first = several[: 8 + int.from_bytes(several[4:8], "little")]
+    assert webp.decode(first).shape == (7, 64, 4) and webp.load(first, 64 * 7).tobytes() == payload[: 64 * 7]
+    for stored, size in ((first, len(payload)), (several + first, len(payload)), (several[:-40], len(payload)), (several, 64 * 8)):
+        with pytest.raises(ValueError):
+            webp.load(stored, size)
+    monkeypatch.undo()
+    text = "long \u00e9 text, " * 60000
+    (row,) = webp.media(table(spark, [(1, text)])).collect()
+    raw = text.encode()
+    padded = raw + b"\0" * (-len(raw) % 64)
+    assert (row.n_bytes, row.payload_sha256) == (len(raw), hashlib.sha256(padded).hexdigest()) and bytes(row.media).count(b"WEBPVP8L") == -(-len(padded) // webp.PIECE)
+
+
 def test_webp_features_met_by_the_table(spark, monkeypatch):
     """What the stored forms of a table's texts hold: references and palettes are met, and a predictor where it pays."""
     met = collections.Counter()
