@@ -100,16 +100,11 @@ class WaveletMatrix:
         return got
 
     def _find(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) such bit."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if bit else mid + 1 - ones) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        """Position of the k-th (from 0) such bit: its block by the rank directory, then its place there."""
+        before = self._ranks[level] if bit else np.minimum(np.arange(self._per + 1) * (8 * BLOCK), self.n) - self._ranks[level]
+        b = int(np.searchsorted(before, k, "right")) - 1
+        bits = np.unpackbits(self._block(level, b), bitorder="little")
+        return 8 * BLOCK * b + int(np.flatnonzero(bits == bit)[k - int(before[b])])
 
     def access(self, i: int) -> int:
         if not 0 <= i < self.n:

@@ -161,6 +161,15 @@ def test_wavelet(spark, rows):
         k = int((a[:i] == a[i]).sum())
         assert w.access(i) == a[i] and w.rank(int(a[i]), i) == k and w.select(int(a[i]), k) == i
     assert list(w.occurrences(7)) == np.flatnonzero(a == 7).tolist() and w.count(1 << 20) == 0
+    for n, kinds in ((1, 1), (7, 3), (1 << 16, 5), (1 << 16 | 1, 2), (200000, 50000), (3 << 16, 70000)):  # up to several blocks of a plane
+        a = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint32)
+        w = wavelet.WaveletMatrix(wavelet.build(a, [1], [n]))
+        for symbol in {int(a[0]), int(a[n // 2]), int(a[-1])}:
+            want = np.flatnonzero(a == symbol)
+            some = sorted({0, len(want) // 3, len(want) // 2, len(want) - 1})
+            assert [w.select(symbol, k) for k in some] == want[some].tolist() and w.count(symbol) == len(want)
+            with pytest.raises(IndexError):
+                w.select(symbol, len(want))
     unique = list({i: t for i, t in rows}.items())
     got = wavelet.write_and_read(table(spark, unique), tokenizer_file("byte_bpe_50k.json")).collect()
     got = sorted(got, key=lambda r: r.start)
