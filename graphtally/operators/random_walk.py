@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations, pairwise, permutations
 
 from pyspark.sql import DataFrame, Window
@@ -64,8 +64,8 @@ class RandomWalk(Estimator):
     def __init__(self, p: float = 0.03, windows: int = 4, orders: bool = True) -> None:
         self.p, self.windows, self.orders = p, windows, orders
 
-    def summarize(self, g: Graph, store: Store) -> Store:
-        return index(g, store)
+    def summarize(self, g: Graph, store: Store, patterns: Iterable[Pattern] | None = None) -> Store:
+        return index(g, store, patterns)
 
     def windows_of(self, p: Pattern) -> int:
         """Windows of a walk."""
@@ -175,7 +175,7 @@ class RandomWalk(Estimator):
         walks = int(self.p * sum(g.stats["el"].get(e.el, 0) for e in p.edges)) // (n + slides - 1)
         if walks <= 0 or empty(g, p):
             return zeros(g, seeds)
-        rows, laid = self.walks(g, p, walks, seeds, self.summary_of(g, summary)), []
+        rows, laid = self.walks(g, p, walks, seeds, self.summary_of(g, summary, p)), []
         for vs, steps in paths:
             fits = F.lit(True)
             for k, (i, out) in enumerate(steps, 1):

@@ -5,7 +5,7 @@ Trials are data: all walks of all trials and plans advance together, one table a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -137,8 +137,8 @@ class WanderJoin(Estimator):
     def __init__(self, p: float = 0.03, trial: int = 128, enough: int = 100) -> None:
         self.p, self.trial, self.enough = p, trial, enough
 
-    def summarize(self, g: Graph, store: Store) -> Store:
-        return index(g, store)
+    def summarize(self, g: Graph, store: Store, patterns: Iterable[Pattern] | None = None) -> Store:
+        return index(g, store, patterns)
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         return float(self.trials(g, p, [seed], summary).head()["est"])
@@ -149,7 +149,7 @@ class WanderJoin(Estimator):
         plans = list(walk_plans(p, n, labels=True)) if n > 0 and not empty(g, p) else []
         if not plans:
             return zeros(g, seeds)
-        held, won, seen = self.summary_of(g, summary), [], []
+        held, won, seen = self.summary_of(g, summary, p), [], []
         shared = {s: 0 for s in seeds} if len(plans) == 1 else {}  # walks that take the plans in turn
         best = {s: 0 for s in seeds} if len(plans) == 1 else {}
         low, high = 0, min(n, len(plans) * self.trial)
@@ -269,8 +269,8 @@ class JSub(Estimator):
     def __init__(self, p: float = 0.03, full: bool = False) -> None:
         self.p, self.full = p, full
 
-    def summarize(self, g: Graph, store: Store) -> Store:
-        return store if self.full else index(g, store)  # all starts are no draws
+    def summarize(self, g: Graph, store: Store, patterns: Iterable[Pattern] | None = None) -> Store:
+        return store if self.full else index(g, store, patterns, steps=False)  # all starts are no draws
 
     def estimate(self, g: Graph, p: Pattern, seed: int = 0, summary: Store | None = None) -> float:
         if self.full and not empty(g, p):
@@ -283,7 +283,7 @@ class JSub(Estimator):
             return dict.fromkeys(seeds, 0)
         spark = g.edges.sparkSession
         every = spark.range(len(seeds) * len(plans)).select(F.get(F.array(*[F.lit(s) for s in seeds]), (F.col("id") / len(plans)).cast("int")).alias("seed"), (F.col("id") % len(plans)).alias("walk"))
-        last = walk(held, g, p, plans, every.withColumn("plan", F.col("walk").cast("int")), Store.scratch(spark))[-1]
+        last = walk(held, g, p, plans, every.withColumn("plan", F.col("walk").cast("int")), Store.scratch(spark), few=True)[-1]
         found = last.groupBy("seed").agg(F.min_by("plan", F.struct("inv", "plan")).alias("plan")).collect()  # a row a trial
         return dict.fromkeys(seeds, 0) | {r["seed"]: r["plan"] for r in found}
 
@@ -292,7 +292,7 @@ class JSub(Estimator):
         spark, n = g.edges.sparkSession, budget(g, p, self.p)
         if n <= 0 or empty(g, p):
             return zeros(g, seeds)
-        held, plans = self.summary_of(g, summary), tree_plans(p, n)
+        held, plans = self.summary_of(g, summary, p), tree_plans(p, n)
         chosen, parts = self.trees(g, p, plans, seeds, held), []
         for k in sorted(set(chosen.values())):
             own, order = [s for s in seeds if chosen[s] == k], plans[k]

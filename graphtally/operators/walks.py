@@ -6,6 +6,7 @@ step), so a run is the same on any partitioning, and SQL can repeat it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
 from ..plans.store import Store
+from .base import asked_labels
 from .graph import Graph, ranked_within
 
 #: 2**31 - 1, the modulus of the draws.
@@ -29,18 +31,37 @@ def draw(walk: Column, step: int, seed: Column | int, n: Column) -> Column:
     return ((y * F.lit(16807) + F.lit(step)) % F.lit(P31)) % n
 
 
-def index(g: Graph, store: Store) -> Store:
-    """Tables that walks look up: starts (el, i, src, dst), labelled (vl, i, vid), steps (out, el, vid, i, other) and degrees (out, el, vid, deg)."""
+def index(g: Graph, store: Store, patterns: Iterable[Pattern] | None = None, steps: bool = True) -> Store:
+    """Tables that walks look up: starts (el, i, src, dst), labelled (vl, i, vid), steps (out, el, vid, i, other) and degrees (out, el, vid, deg).
+
+    Positions are within a label, so with ``patterns`` only their labels are numbered.
+    """
+    if patterns is not None:
+        els, vls = asked_labels(patterns)
+        g = Graph(g.vertices, g.vlabels.where(F.col("vl").isin(*vls)), g.of_labels(els).edges)
     store.save("starts", g.ranked_edges().select("el", "i", "src", "dst"), "el")
     store.save("labelled", g.ranked_vertices().select("vl", "i", "vid"))
+    if not steps:
+        return store
+    steps = store.save("steps", _steps(g.edges), "el")
+    store.save("degrees", _degrees(steps), "el")
+    return store
+
+
+def _steps(edges: DataFrame, at: DataFrame | None = None) -> DataFrame:
+    """(out, el, vid, i, other): a vertex's neighbours by label, direction and position; only those of the few (out, el, vid) of ``at``, if given."""
     both = None
     for out in (True, False):
         a, b = ("src", "dst") if out else ("dst", "src")
-        own = ranked_within(g.edges.select("el", F.col(a).alias("vid"), F.col(b).alias("other")), ["el", "vid"], "el", "other").select(F.lit(out).alias("out"), "el", "vid", "i", "other")
+        own = edges.select("el", F.col(a).alias("vid"), F.col(b).alias("other"))
+        own = own.join(F.broadcast(at.where(F.col("out") == out).select("el", "vid")), ["el", "vid"], "left_semi") if at is not None else own
+        own = ranked_within(own, ["el", "vid"], "el", "other").select(F.lit(out).alias("out"), "el", "vid", "i", "other")
         both = own if both is None else both.unionAll(own)
-    steps = store.save("steps", both, "el")
-    store.save("degrees", steps.groupBy("out", "el", "vid").agg(F.count(F.lit(1)).alias("deg")), "el")
-    return store
+    return both
+
+
+def _degrees(steps: DataFrame) -> DataFrame:
+    return steps.groupBy("out", "el", "vid").agg(F.count(F.lit(1)).alias("deg"))
 
 
 @dataclass(frozen=True)
@@ -95,11 +116,13 @@ def routes(g: Graph, p: Pattern, plans: list[list[int]]) -> list[list[tuple]]:
     return out
 
 
-def walk(held: Store, g: Graph, p: Pattern, plans: list[list[int]], walks: DataFrame, store: Store) -> list[DataFrame]:
+def walk(held: Store, g: Graph, p: Pattern, plans: list[list[int]], walks: DataFrame, store: Store, few: bool = False) -> list[DataFrame]:
     """Rows (seed, walk, plan, inv, v) that are left after each step of ``walks`` (seed, walk, plan); the last holds the walks that succeed.
 
     ``inv`` is the inverse probability, ``v`` the vertices by pattern vertex.  Each step is a
-    written table in ``store``, so a lost executor costs a step.
+    written table in ``store``, so a lost executor costs a step.  ``few`` walks (a row a plan
+    and trial) are broadcast, and their neighbours are numbered as they are met: ``held``
+    needs no steps and no degrees.
     """
     spark = g.edges.sparkSession
     rows = walks.select("seed", "walk", "plan", F.lit(1.0).alias("inv"), F.array(*[F.lit(None).cast("long")] * len(p.vertices)).alias("v"))
@@ -107,13 +130,14 @@ def walk(held: Store, g: Graph, p: Pattern, plans: list[list[int]], walks: DataF
     for step, todo in enumerate(routes(g, p, plans)):
         # As many rows as plans, which the pattern bounds.
         routed = rows.join(F.broadcast(spark.createDataFrame(todo, ROUTE)), "plan", "left")
-        rows = store.save(f"step{step}", _step(held, g, routed, step, {x[1] for x in todo}, any(x[8] is not None or x[9] is not None for x in todo), len(todo) < len(plans)))
+        rows = store.save(f"step{step}", _step(held, g, routed, step, {x[1] for x in todo}, any(x[8] is not None or x[9] is not None for x in todo), len(todo) < len(plans), store if few else None))
         out.append(rows)
     return out
 
 
-def _step(held: Store, g: Graph, routed: DataFrame, step: int, kinds: set[str], labelled: bool, some_done: bool) -> DataFrame:
+def _step(held: Store, g: Graph, routed: DataFrame, step: int, kinds: set[str], labelled: bool, some_done: bool, few: Store | None = None) -> DataFrame:
     same = ["seed", "walk", "plan", "inv", "v"]
+    small = F.broadcast if few is not None else lambda own: own
     parts = []
 
     def at(k: str) -> Column:
@@ -125,19 +149,23 @@ def _step(held: Store, g: Graph, routed: DataFrame, step: int, kinds: set[str],
     position = draw(F.col("walk"), step, F.col("seed"), F.col("n"))
     if "edge" in kinds:
         own = routed.where("kind = 'edge'").withColumns({"el": F.col("label"), "i": position})
-        own = own.join(held.table("starts"), ["el", "i"]).where("a <> b OR src = dst")
+        own = small(own).join(held.table("starts"), ["el", "i"]).where("a <> b OR src = dst")
         parts.append(own.withColumns({"inv": F.col("inv") * F.col("n"), "v": put(F.col("src"), F.col("dst"))}))
     if "vertex" in kinds:
-        own = routed.where("kind = 'vertex'").withColumns({"vl": F.col("label"), "i": position}).join(held.table("labelled"), ["vl", "i"])
+        own = routed.where("kind = 'vertex'").withColumns({"vl": F.col("label"), "i": position})
+        own = small(own).join(held.table("labelled"), ["vl", "i"])
         parts.append(own.withColumns({"inv": F.col("inv") * F.col("n"), "v": put(F.col("vid"), F.col("vid"))}))
     if kinds & {"out", "in"}:
         own = routed.where("kind IN ('out', 'in')").withColumns({"out": F.col("kind") == "out", "el": F.col("label"), "vid": at("a")})
-        own = own.join(held.table("degrees"), ["out", "el", "vid"]).withColumn("i", draw(F.col("walk"), step, F.col("seed"), F.col("deg")))
-        own = own.join(held.table("steps"), ["out", "el", "vid", "i"])
+        steps = few.save(f"near{step}", _steps(g.edges, own.select("out", "el", "vid").distinct())) if few is not None else held.table("steps")
+        degrees = _degrees(steps) if few is not None else held.table("degrees")
+        own = own.join(degrees, ["out", "el", "vid"]).withColumn("i", draw(F.col("walk"), step, F.col("seed"), F.col("deg")))
+        own = own.join(steps, ["out", "el", "vid", "i"])
         parts.append(own.withColumns({"inv": F.col("inv") * F.col("deg"), "v": put(at("a"), F.col("other"))}))
     if "check" in kinds:
         own = routed.where("kind = 'check'").withColumns({"el": F.col("label"), "src": at("a"), "dst": at("b")})
-        parts.append(own.join(g.edges, ["src", "dst", "el"], "left_semi"))
+        met = g.edges.join(small(own.select("src", "dst", "el")), ["src", "dst", "el"], "left_semi") if few is not None else g.edges
+        parts.append(own.join(met, ["src", "dst", "el"], "left_semi"))
     if some_done:
         parts.append(routed.where("kind IS NULL"))
     rows = None
@@ -148,5 +176,6 @@ def _step(held: Store, g: Graph, routed: DataFrame, step: int, kinds: set[str],
         rows = rows.where(F.col(f"bound_{k}").isNull() | (at(k) == F.col(f"bound_{k}")))
         if labelled:
             asked = rows.where(f"vl_{k} IS NOT NULL").withColumns({"vl": F.col(f"vl_{k}"), "vid": at(k)})
-            rows = rows.where(f"vl_{k} IS NULL").unionAll(asked.join(g.vlabels, ["vl", "vid"], "left_semi").drop("vl", "vid"))
+            met = g.vlabels.join(small(asked.select("vl", "vid")), ["vl", "vid"], "left_semi") if few is not None else g.vlabels
+            rows = rows.where(f"vl_{k} IS NULL").unionAll(asked.join(met, ["vl", "vid"], "left_semi").drop("vl", "vid"))
     return rows.select(*same)

@@ -62,7 +62,7 @@ def run_trials(spark: SparkSession, g: Graph, patterns: dict[str, Pattern], meth
 
     for m in methods:
         if m.name not in summaries:
-            summaries[m.name] = m.summarize(g, Store.scratch(spark))
+            summaries[m.name] = m.summarize(g, Store.scratch(spark), patterns.values())
         for name, p in patterns.items():
             if m.batched:
                 began, found, status, error, watch = time.perf_counter(), {}, "ok", None, Watch(spark)

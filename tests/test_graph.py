@@ -12,8 +12,10 @@ from graphtally.plans import cli
 from graphtally.plans.costs import Watch
 from graphtally.plans.harness import cost_report, error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
 from graphtally.plans.pattern import Pattern, relations
+from graphtally.plans.queries import PATTERNS
 from graphtally.plans.store import Store
 from graphtally.sources import text
+from graphtally.sources.star import star_graph
 
 
 def graph(spark, n, labels, edges):
@@ -620,3 +622,13 @@ def test_costs(spark, toy):
     report = {r["method"]: r for r in cost_report(t).collect()}
     assert {m: r["trials"] for m, r in report.items()} == {"cs": 2, "wj": 2}
     assert all(r["cpu_ms"] > 0 and r["driver_kb"] > 0 and r["avg_ms"] > 0 for r in report.values())
+
+
+def test_summaries_for_patterns(spark):
+    g, p = star_graph(spark, "/root/testdata/sf0.001"), PATTERNS["triangle"]
+    for m in (sampling.JSub(0.3),):
+        whole, own = m.summarize(g, Store.scratch(spark)), m.summarize(g, Store.scratch(spark), [p])
+        assert {r["el"] for r in own.table("starts").select("el").distinct().collect()} == {4, 5, 6}
+        assert own.size() < whole.size()
+        assert sorted(map(tuple, m.trials(g, p, [0], whole).collect())) == sorted(map(tuple, m.trials(g, p, [0], own).collect()))
+    assert not sampling.JSub(0.3).summarize(g, Store.scratch(spark)).has("steps")  # a walk a tree needs no table of all neighbours
