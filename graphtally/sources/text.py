@@ -25,11 +25,13 @@ def read_text(spark: SparkSession, path: str, dedup: bool = True) -> Graph:
 
 
 def text_lines(g: Graph) -> DataFrame:
-    """The graph as lines (kind order, then id)."""
+    """The graph as lines (kind order, then id). Lines are made after the sort, which moves ids only."""
     labels = g.vlabels.groupBy("vid").agg(F.sort_array(F.collect_list("vl")).alias("ls"))
-    v = g.vertices.join(labels, "vid", "left").select(F.lit(0).alias("k"), F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("c"), F.concat_ws(" ", F.lit("v"), "vid", F.col("ls").cast("array<string>")).alias("value"))
-    e = g.edges.select(F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("el").alias("c"), F.concat_ws(" ", F.lit("e"), "src", "dst", "el").alias("value"))
-    return v.unionByName(e).orderBy("k", "a", F.col("b").asc_nulls_first(), "c").select("value")
+    v = g.vertices.join(labels, "vid", "left").select(F.lit(0).alias("k"), F.col("vid").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("c"), "ls")
+    e = g.edges.select(F.lit(1).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("el").alias("c"), F.lit(None).cast("array<int>").alias("ls"))
+    rows = v.unionByName(e).orderBy("k", "a", F.col("b").asc_nulls_first(), "c")
+    line = F.when(F.col("k") == 0, F.concat_ws(" ", F.lit("v"), "a", F.col("ls").cast("array<string>"))).otherwise(F.concat_ws(" ", F.lit("e"), "a", "b", "c"))
+    return rows.select(line.alias("value"))
 
 
 def write_parquet(g: Graph, path: str) -> None:
