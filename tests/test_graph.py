@@ -644,3 +644,20 @@ def test_sketches_for_patterns(spark):
     cells, few = ({tuple(x) for x in held.table("sketch").collect()} for held in (whole, own))
     assert few < cells and {(x[0], x[1]) for x in few} == {("e", 0), ("e", 1), ("v", 1)}
     assert m.estimate(g, p, 0, own) == m.estimate(g, p, 0, whole) >= exact.count(g, p).head()[0]
+
+
+def test_types_of_repeated_edges(spark):
+    """Types and label predicates need no distinct edges; labels beyond a long's bits give the same lists."""
+    g = graph(spark, 5, [(0, 3), (0, 1), (1, 1)], [(0, 1, 7), (0, 2, 2), (3, 0, 2)])
+    own = Graph(g.vertices, g.vlabels, g.edges.where("false"), repeated=g.edges.unionAll(g.edges))
+    types = {r["vid"]: (r["vls"], r["outs"], r["ins"]) for r in own.vertex_types().collect()}
+    assert types == {0: ([1, 3], [2, 7], [2]), 1: ([1], [], [7]), 2: ([], [], [2]), 3: ([], [2], []), 4: ([], [], [])}
+    assert [r["vid"] for r in own.having_elabel(g.vertices, 2).sort("vid").collect()] == [0, 3]
+    many = Graph(g.vertices, g.vlabels.unionAll(spark.createDataFrame([(4, k) for k in range(80)], "vid long, vl int")), g.edges)
+    wide = {r["vid"]: (r["vls"], r["outs"], r["ins"]) for r in many.vertex_types().collect()}
+    assert wide == types | {4: (list(range(80)), [], [])}
+
+
+def test_lines_are_made_after_the_sort(toy):
+    plan = text.text_lines(toy)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("concat_ws") < plan.index("Sort")
