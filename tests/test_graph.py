@@ -661,3 +661,19 @@ def test_types_of_repeated_edges(spark):
 def test_lines_are_made_after_the_sort(toy):
     plan = text.text_lines(toy)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("concat_ws") < plan.index("Sort")
+
+
+def test_tasks_grow_with_the_input(spark, monkeypatch):
+    """Distinct edges and the pairs that an edge tests are dealt by rows, not by the session's number of partitions; no pair is summed before it is tested."""
+    from graphtally.operators import graph as graph_
+
+    p = PATTERNS["triangle"]
+    want = exact.count(star_graph(spark, "/root/testdata/sf0.001"), p).head()[0]
+    monkeypatch.setattr(graph_, "TASK_ROWS", 1000)
+    monkeypatch.setattr(exact, "TASK_ROWS", 1000)
+    g = star_graph(spark, "/root/testdata/sf0.001")
+    assert g.of_label(4).rdd.getNumPartitions() >= 6  # 6000 rows
+    counted = exact.count(g, p)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and plan.count("partial_sum") == 1
+    assert counted.head()[0] == want > 0
