@@ -677,3 +677,21 @@ def test_tasks_grow_with_the_input(spark, monkeypatch):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and plan.count("partial_sum") == 1
     assert counted.head()[0] == want > 0
+
+
+@pytest.mark.parametrize("out", [True, False])
+def test_charsets_of_few_and_of_many_labels(spark, monkeypatch, out):
+    """Labels as bits and columns give the sets of the general way: bare vertices, ends and labels of no vertex, repeated labels, any label numbers."""
+    r = random.Random(9)
+    edges = [(r.randrange(12), r.randrange(12), r.choice((3, 40, 70000))) for _ in range(60)] + [(99, 0, 3), (0, 99, 40)]
+    g = graph(spark, 14, [(i, x) for i in range(10) for x in (7, 7, 64, 1000)[: i % 5]] + [(99, 7)], edges)
+
+    def rows(df):
+        return sorted((tuple(x.vls), tuple(x.els), x.n, tuple(map(tuple, x.freq))) for x in df.select("vls", "els", "n", "freq").collect())
+
+    few = charsets.sets(g, out)
+    assert "ObjectHashAggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    got = rows(few)
+    monkeypatch.setattr(charsets, "COLUMNS", 0)
+    assert got == rows(charsets.sets(g, out)) and sum(x[2] for x in got) == 14
+    assert [few.schema[c].dataType.simpleString() for c in ("vls", "els", "n")] == ["array<int>", "array<int>", "bigint"]
