@@ -79,7 +79,7 @@ class RandomWalk(Estimator):
         spark, els = g.edges.sparkSession, sorted({e.el for e in p.edges})
         wide, slides, store = len(p.vertices) - 2, self.windows_of(p), Store.scratch(g.edges.sparkSession)
         steps = wide + slides - 1
-        total = 2 * sum(g.stats["el"].get(el, 0) for el in els)
+        total = 2 * sum(g.counts["el"].get(el, 0) for el in els)
         around = store.save("incidence", incidence(held, set(els)))
         # Half-edges in order of label and ends, both directions of an edge in turn.
         label, low, first = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
@@ -87,7 +87,7 @@ class RandomWalk(Estimator):
         for el in els:
             label = F.when(place >= first, F.lit(el)).otherwise(label)
             low = F.when(place >= first, F.lit(first)).otherwise(low)
-            first += g.stats["el"].get(el, 0)
+            first += g.counts["el"].get(el, 0)
         every = spark.range(len(seeds) * n).select(F.get(F.array(*[F.lit(s) for s in seeds]), (F.col("id") / n).cast("int")).alias("seed"), (F.col("id") % n).alias("walk"))
         every = every.withColumn("pos", draw(F.col("walk"), 0, F.col("seed"), F.lit(total))).withColumns({"el": label, "i": place - low, "out": F.col("pos") % 2 == 0})
         rows = every.join(held.table("starts"), ["el", "i"])
@@ -147,7 +147,7 @@ class RandomWalk(Estimator):
             if left not in (e.src, e.dst):
                 names = list(dict.fromkeys((f"v{e.src}", f"v{e.dst}")))
                 rows = rows.join(ends(e.el, f"v{e.src}", f"v{e.dst}"), names, "left_semi")
-        meets = sorted({e for e in p.edges if left in (e.src, e.dst)}, key=lambda e: (e.src == e.dst, g.stats["el"].get(e.el, 0)))
+        meets = sorted({e for e in p.edges if left in (e.src, e.dst)}, key=lambda e: (e.src == e.dst, g.counts["el"].get(e.el, 0)))
         first, *others = meets
         here = f"v{first.dst if first.src == left else first.src}"
         close = ends(first.el, f"v{first.src}", f"v{first.dst}")
@@ -172,7 +172,7 @@ class RandomWalk(Estimator):
         if not paths or len(p.parts()) != 1:
             return spark.createDataFrame([(s, -1.0) for s in seeds], TRIALS)
         slides = self.windows_of(p)
-        walks = int(self.p * sum(g.stats["el"].get(e.el, 0) for e in p.edges)) // (n + slides - 1)
+        walks = int(self.p * sum(g.counts["el"].get(e.el, 0) for e in p.edges)) // (n + slides - 1)
         if walks <= 0 or empty(g, p):
             return zeros(g, seeds)
         rows, laid = self.walks(g, p, walks, seeds, self.summary_of(g, summary, p)), []

@@ -81,7 +81,7 @@ class CorrelatedSampling(Estimator):
 
 def budget(g: Graph, p: Pattern, rate: float) -> int:
     """Walks of a run: the rate of the mean relation size, both cut to whole numbers."""
-    sizes = [g.stats["vl"].get(v.label, 0) for v in p.vertices if v.label is not None] + [g.stats["el"].get(e.el, 0) for e in p.edges]
+    sizes = [g.counts["vl"].get(v.label, 0) for v in p.vertices if v.label is not None] + [g.counts["el"].get(e.el, 0) for e in p.edges]
     return int(int(sum(sizes) / len(sizes)) * rate)
 
 
@@ -296,7 +296,7 @@ class JSub(Estimator):
         chosen, parts = self.trees(g, p, plans, seeds, held), []
         for k in sorted(set(chosen.values())):
             own, order = [s for s in seeds if chosen[s] == k], plans[k]
-            e, size = p.edges[order[0]], g.stats["el"][p.edges[order[0]].el]
+            e, size = p.edges[order[0]], g.counts["el"][p.edges[order[0]].el]
             every = spark.range(len(own) * n).select(F.get(F.array(*[F.lit(s) for s in own]), (F.col("id") / n).cast("int")).alias("seed"), (F.col("id") % n).alias("walk"))
             drawn = every.withColumn("i", draw(F.col("walk"), len(order), F.col("seed"), F.lit(size))).join(held.table("starts").where(F.col("el") == e.el), "i")
             ends = [F.col("src").alias(f"v{e.src}")] + [F.col("dst").alias(f"v{e.dst}")] * (e.src != e.dst)

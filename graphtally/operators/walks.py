@@ -109,7 +109,7 @@ def routes(g: Graph, p: Pattern, plans: list[list[int]]) -> list[list[tuple]]:
             if step < len(todo):
                 t = todo[step]
                 a, b = (p.vertices[v] for v in (t.a, t.b))
-                n = {"edge": g.stats["el"], "vertex": g.stats["vl"]}.get(t.kind, {}).get(t.label, 0)
+                n = {"edge": g.counts["el"], "vertex": g.counts["vl"]}.get(t.kind, {}).get(t.label, 0)
                 fresh_a, fresh_b = t.kind in ("edge", "vertex"), t.kind in ("edge", "out", "in")
                 rows.append((k, t.kind, t.label, t.a, t.b, n, a.bound if fresh_a else None, b.bound if fresh_b else None, a.label if t.kind == "edge" else None, b.label if fresh_b else None))
         out.append(rows)

@@ -695,3 +695,10 @@ def test_charsets_of_few_and_of_many_labels(spark, monkeypatch, out):
     monkeypatch.setattr(charsets, "COLUMNS", 0)
     assert got == rows(charsets.sets(g, out)) and sum(x[2] for x in got) == 14
     assert [few.schema[c].dataType.simpleString() for c in ("vls", "els", "n")] == ["array<int>", "array<int>", "bigint"]
+
+
+def test_counts_without_distinct_ends(spark, toy):
+    g = graph(spark, 5, [(i, 0) for i in range(5)], [(2, 3, 0), (2, 1, 0), (1, 0, 0), (2, 4, 0)])
+    assert charsets.CharacteristicSets().estimate(g, TOY) == pytest.approx(0.45)
+    assert "stats" not in g.__dict__  # ends are only estimated for who plans joins
+    assert g.counts.items() <= g.stats.items() and g.counts["e"] == 4
