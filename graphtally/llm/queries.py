@@ -59,7 +59,8 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), repeats.Repeats(size=400, unit="bytes", gram=145))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return repeats.remove_repeats(docs, repeats.Repeats(size=400, unit="bytes", gram=145), repeats.Repeats(size=50, unit="words", gram=19))
 
 
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -399,19 +399,19 @@ def _cleaned(joined: DataFrame, p: Repeats) -> DataFrame:
     return joined.select("h", "text", "gaps").mapInArrow(rows, "h binary, n_removed long, n_spans long, kept_sha256 string, left binary, spans array<array<long>>")
 
 
-def cut_texts(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
-    """h, n_removed, n_spans, kept_sha256, left, spans (bytes) of every text that loses something, as a written table."""
+def cut_texts(docs: DataFrame, p: Repeats = Repeats(), *columns: str | Column) -> DataFrame:  # noqa: B008
+    """h, n_removed, n_spans, kept_sha256, left, spans (bytes) of every text that loses something, or ``columns`` of these, as a written table."""
     spark = docs.sparkSession
     texts, spans = repeated_spans(docs, p)
     each = spans.groupBy("tid").agg(F.collect_set(F.struct("start", "stop")).alias("gaps"))  # a text's own spans
-    cut = written(_cleaned(texts.select("tid", "h", "text").join(each, "tid"), p), "cuts")
+    cut = written(_cleaned(texts.select("tid", "h", "text").join(each, "tid"), p).select(*(columns or ["*"])), "cuts")
     drop_written(spark, texts)
     drop_written(spark, spans)
     release(spark)
     return cut
 
 
-def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
+def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), passages: Repeats | None = None) -> DataFrame:  # noqa: B008
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text.
 
     Every byte in a window that also starts elsewhere goes, each occurrence included;
@@ -419,13 +419,22 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noq
     mark there, ``kept_sha256`` is of the bytes).  Null text is empty; a repeated row
     repeats its text and so loses all of it when it is long enough.  Other columns are
     ignored.
+
+    ``passages`` is a second measure (50 words, say, may be fewer bytes than ``p`` asks
+    for, or differ in their blanks) that is counted only: n_passages and n_passage_bytes
+    follow, what would go by it.
     """
+    counts = ["n_passages", "n_passage_bytes"] if passages else []
+    if passages:
+        by_it = cut_texts(docs, passages, "h", F.col("n_spans").alias(counts[0]), F.col("n_removed").alias(counts[1]))
     cut = cut_texts(docs, p).select("h", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha"), "left")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of(), 256).alias("whole_sha"), text_of().alias("whole"))
     rows = rows.withColumn("h", F.substring(F.unhex("whole_sha"), 1, 16)).join(cut, "h", "left")
+    if passages:
+        rows = rows.join(by_it, "h", "left")
     none = F.lit(0).cast("long")
     left = F.coalesce(F.make_valid_utf8(F.col("left").cast("string")), F.col("whole"))
-    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "whole_sha").alias("kept_sha256"), left.alias("text"))
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("cut_sha", "whole_sha").alias("kept_sha256"), left.alias("text"), *[F.coalesce(c, none).alias(c) for c in counts])
 
 
 def without_repeats(docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008

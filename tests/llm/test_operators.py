@@ -388,6 +388,20 @@ def test_repeats(spark, rows):
     assert {r.doc_id for r in left.where("doc_id in (10, 11)").collect()} == set()
 
 
+def test_repeats_counts_passages_of_few_bytes(spark):
+    """Fifty-five words that repeat across texts in fewer bytes than are removed, or with other blanks."""
+    r = random.Random(31)
+    word = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    short, long = word(55), word(90)
+    assert len(" ".join(short)) < 400 < len(" ".join(long))
+    docs = [(i, " ".join(word(30) + short + word(30 + i))) for i in range(3)] + [(9, " ".join(word(130)))]
+    docs += [(20, " ".join(word(20) + long)), (21, "\n".join(long)), (22, " ".join(short[:49])), (23, None), (24, " ".join(short[:50]))]
+    p = repeats.Repeats(size=50, unit="words", gram=19)
+    got = {x.doc_id: (x.n_removed, x.n_passages, x.n_passage_bytes) for x in repeats.remove_repeats(table(spark, docs), repeats.Repeats(), p).collect()}
+    want = {i: (0, 1, 55 * 6 - 1) for i in range(3)} | {9: (0, 0, 0), 20: (0, 1, 90 * 6 - 1), 21: (0, 1, 90 * 6 - 1), 22: (0, 0, 0), 23: (0, 0, 0), 24: (0, 1, 50 * 6 - 1)}
+    assert got == want
+
+
 def test_near(spark, rows):
     def plain(k):
         sets = []

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import struct
 import zlib
 
@@ -82,6 +83,24 @@ def test_op7(spark):
     assert any(x[1] for x in want.values())
 
 
+def test_op7_passages(spark):
+    """What 50 words cover that also start elsewhere, over the whole table."""
+    data = {i: t.encode() for i, t in texts(spark).items()}
+    at = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for i, b in data.items()}
+    words = {i: [data[i][x:y] for x, y in spans] for i, spans in at.items()}
+    seen = collections.Counter(tuple(w[k : k + 50]) for w in words.values() for k in range(len(w) - 49))
+    want = {}
+    for i, w in words.items():
+        gone = bytearray(len(data[i]))
+        for k in range(len(w) - 49):
+            if seen[tuple(w[k : k + 50])] > 1:
+                x, y = at[i][k][0], at[i][k + 49][1]
+                gone[x:y] = b"\1" * (y - x)
+        want[i] = (sum(x and (k == 0 or not gone[k - 1]) for k, x in enumerate(gone)), sum(gone))
+    assert {r.doc_id: (r.n_passages, r.n_passage_bytes) for r in QUERIES["op7_radix_repeats"](spark, SF).collect()} == want
+    assert any(x[1] for x in want.values())
+
+
 @pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
 def test_op8(spark, folder):
     sets = {}
