@@ -238,6 +238,8 @@ def sampled_completions(g: Graph, p: Pattern, order: list[int], starts: DataFram
 
     From the start outwards, each edge keeps only the tuples that meet what is kept of its
     parent; weights then go back over these.  Tables are written once and read twice.
+    Rows that nothing extends stay with 0: only the right side of a left join is ever broadcast,
+    and written starts may be few bytes and many rows.
     """
     parent, seen = {}, [order[0]]
     for i in order[1:]:
@@ -251,7 +253,7 @@ def sampled_completions(g: Graph, p: Pattern, order: list[int], starts: DataFram
     for i in reversed(order[1:]):
         j, v = parent[i]
         message = rows[i].groupBy(f"v{v}").agg(F.sum("w").alias("_m"))
-        rows[j] = rows[j].join(message, f"v{v}").withColumn("w", F.col("w") * F.col("_m")).drop("_m")
+        rows[j] = rows[j].join(message, f"v{v}", "left").withColumn("w", F.col("w") * F.coalesce("_m", F.lit(0.0))).drop("_m")
     return rows[order[0]]
 
 
@@ -262,6 +264,7 @@ class JSub(Estimator):
     the least inverse probability is taken; trees whose trial fails are passed over, and the
     first stands if all fail.  Start tuples are drawn first and what they can't meet is never
     joined; the mean over the draws of their weights times the start's tuples is the estimate.
+    Where there are more draws than tuples, a tuple is one row of a trial with its number of draws.
     """
 
     name, batched = "jsub", True
@@ -298,16 +301,18 @@ class JSub(Estimator):
             own, order = [s for s in seeds if chosen[s] == k], plans[k]
             e, size = p.edges[order[0]], g.counts["el"][p.edges[order[0]].el]
             every = spark.range(len(own) * n).select(F.get(F.array(*[F.lit(s) for s in own]), (F.col("id") / n).cast("int")).alias("seed"), (F.col("id") % n).alias("walk"))
-            drawn = every.withColumn("i", draw(F.col("walk"), len(order), F.col("seed"), F.lit(size))).join(held.table("starts").where(F.col("el") == e.el), "i")
+            drawn = every.select("seed", draw(F.col("walk"), len(order), F.col("seed"), F.lit(size)).alias("i"), F.lit(1).cast("long").alias("k"))
+            drawn = drawn.groupBy("seed", "i").agg(F.sum("k").alias("k")) if n > size else drawn
+            drawn = drawn.join(held.table("starts").where(F.col("el") == e.el), "i")
             ends = [F.col("src").alias(f"v{e.src}")] + [F.col("dst").alias(f"v{e.dst}")] * (e.src != e.dst)
             drawn = drawn.where("src = dst") if e.src == e.dst else drawn
             store = Store.scratch(spark)
             # What a start must be by itself, its labels and bounds, its edge's own rows say.
-            starts = store.save("starts", drawn.select("seed", *ends))
+            starts = store.save("starts", drawn.select("seed", "k", *ends))
             fits = edge_rows(g, p, order[0]) if any(p.vertices[v].bound is not None or p.vertices[v].label is not None for v in (e.src, e.dst)) else None
             starts = starts.join(fits, sorted({f"v{e.src}", f"v{e.dst}"}), "left_semi") if fits is not None else starts
             weights = sampled_completions(g, p, order, starts, store)
-            sums = weights.groupBy("seed").agg(F.sum("w").alias("w"))
+            sums = weights.groupBy("seed").agg(F.sum(F.col("k") * F.col("w")).alias("w"))
             given = spark.createDataFrame([(s,) for s in own], "seed int")
             parts.append(given.join(sums, "seed", "left").select("seed", (F.coalesce("w", F.lit(0.0)) * float(size) / n).alias("est")))
         return WanderJoin._all(parts)

@@ -159,8 +159,8 @@ def _step(held: Store, g: Graph, routed: DataFrame, step: int, kinds: set[str],
         own = routed.where("kind IN ('out', 'in')").withColumns({"out": F.col("kind") == "out", "el": F.col("label"), "vid": at("a")})
         steps = few.save(f"near{step}", _steps(g.edges, own.select("out", "el", "vid").distinct())) if few is not None else held.table("steps")
         degrees = _degrees(steps) if few is not None else held.table("degrees")
-        own = own.join(degrees, ["out", "el", "vid"]).withColumn("i", draw(F.col("walk"), step, F.col("seed"), F.col("deg")))
-        own = own.join(steps, ["out", "el", "vid", "i"])
+        own = small(own).join(degrees, ["out", "el", "vid"]).withColumn("i", draw(F.col("walk"), step, F.col("seed"), F.col("deg")))
+        own = small(own).join(steps, ["out", "el", "vid", "i"])
         parts.append(own.withColumns({"inv": F.col("inv") * F.col("deg"), "v": put(at("a"), F.col("other"))}))
     if "check" in kinds:
         own = routed.where("kind = 'check'").withColumns({"el": F.col("label"), "src": at("a"), "dst": at("b")})

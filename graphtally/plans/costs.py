@@ -53,7 +53,7 @@ class Watch:
     def cost(self) -> Cost:
         """The cost of the marked jobs, once all that happened in them is known."""
         own, out = self.sc._jsc.sc(), Cost()
-        own.listenerBus().waitUntilEmpty()
+        own.listenerBus().waitUntilEmpty(600_000)  # ms; its own 10 s may be short after many tasks
         jobs = [self.sc.statusTracker().getJobInfo(j) for j in own.statusTracker().getJobIdsForTag(self.tag)]
         for stage in sorted({i for j in jobs if j is not None for i in j.stageIds}):
             try:

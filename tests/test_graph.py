@@ -3,6 +3,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udf
 
 from graphtally.operators import bound_sketch, charsets, exact, random_walk, sampling, typed_summary
@@ -12,7 +13,7 @@ from graphtally.plans import cli
 from graphtally.plans.costs import Watch
 from graphtally.plans.harness import cost_report, error_lines, qerror_report, qerrors, result_lines, run_trials, trial_stats
 from graphtally.plans.pattern import Pattern, relations
-from graphtally.plans.queries import PATTERNS
+from graphtally.plans.queries import PATTERNS, QUERIES
 from graphtally.plans.store import Store
 from graphtally.sources import text
 from graphtally.sources.star import star_graph
@@ -228,6 +229,38 @@ def test_drawn_starts(spark):
     assert sum(ests) / 12 == pytest.approx(exact.count(g, p).head()[0], rel=0.1)
 
 
+def test_starts_drawn_again_and_again(spark, monkeypatch):
+    """More draws than edges: a row a trial and edge, and the same weights."""
+    edges = {(0, 1, 0), (2, 1, 0), (3, 4, 0)} | {(1, i, 1) for i in range(5, 9)}
+    g, rows, save = graph(spark, 9, [], sorted(edges)), {}, Store.save
+    monkeypatch.setattr(Store, "save", lambda self, name, df, by=None: rows.setdefault((self.path, name), save(self, name, df, by)))
+    held = sampling.JSub().summarize(g, Store.scratch(spark))
+    for p in (Pattern.of([(0, 1, 0)]), Pattern.of([(0, 1, 0), (1, 2, 1)])):
+        rows.clear()
+        n = sampling.budget(g, p, 40.0)
+        got = {x["seed"]: x["est"] for x in sampling.JSub(40.0).trials(g, p, [0, 1, 5], held).collect()}
+        assert got == {s: pytest.approx(plain_jsub(edges, set(), p, n, s)) for s in (0, 1, 5)} and all(got.values())
+        assert n > 100 and 0 < sum(df.count() for (_, name), df in rows.items() if name == "starts") <= 4 * 3
+
+
+def test_starts_are_not_broadcast(spark):
+    """Starts of few bytes and many rows stay where they lie; what extends them goes to them."""
+    g, store = graph(spark, 400, [], [(i, j, 1) for i in range(10) for j in range(10, 400)]), Store.scratch(spark)
+    starts = store.save("drawn", spark.range(0, 60000, 1, 1).select(F.lit(0).alias("seed"), F.lit(1).cast("long").alias("k"), F.lit(7).cast("long").alias("v0"), F.floor(F.col("id") / 5000).alias("v1")))
+    weights = sampling.sampled_completions(g, Pattern.of([(0, 1, 0), (1, 2, 1)]), [0, 1], starts, store)
+    assert weights.agg(F.sum("w")).head()[0] == 50000 * 390
+    assert "BuildLeft" not in weights._jdf.queryExecution().executedPlan().toString()
+
+
+def test_failed_trial_says_why(spark, monkeypatch):
+    def fail(*_):
+        raise ValueError("no such walk")
+
+    monkeypatch.setattr(sampling.JSub, "trials", fail)
+    with pytest.raises(RuntimeError, match="no such walk"):
+        QUERIES["jsub_trials"](spark, "/root/testdata/sf0.001")
+
+
 def test_partitions(spark):
     assert len(typed_summary.partitions([0] * 7)) == 877
     assert typed_summary.partitions(list(range(9))) == [tuple(range(9))]
